@@ -22,5 +22,40 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from terrace.llm.chat import format_chat, unescape
+
+    more = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(t, r)")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    done = format_chat(turns)
+    learnt = F.array_join(F.transform(F.filter("chunks", lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
+    lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return done.withColumn("_learnt", learnt).select(
+        "conv_id", "n_turns", F.sha2(lines.cast("binary"), 256).alias("turns_sha256"), F.char_length("_learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.col("_learnt").cast("binary"), 256).alias("loss_sha256"), F.char_length("text").cast("long").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(9 + length(role) + 1 + length(regexp_replace(text, '(\\*(?:</?s>|\[/?INST\]))', '\\\1', 'g')) + 12) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.licenses import license_scan
+
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL}
