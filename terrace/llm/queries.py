@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +23,20 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
-def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.mixing import mix
+
+    quality = label_weights(spark, sf_dir)
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), quality=quality).select("doc_id", "size", "source_size", "target", "taken")
+
 
+def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, quality_weight: 1 for documents labelled good, 0.25 for those labelled bad."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null and doc_id is not null")
+    return labels.groupBy("doc_id").agg(F.min(F.when(F.col("quality") == 1, 1.0).otherwise(0.25)).alias("quality_weight"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.chat import format_chat, unescape
 
     more = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(t, r)")
@@ -57,5 +69,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan}
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL}
