@@ -69,5 +69,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan}
+def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.quality import held_out, score, train
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL}
