@@ -23,6 +23,16 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from terrace.llm.packing import crc32, pack, tokenize_pieces
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), payload=("ids_crc32", "long", crc32))
+    return pack(pieces).select(F.col("doc").alias("doc_id"), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.mixing import mix
 
@@ -77,5 +87,5 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL}
