@@ -23,6 +23,12 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.urls import filter_urls
+
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,5 +93,5 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL}
