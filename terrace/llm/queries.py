@@ -29,6 +29,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op3_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,5 +106,5 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op7_minimax_shards": op7_minimax_shards, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_posting_lists": op3_posting_lists, "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op7_minimax_shards": op7_minimax_shards, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL}
