@@ -92,6 +92,12 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.licenses import license_scan
 
@@ -106,5 +112,5 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_posting_lists": op3_posting_lists, "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op7_minimax_shards": op7_minimax_shards, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_posting_lists": op3_posting_lists, "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op7_minimax_shards": op7_minimax_shards, "op8_jaccard_regions": op8_jaccard_regions, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL}
