@@ -112,5 +112,16 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_posting_lists": op3_posting_lists, "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format, "op7_minimax_shards": op7_minimax_shards, "op8_jaccard_regions": op8_jaccard_regions, "op9_license_scan": op9_license_scan, "op10_quality_mil": op10_quality_mil}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_posting_lists": op3_posting_lists,
+    "op4_best_fit_packing": op4_best_fit_packing, "op5_mix_sources": op5_mix_sources, "op6_chat_format": op6_chat_format,
+    "op7_minimax_shards": op7_minimax_shards, "op8_jaccard_regions": op8_jaccard_regions, "op9_license_scan": op9_license_scan,
+    "op10_quality_mil": op10_quality_mil, "pipeline": pipeline,
+}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL}
