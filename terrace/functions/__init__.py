@@ -1 +1 @@
-
+"""Column functions of one pixel."""

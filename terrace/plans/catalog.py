@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from terrace.plans import accuracy, change, imagery, models, pixels
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _part in (change, pixels, accuracy, imagery, models):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
