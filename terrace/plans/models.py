@@ -1,4 +1,43 @@
-from terrace.plans.registry import Part
+"""Queries that fit models; their rows can't be said in SQL."""
 
-part = Part()
-QUERIES, ORACLES = part.queries, part.oracles
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrace.operators import learning
+
+FEATURES = [f"f{k}" for k in range(8)]
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("id"), (F.col("vec_id") / 25).cast("long").alias("row"), (F.col("vec_id") % 25).alias("col"), "label", *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(8)])
+
+
+def _model(df: DataFrame):
+    return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=20, seed=42).fit(learning.assemble(df, FEATURES))
+
+
+def rf_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _features(spark, sf_dir)
+    return learning.classify_pixels(df, FEATURES, _model(df))
+
+
+def rf_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _features(spark, sf_dir)
+    return learning.classify_pixels(df, FEATURES, _model(df), mode="proba")
+
+
+def rf_grid_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = learning.assemble(_features(spark, sf_dir), FEATURES)
+    return learning.tune(df, "random_forest", {"numTrees": [5, 15], "maxDepth": [4]}, folds=3)[0]
+
+
+def rfecv_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.select_features(_features(spark, sf_dir).select("id", "label", *FEATURES[:4]), FEATURES[:4], folds=2, numTrees=5)[1]
+
+
+QUERIES = {"rf_classify": rf_classify, "rf_proba": rf_proba, "rf_grid_tune": rf_grid_tune, "rfecv_select": rfecv_select}
+ORACLES: dict[str, str] = {}

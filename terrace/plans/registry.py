@@ -34,4 +34,6 @@ class Part:
 def with_fixtures(names: list[str], say: str) -> str:
     body = say.strip()
     ctes = ", ".join(f"{n} AS ({sql(n)})" for n in names)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
