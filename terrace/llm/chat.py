@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 OPEN, BREAK, CLOSE = "<s>[INST]", "\n", "\n[/INST]</s>"
 CONTROL = r"(?:</?s>|\[/?INST\])"
 
-TURN_AT = r"(?<!\\)\n\[/INST\]</s>"
+TURN_AT = r"\n\[/INST\]</s>"
 PLAIN_ROLE = "^[A-Za-z0-9_.-]*$"
 
 
