@@ -14,8 +14,10 @@ from __future__ import annotations
 import bisect
 import math
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,11 @@ from terrace.scratch import materialize
 #: Pieces of one size that are ranked in one task.
 RANK_ROWS = 50_000
 #: Words whose ids a worker remembers, and bytes of text tokenized at once.
-CACHE_WORDS, SLICE_BYTES = 300_000, 8 << 20
+CACHE_WORDS, SLICE_BYTES = 150_000, 4 << 20
+
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: How byte-level vocabularies name bytes: printable ones by themselves, the others from 256 on.
+BYTE_NAMES = {b: chr(b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)}
 
 
 @dataclass(frozen=True)
@@ -85,34 +91,59 @@ def best_fit(counts: dict[int, int], limit: int) -> list[Placement]:
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins text across a blank; words are tokenized once and remembered."""
+    """Ids of whole texts by a tokenizer that splits at blanks and between letters and marks, and folds case.
+
+    So words are cut out first, A-Z in lower case, and each is tokenized once and remembered. Texts that may hold a special token
+    ("<|") are only cut at blanks.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.ids: dict[str, np.ndarray] = {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        fresh = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(fresh) > CACHE_WORDS:
-            self.ids, fresh = {}, words
-        for w, e in zip(fresh, self.inner.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4")
-        return [self.ids[w] for w in words]
+        self.merges = self.inner.model
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def words(self, words: list[str]) -> list[bytes]:
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        fresh = []
+        for w in words:
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    fresh.append(w)
+        slow = []
+        for w in fresh:
+            if w.isalpha() and (w.isascii() or max(w) < "\u0180" and is_normalized("NFC", w)) and w == w.lower():
+                # One word for the tokenizer's splitting and nothing to fold: straight to its merges, on the names of its bytes.
+                new[w] = array("I", [t.id for t in self.merges.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_NAMES))]).tobytes()
+            else:
+                slow.append(w)
+        for k in range(0, len(slow), 5_000):
+            part = slow[k : k + 5_000]
+            for w, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                new[w] = array("I", e.ids).tobytes()
+        return [new[w] for w in words]
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and where each text's ids begin (and the last end)."""
-        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([!-&(-/:-@\[-`{-~])", r"\1 \2")
+        parts = pc.split_pattern(texts, " ")
         code = pc.dictionary_encode(parts.flatten())
         each = self.words(code.dictionary.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
         words = code.indices.to_numpy()
         upto = np.concatenate([[0], np.cumsum(size[words])])
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         bounds = upto[offsets] + np.arange(len(offsets))  # an id more for each text before
-        table = np.concatenate([*each, np.zeros(0, "<u4")])
+        table = np.frombuffer(b"".join(each), "=u4")
         ids = np.full(bounds[-1], end, "<u4")
         at = np.ones(len(ids), bool)
         at[bounds[1:] - 1] = False
@@ -122,7 +153,7 @@ class WordTokenizer:
 
 
 def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.tobytes())
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def tokenize_pieces(
