@@ -109,3 +109,29 @@ def reallocate(p: dict[str, Column], canopy: Column, settlement: Column) -> dict
 def unique_segments(seg: Column, tile: Column, stride: int = 300_000_000) -> Column:
     """Segment ids that are unique over tiles."""
     return seg.cast("long") + tile.cast("long") * stride
+
+
+def fuse_by_object(pixels: DataFrame, *, bands: int, scale: float = 10000.0, tau: float = TAU, sensitivity: float = SENSITIVITY, smoothness: list[float] = SMOOTHNESS, guard_sd: float | None = None, merge_riverbed: bool = True) -> DataFrame:
+    """row, col, lulc, conf, ci, runner_up, is_stable (conf and ci in hundredths), the variant in which the segment's own confusion damps its weight.
+
+    guard_sd: segments with a band that varies more than this count for nothing. Blended probabilities are scaled to sum to 1.
+    """
+    own = pixels.withColumn("_raw", F.transform("p", lambda x: x / scale))
+    seg = own.where("seg > 0").groupBy("seg").agg(
+        F.array(*[F.avg(F.col("_raw")[k]) for k in range(bands)]).alias("_obj"), F.greatest(*[F.stddev_pop(F.col("_raw")[k]) for k in range(bands)]).alias("_sd") if bands > 1 else F.stddev_pop(F.col("_raw")[0]).alias("_sd"))
+    t = own.join(seg, "seg", "left").withColumn("_obj", F.coalesce("_obj", "_raw")).withColumn("_o", top_two(F.col("_obj")))
+    damp = 1 - confusion_index(F.col("_o.w"), F.col("_o.s")) * sensitivity
+    if guard_sd is not None:
+        damp = damp * (F.coalesce("_sd", F.lit(0.0)) <= guard_sd).cast("double")
+    weights = F.array(*[F.lit(max(0.2, min(0.9, s / 5))) for s in smoothness[:bands]])
+    mixed = F.transform(F.arrays_zip(F.col("_obj").alias("o"), F.col("_raw").alias("r"), weights.alias("w")), lambda x: x["o"] * x["w"] * F.col("_damp") + x["r"] * (1 - x["w"] * F.col("_damp")))
+    t = t.withColumn("_damp", damp).withColumn("_mix", mixed)
+    total = F.aggregate("_mix", F.lit(0.0), lambda a, x: a + x)
+    t = t.withColumn("_b", top_two(F.transform("_mix", lambda x: x / F.when(total == 0, 1.0).otherwise(total))))
+    ci = confusion_index(F.col("_b.w"), F.col("_b.s"))
+    t = t.withColumn("_ci", ci).withColumn("_pct", F.bround(ci * 100).cast("int")).withColumn("_cls", F.greatest(F.col("_b.wi"), F.lit(1)))
+    cls = F.when(F.col("_cls").isin(17, 18) & F.col("_b.si").isin(15, 16) & (F.col("_pct") > 65), F.col("_b.si")).otherwise(F.col("_cls"))
+    cls = F.when((cls == 18) & (F.col("_b.si") == 15) & (F.col("_pct") > 75), 15).otherwise(cls)
+    if merge_riverbed:
+        cls = F.when(cls == 18, 17).otherwise(cls)
+    return t.select("row", "col", cls.cast("int").alias("lulc"), F.bround(F.col("_b.w") * 100).cast("int").alias("conf"), F.col("_pct").alias("ci"), F.col("_b.si").alias("runner_up"), (F.col("_ci") <= tau).cast("int").alias("is_stable"))

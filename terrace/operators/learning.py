@@ -117,3 +117,22 @@ def classify_pixels(pixels: DataFrame, bands: list[str], model, *, mode: str = "
 
 def forest_pipeline(features: list[str], **params) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), build_classifier("rf", **params)])
+
+
+def evaluate(model: Model, test: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(overall measures, measures by class, confusion matrix) of a fitted model on rows with features."""
+    from terrace.operators.accuracy import class_accuracy
+
+    matrix = confusion(model.transform(test), label, "prediction")
+    return overall_accuracy(matrix), class_accuracy(matrix), matrix
+
+
+def one_vs_rest_scores(train: DataFrame, pixels: DataFrame, *, label: str = "label", keys: tuple[str, ...] = ("row", "col"), seed: int = 42, **params) -> DataFrame:
+    """keys, scores (array of 100 times the probability of each class against the rest, in order of class), cls, confidence."""
+    classes = sorted(r[0] for r in train.select(label).distinct().collect())  # a class each
+    done = pixels
+    for c in classes:
+        model = build_classifier("rf", label="_is", seed=seed, **params).fit(train.withColumn("_is", (F.col(label) == c).cast("double")))
+        done = model.transform(done).withColumn(f"_p{c}", F.bround(vector_to_array("probability")[1] * 100).cast("int")).drop("rawPrediction", "probability", "prediction")
+    scores = F.array(*[F.col(f"_p{c}") for c in classes])
+    return done.select(*keys, scores.alias("scores")).withColumn("cls", F.element_at(F.array(*map(F.lit, classes)), F.array_position("scores", F.array_max("scores")).cast("int"))).withColumn("confidence", F.array_max("scores"))

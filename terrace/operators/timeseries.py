@@ -46,3 +46,37 @@ def stable_points(points: DataFrame, segments: DataFrame, key: str, at: float =
     """points whose nearest break is at least so many years from `at`; without any break they stay."""
     near = segments.where(F.col(break_col).isNotNull()).groupBy(key).agg(F.min(F.abs(F.col(break_col) - at)).alias("_d")).where(F.col("_d") < least)
     return points.join(near, key, "left_anti")
+
+
+def landsat_collection(scenes: dict[str, DataFrame], bands: dict[str, dict[str, str]], *, start: str, end: str, max_cloud: float) -> DataFrame:
+    """ts, pixel and reflectances by common names of all sensors, in order of time: clouded scenes and pixels are out, the rest is scaled.
+
+    scenes: by sensor, tables of ts, pixel, cloud_cover, qa and that sensor's bands; bands: by sensor, its names of the common bands.
+    """
+    from functools import reduce
+
+    from terrace.functions.scalars import OPTICAL, bits_clear, scaled
+
+    def one(sensor: str, df: DataFrame) -> DataFrame:
+        own = df.where((F.col("cloud_cover") <= max_cloud) & F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")) & bits_clear(F.col("qa")))
+        return own.select("ts", "pixel", *[scaled(F.col(theirs), OPTICAL).alias(ours) for ours, theirs in bands[sensor].items()])
+
+    return reduce(DataFrame.unionByName, [one(s, df) for s, df in scenes.items()]).orderBy("ts", "pixel")
+
+
+def sentinel2_series(scenes: DataFrame, quality: DataFrame, bands: list[str], *, key: str = "scene_id", score: str = "quality", least: float = 0.6) -> DataFrame:
+    """scenes with bands over 10000, null where the linked quality is below least; scenes without a quality are left out."""
+    linked = scenes.join(quality.select(key, score), key)
+    return linked.select(*[c for c in scenes.columns if c not in bands], *[F.when(F.col(score) >= least, F.col(b) / 10000.0).alias(b) for b in bands])
+
+
+def yearly_synthetic(segments: DataFrame, years: list[int], coefs: str = "coefs", *, key: str = "pixel", fraction: float = 0.5, scale: float = 1.0, tolerance: float = 1.0) -> DataFrame:
+    """key, year, value: the harmonic of the segment nearest to each year's fraction, null if too far or not plausible."""
+    from terrace.functions.scalars import harmonic, synthetic
+
+    lists = segments.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tStart", "tEnd", coefs))).alias("_s"))
+    each = lists.select(key, "_s", F.explode(F.array(*map(F.lit, years))).alias("year")).withColumn("t", F.col("year") + fraction)
+    best = F.array_min(F.transform("_s", lambda s: F.struct(F.greatest(s["tStart"] - F.col("t"), F.col("t") - s["tEnd"], F.lit(0.0)).alias("gap"), s.alias("seg"))))
+    each = each.withColumn("_b", best)
+    value = harmonic(F.col(f"_b.seg.{coefs}"), F.col("t"), F.col("_b.seg.tStart"), F.col("_b.seg.tEnd"), scale)
+    return each.select(key, "year", synthetic(value, F.col("_b.gap"), tolerance).alias("value"))

@@ -193,4 +193,42 @@ def _(scenes: DataFrame) -> DataFrame:
     return vector.plan_downloads(scenes, ["B04", "B08"], "/data", there)
 
 
+@part.add("band_statistics", "px_bands", "SELECT 'nir' AS band, max(nir)::DOUBLE AS max, round_even(avg(nir), 5) AS mean, round_even(quantile_cont(nir::DOUBLE, 0.5), 5) AS q50, round_even(quantile_cont(nir::DOUBLE, 0.99), 5) AS q99 FROM px_bands UNION ALL SELECT 'red', max(red)::DOUBLE, round_even(avg(red), 5), round_even(quantile_cont(red::DOUBLE, 0.5), 5), round_even(quantile_cont(red::DOUBLE, 0.99), 5) FROM px_bands")
+def _(bands: DataFrame) -> DataFrame:
+    done = raster.band_statistics(bands, ["nir", "red"])
+    return done.select("band", "max", *[F.bround(c, 5).alias(c) for c in ("mean", "q50", "q99")])
+
+
+@part.add("landsat_collection", "qa_scenes", """SELECT ts, pixel, round_even(b1 * 0.0000275::DOUBLE - 0.2, 6) AS blue, round_even(b2 * 0.0000275::DOUBLE - 0.2, 6) AS nir FROM qa_scenes
+WHERE cloud_cover <= 20 AND ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01' AND qa & 30 = 0""")
+def _(scenes: DataFrame) -> DataFrame:
+    two = {"LC08": scenes.where("pixel % 2 = 0").withColumnsRenamed({"b1": "SR_B2", "b2": "SR_B5"}), "LE07": scenes.where("pixel % 2 = 1").withColumnsRenamed({"b1": "SR_B1", "b2": "SR_B4"})}
+    done = timeseries.landsat_collection(two, {"LC08": {"blue": "SR_B2", "nir": "SR_B5"}, "LE07": {"blue": "SR_B1", "nir": "SR_B4"}}, start="1995-01-01", end="1996-01-01", max_cloud=20)
+    return done.select("ts", "pixel", F.bround("blue", 6).alias("blue"), F.bround("nir", 6).alias("nir"))
+
+
+@part.add("sentinel2_series", "px_bands px_dem", "SELECT row * 100 + col AS scene_id, CASE WHEN z / 997.0::DOUBLE >= 0.6 THEN nir / 10000.0::DOUBLE END AS nir FROM px_bands JOIN px_dem USING (row, col)")
+def _(bands: DataFrame, dem: DataFrame) -> DataFrame:
+    key = lambda df: df.withColumn("scene_id", F.col("row") * 100 + F.col("col"))
+    return timeseries.sentinel2_series(key(bands).select("scene_id", "nir"), key(dem).select("scene_id", (F.col("z") / 997.0).alias("quality")), ["nir"])
+
+
+@part.add("yearly_synthetic", "ts_segments", """WITH y AS (SELECT s.pixel, year, s.tStart, s.tEnd, greatest(tStart - (year + 0.5::DOUBLE), year + 0.5::DOUBLE - tEnd, 0) AS gap FROM ts_segments s, (VALUES (1995), (1996)) v(year)),
+b AS (SELECT *, least(greatest(year + 0.5::DOUBLE, tStart), tEnd) AS tt FROM y QUALIFY row_number() OVER (PARTITION BY pixel, year ORDER BY gap, tStart, tEnd) = 1),
+v AS (SELECT pixel, year, gap, (1000 + 0.1::DOUBLE * tt + 200 * cos(tt * 2 * pi()) + 100 * sin(tt * 2 * pi())) / 10000 AS value FROM b)
+SELECT pixel, year, CASE WHEN gap <= 0.3 AND value > -0.05 AND value < 1.5 THEN round_even(value, 6) END AS value FROM v""")
+def _(segs: DataFrame) -> DataFrame:
+    own = segs.withColumn("coefs", F.array(*[F.lit(float(x)) for x in (1000, 0.1, 200, 100, 0, 0, 0, 0)]))
+    return timeseries.yearly_synthetic(own, [1995, 1996], scale=10000.0, tolerance=0.3).withColumn("value", F.bround("value", 6))
+
+
+@part.add("rasterize_touched", "polygons", "SELECT poly_id, row, col FROM (SELECT poly_id, r, c, unnest(range(-1, 4)) AS i FROM polygons) CROSS JOIN (SELECT unnest(range(-1, 5)) AS j) CROSS JOIN LATERAL (SELECT CAST(r + i AS BIGINT) AS row, CAST(c + j AS BIGINT) AS col) WHERE row >= 0 AND col >= 0 AND row < 1500 AND col < 100 AND i BETWEEN 0 AND 2 AND j BETWEEN 0 AND 3")
+def _(polygons: DataFrame) -> DataFrame:
+    x0, y0 = F.col("c") * 10.0 + 500000.0, F.lit(9000000.0) - F.col("r") * 10.0
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    # Sides a little inside the lines of the grid, so that they touch no further pixels.
+    ring = F.array(corner(x0 + 1, y0 - 1), corner(x0 + 39, y0 - 1), corner(x0 + 39, y0 - 29), corner(x0 + 1, y0 - 29), corner(x0 + 1, y0 - 1))
+    return raster.rasterize_touched(polygons.select("poly_id", ring.alias("ring")), UTM).select("poly_id", "row", "col")
+
+
 QUERIES, ORACLES = part.queries, part.oracles

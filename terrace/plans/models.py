@@ -39,5 +39,15 @@ def rfecv_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.select_features(_features(spark, sf_dir).select("id", "label", *FEATURES[:4]), FEATURES[:4], folds=2, numTrees=5)[1]
 
 
-QUERIES = {"rf_classify": rf_classify, "rf_proba": rf_proba, "rf_grid_tune": rf_grid_tune, "rfecv_select": rfecv_select}
+def rf_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = learning.assemble(_features(spark, sf_dir), FEATURES)
+    return learning.evaluate(_model(df.drop("features")), df)[0]
+
+
+def rf_one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = learning.assemble(_features(spark, sf_dir).where("label < 3"), FEATURES)
+    return learning.one_vs_rest_scores(df, df, numTrees=5)
+
+
+QUERIES = {"rf_evaluate": rf_evaluate, "rf_one_vs_rest": rf_one_vs_rest, "rf_classify": rf_classify, "rf_proba": rf_proba, "rf_grid_tune": rf_grid_tune, "rfecv_select": rfecv_select}
 ORACLES: dict[str, str] = {}

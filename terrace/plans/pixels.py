@@ -41,6 +41,18 @@ def _(levels: DataFrame, segs: DataFrame) -> DataFrame:
     return mixed.select("row", "col", "t.wi", "t.si", F.bround("t.w", 6).alias("w"), F.bround("t.s", 6).alias("s"))
 
 
+_OBJ = _MEANS + f""", ob AS (SELECT lv.row, lv.col, lv.k, v / 10000.0::DOUBLE AS r, coalesce(o, v / 10000.0::DOUBLE) AS o FROM lv JOIN px_segments s USING (row, col) LEFT JOIN sm ON sm.seg = s.seg AND sm.k = lv.k),
+oc AS (SELECT row, col, 1 - 0.6::DOUBLE * greatest(0, least(1, max(CASE WHEN n = 2 THEN o END) / max(o))) AS d FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY o DESC, k) AS n FROM ob) GROUP BY 1, 2),
+mx AS (SELECT ob.row, ob.col, k, o * ({_W}[k + 1] * d) + r * (1 - {_W}[k + 1] * d) AS b FROM ob JOIN oc USING (row, col)),
+nm AS (SELECT row, col, k, b / sum(b) OVER (PARTITION BY row, col) AS b FROM mx), rn AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY b DESC, k) AS n FROM nm),
+t2 AS (SELECT row, col, max(CASE WHEN n = 1 THEN b END) AS w, max(CASE WHEN n = 1 THEN k END) + 1 AS wi, max(CASE WHEN n = 2 THEN b END) AS s, max(CASE WHEN n = 2 THEN k END) + 1 AS si FROM rn GROUP BY 1, 2)"""
+
+
+@part.add("object_confusion_blend", "px_levels px_segments", f"WITH {_OBJ} SELECT row, col, CAST(wi AS INT) AS lulc, CAST(round_even(w * 100, 0) AS INT) AS conf, CAST(round_even(s / w * 100, 0) AS INT) AS ci, CAST(si AS INT) AS runner_up, CAST(s / w <= 0.65 AS INT) AS is_stable FROM t2")
+def _(levels: DataFrame, segs: DataFrame) -> DataFrame:
+    return fusion.fuse_by_object(_p(levels).join(segs, ["row", "col"]), bands=N)
+
+
 _RULES = [fusion.MaskRule((1, 2, 3), 16, "corridor", 1, "settlement", 1), fusion.MaskRule((16, 7), 8, "settlement", 1)]
 _R1 = "CASE WHEN {c} IN (1, 2, 3) AND corridor = 1 AND settlement <> 1 THEN 16 ELSE {c} END"
 _R2 = "CASE WHEN {c} IN (16, 7) AND settlement = 1 THEN 8 ELSE {c} END"

@@ -39,6 +39,7 @@ FIXTURES: dict[str, tuple[str, list[str]]] = {
     "px_scenes": ("events", ["user_id AS pixel", "ts", "event_type AS band", "value", "event_id AS ord"]),
     "ts_segments": ("orders", ["o_custkey AS pixel", f"round({_FRAC}, 6) AS tStart", f"round({_FRAC} + 0.5, 6) AS tEnd", f"CASE WHEN o_orderkey % 3 = 0 THEN round({_FRAC} + 0.25, 6) END AS tBreak"]),
     "qa_pixels": ("lineitem", ["l_orderkey", "CAST(l_partkey % 64 AS INT) AS qa", "CAST(l_suppkey AS INT) + 8000 AS dn"]),
+    "qa_scenes": ("lineitem", ["l_shipdate AS ts", "l_orderkey AS pixel", "CAST(l_suppkey % 50 AS DOUBLE) AS cloud_cover", "CAST(l_partkey % 64 AS INT) AS qa", "CAST(l_suppkey AS INT) + 8000 AS b1", "CAST(l_partkey % 9000 AS INT) + 8000 AS b2"]),
     "scene_list": ("orders", ["o_orderkey AS item_id", "o_orderdate AS ts", "CAST(o_custkey % 100 AS DOUBLE) AS cloud_cover", "CAST(o_orderkey % 100 AS DOUBLE) AS xmin", "CAST(o_orderkey % 100 + 1 AS DOUBLE) AS xmax", "CAST(o_orderkey % 37 AS DOUBLE) AS ymin", "CAST(o_orderkey % 37 + 1 AS DOUBLE) AS ymax"]),
 }
 
