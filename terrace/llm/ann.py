@@ -183,30 +183,28 @@ def search(
 
     def read(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asking):
-            return pd.DataFrame({"asking": [], "cls": [], "key": [], "score": []})
+            return pd.DataFrame({"asking": pd.Series([], dtype=object), "cls": pd.Series([], dtype="int64"), "key": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
         x = np.array(own["x"].tolist())
         cls, key, who = own["cls"].to_numpy(), own["key"].to_numpy(), asking["asking"].to_numpy()
         out = []
         for a in range(0, len(asking), 512):
-            s = np.array(asking["x"].iloc[a : a + 512].tolist()) @ x.T
+            q = np.array(asking["x"].iloc[a : a + 512].tolist())
+            s = q @ x.T
             r = np.repeat(np.arange(len(s)), len(x))
             c = np.tile(np.arange(len(x)), len(s))
             if len(x) > k + 1:
                 edge = -np.partition(-s, k, 1)[:, k]
                 r, c = np.nonzero(s >= edge[:, None] - 1e-9)
-            order = np.lexsort((cls[c], -s[r, c], r))
-            r, c = r[order], c[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c = r[place <= k], c[place <= k]
-            out.append(pd.DataFrame({"asking": who[a + r], "cls": cls[c], "key": key[c], "score": s[r, c]}))
+            exact = (q[r] * x[c]).sum(1)  # in one order, whatever the block was
+            order = np.lexsort((cls[c], -exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            near = np.arange(len(r)) - np.searchsorted(r, r) <= k
+            out.append(pd.DataFrame({"asking": who[a + r[near]], "cls": cls[c[near]], "key": key[c[near]], "score": exact[near]}))
         return pd.concat(out)
 
     found = blocks.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInPandas(read, "asking string, cls long, key string, score double")
     best = Window.partitionBy("asking").orderBy(F.desc("score"), "cls")
-    classes_found = found.select("asking", "cls", "key").distinct().join(classes.select(F.col("key").alias("asking"), F.col("x").alias("qx")), "asking").join(classes.select("key", "x"), "key")
-    # The exact measure, summed in one order whatever the block was.
-    exact = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
-    classes_found = classes_found.select("asking", "cls", "key", exact.alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+    classes_found = found.groupBy("asking", "cls", "key").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     hits = materialize(classes_found, "hits")
     each = slim.where("is_query").select(F.col("id").alias("query_id"), F.col("key").alias("asking")).join(hits, "asking").join(members, "key").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id"))
