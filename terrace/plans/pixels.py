@@ -27,11 +27,11 @@ tt AS (SELECT row, col, max(CASE WHEN n = 1 THEN b END) AS w, max(CASE WHEN n =
 ci AS (SELECT *, CASE WHEN w > 1e-4 THEN greatest(0, least(1, s / w)) ELSE 0 END AS ci FROM tt)"""
 
 
-@part.add("segment_mean_probs", "px_levels px_segments", f"WITH {_MEANS} SELECT seg, CAST(k AS INT) AS k, round_even(o, 6) AS mean FROM sm")
+@part.add("segment_mean_probs", "px_levels px_segments", f"WITH {_MEANS} SELECT seg, CAST(k AS INT) AS k, round_even(o, 8) AS mean FROM sm")
 def _(levels: DataFrame, segs: DataFrame) -> DataFrame:
     own = _p(levels).join(segs, ["row", "col"]).withColumn("p", F.transform("p", lambda x: x / 10000.0))
     done = fusion.segment_means(own, bands=N)
-    return done.select("seg", F.posexplode("mean").alias("k", "m")).select("seg", "k", F.bround("m", 6).alias("mean"))
+    return done.select("seg", F.posexplode("mean").alias("k", "m")).select("seg", "k", F.bround("m", 8).alias("mean"))
 
 
 @part.add("hybrid_blend_top2", "px_levels px_segments", f"WITH {_FUSE} SELECT row, col, CAST(wi AS INT) AS wi, CAST(si AS INT) AS si, round_even(w, 6) AS w, round_even(s, 6) AS s FROM tt")
@@ -58,10 +58,11 @@ _R1 = "CASE WHEN {c} IN (1, 2, 3) AND corridor = 1 AND settlement <> 1 THEN 16 E
 _R2 = "CASE WHEN {c} IN (16, 7) AND settlement = 1 THEN 8 ELSE {c} END"
 
 
-@part.add("confusion_index_stability", "px_levels px_segments px_masks", f"WITH {_FUSE}, r1 AS (SELECT row, col, ci, settlement, {_R1.format(c='wi')} AS c FROM ci JOIN px_masks USING (row, col)) SELECT row, col, CAST({_R2.format(c='c')} AS INT) AS lulc, CAST(ci <= 0.65 AS INT) AS is_stable, round_even(ci, 6) AS ci FROM r1")
+@part.add("confusion_index_stability", "px_levels px_segments px_masks", f"WITH {_FUSE}, r1 AS (SELECT row, col, ci, settlement, {_R1.format(c='wi')} AS c FROM ci JOIN px_masks USING (row, col)) SELECT row, col, CAST({_R2.format(c='c')} AS INT) AS lulc, CAST(ci <= 0.65 AS INT) AS is_stable, round_even(ci * 0.9973::DOUBLE, 6) AS ci_scaled FROM r1")
 def _(levels: DataFrame, segs: DataFrame, masks: DataFrame) -> DataFrame:
     own = _p(levels).join(segs, ["row", "col"]).join(masks, ["row", "col"])
-    return fusion.fuse(own, bands=N, rules=_RULES).withColumn("ci", F.bround("ci", 6))
+    # The factor keeps ratios of small whole numbers off the ties of rounding.
+    return fusion.fuse(own, bands=N, rules=_RULES).select("row", "col", "lulc", "is_stable", F.bround(F.col("ci") * 0.9973, 6).alias("ci_scaled"))
 
 
 @part.add("false_hydrology_refine", "px_epochs px_dem", "SELECT row, col, CASE WHEN c = 18 THEN 17 ELSE c END AS cls FROM (SELECT row, col, CASE WHEN e0 IN (17, 18) AND e1 IN (15, 16) AND z / 997.0::DOUBLE > 0.65 THEN e1 ELSE e0 END AS c FROM px_epochs JOIN px_dem USING (row, col))")
