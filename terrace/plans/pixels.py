@@ -58,9 +58,9 @@ _R1 = "CASE WHEN {c} IN (1, 2, 3) AND corridor = 1 AND settlement <> 1 THEN 16 E
 _R2 = "CASE WHEN {c} IN (16, 7) AND settlement = 1 THEN 8 ELSE {c} END"
 
 
-@part.add("confusion_index_stability", "px_levels px_segments px_masks", f"WITH {_FUSE}, r1 AS (SELECT row, col, ci, settlement, {_R1.format(c='wi')} AS c FROM ci JOIN px_masks USING (row, col)) SELECT row, col, CAST({_R2.format(c='c')} AS INT) AS lulc, CAST(ci <= 0.65 AS INT) AS is_stable, round_even(ci * 0.9973::DOUBLE, 6) AS ci_scaled FROM r1")
+@part.add("confusion_index_stability", "px_levels px_segments px_masks", f"WITH {_FUSE}, r1 AS (SELECT row, col, ci, settlement, {_R1.format(c='wi')} AS c FROM ci LEFT JOIN px_masks USING (row, col)) SELECT row, col, CAST({_R2.format(c='c')} AS INT) AS lulc, CAST(ci <= 0.65 AS INT) AS is_stable, round_even(ci * 0.9973::DOUBLE, 6) AS ci_scaled FROM r1")
 def _(levels: DataFrame, segs: DataFrame, masks: DataFrame) -> DataFrame:
-    own = _p(levels).join(segs, ["row", "col"]).join(masks, ["row", "col"])
+    own = _p(levels).join(segs, ["row", "col"]).join(masks, ["row", "col"], "left")
     # The factor keeps ratios of small whole numbers off the ties of rounding.
     return fusion.fuse(own, bands=N, rules=_RULES).select("row", "col", "lulc", "is_stable", F.bround(F.col("ci") * 0.9973, 6).alias("ci_scaled"))
 
