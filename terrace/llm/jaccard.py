@@ -33,7 +33,9 @@ from terrace.operators.graph import components
 from terrace.scratch import materialize
 
 #: Shingles of a region that one task joins; documents chosen as pivots to split a larger one.
-REGION_SHINGLES, PIVOTS = 2_000_000, 16
+REGION_SHINGLES, PIVOTS = 1_000_000, 16
+#: Shingles of a large region whose distances to its pivots one task takes.
+SLICE_SHINGLES = 100_000
 #: Rows (of some 16 bytes) that are broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Sizes of sets that share a division into parts differ by this ratio at most.
@@ -52,8 +54,10 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted 64-bit hashes of its distinct shingles, A-Z lower-cased, words between ASCII white space."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     code = pc.dictionary_encode(parts.flatten())
-    word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in code.dictionary.to_pylist()), np.uint64, len(code.dictionary))
-    blank = np.fromiter((not w for w in code.dictionary.to_pylist()), bool, len(code.dictionary))
+    names = code.dictionary.to_pylist()
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    blank = np.fromiter((not w for w in names), bool, len(names))
+    del names
     at = code.indices.to_numpy()
     keep = ~blank[at] if len(at) else np.zeros(0, bool)
     offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
@@ -96,8 +100,11 @@ class Parts:
             own -= 1
         return out
 
-    def signatures(self, own: np.ndarray) -> np.ndarray:
-        """Of a set: a hash for each part of each group. Empty parts are left out if others are sure to agree too."""
+    def signatures(self, own: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """Of a set, for each group: (group, how many of its signatures a linked set of the group shares at least, a hash for each part).
+
+        Parts that are empty are left out if at least one that isn't is sure to be shared.
+        """
         out = []
         mixed = _mix(own + _MIX)
         for group, parts, differ in self.groups(len(own)):
@@ -106,14 +113,15 @@ class Parts:
             full, first = np.unique(part[order], return_index=True)
             sums = np.add.reduceat(mixed[order], first)
             salt = np.uint64((group * 1_000_003 + 17) * int(_MIX) % 2**64)
-            out.append(_mix(sums + _mix(full.astype(np.uint64) + salt)))
-            if parts - len(full) > parts - differ - 1:
+            hashes, need = _mix(sums + _mix(full.astype(np.uint64) + salt)), len(full) - differ
+            if need < 1:
                 none = np.setdiff1d(np.arange(parts), full).astype(np.uint64)
-                out.append(_mix(_mix(none + salt)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                hashes, need = np.concatenate([hashes, _mix(_mix(none + salt))]), 1
+            out.append((group, need, hashes))
+        return out
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     cuts = np.unique(np.searchsorted(upto, np.arange(0, (upto[-1] if len(upto) else 0) + size, size), "right").clip(0, len(upto)))
     for a, b in zip([0, *cuts], [*cuts, len(upto)], strict=True):
@@ -122,26 +130,32 @@ def _slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator
 
 
 def sketch(docs: DataFrame, width: int, similarity: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """doc, n (size of the set), hi, lo (a digest of the set), parts (signatures)."""
+    """doc, n (size of the set), hi, lo (a digest of the set), groups (signatures)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Parts(similarity)
         for whole in batches:
             for b in _slices(whole, 1):
-                n, hi, lo, parts = [], [], [], []
+                n, hi, lo, groups, needs, parts, many = [], [], [], [], [], [], [0]
                 for own in shingle_sets(b.column(1), width):
                     n.append(len(own))
                     raw = own.tobytes()
                     hi.append(xxhash.xxh3_64_intdigest(raw))
                     lo.append(xxhash.xxh3_64_intdigest(raw, 99))
-                    parts.append(cut.signatures(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
+                    for group, need, hashes in cut.signatures(own) if len(own) else ():
+                        groups.append(group)
+                        needs.append(need)
+                        parts.append(hashes.view(np.int64))
+                    many.append(len(groups))
+                flat = np.concatenate([*parts, np.zeros(0, np.int64)])
+                hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
+                each = pa.StructArray.from_arrays([pa.array(groups, pa.int32()), pa.array(needs, pa.int32()), hashes], ["group", "need", "parts"])
+                lists = pa.ListArray.from_arrays(pa.array(many, pa.int32()), each)
                 columns = [b.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hi, lo)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "hi", "lo", "parts"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "hi", "lo", "groups"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc long, n long, hi long, lo long, parts array<long>")
+    return slim.mapInArrow(run, "doc long, n long, hi long, lo long, groups array<struct<group: int, need: int, parts: array<long>>>")
 
 
 class Sets:
@@ -172,6 +186,16 @@ class Sets:
 def region_links(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction, pivots: int = 6) -> list[tuple[int, int]]:
     """Links that connect all documents of a region that links connect; sets aren't empty."""
     p, q = similarity.numerator, similarity.denominator
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    while len(sets) > 1:  # a linked set has at least the share p / q of its shingles in common with others
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        shared = np.add.reduceat((np.bincount(code)[code] > 1).astype(np.int64), np.cumsum(sizes) - sizes)
+        keep = q * shared >= p * sizes
+        if keep.all():
+            break
+        ids, sizes, sets = ids[keep], sizes[keep], [x for x, k in zip(sets, keep, strict=True) if k]
+    if len(sets) < 2:
+        return []
     n, out = len(ids), []
     own = Sets(sets)
     far = np.full(n, np.inf)
@@ -200,29 +224,37 @@ def region_links(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction,
     return out
 
 
-def _split(regions: DataFrame, similarity: Fraction, weights: DataFrame) -> DataFrame:
-    """region, doc, shingles of large regions, dealt to smaller ones: Voronoi regions with windows of twice the bound."""
+def _assign(regions: DataFrame, similarity: Fraction, weights: DataFrame) -> DataFrame:
+    """region, doc, child: the Voronoi regions of each document of large regions, with windows of twice the bound. Regions are dealt out in slices."""
     window = 2 * float(1 - similarity) + 1e-9
 
     def deal(docs: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         if not len(docs) or not len(chosen):
-            return pd.DataFrame({"region": [], "doc": [], "shingles": []})
+            return pd.DataFrame({"region": pd.Series([], dtype=object), "doc": pd.Series([], dtype="int64"), "child": pd.Series([], dtype=object)})
         chosen = chosen.sort_values("nr")
         sets = Sets([np.asarray(x, np.int64) for x in [*chosen["pivot"], *docs["shingles"]]])
         many = len(chosen)
         d = np.stack([sets.distances(k)[many:] for k in range(many)], 1)
         r, j = np.nonzero(d <= d.min(1, keepdims=True) + window)
         region = docs["region"].to_numpy()
-        return pd.DataFrame({"region": [f"{region[a]}.{b}" for a, b in zip(r, j, strict=True)], "doc": docs["doc"].to_numpy()[r], "shingles": docs["shingles"].to_numpy()[r]})
+        return pd.DataFrame({"region": region[r], "doc": docs["doc"].to_numpy()[r], "child": [f"{region[a]}.{b}" for a, b in zip(r, j, strict=True)]})
 
-    parts = F.ceil(F.col("weight") / REGION_SHINGLES).cast("int")
+    parts = F.ceil(F.col("weight") / SLICE_SHINGLES).cast("int")
     w = regions.join(weights.select("region", parts.alias("many")), "region")
     order = Window.partitionBy("region").orderBy(F.xxhash64("doc"), "doc")
     chosen = regions.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= PIVOTS).select("region", "nr", F.col("shingles").alias("pivot"))
     chosen = chosen.join(weights.select("region", parts.alias("many")), "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).drop("many")
     w = w.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("many")).cast("int")).drop("many")
     chosen = chosen.select(F.col("region").alias("at"), F.col("part").alias("piece"), "nr", "pivot")
-    return w.groupBy("region", "part").cogroup(chosen.groupBy("at", "piece")).applyInPandas(deal, "region string, doc long, shingles array<long>")
+    return w.groupBy("region", "part").cogroup(chosen.groupBy("at", "piece")).applyInPandas(deal, "region string, doc long, child string")
+
+
+def _prune(regions: DataFrame, similarity: Fraction) -> DataFrame:
+    """Documents with so many shingles in common with others of their region as a link takes."""
+    each = regions.select("region", "doc", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    seen = each.groupBy("region", "shingle").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("region", "shingle")
+    held = each.join(seen, ["region", "shingle"], "left_semi").groupBy("region", "doc", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return regions.join(held.where(f"{similarity.denominator} * shared >= {similarity.numerator} * n").select("region", "doc"), ["region", "doc"], "left_semi")
 
 
 def _blocks(regions: DataFrame, weights: DataFrame) -> DataFrame:
@@ -236,23 +268,25 @@ def _blocks(regions: DataFrame, weights: DataFrame) -> DataFrame:
 
 def _small_regions(regions: DataFrame, similarity: Fraction, depth: int = 8) -> list[DataFrame]:
     """Tables of regions that fit a task, which hold between them every two linked documents of each region."""
-    done, parent = [], None
-    for level in range(depth):
+    done: list[DataFrame] = []
+    for level in range(-1, depth):
         weights = materialize(regions.groupBy("region").agg(F.sum(F.size("shingles")).alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
         large = weights.where((F.col("weight") > REGION_SHINGLES) & (F.col("docs") > 2))
         if large.isEmpty():
             return [*done, regions]
         done.append(regions.join(large.select("region"), "region", "left_anti"))
-        stuck = large.limit(0)
-        if parent is not None:
-            above = large.withColumn("up", F.regexp_replace("region", r"\.[0-9]+$", "")).join(parent.select(F.col("region").alias("up"), F.col("docs").alias("before")), "up")
-            stuck = materialize(above.where(F.col("docs") > 0.8 * F.col("before")).select("region", "weight", "docs"), "stuck")
-        if level == depth - 1:
-            stuck = large
-        done.append(_blocks(regions.join(stuck.select("region"), "region"), stuck))
-        open_ = materialize(large.join(stuck.select("region"), "region", "left_anti"), "open")
-        regions = materialize(_split(regions.join(open_.select("region"), "region"), similarity, open_), f"regions-{level}")
-        parent = open_
+        big = regions.join(large.select("region"), "region", "left_semi")
+        if level < 0:
+            regions = materialize(_prune(big, similarity), "pruned")
+            continue
+        assigned = materialize(_assign(big, similarity, large), f"assigned-{level}")
+        most = assigned.groupBy("region", "child").count().groupBy("region").agg(F.max("count").alias("most"))
+        # Where the windows put most documents into one region, pivots are no help: blocks of it are joined instead.
+        stuck = large.join(most, "region").where(F.lit(level == depth - 1) | (F.col("most") > 0.8 * F.col("docs"))).select("region", "weight", "docs")
+        stuck = materialize(stuck, "stuck")
+        done.append(_blocks(big.join(stuck.select("region"), "region", "left_semi"), stuck))
+        apart = assigned.join(stuck.select("region"), "region", "left_anti").join(big, ["region", "doc"])
+        regions = materialize(apart.select(F.col("child").alias("region"), "doc", "shingles"), f"regions-{level}")
     return done
 
 
@@ -282,6 +316,22 @@ def _join_regions(regions: DataFrame, similarity: Fraction) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _meetings(parts: DataFrame, rounds: int = 2) -> DataFrame:
+    """doc, least (the smallest doc that shares a part): of documents that share as many parts with others as a link takes.
+
+    A linked set shares at least `need` parts of a group with its partner. So a document with fewer parts that anyone shares has no partner
+    in that group, and what only met such documents meets nobody: that is looked for `rounds` times.
+    """
+    at = Window.partitionBy("part")
+    met = parts.withColumn("least", F.min("doc").over(at)).withColumn("most", F.max("doc").over(at)).where("least <> most").drop("least", "most")
+    for _ in range(rounds):
+        met = materialize(met, "met")
+        enough = met.groupBy("doc", "group").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least_n")).where("n >= least_n").select("doc", "group")
+        met = met.join(enough, ["doc", "group"], "left_semi").withColumn("least", F.min("doc").over(at)).withColumn("most", F.max("doc").over(at)).where("least <> most").drop("most")
+        kept, met = met, met.drop("least")
+    return kept.where("doc <> least").select("doc", "least")
+
+
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -300,8 +350,7 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, similarity: Fraction = Fr
     repeated = materialize(classes.where("rep < last").drop("last"), "repeated")
     repeated = _maybe_broadcast(repeated)
     member = rows.join(repeated, sets, "left").withColumn("rep", F.coalesce("rep", "doc"))
-    first = member.where("n > 0 and doc = rep").select("doc", F.explode("parts").alias("part"))
-    meet = first.withColumn("least", F.min("doc").over(Window.partitionBy("part"))).where("doc <> least")
+    meet = _meetings(member.where("n > 0 and doc = rep").select("doc", F.explode("groups").alias("g")).select("doc", "g.group", "g.need", F.explode("g.parts").alias("part")))
     families = components(meet.select(F.col("doc").alias("u"), F.col("least").alias("v")))
     families = materialize(families.unionByName(families.select(F.col("root").alias("node"), "root").distinct()), "families")
 
