@@ -5,7 +5,9 @@ class, which keeps its smallest ids (as many as a result can need, so nothing is
 they and a graph over them are small and go to every task. A vector joins the list of its nearest centroid and, near a
 boundary, further ones; lists that are too large are dealt out in blocks. A query walks the graph for its nearest
 centroids and takes the lists whose distance is within a ratio of the nearest. Lists are read against their queries in
-blocks, in double precision; of each block only the nearest leave.
+blocks, in double precision; of each block only the nearest leave. Then each query reads every further list that can hold
+a vector as near as the last one it found (a list's vectors are at most its radius from its centroid), so results are those of
+a full search: lists far away cost nothing if vectors are in clusters, and all lists are read if they are not.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ class Plan:
     max_lists: int = 16_384  # centroids, and so the size of what every task holds
     copies: int = 3  # lists that a vector may be in
     near: float = 1.12  # ratio of distances within which a vector is copied to another list
-    probe: int = 48  # lists that a query may read
+    probe: int = 48  # lists that a query may read before it knows how near its hits are
     prune: float = 1.7  # ratio of distances within which a query reads a list
     degree: int = 24  # neighbours of a centroid in the graph
     beam: int = 96  # centroids that a walk over the graph keeps
     block: int = 4_000  # vectors of a list that one task reads at once
+    unit: int = 32_000  # vectors of several lists that one task reads at once, and queries, when further lists are read
 
 
 @dataclass
@@ -153,7 +156,7 @@ def search(
     asked = slim.where("is_query").select("key").distinct().withColumn("asked", F.lit(True))
     classes = rows.join(leaders, "key").where("id = cls").dropDuplicates(["key"]).join(asked, "key", "left")
     classes = materialize(classes.select("cls", "key", "x", F.coalesce("asked", F.lit(False)).alias("asked"), F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)).alias("norm")), "classes")
-    count, top = classes.agg(F.count(F.lit(1)), F.max("norm")).first()
+    count, top, askers = classes.agg(F.count(F.lit(1)), F.max("norm"), F.count_if("asked")).first()
 
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(plan.sample).select("x").toPandas()
     base = _lift(np.array(sample["x"].tolist()), top, False)
@@ -166,7 +169,7 @@ def search(
                 c, d = shared.value.nearest(_lift(np.array(b["x"].tolist()), top, False), min(plan.copies, lists))
                 keep = d <= np.maximum(d[:, :1] * plan.near, 1e-12)
                 r, j = np.nonzero(keep)
-                yield pd.DataFrame({"list": c[r, j], "cls": b["cls"].to_numpy()[r], "key": b["key"].to_numpy()[r], "x": b["x"].to_numpy()[r]})
+                yield pd.DataFrame({"list": c[r, j], "cls": b["cls"].to_numpy()[r], "key": b["key"].to_numpy()[r], "x": b["x"].to_numpy()[r], "home": j == 0, "away": d[r, j]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,9 +178,9 @@ def search(
                 r, j = np.nonzero(d <= np.maximum(d[:, :1] * plan.prune, 1e-12))
                 yield pd.DataFrame({"list": c[r, j], "asking": b["key"].to_numpy()[r], "x": b["x"].to_numpy()[r]})
 
-    posted = materialize(classes.select("cls", "key", "x").mapInPandas(post, "list long, cls long, key string, x array<double>"), "postings")
+    posted = materialize(classes.select("cls", "key", "x").mapInPandas(post, "list long, cls long, key string, x array<double>, home boolean, away double"), "postings")
     sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / plan.block).cast("int").alias("blocks"))  # a row for each centroid
-    blocks = posted.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    blocks = posted.drop("home", "away").join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
     queries = classes.where("asked").select("key", "x").mapInPandas(ask, "list long, asking string, x array<double>")
     queries = queries.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
@@ -204,8 +207,66 @@ def search(
 
     found = blocks.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInPandas(read, "asking string, cls long, key string, score double")
     best = Window.partitionBy("asking").orderBy(F.desc("score"), "cls")
-    classes_found = found.groupBy("asking", "cls", "key").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    hits = materialize(classes_found, "hits")
+    few = lambda df: df.groupBy("asking", "cls", "key").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    first = materialize(few(found), "hits-first")
+
+    # Every further list whose nearest possible vector is as near as a query's last hit; all lists for queries that have too few hits.
+    radius = np.full(lists, -np.inf)
+    for r in posted.where("home").groupBy("list").agg(F.max("away").alias("away")).collect():  # a row for each centroid
+        radius[r["list"]] = r["away"]
+    reach = spark.sparkContext.broadcast(radius)
+    units, parts = min(lists, max(16, math.ceil(count / plan.unit))), max(1, math.ceil(askers / plan.unit))
+
+    def ask_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points = shared.value.points
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                b = whole.iloc[a : a + 256]
+                q = _lift(np.array(b["x"].tolist()), top, True)
+                own = (q**2).sum(1)
+                d = np.sqrt(np.maximum((points**2).sum(1) - 2 * q @ points.T + own[:, None], 0))
+                last = np.sqrt(np.maximum(top**2 + own - 2 * b["least"].to_numpy(), 0))
+                want = d - reach.value <= (last + 1e-6 * (top + np.sqrt(own)))[:, None]
+                out = [(u, np.nonzero(w)[0] * units + u, k) for u in range(units) for k, w in enumerate(want[:, u::units]) if w.any()]
+                at = [k for _, _, k in out]
+                yield pd.DataFrame({"unit": [u for u, _, _ in out], "lists": [w for _, w, _ in out], "asking": b["asking"].to_numpy()[at], "x": b["x"].to_numpy()[at], "least": b["least"].to_numpy()[at]})
+
+    def read_on(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"asking": pd.Series([], dtype=object), "cls": pd.Series([], dtype="int64"), "key": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})]
+        if not len(own) or not len(asking):
+            return out[0]
+        asking = asking.assign(_first=[w[0] for w in asking["lists"]]).sort_values(["_first", "asking"])
+        everything, lists_of, all_cls, all_key = np.array(own["x"].tolist()), own["list"].to_numpy(), own["cls"].to_numpy(), own["key"].to_numpy()
+        for a in range(0, len(asking), 128):
+            b = asking.iloc[a : a + 128]
+            use = np.nonzero(np.isin(lists_of, np.unique(np.concatenate(b["lists"].tolist()))))[0]
+            if not len(use):
+                continue
+            x, cls, key = everything[use], all_cls[use], all_key[use]
+            q, who, least = np.array(b["x"].tolist()), b["asking"].to_numpy(), b["least"].to_numpy()
+            s = q @ x.T
+            edge = least.copy()
+            short = np.isneginf(least)
+            if short.any() and len(x) > k + 1:
+                edge[short] = -np.partition(-s[short], k, 1)[:, k]
+            r, c = np.nonzero(s >= (edge - 1e-9 * np.maximum(1, top * np.sqrt((q**2).sum(1))))[:, None])
+            exact = (q[r] * x[c]).sum(1)  # as above
+            order = np.lexsort((cls[c], -exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            near = np.arange(len(r)) - np.searchsorted(r, r) <= k
+            out.append(pd.DataFrame({"asking": who[r[near]], "cls": cls[c[near]], "key": key[c[near]], "score": exact[near]}))
+        return pd.concat(out[1:] or out)
+
+    known = first.where(F.col("n") == k + 1).select("asking", F.col("score").alias("least"))
+    on = classes.where("asked").select(F.col("key").alias("asking"), "x").join(known, "asking", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    home = posted.where("home").select("list", "cls", "key", "x", (F.col("list") % units).alias("unit"))
+    large = F.broadcast(home.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / (2 * plan.unit)).cast("int").alias("blocks")))  # a row for each unit
+    home = home.join(large, "unit").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).drop("blocks")
+    on = on.mapInPandas(ask_on, "unit long, lists array<long>, asking string, x array<double>, least double").join(large, "unit")
+    on = on.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("asking"), F.lit(parts)).cast("int")).drop("blocks")
+    deal = ["unit", "block", "part"]
+    more = home.groupBy(*deal).cogroup(on.groupBy(*deal)).applyInPandas(read_on, "asking string, cls long, key string, score double")
+    hits = materialize(few(first.drop("n").unionByName(more)).drop("n"), "hits")
     each = slim.where("is_query").select(F.col("id").alias("query_id"), F.col("key").alias("asking")).join(hits, "asking").join(members, "key").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id"))
     ranked = each.select("query_id", F.col("id").alias("vec_id"), "score").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))

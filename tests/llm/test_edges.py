@@ -94,6 +94,17 @@ def test_lists_in_blocks_and_graph(spark):
     assert len(hit) == 30 and np.mean(hit) >= 0.9
 
 
+def test_search_is_whole_beyond_the_first_lists(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 100 == 0, k=10, plan=ann.Plan(list_size=16, unit=500)).toPandas()  # 250 lists, 48 read at first
+    for q, own in got.groupby("query_id"):
+        assert list(own.sort_values("rank")["vec_id"]) == [j for j in np.argsort(-(x @ x[q]), kind="stable") if j != q][:10]
+    assert got["query_id"].nunique() == 40
+
+
 # 4 packing
 def test_best_fit_runs():
     rng = random.Random(1)
