@@ -85,7 +85,8 @@ COARSE = GridSpec(20, 25, 10.0, 0.0, 500000.0, 0.0, -10.0, 9000000.0, 32751)
 
 
 def _target(bands: DataFrame) -> DataFrame:
-    return bands.sparkSession.range(2000).select((F.col("id") / 50).cast("long").alias("row"), (F.col("id") % 50).alias("col"))
+    fine = F.explode(F.array(*[F.struct((F.col("row") * 2 + i).alias("row"), (F.col("col") * 2 + j).alias("col")) for i in (0, 1) for j in (0, 1)]))
+    return bands.select(fine.alias("_f")).select("_f.row", "_f.col")
 
 
 @part.add("resample_nearest", "px_bands", "WITH t AS (SELECT range // 50 AS row, range % 50 AS col FROM range(2000)) SELECT t.row, t.col, b.nir FROM t LEFT JOIN px_bands b ON b.row = t.row // 2 AND b.col = t.col // 2")
