@@ -30,3 +30,9 @@ def test_resample_bilinear_whole(spark):
         near = [(i, j, (1 - abs(y - i)) * (1 - abs(x - j))) for i in (int(np.floor(y)), int(np.floor(y)) + 1) for j in (int(np.floor(x)), int(np.floor(x)) + 1)]
         near = [(nir[i, j], w) for i, j, w in near if 0 <= i < len(nir) and 0 <= j < 25]
         assert r.nir == pytest.approx(sum(v * w for v, w in near) / sum(w for _, w in near), abs=2e-5)
+
+
+def test_one_vs_rest_whole(spark):
+    got = catalog.QUERIES["rf_one_vs_rest"](spark, SF.replace("sf0.1", "sf0.001")).toPandas()
+    assert len(got) == 500 and {len(s) for s in got["scores"]} == {10} and set(got["cls"]) > {0, 1, 2}
+    assert all(s[c] == max(s) == f for s, c, f in zip(got["scores"], got["cls"], got["confidence"]))
