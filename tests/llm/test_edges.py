@@ -105,6 +105,17 @@ def test_search_is_whole_beyond_the_first_lists(spark):
     assert got["query_id"].nunique() == 40
 
 
+def test_search_fills_up_beyond_a_tight_cluster(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], 8, 0) + rng.normal(size=(320, 8)) * 1e-4
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, plan=ann.Plan(list_size=8)).toPandas()
+    assert len(got) == 16 * 20
+    for q, own in got.groupby("query_id"):
+        assert list(own.sort_values("rank")["vec_id"]) == [j for j in np.argsort(-(x @ x[q]), kind="stable") if j != q][:20]
+
+
 # 4 packing
 def test_best_fit_runs():
     rng = random.Random(1)
