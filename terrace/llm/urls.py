@@ -1,7 +1,7 @@
 """URL filter: rules first, then a tree of path templates with smoothed labelled purity.
 
 A url is a host and path segments. Level by level, for each node of a host's tree, a segment stays a branch of its own if it
-is frequent there; digits, hex and other variable segments fall into a wildcard of their kind. Branches of a node whose shares of
+is frequent there or has enough labelled pages; digits, hex and other variable segments fall into a wildcard of their kind. Branches of a node whose shares of
 bad labels don't differ significantly are merged. Nodes carry counts of labelled pages, good and bad; a node's purity is its share of
 bad pages, smoothed towards that of its parent (host, then all hosts). A page is rejected if the purity of its
 deepest node is at least a threshold. Labels are what the rules say, or a given table.
@@ -9,9 +9,10 @@ deepest node is at least a threshold. Labels are what the rules say, or a given
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.llm.ranges import ranged_sums
 from terrace.scratch import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,8 +20,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The rules of the contract (host, path, whether it allows).
 RULES = (("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False), ("com", "/fr/", True), ("com", "/de/", False))
 
-#: A segment stays a branch if it has this share of its node's pages and so many of them; so a node has at most 1 / SHARE of them.
+#: A segment stays a branch if it has this share of its node's pages and so many of them, or so many labelled pages, however large the node is.
 SHARE, SUPPORT = 0.02, 20
+#: Names that the text of merged branches has; of more it has the first by rate and how many there are.
+NAMES = 64
 #: Levels of the tree; deeper segments count as one.
 LEVELS = 6
 #: Two branches merge if the z statistic of their shares of bad labels is below this; pages that a parent's purity counts for.
@@ -75,25 +78,28 @@ def template_tree(pages: DataFrame, *, level: int = LEVELS) -> tuple[DataFrame,
         seg = F.coalesce(F.get("_seg", F.lit(k)), stop)
         here = paths.withColumn("_s", seg)
         by = here.groupBy("node", "_s").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        at = Window.partitionBy("node")
         by = by.join(known.select("node", F.col("pages").alias("_all"), F.col("purity").alias("_above")), "node")
-        own = (F.col("_s") == stop) | ((F.col("pages") >= F.greatest(F.lit(SUPPORT), F.col("_all") * SHARE)) & ~F.col("_s").rlike("^[0-9]"))
+        enough = (F.col("pages") >= F.greatest(F.lit(SUPPORT), F.col("_all") * SHARE)) | (F.col("labelled") >= SUPPORT)
+        own = (F.col("_s") == stop) | (enough & ~F.col("_s").rlike("^[0-9]"))
         by = by.withColumn("_branch", F.when(own, F.col("_s")).otherwise(_kind(F.col("_s"))))
-        # At most 1 / SHARE branches and the few wildcards for each node from here on.
         branch = by.groupBy("node", "_branch", "_all", "_above").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         branch = branch.withColumn("_rate", (F.col("bad") + PRIOR * F.col("_above")) / (F.col("labelled") + PRIOR))
-        line = at.orderBy("_rate", "_branch")
-        apart = F.abs(F.col("_rate") - F.lag("_rate").over(line)) / F.sqrt(
-            F.greatest(F.col("_rate") * (1 - F.col("_rate")), F.lit(0.01)) / (F.col("labelled") + PRIOR)
-            + F.greatest(F.lag("_rate").over(line) * (1 - F.lag("_rate").over(line)), F.lit(0.01)) / (F.lag("labelled").over(line) + PRIOR))
-        branch = branch.withColumn("_new", F.coalesce((apart >= MERGE_Z).cast("int"), F.lit(1)))
-        branch = branch.withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        run = Window.partitionBy("node", "_run")
-        names = F.array_sort(F.collect_set("_branch").over(run))
-        branch = branch.withColumn("_names", names).withColumn("_child", F.when(F.size("_names") > 1, F.concat(F.lit("{"), F.array_join("_names", "|"), F.lit("}"))).otherwise(F.col("_branch")))
-        for c in ("pages", "labelled", "bad"):
-            branch = branch.withColumn(f"_{c}", F.sum(c).over(run))
-        child = F.concat("node", F.lit("/"), "_child").alias("child")
+        # One sweep over all nodes' branches by rate, spread by range: a node may have any number of them.
+        branch = materialize(branch, f"swept-{k}")
+        many = branch.count()
+        line = ranged_sums(branch, ["node", "_rate", "_branch"], [], many, f"line-{k}").withColumnRenamed("row_before", "_at")
+        last = line.select((F.col("_at") + 1).alias("_at"), F.col("node").alias("_last"), F.col("_rate").alias("_last_rate"), F.col("labelled").alias("_last_labelled"))
+        spread = lambda rate, labelled: F.greatest(F.col(rate) * (1 - F.col(rate)), F.lit(0.01)) / (F.col(labelled) + PRIOR)
+        apart = F.abs(F.col("_rate") - F.col("_last_rate")) / F.sqrt(spread("_rate", "labelled") + spread("_last_rate", "_last_labelled"))
+        line = line.join(last, "_at", "left").withColumn("_new", F.when((F.col("node") == F.col("_last")) & (apart < MERGE_Z), 0).otherwise(1)).drop("_last", "_last_rate", "_last_labelled")
+        line = ranged_sums(line, ["_at"], ["_new"], many, f"runs-{k}").withColumn("_run", F.col("_new_before") + F.col("_new")).drop("_new", "_new_before", "row_before")
+        runs = line.groupBy("_run").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_many"), *[F.sum(c).alias(f"_{c}") for c in ("pages", "labelled", "bad")])
+        line = line.join(runs, "_run")
+        names = line.where(F.col("_at") < F.col("_from") + NAMES).groupBy("_run").agg(F.array_sort(F.collect_set("_branch")).alias("_names"))
+        branch = line.join(names, "_run")
+        more = F.when(F.col("_many") > NAMES, F.concat(F.lit("|+"), F.col("_many") - NAMES)).otherwise("")
+        child = F.when(F.col("_many") > 1, F.concat(F.lit("{"), F.array_join("_names", "|"), more, F.lit("}"))).otherwise(F.col("_branch"))
+        child = F.concat("node", F.lit("/"), child).alias("child")
         branch = materialize(branch.select("node", "_branch", child, "_above", F.col("_pages").alias("pages"), F.col("_labelled").alias("labelled"), F.col("_bad").alias("bad")), f"branches-{k}")
         into = by.select("node", "_s", "_branch").join(branch.select("node", "_branch", "child"), ["node", "_branch"]).select("node", "_s", "child")
         paths = materialize(here.join(into, ["node", "_s"]).drop("_s", "node").withColumnRenamed("child", "node"), f"paths-{k}")

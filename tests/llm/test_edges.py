@@ -68,6 +68,16 @@ def test_url_templates_learn_bad_branches(spark):
     assert all((r.verdict == "block") == bool(r.page_id % 2) for r in got) and all("{n}" in r.template for r in got)
 
 
+def test_url_rare_bad_section_is_a_branch_of_its_own(spark):
+    # 3000 pages: 1.5 % bad and labelled, many clean sections without labels, each below the share of a branch.
+    path = lambda k: f"en/{k}" if k < 1800 else f"fr/{k}" if k < 2600 else f"de/{k}" if k < 2645 else f"part{'abcdefghijklmnopqrst'[k % 20]}/{k}".replace("part", "sec")
+    rows = [(k, f"http://hot.test/{path(k)}") for k in range(3000)]
+    labels = spark.createDataFrame([(k, k >= 2600) for k in range(1800, 2645)], "page_id long, bad boolean")
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=(), labels=labels).collect()
+    assert len(got) == 3000
+    assert all((r.verdict == "block") == (2600 <= r.page_id < 2645) for r in got)
+
+
 # 3 nearest neighbours
 def test_search_equals_brute_force_on_odd_vectors(spark):
     rng = np.random.default_rng(2)
