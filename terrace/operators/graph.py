@@ -5,32 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.scratch import materialize
+from terrace.scratch import drop_path, materialize, new_path, write_to
 
+#: A node with more edges than this (or than a share of all edges, so that such nodes are never more than HUBS) is a hub.
+HUB_EDGES, HUBS = 4096, 250_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """edges with the m of their u. Rows of a hub stay where they are: hubs are broadcast, at most twice HUBS of them."""
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti")
+    return edges.join(hubs, "u").unionByName(rest.join(least.where(F.col("n") <= hub).select("u", "m"), "u"))
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(down, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (u, v: long, not null) but the roots; root is the smallest node reachable.
 
-    Repeated edges, edges both ways and loops are allowed; no edges give no rows. Each round is written to the shared folder.
+    Repeated edges, edges both ways and loops are allowed; no edges give no rows. Each round is written to the shared folder and
+    the one before it deleted. The rounds end when all edges form stars: no node has two edges down, and none that has one is
+    below another.
     """
+    spark = edges.sparkSession
     now = materialize(edges.where("u <> v").select("u", "v").distinct(), "edges")
     before = None
     while True:
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before or not seen[0]:
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
+        nodes = ends.groupBy("x").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+        many, odd = nodes.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()
+        if not odd:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = seen
-        now = materialize(_small_star(_large_star(now)), "stars")
+        hub = max(HUB_EDGES, many // HUBS)
+        path = new_path(spark, "stars")
+        now = write_to(_small_star(_large_star(now, hub), hub), path)
+        if before:
+            drop_path(spark, before)
+        before = path
