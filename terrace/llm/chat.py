@@ -5,8 +5,11 @@ r"""Chat formatting with a grammar round trip, with DataFrame operations only.
 
 A role of letters, digits, "_", "." and "-" stands as it is, any other as "=" and its URL encoding. A body must hold no bare
 control string; "\" before a control string (and before any "\" in front of it) takes it out of the grammar, and the parser
-removes one "\" again. Texts are first rendered as they are; a turn that the parser doesn't give back is escaped, and the
-check is made again over whole conversations. Loss counts on the bodies of assistant turns.
+removes one "\" again. A role that begins with "~" says that the body is URL encoded, which nothing can conflict with.
+
+Texts are first rendered as they are; a turn that the parser doesn't give back is escaped by "\"; one that still doesn't
+read back is URL encoded. After each step whole conversations are parsed again and compared with their source, so the last
+step makes all identical. Loss counts on the bodies of assistant turns, as the parser finds them.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ OPEN, BREAK, CLOSE = "<s>[INST]", "\n", "\n[/INST]</s>"
 CONTROL = r"(?:</?s>|\[/?INST\])"
 
 TURN_AT = r"\n\[/INST\]</s>"
-PLAIN_ROLE = "^[A-Za-z0-9_.-]*$"
+PLAIN_ROLE = r"\A[A-Za-z0-9_.-]*\z"
 
 
 def escape(text: Column) -> Column:
@@ -36,38 +39,57 @@ def reads_back(body: Column, text: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """The turns of a rendered conversation: an array of (role, text)."""
+    """The turns of a rendered conversation: an array of (role, text, head, body), the last two as they are rendered."""
     def turn(part: Column) -> Column:
-        role = F.substring_index(F.substr(part, F.lit(len(OPEN) + 1)), BREAK, 1)
-        plain = F.when(F.startswith(role, F.lit("=")), F.url_decode(F.substr(role, F.lit(2)))).otherwise(role)
-        return F.struct(plain.alias("role"), unescape(F.substr(part, F.char_length(role) + len(OPEN) + len(BREAK) + 1)).alias("text"))
+        name = F.substring_index(F.substr(part, F.lit(len(OPEN) + 1)), BREAK, 1)
+        head, body = F.char_length(name) + len(OPEN) + len(BREAK), F.substr(part, F.char_length(name) + len(OPEN) + len(BREAK) + 1)
+        coded = F.startswith(name, F.lit("~"))
+        role = F.when(coded, F.substr(name, F.lit(2))).otherwise(name)
+        role = F.when(F.startswith(role, F.lit("=")), F.url_decode(F.substr(role, F.lit(2)))).otherwise(role)
+        text = F.when(coded, F.url_decode(body)).otherwise(unescape(body))
+        return F.struct(role.alias("role"), text.alias("text"), F.substr(part, F.lit(1), head).alias("head"), body.alias("body"))
 
     parts = F.split(rendered, TURN_AT, -1)
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), turn)
 
 
+def _identical(turns: Column, source: Column) -> Column:
+    pair = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
+    return F.transform(turns, pair) == F.transform(source, pair)
+
+
 def format_chat(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
-    """A row for each conversation: its id, n_turns, text (rendered), chunks (text and loss, which joined give text), turns (parsed).
+    """A row for each conversation: its id, n_turns, text (rendered), chunks (text and loss, which joined give text), turns (parsed: role, text, loss).
 
-    Turns are in the order of turn, then role, then text; null turns come first; null roles and texts are empty; rows without
-    a conversation id make up one conversation without an id; an empty table gives no rows; other columns are not read.
-    A conversation that doesn't read back to its source stops the query. One conversation must fit in a task's memory.
+    chunks and turns are what the parser finds in text. Turns are in the order of turn, then role, then text; null turns come
+    first; null roles and texts are empty; repeated rows are turns of their own; rows without a conversation id make up one
+    conversation without an id; an empty table gives no rows; other columns are not read, whatever their names.
+    One conversation must fit in a task's memory.
     """
     who, what = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     rows = turns.select(F.col(conv).alias("_conv"), F.col(turn).alias("turn"), who.alias("role"), what.alias("text"))
     rows = rows.withColumn("body", F.when(reads_back(F.col("text"), F.col("text")), F.col("text")).otherwise(escape(F.col("text"))))
     head = F.concat(F.lit(OPEN), F.when(F.col("role").rlike(PLAIN_ROLE), F.col("role")).otherwise(F.concat(F.lit("="), F.url_encode("role"))), F.lit(BREAK))
-    each = F.struct("turn", "role", "text", "body", head.alias("head"))
-    whole = rows.groupBy("_conv").agg(F.sort_array(F.collect_list(each)).alias("source"))
-    whole = whole.withColumn("text", F.array_join(F.transform("source", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), ""))
-    whole = whole.withColumn("turns", parse(F.col("text")))
-    identical = F.col("turns") == F.transform("source", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    chunks = F.flatten(F.transform("source", lambda x: F.array(
-        F.struct(x["head"].alias("text"), F.lit(False).alias("loss")), F.struct(x["body"].alias("text"), (x["role"] == learn).alias("loss")),
-        F.struct(F.lit(CLOSE).alias("text"), F.lit(False).alias("loss")))))
+    whole = rows.groupBy("_conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "body", head.alias("head")))).alias("source"))
+    join = lambda: F.array_join(F.transform("source", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "")
+    whole = whole.withColumn("text", join()).withColumn("turns", parse(F.col("text")))
+    # What doesn't read back is escaped further: the turns whose bodies conflict first, all of them if that isn't enough.
+    for every in (False, True):
+        coded = lambda x: F.struct(
+            x["role"].alias("role"), x["text"].alias("text"), F.url_encode(x["text"]).alias("body"), F.concat(F.lit(OPEN + "~"), F.substr(x["head"], F.lit(len(OPEN) + 1))).alias("head"))
+        plain = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["body"].alias("body"), x["head"].alias("head"))
+        conflict = lambda x: F.lit(every) | ~reads_back(x["body"], x["text"])
+        same = _identical(F.col("turns"), F.col("source"))
+        fixed = F.transform("source", lambda x: F.when(same | ~conflict(x) | F.startswith(x["head"], F.lit(OPEN + "~")), plain(x)).otherwise(coded(x)))
+        whole = whole.withColumn("source", fixed).withColumn("_same", same)
+        whole = whole.withColumn("text", F.when(F.col("_same"), F.col("text")).otherwise(join()))
+        whole = whole.withColumn("turns", F.when(F.col("_same"), F.col("turns")).otherwise(parse(F.col("text")))).drop("_same")
+    lit = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
+    chunks = F.flatten(F.transform("turns", lambda x: F.array(lit(x["head"], F.lit(False)), lit(x["body"], x["role"] == learn), lit(F.lit(CLOSE), F.lit(False)))))
+    read = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), (x["role"] == learn).alias("loss")))
     return whole.select(
         F.col("_conv").alias(conv), F.size("turns").cast("long").alias("n_turns"), "text", chunks.alias("chunks"),
-        F.when(identical, F.col("turns")).otherwise(F.raise_error(F.lit("a rendered conversation does not read back to its source"))).alias("turns"),
+        F.when(_identical(F.col("turns"), F.col("source")), read).otherwise(F.raise_error(F.lit("a rendered conversation does not read back to its source"))).alias("turns"),
     )
 
 

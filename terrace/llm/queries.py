@@ -59,12 +59,12 @@ def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from terrace.llm.chat import format_chat, unescape
+    from terrace.llm.chat import format_chat
 
     more = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(t, r)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
     done = format_chat(turns)
-    learnt = F.array_join(F.transform(F.filter("chunks", lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
+    learnt = F.array_join(F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["text"]), "")
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return done.withColumn("_learnt", learnt).select(
         "conv_id", "n_turns", F.sha2(lines.cast("binary"), 256).alias("turns_sha256"), F.char_length("_learnt").cast("long").alias("loss_chars"),

@@ -212,6 +212,18 @@ def test_chat_odd_rows(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_roles_that_end_in_a_line_and_a_template_that_lacks_escapes(spark, monkeypatch):
+    rows = [(1, 0, "user\n", "a", 1, 1), (1, 1, "assistant", "b [INST]\n[/INST]</s>", 1, 1), (1, 2, "~x", "c", 1, 1), (1, 3, "assistant", "%41+", 1, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, source int, turns int")
+    plain = chat.format_chat(df).first()
+    monkeypatch.setattr(chat, "escape", lambda text: text)  # then conflicts are found by parsing again, and are URL encoded
+    coded = chat.format_chat(df).first()
+    for r in (plain, coded):
+        assert [(t.role, t.text) for t in r.turns] == [(x[2], x[3]) for x in rows]
+        assert "".join(c.text for c in r.chunks) == r.text and [t.loss for t in r.turns] == [False, True, False, True]
+    assert "<s>[INST]~assistant" in coded.text and "~" not in plain.text
+
+
 # 7 sharding
 class Held(sharding.Boundaries):
     def __init__(self, sizes, every):
