@@ -1,22 +1,22 @@
-"""Best-fit packing of tokenized documents into sequences, in bulk-synchronous steps.
-
-Documents are cut into pieces of at most `limit` tokens. Pieces and gaps (the room left in a sequence) are integers from 1 to
-`limit`, so both are kept as runs: so many pieces, or so many sequences, of one size. A step takes the next smaller size of
-pieces, sweeps to the successor gaps (the smallest that hold the size, then larger ones), matches the k-th piece of the size
-with the k-th sequence of the gap's run, and updates the gaps; what finds no gap opens sequences. There are at most `limit`
-steps, and the runs are as many as the sizes, not as the documents, so a step is a sweep over a table of bounded size. The
-pieces themselves never leave the executors: a sort by range ranks the pieces of each size, and a piece looks up its
-sequence and place by size and rank.
+"""Best-fit packing of tokenized documents into sequences, in bulk-synchronous rounds.
+
+Documents are cut into pieces of at most `limit` tokens. Pieces over half of it open a sequence each; the others go by
+classes of size, the larger first. In a round the class's unplaced pieces and all gaps (the room left in a sequence) are
+sorted by range, largest first, gaps before pieces of their size. Each range is swept by itself, in one task: from the largest
+down a piece takes its successor, the smallest gap that holds it. Gaps that a range leaves are a stack for the ranges after
+it, the smallest on top, whose pieces use it up from the top; the stacks are put together from one row for each range, so
+where a piece looks is a running sum, and it is joined with the gap that lies there. Pieces of higher rank (larger, then by
+hash) come first; one that finds only the rest of a gap and the beginning of another has lost its place and tries again in the
+next round, with the gaps as they are then and before the next class. Where tokens are more than the room that is left, or
+hardly a piece finds a gap, there are new sequences, as many as the tokens need. Rounds end when all pieces are placed.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from unicodedata import is_normalized
 
 import numpy as np
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from terrace.scratch import materialize
 
-#: Pieces of one size that are ranked in one task.
-RANK_ROWS = 50_000
+#: Pieces and gaps of a range; tokens of a range's stack in which pieces of later ranges find their gaps together.
+RANGE_ROWS, BUCKET_TOKENS = 100_000, 1 << 16
+#: Each class of sizes reaches down to this share of its largest.
+CLASS_RATIO = 4
 #: Words whose ids a worker remembers, and bytes of text tokenized at once.
 CACHE_WORDS, SLICE_BYTES = 150_000, 4 << 20
 
@@ -37,64 +39,126 @@ _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_NAMES = {b: chr(b if b in _PLAIN else 256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)}
 
 
-@dataclass(frozen=True)
-class Placement:
-    """Pieces of `size` with ranks from `low` to `high` - 1: `each` to a sequence, from sequence `first` on, at `offset` there."""
-
-    size: int
-    low: int
-    high: int
-    each: int
-    first: int
-    offset: int
-
-
-def best_fit(counts: dict[int, int], limit: int) -> list[Placement]:
-    """Where the pieces of each size go; counts: how many there are of each size (1 to limit)."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, how many)
-    sizes: list[int] = []  # gaps that there are, ascending
-    opened, out = 0, []
-
-    def put(gap: int, run: tuple[int, int]) -> None:
-        if gap and run[1]:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append(run)
-
-    for size in sorted((s for s, n in counts.items() if n), reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect.bisect_left(sizes, size)
-            if at == len(sizes):
-                gap, first, many, new = limit, opened, math.ceil(left / (limit // size)), True
-                opened += many
-            else:
-                gap, new = sizes[at], False
-                first, many = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-            each = gap // size
-            full, rest = min(many, left // each), 0
-            if full < many and left - full * each:
-                rest = left - full * each
-            if full:
-                out.append(Placement(size, rank, rank + full * each, each, first, limit - gap))
-                put(gap - each * size, (first, full))
-            if rest:
-                out.append(Placement(size, rank + full * each, rank + full * each + rest, each, first + full, limit - gap))
-                put(gap - rest * size, (first + full, 1))
-            if not new:
-                put(gap, (first + full + bool(rest), many - full - bool(rest)))
-            rank, left = rank + full * each + rest, left - full * each - rest
+# Kinds of rows that a swept range gives: a gap as it was, a placed piece, one that looks for a gap of an earlier range, a gap
+# that is left for later ranges, and the range's sums.
+GAP, PLACED, LOOKS, LEFT, SUMS = range(5)
+_SWEPT = "part int, kind int, id long, size long, seq long, low long, high long"
+
+
+def _sweep_range(part: int, rows: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """A range's rows (whether a piece, id, size), sorted, to rows of _SWEPT.
+
+    A piece that looks for an earlier gap wants the tokens low to high from the top of the stack that is before the range; gaps that
+    are left are the tokens low to high of what the range puts on it.
+    """
+    rooms: list[int] = []  # that there are, ascending
+    gaps: dict[int, list[int]] = {}
+    digs = many = tokens = 0
+
+    def put(room: int, seq: int) -> None:
+        if room not in gaps:
+            gaps[room] = []
+            bisect.insort(rooms, room)
+        gaps[room].append(seq)
+
+    for piece, i, size in rows:
+        at = bisect.bisect_left(rooms, size)
+        if not piece:
+            yield part, GAP, i, size, i, 0, 0
+            put(size, i)
+        elif at == len(rooms):
+            yield part, LOOKS, i, size, -1, digs, digs + size
+            digs += size
+        else:
+            room = rooms[at]
+            seq = gaps[room].pop()
+            if not gaps[room]:
+                del gaps[room], rooms[at]
+            yield part, PLACED, i, size, seq, 0, 0
+            many, tokens = many + 1, tokens + size
+            if room > size:
+                put(room - size, seq)
+    left = 0
+    for room in reversed(rooms):
+        for seq in gaps[room]:
+            yield part, LEFT, seq, room, seq, left, left + room
+            left += room
+    yield part, SUMS, many, tokens, -1, digs, left
+
+
+def stack_of_ranges(sums: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """sums: (range, tokens it digs into the stack, tokens it leaves on it) in order. (range, low, high, source, top): what the range
+    wants from low to high are the source range's left tokens from `top` downwards."""
+    stack: list[list[int]] = []
+    out = []
+    for part, digs, leaves in sums:
+        at = 0
+        while at < digs and stack:
+            source, low, high = stack[-1]
+            take = min(digs - at, high - low)
+            out.append((part, at, at + take, source, high))
+            at += take
+            stack[-1][2] -= take
+            if stack[-1][2] == low:
+                stack.pop()
+        if leaves:
+            stack.append([part, 0, leaves])
     return out
 
 
+def sweep(items: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """items: piece (boolean), id, size. Rows of _SWEPT; of those that look in earlier ranges id, size, seq if they are held; how many pieces are placed, and their tokens."""
+    order = [F.desc("size"), "piece", F.xxhash64("id"), "id"]
+    parts = -(-rows // RANGE_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        def each() -> Iterator[tuple[int, int, int]]:
+            for b in batches:
+                yield from zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
+
+        block: list[tuple] = []
+        for row in _sweep_range(TaskContext.get().partitionId(), each()):
+            block.append(row)
+            if len(block) == 65_536:
+                yield as_batch(block)
+                block = []
+        yield as_batch(block)
+
+    names = [x.split()[0] for x in _SWEPT.split(", ")]
+
+    def as_batch(block: list[tuple]) -> pa.RecordBatch:
+        cols = np.array(block, np.int64).reshape(-1, len(names)).T
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.int64()) for k, c in enumerate(cols)], names=names)
+
+    dealt = items.select("piece", "id", "size")
+    dealt = (dealt.repartitionByRange(parts, *order) if parts > 1 else dealt.coalesce(1)).sortWithinPartitions(*order)
+    swept = materialize(dealt.mapInArrow(run, _SWEPT), "swept")
+    sums = sorted(swept.where(F.col("kind") == SUMS).collect())  # a row for each range
+    many, tokens = sum(r.id for r in sums), sum(r.size for r in sums)
+    segments = stack_of_ranges([(r.part, r.low, r.high) for r in sums])
+    if not segments:
+        return swept, None, many, tokens
+    spark = items.sparkSession
+    table = F.broadcast(spark.createDataFrame(segments, "part int, first long, last long, source int, top long"))
+    looks = swept.where(F.col("kind") == LOOKS).select("part", "id", "size", "low", "high").join(table, "part").where("low >= first AND high <= last")
+    looks = looks.select("id", "size", "source", (F.col("top") - F.col("high") + F.col("first")).alias("low"), (F.col("top") - F.col("low") + F.col("first")).alias("high"), F.lit(None).cast("long").alias("gap"))
+    left = swept.where(F.col("kind") == LEFT).select(F.lit(None).cast("long").alias("id"), "size", F.col("part").alias("source"), "low", "high", F.col("seq").alias("gap"))
+    buckets = F.explode(F.sequence(F.floor(F.col("low") / BUCKET_TOKENS), F.floor((F.col("high") - 1) / BUCKET_TOKENS)))
+    both = left.withColumn("bucket", buckets).unionByName(looks.withColumn("bucket", F.floor(F.col("low") / BUCKET_TOKENS)))
+    line = Window.partitionBy("source", "bucket").orderBy("low", F.col("gap").isNull(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    holds = F.last(F.when(F.col("gap").isNotNull(), F.struct("gap", "high")), True).over(line)
+    held = materialize(both.withColumn("holds", holds).where("gap IS NULL AND high <= holds.high").select("id", "size", F.col("holds.gap").alias("seq")), "held")
+    n, t = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return swept, held, many + n, tokens + t
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that splits at blanks and between letters and marks, and folds case.
 
     So words are cut out first, A-Z in lower case, and each is tokenized once and remembered. Texts that may hold a special token
-    ("<|") are only cut at blanks.
+    ("<|") are only cut at blanks. U+0130 folds to a letter and a mark, which belongs to marks that follow: there is no cut after it.
     """
 
     def __init__(self, path: str) -> None:
@@ -133,7 +197,7 @@ class WordTokenizer:
         """All ids, each text's followed by `end`, and where each text's ids begin (and the last end)."""
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([!-&(-/:-@\[-`{-~])", r"\1 \2")
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([^\PL\x{130}])([!-&(-/:-@\[-`{-~])", r"\1 \2")
         parts = pc.split_pattern(texts, " ")
         code = pc.dictionary_encode(parts.flatten())
         each = self.words(code.dictionary.to_pylist())
@@ -160,7 +224,11 @@ def tokenize_pieces(
     docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text",
     payload: tuple[str, str, Callable[[np.ndarray], object]] = ("ids", "array<int>", lambda ids: ids.astype(np.int32)),
 ) -> DataFrame:
-    """doc, piece, start, length and a column made of each piece's ids (by default the ids). tokenizer_path: on every executor."""
+    """doc, piece, start, length and a column made of each piece's ids (by default the ids). tokenizer_path: on every executor.
+
+    Null and empty texts are the id `end` alone; texts of any length are cut into pieces; repeated rows and null ids each have
+    their pieces; an empty table gives an empty one; other columns are not read.
+    """
     name, kind, make = payload
     arrow = {"array<int>": pa.list_(pa.int32()), "long": pa.int64()}[kind]
 
@@ -189,32 +257,51 @@ def tokenize_pieces(
 
 
 def pack(pieces: DataFrame, limit: int = 2048) -> DataFrame:
-    """pieces (with a length from 1 to limit) with sequence_id and offset; sequences are gapless from 0 and hold at most limit.
+    """pieces (with a length from 1 to limit) with sequence_id (any numbers) and offset; sequences are gapless from 0 and hold at most limit.
 
-    Pieces are ranked by size, then by a hash of doc, piece and start; those alike in all of that stand in any order. Null
-    ids are packed as any other; an empty table gives an empty one. Broadcast are the placements, at most a few for each size.
+    Null ids and repeated rows are packed as any other; an empty table gives an empty one; other columns stay (a column `_piece`
+    or of the result's names is replaced). The driver gets how many pieces of each length there are (at most limit rows), and a
+    row for each range of a round.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces, "pieces")
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most limit rows
+    pieces = materialize(pieces.drop("_piece", "sequence_id", "offset").withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     assert all(1 <= x <= limit for x in counts)
-    placed = best_fit(counts, limit)
-    buckets = {x: -(-n // RANK_ROWS) for x, n in counts.items()}
-    sizes = spark.createDataFrame([(x, n) for x, n in buckets.items()] or [(0, 1)], "length long, buckets long")
-    ranked = pieces.join(F.broadcast(sizes), "length").withColumn("_order", F.xxhash64("doc", "piece", "start"))
-    ranked = ranked.withColumn("_bucket", F.pmod("_order", "buckets"))
-    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_order", "doc", "piece")) - 1
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranked.groupBy("length", "_bucket").count().select("length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    ranked = ranked.withColumn("_rank", within).join(offsets, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    rows = [(p.size, p.low, p.high, p.each, p.first, p.offset) for p in placed] or [(0, 0, 0, 1, 0, 0)]
-    table = spark.createDataFrame(rows, "length long, _low long, _high long, _each long, _first long, _offset long")
-    at = F.col("_rank") - F.col("_low")
-    found = ranked.join(F.broadcast(table), "length").where("_rank >= _low AND _rank < _high")
-    return found.select(
-        *pieces.columns, (F.col("_first") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"),
-        (F.col("_offset") + at % F.col("_each") * F.col("length")).cast("long").alias("offset"),
-    )
+    slim = pieces.select(F.col("_piece").alias("id"), F.col("length").alias("size"))
+    # Pieces that no other of their kind can share a sequence with open one, which has their number.
+    placed = [slim.where(F.col("size") > limit // 2).select("id", F.col("id").alias("seq"))]
+    gaps = slim.where((F.col("size") > limit // 2) & (F.col("size") < limit)).select(F.col("id").alias("seq"), (limit - F.col("size")).alias("size"))
+    rooms = sum((limit - x) * n for x, n in counts.items() if x > limit // 2)
+    n_gaps = sum(n for x, n in counts.items() if limit // 2 < x < limit)
+    opened, top, left, many, tokens, stalled = 0, limit // 2, None, 0, 0, False
+    while top or many:
+        low = top // CLASS_RATIO if top > 8 * CLASS_RATIO else 0
+        own = {x: n for x, n in counts.items() if low < x <= top}
+        if own:
+            now = slim.where((F.col("size") > low) & (F.col("size") <= top))
+            left = now if left is None else left.unionByName(now)
+        many, tokens, top = many + sum(own.values()), tokens + sum(x * n for x, n in own.items()), low
+        if not many:
+            continue
+        fresh = max(-(-(tokens - rooms) // limit), -(-tokens // limit) if stalled else 0, 0)
+        new = spark.range(opened, opened + fresh).select((-F.col("id") - 1).alias("seq"), F.lit(limit).cast("long").alias("size"))
+        opened, rooms, n_gaps = opened + fresh, rooms + fresh * limit, n_gaps + fresh
+        wide = (gaps.unionByName(new) if fresh else gaps).select(F.lit(False).alias("piece"), F.col("seq").alias("id"), "size")
+        swept, held, n, t = sweep(left.select(F.lit(True).alias("piece"), "id", "size").unionByName(wide), many + n_gaps)
+        put = swept.where(F.col("kind") == PLACED).select("id", "size", "seq")
+        left = swept.where(F.col("kind") == LOOKS).select("id", "size")
+        if held is not None:
+            put, left = put.unionByName(held), left.join(held.select("id"), "id", "left_anti")
+        placed.append(put.select("id", "seq"))
+        before = swept.where(F.col("kind") == GAP).select("seq", "size")
+        gaps = before.unionByName(put.select("seq", (-F.col("size")).alias("size"))).groupBy("seq").agg(F.sum("size").alias("size")).where("size > 0")
+        stalled, many, tokens, rooms = not top and (held is None or n < 0.5 * many), many - n, tokens - t, rooms - t
+    where = placed[0]
+    for more in placed[1:]:
+        where = where.unionByName(more)
+    line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    found = pieces.join(where.select(F.col("id").alias("_piece"), F.col("seq").alias("sequence_id")), "_piece")
+    return found.withColumn("offset", F.coalesce(F.sum("length").over(line), F.lit(0)).cast("long")).drop("_piece")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

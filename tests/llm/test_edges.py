@@ -127,33 +127,44 @@ def test_search_fills_up_beyond_a_tight_cluster(spark):
 
 
 # 4 packing
-def test_best_fit_runs():
+def _best_fit(sizes, limit):
+    """Sequences of best fit of single pieces, largest first, as a yardstick."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= s), default=None)
+        gaps.remove(fit) if fit is not None else None
+        gaps.append((fit if fit is not None else limit) - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("limit", "most", "rows", "bucket"), [(64, 64, 100_000, 65_536), (2048, 900, 100_000, 65_536), (2048, 900, 150, 4_096), (7, 7, 40, 16)])
+def test_packing_rounds(spark, monkeypatch, limit, most, rows, bucket):
+    monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+    monkeypatch.setattr(packing, "BUCKET_TOKENS", bucket)
+    rng = random.Random(limit + rows)
+    sizes = [rng.randint(1, rng.choice([most, most // 4])) for _ in range(600)]
+    df = spark.createDataFrame([(k // 3, 0, 0, x, "x") for k, x in enumerate(sizes)], "doc long, piece long, start long, length long, seq string")
+    got = packing.pack(df, limit).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(got["length"]) == sorted(sizes) and set(got["seq"]) == {"x"}
+    assert (got.groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all() and got.groupby("sequence_id")["length"].sum().max() <= limit
+    assert got["sequence_id"].nunique() <= 1.02 * _best_fit(sizes, limit) + 1
+
+
+def test_sweep_of_ranges_is_that_of_one_list():
     rng = random.Random(1)
-    for _ in range(120):
-        limit = rng.choice([7, 20, 64, 2048])
-        counts = {}
-        for _ in range(rng.randint(0, 250)):
-            s = rng.randint(1, rng.choice([limit, max(1, limit // 3)]))
-            counts[s] = counts.get(s, 0) + 1
-        placed, seqs, ranks = packing.best_fit(counts, limit), {}, {}
-        for p in placed:
-            for r in range(p.low, p.high):
-                ranks.setdefault(p.size, []).append(r)
-                seqs.setdefault(p.first + (r - p.low) // p.each, []).append((p.offset + (r - p.low) % p.each * p.size, p.size))
-        assert all(sorted(ranks[s]) == list(range(n)) for s, n in counts.items())
-        for own in seqs.values():
-            at = 0
-            for o, s in sorted(own):
-                assert o == at
-                at += s
-            assert at <= limit
-        # Best fit of single pieces, largest first, as a yardstick.
-        gaps = []
-        for s in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
-            fit = min((g for g in gaps if g >= s), default=None)
-            gaps.remove(fit) if fit is not None else None
-            gaps.append((fit if fit is not None else limit) - s)
-        assert len(seqs) <= len(gaps)
+    for _ in range(200):
+        items = sorted(((rng.random() < 0.6, k, rng.randint(1, 9)) for k in range(rng.randint(0, 40))), key=lambda x: (-x[2], x[0], x[1]))
+        cuts = sorted(rng.randint(0, len(items)) for _ in range(rng.randint(0, 4)))
+        rows = [r for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(items)])) for r in packing._sweep_range(k, iter(items[a:b]))]
+        for part, first, last, source, top in packing.stack_of_ranges([(r[0], r[5], r[6]) for r in rows if r[1] == packing.SUMS]):
+            assert source < part and first < last and top - (last - first) >= 0
+        room = {r[2]: r[3] for r in rows if r[1] == packing.GAP}
+        for r in rows:
+            if r[1] == packing.PLACED:
+                room[r[4]] -= r[3]
+        assert all(x >= 0 for x in room.values())
+        left = [r for r in rows if r[1] == packing.LEFT]
+        assert sum(r[6] - r[5] for r in left) == sum(room.values()) and all(r[6] - r[5] == room[r[4]] for r in left)
 
 
 def test_packing_odd_rows(spark, odd):
@@ -170,9 +181,9 @@ def test_words_equal_whole_texts():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain, ours, rng = Tokenizer.from_file(path), packing.WordTokenizer(path), random.Random(2)
-    letters = list("abXYZéÉ ' '.!,-|<>019\n\tΣ»́ßIJ")
+    letters = list("abXYZİéÉ ' '.!,-|<>019\n\tΣ»́ßIJ")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-    for batch in (texts, [t for t in texts if "<|" not in t], ["a<|endoftext|>b", None, "", "don't!'s"]):
+    for batch in (texts, [t for t in texts if "<|" not in t], ["a<|endoftext|>b", None, "", "don't!'s", "İ.", "İ"]):
         ids, at = ours.texts(pa.array(batch, pa.string()), 0)
         for k, t in enumerate(batch):
             assert ids[at[k] : at[k + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 0]
