@@ -17,8 +17,8 @@ from terrace.scratch import materialize, new_path
 
 #: A group of copies is compared in slices of so many rows, each with its own copy of the text that stays.
 SLICE_ROWS = 256
-#: Digests of repeated texts are broadcast up to so many rows of about 200 bytes; beyond that the tables are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Digests of repeated texts and the places of the rows that stay are broadcast up to so many bytes; beyond that the tables are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -59,34 +59,37 @@ def digest_state(spark: SparkSession, arrivals: DataFrame, checkpoint: str) -> D
 def exact_dedup(
     spark: SparkSession, docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     digest: Callable[[Column], Column] = sha256_hex, bytes_per_batch: int = 64 << 30, checkpoint: str | None = None,
+    kept_col: str = "kept",
 ) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256; of equal texts the row with the largest id stays.
 
     docs: a table read from files. path: its folder, if the stream may read that itself; else the digests are written once
     and streamed from there. Null text counts as empty; null ids rank lowest; of repeated rows with the same id exactly one
-    is kept (the last by file and row); an empty table gives no rows; the result's columns replace input columns of the
-    same name.
+    is kept (the last by file and row); texts may be of any length; an empty table gives no rows; the result's columns replace
+    input columns of the same name, and no other name clashes. With another kept_col that column alone is added.
     """
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    slim = [F.col(id_col).cast("long").alias("doc"), digest(_content(text_col)).alias("digest")]
+    # Input columns go by position inside, so that none clashes with what is made here.
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    meta = docs.metadataColumn("_metadata")
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+    doc, content = F.col(names[id_col]).cast("long"), _content(names[text_col])
     if path is None:
         arrived = new_path(spark, "arrivals")
-        docs.select(*slim, *place).write.parquet(arrived)
-        schema = docs.select(*slim, *place).schema
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(arrived)
+        slim = inner.select(doc.alias("doc"), digest(content).alias("digest"), "file", "row")
+        slim.write.parquet(arrived)
+        stream = spark.readStream.schema(slim.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(arrived)
     else:
-        stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(_pattern(path)).select(*slim, *place)
+        stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(_pattern(path))
+        meta = stream.metadataColumn("_metadata")
+        stream = stream.select(F.col(f"`{id_col}`").cast("long").alias("doc"), digest(_content(f"`{text_col}`")).alias("digest"), meta["file_path"].alias("file"), meta["row_index"].alias("row"))
     state = digest_state(spark, stream, checkpoint or new_path(spark, "dedup-state"))
     repeated = materialize(state.where("n > 1").selectExpr("digest", "n as _n", "keep as _keep"), "repeated")
-    if repeated.count() <= BROADCAST_ROWS:
+    if (repeated.agg(F.sum(F.length("digest") + F.length("_keep.file") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         repeated = F.broadcast(repeated)
 
-    made = ["keep_id", "group_size", "kept", "text_sha256"]
-    kept_columns = [c for c in docs.columns if c not in made]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.col(id_col).cast("long").alias("doc"), *place).alias("_at"), digest(_content(text_col)).alias("digest"))
-    marked = rows.join(repeated, "digest", "left")
-
-    odd = materialize(_unequal(marked, text_col), "unequal")
+    at = F.struct(doc.alias("doc"), "file", "row").alias("_at")
+    marked = inner.select(*names.values(), at, digest(content).alias("digest")).join(repeated, "digest", "left")
+    odd = materialize(_unequal(marked, names[text_col]), "unequal")
     group = F.coalesce(F.col("_n"), F.lit(1).cast("long"))
     keep = F.coalesce(F.col("_keep"), F.col("_at"))
     if not odd.isEmpty():
@@ -96,9 +99,10 @@ def exact_dedup(
         marked = marked.join(fewer, "digest", "left").join(fixed, marked["_at"].eqNullSafe(F.col("_at2")), "left")
         group = F.coalesce(F.col("_n2"), group - F.coalesce(F.col("_fewer"), F.lit(0)))
         keep = F.coalesce(F.col("_keep2"), keep)
+    made = {"keep_id", "group_size", kept_col, "text_sha256"} if kept_col == "kept" else {kept_col}
     return marked.select(
-        *[F.col(f"`{c}`") for c in kept_columns], keep["doc"].alias("keep_id"), group.cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("_at")).alias("kept"), (F.col("digest") if digest is sha256_hex else sha256_hex(_content(text_col))).alias("text_sha256"),
+        *[F.col(n).alias(c) for c, n in names.items() if c.lower() not in made], keep.eqNullSafe(F.col("_at")).alias(kept_col),
+        *([keep["doc"].alias("keep_id"), group.cast("long").alias("group_size"), (F.col("digest") if digest is sha256_hex else sha256_hex(_content(names[text_col]))).alias("text_sha256")] if len(made) > 1 else []),
     )
 
 
