@@ -1,18 +1,21 @@
 """URL filter: rules first, then a tree of path templates with smoothed labelled purity.
 
 A url is a host and path segments. Level by level, for each node of a host's tree, a segment stays a branch of its own if it
-is frequent there or has enough labelled pages; digits, hex and other variable segments fall into a wildcard of their kind. Branches of a node whose shares of
-bad labels don't differ significantly are merged. Nodes carry counts of labelled pages, good and bad; a node's purity is its share of
-bad pages, smoothed towards that of its parent (host, then all hosts). A page is rejected if the purity of its
-deepest node is at least a threshold. Labels are what the rules say, or a given table.
+is frequent there or has enough labelled pages; digits, hex and other variable segments fall into a wildcard of their kind.
+A path that ends is a branch of its own. Branches of a node whose shares of bad labels don't differ significantly are merged: in
+order of their rates a branch joins the run before it, unless it differs from all that the run holds so far. Nodes carry
+counts of labelled pages, good and bad; a node's purity is its share of bad pages, smoothed towards that of its parent (host,
+then all hosts). A node with few pages is a leaf: no branch of it could have support. The tree is as deep as the paths are.
+A page is rejected if the purity of its deepest node is at least a threshold. Labels are what the rules say, or a given table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.ranges import ranged_sums
 from terrace.scratch import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,10 +25,8 @@ RULES = (("org", "/", True), ("example.org", "/es/", False), ("example.org", "/e
 
 #: A segment stays a branch if it has this share of its node's pages and so many of them, or so many labelled pages, however large the node is.
 SHARE, SUPPORT = 0.02, 20
-#: Names that the text of merged branches has; of more it has the first by rate and how many there are.
+#: Names that the text of merged branches has; of more it has the first and how many there are.
 NAMES = 64
-#: Levels of the tree; deeper segments count as one.
-LEVELS = 6
 #: Two branches merge if the z statistic of their shares of bad labels is below this; pages that a parent's purity counts for.
 MERGE_Z, PRIOR = 1.96, 4.0
 REJECT = 0.5
@@ -58,58 +59,83 @@ def _kind(segment: Column) -> Column:
     )
 
 
-def template_tree(pages: DataFrame, *, level: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """pages (key columns, host, path, bad: null if not labelled) with node and purity; and the nodes with their counts.
+def merge_runs(bad: np.ndarray, labelled: np.ndarray, many: np.ndarray, above: float) -> np.ndarray:
+    """For branches with these counts (many of each), in the order of their rates, the number of the run that each is merged into."""
+    rate = (bad + PRIOR * above) / (labelled + PRIOR)
+    run = np.zeros(len(bad), np.int64)
+    now = held_bad = held_labelled = 0
+    for k in range(len(bad)):
+        if k:
+            own = (held_bad + PRIOR * above) / (held_labelled + PRIOR)
+            spread = max(rate[k] * (1 - rate[k]), 0.01) / (labelled[k] + PRIOR) + max(own * (1 - own), 0.01) / (held_labelled + PRIOR)
+            if abs(rate[k] - own) >= MERGE_Z * spread**0.5:
+                now, held_bad, held_labelled = now + 1, 0, 0
+        held_bad, held_labelled = held_bad + many[k] * bad[k], held_labelled + many[k] * labelled[k]
+        run[k] = now
+    return run
 
-    Every page is in one node at each level. Nodes are text: the host and its branches, "{..}" for wildcards and
-    "{a|b}" for merged branches.
+
+def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One node's pairs of counts: those that differ are fewer than the power two thirds of its labelled pages."""
+    above = float(pdf["above"].iloc[0])
+    rate = (pdf["bad"] + PRIOR * above) / (pdf["labelled"] + PRIOR)
+    pdf = pdf.assign(rate=rate).sort_values(["rate", "labelled", "bad"], ignore_index=True)
+    return pdf[["node", "labelled", "bad"]].assign(run=merge_runs(pdf["bad"].to_numpy(), pdf["labelled"].to_numpy(), pdf["many"].to_numpy(), above))
+
+
+def template_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pages (key columns, host, path, bad: null if not labelled) with node and purity; and the nodes: node (an id), parent, template, pages, labelled, bad, purity.
+
+    Templates are text: the host and its branches, "{n}", "{hex}", "{mixed}", "{*}" for wildcards, "{a|b}" for merged branches and
+    "$" for a path that ends; "{", "}", "|", "$" and "\\" of a segment have a "\\" before them. A node's id is a digest of its way from the host.
     """
-    stop = F.lit("$")
-    segments = F.slice(F.array_remove(F.split("path", "/"), ""), 1, level)
-    each = pages.withColumn("_seg", segments)
-    nodes = each.groupBy(F.col("host").alias("node")).agg(*_counts())
+    each = pages.withColumn("_seg", F.array_remove(F.split("path", "/"), ""))
+    paths = each.groupBy("host", "_seg").agg(*_counts())
+    paths = materialize(paths, "paths")
+    nodes = paths.groupBy("host").agg(*_sums())
     total = nodes.agg(F.sum("bad"), F.sum("labelled")).first()
     base = ((total[0] or 0) + 1) / ((total[1] or 0) + 2)
-    nodes = nodes.withColumn("purity", (F.col("bad") + PRIOR * base) / (F.col("labelled") + PRIOR))
-    paths = materialize(each.groupBy("host", "_seg").agg(*_counts()).withColumn("node", F.col("host")), "paths")
-    known = materialize(nodes.select("node", F.lit(None).cast("string").alias("parent"), "pages", "labelled", "bad", "purity"), "nodes-0")
-    levels, trail = [known], [F.col("node")]
-    for k in range(level):
-        seg = F.coalesce(F.get("_seg", F.lit(k)), stop)
-        here = paths.withColumn("_s", seg)
-        by = here.groupBy("node", "_s").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        by = by.join(known.select("node", F.col("pages").alias("_all"), F.col("purity").alias("_above")), "node")
+    purity = lambda above: (F.col("bad") + PRIOR * above) / (F.col("labelled") + PRIOR)
+    root = nodes.select(F.md5("host").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("host").alias("template"), "host", "pages", "labelled", "bad", purity(F.lit(base)).alias("purity"))
+    levels = [materialize(root, "nodes-0")]
+    at = paths.join(levels[0].select("host", "node", F.col("pages").alias("_all"), F.col("purity").alias("above")), "host")
+    at, done, k = at.withColumn("_open", F.col("_all") >= SUPPORT), [], 0
+    while True:
+        done.append(at.where("NOT _open").select("host", "_seg", "node", F.col("above").alias("purity")))
+        now = at.where("_open")
+        text = F.regexp_replace(F.get("_seg", F.lit(k)), r"([{}|$\\])", r"\\$1")
+        here = now.withColumn("_s", F.coalesce(text, F.lit("$")))
+        by = here.groupBy("node", "_s").agg(*_sums(), F.first("_all").alias("_all"), F.first("above").alias("above"))
         enough = (F.col("pages") >= F.greatest(F.lit(SUPPORT), F.col("_all") * SHARE)) | (F.col("labelled") >= SUPPORT)
-        own = (F.col("_s") == stop) | (enough & ~F.col("_s").rlike("^[0-9]"))
-        by = by.withColumn("_branch", F.when(own, F.col("_s")).otherwise(_kind(F.col("_s"))))
-        branch = by.groupBy("node", "_branch", "_all", "_above").agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        branch = branch.withColumn("_rate", (F.col("bad") + PRIOR * F.col("_above")) / (F.col("labelled") + PRIOR))
-        # One sweep over all nodes' branches by rate, spread by range: a node may have any number of them.
-        branch = materialize(branch, f"swept-{k}")
-        many = branch.count()
-        line = ranged_sums(branch, ["node", "_rate", "_branch"], [], many, f"line-{k}").withColumnRenamed("row_before", "_at")
-        last = line.select((F.col("_at") + 1).alias("_at"), F.col("node").alias("_last"), F.col("_rate").alias("_last_rate"), F.col("labelled").alias("_last_labelled"))
-        spread = lambda rate, labelled: F.greatest(F.col(rate) * (1 - F.col(rate)), F.lit(0.01)) / (F.col(labelled) + PRIOR)
-        apart = F.abs(F.col("_rate") - F.col("_last_rate")) / F.sqrt(spread("_rate", "labelled") + spread("_last_rate", "_last_labelled"))
-        line = line.join(last, "_at", "left").withColumn("_new", F.when((F.col("node") == F.col("_last")) & (apart < MERGE_Z), 0).otherwise(1)).drop("_last", "_last_rate", "_last_labelled")
-        line = ranged_sums(line, ["_at"], ["_new"], many, f"runs-{k}").withColumn("_run", F.col("_new_before") + F.col("_new")).drop("_new", "_new_before", "row_before")
-        runs = line.groupBy("_run").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_many"), *[F.sum(c).alias(f"_{c}") for c in ("pages", "labelled", "bad")])
-        line = line.join(runs, "_run")
-        names = line.where(F.col("_at") < F.col("_from") + NAMES).groupBy("_run").agg(F.array_sort(F.collect_set("_branch")).alias("_names"))
-        branch = line.join(names, "_run")
-        more = F.when(F.col("_many") > NAMES, F.concat(F.lit("|+"), F.col("_many") - NAMES)).otherwise("")
-        child = F.when(F.col("_many") > 1, F.concat(F.lit("{"), F.array_join("_names", "|"), more, F.lit("}"))).otherwise(F.col("_branch"))
-        child = F.concat("node", F.lit("/"), child).alias("child")
-        branch = materialize(branch.select("node", "_branch", child, "_above", F.col("_pages").alias("pages"), F.col("_labelled").alias("labelled"), F.col("_bad").alias("bad")), f"branches-{k}")
-        into = by.select("node", "_s", "_branch").join(branch.select("node", "_branch", "child"), ["node", "_branch"]).select("node", "_s", "child")
-        paths = materialize(here.join(into, ["node", "_s"]).drop("_s", "node").withColumnRenamed("child", "node"), f"paths-{k}")
-        known = branch.groupBy(F.col("child").alias("node"), F.col("node").alias("parent"), "pages", "labelled", "bad").agg(F.first("_above").alias("_above"))
-        known = materialize(known.select("node", "parent", "pages", "labelled", "bad", ((F.col("bad") + PRIOR * F.col("_above")) / (F.col("labelled") + PRIOR)).alias("purity")), f"nodes-{k + 1}")
-        levels.append(known)
-    placed = materialize(paths.join(known.select("node", "purity"), "node").select("host", "_seg", "node", "purity"), "placed")
-    tree = levels[0]
-    for more in levels[1:]:
-        tree = tree.unionByName(more)
+        own = (F.col("_s") == "$") | (enough & ~F.col("_s").rlike("^[0-9]"))
+        by = materialize(by.withColumn("branch", F.when(own, F.col("_s")).otherwise(_kind(F.col("_s")))), f"segments-{k}")
+        if by.isEmpty():
+            break
+        branch = by.groupBy("node", "branch", "above").agg(*_sums())
+        counted = branch.groupBy("node", "labelled", "bad", "above").agg(F.count(F.lit(1)).alias("many"))
+        runs = counted.groupBy("node").applyInPandas(_runs, "node string, labelled long, bad long, run long")
+        branch = materialize(branch.join(runs, ["node", "labelled", "bad"]), f"branches-{k}")
+        first = Window.partitionBy("node", "run").orderBy("branch")
+        few = branch.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= NAMES).groupBy("node", "run").agg(F.sort_array(F.collect_list("branch")).alias("_names"))
+        merged = branch.groupBy("node", "run", "above").agg(*_sums(), F.count(F.lit(1)).alias("_many")).join(few, ["node", "run"])
+        more = F.when(F.col("_many") > NAMES, F.concat(F.lit("|+"), (F.col("_many") - NAMES).cast("string"))).otherwise("")
+        name = F.when(F.col("_many") > 1, F.concat(F.lit("{"), F.array_join("_names", "|"), more, F.lit("}"))).otherwise(F.col("_names")[0])
+        child = F.md5(F.concat_ws("/", "node", F.col("run").cast("string")))
+        merged = merged.select(child.alias("node"), F.col("node").alias("parent"), "run", name.alias("_name"), "pages", "labelled", "bad", purity(F.col("above")).alias("purity"))
+        merged = merged.join(levels[-1].select(F.col("node").alias("parent"), F.col("template").alias("_up")), "parent")
+        merged = merged.select("node", "parent", "run", F.concat_ws("/", "_up", "_name").alias("template"), "pages", "labelled", "bad", "purity")
+        levels.append(materialize(merged, f"nodes-{k + 1}"))
+        into = branch.select("node", "branch", "run").join(levels[-1].select(F.col("parent").alias("node"), "run", F.col("node").alias("_child"), F.col("pages").alias("_many"), F.col("purity").alias("_below")), ["node", "run"])
+        into = by.select("node", "_s", "branch").join(into, ["node", "branch"]).select("node", "_s", "_child", "_many", "_below")
+        k += 1
+        at = here.join(into, ["node", "_s"]).select("host", "_seg", "pages", "labelled", "bad", F.col("_child").alias("node"), F.col("_many").alias("_all"), F.col("_below").alias("above"), ((F.size("_seg") >= k) & (F.col("_many") >= SUPPORT)).alias("_open"))
+        at = materialize(at, f"paths-{k}")
+    placed = done[0]
+    for x in done[1:]:
+        placed = placed.unionByName(x)
+    tree = levels[0].drop("host")
+    for x in levels[1:]:
+        tree = tree.unionByName(x.drop("run"))
     return each.join(placed, ["host", "_seg"]).drop("_seg"), tree
 
 
@@ -117,6 +143,10 @@ def _counts() -> list[Column]:
     return [F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")]
 
 
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
+
+
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, labels: DataFrame | None = None, reject: float = REJECT) -> DataFrame:
     """A row for each row of pages: id, host, path, rule, verdict (allow or block), template, purity.
 
@@ -132,6 +162,7 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
         slim = slim.withColumn("bad", ~F.col("_allow"))
     else:
         slim = slim.join(labels.groupBy(F.col(id_col).alias("_id")).agg(F.max("bad").alias("bad")), "_id", "left")
-    placed, _ = template_tree(slim)
+    placed, tree = template_tree(slim)
+    placed = placed.join(tree.select("node", "template"), "node")
     verdict = F.when(F.coalesce("_allow", F.col("purity") < reject), "allow").otherwise("block")
-    return placed.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.col("node").alias("template"), "purity")
+    return placed.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
