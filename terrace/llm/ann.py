@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Vectors get one more component, so that the largest inner product is the smallest Euclidean distance. Equal vectors are one
-class, which keeps its smallest ids (as many as a result can need, so nothing is lost). Centroids come from balanced k-means on a bounded sample;
-they and a graph over them are small and go to every task. A vector joins the list of its nearest centroid and, near a
+class, which keeps its smallest ids (as many as a result can need, so nothing is lost). Centroids come from balanced k-means on a bounded sample
+(eight vectors a centroid), in two levels if they are many; they and a graph over them are of bounded size and go to every task. A vector joins the list of its nearest centroid and, near a
 boundary, further ones; lists that are too large are dealt out in blocks. A query walks the graph for its nearest
 centroids and takes the lists whose distance is within a ratio of the nearest. Lists are read against their queries in
-blocks, in double precision; of each block only the nearest leave. Then each query reads every further list that can hold
+blocks, in double precision, and so are a list's queries; of each block only the nearest leave. Then each query reads every further list that can hold
 a vector as near as the last one it found (a list's vectors are at most its radius from its centroid), so results are those of
 a full search: lists far away cost nothing if vectors are in clusters, and all lists are read if they are not.
 """
@@ -28,7 +28,7 @@ from terrace.scratch import materialize
 class Plan:
     """Documented bounds and ratios of the index."""
 
-    sample: int = 20_000  # vectors that the centroids are fitted on
+    sample: int = 131_072  # vectors that the centroids are fitted on, at most; 20,000 or eight a centroid if that is less
     list_size: int = 400  # wanted vectors of a list; sets the number of centroids
     max_lists: int = 16_384  # centroids, and so the size of what every task holds
     copies: int = 3  # lists that a vector may be in
@@ -37,7 +37,7 @@ class Plan:
     prune: float = 1.7  # ratio of distances within which a query reads a list
     degree: int = 24  # neighbours of a centroid in the graph
     beam: int = 96  # centroids that a walk over the graph keeps
-    block: int = 4_000  # vectors of a list that one task reads at once
+    block: int = 4_000  # vectors of a list that one task reads at once, and queries of a list
     unit: int = 32_000  # vectors of several lists that one task reads at once, and queries, when further lists are read
 
 
@@ -90,14 +90,20 @@ class Centroids:
         return best[:, :many], np.sqrt(np.maximum(dist[:, :many], 0))
 
 
-def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """k centroids; a centroid's distance grows with the number of points that it held in the round before."""
+def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3, flat: int = 256) -> np.ndarray:
+    """About k centroids; a centroid's distance grows with the number of points that it held in the round before. More than `flat`
+    are found in two levels: those of each of about sqrt(k) parts, as many as its share of the points."""
+    if k > flat:
+        top = balanced_kmeans(x, math.isqrt(k), rounds, seed, k)
+        own = _own(x, top, np.zeros(len(top)))
+        parts = [x[own == j] for j in range(len(top)) if (own == j).any()]
+        return np.concatenate([balanced_kmeans(p, max(1, round(k * len(p) / len(x))), rounds, seed, k) for p in parts])
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     weight = np.zeros(k)
     for _ in range(rounds):
-        own = np.concatenate([np.argmin(((centres**2).sum(1) - 2 * x[i : i + 2048] @ centres.T) + weight, 1) for i in range(0, len(x), 2048)])
+        own = _own(x, centres, weight)
         size = np.bincount(own, minlength=k)
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
@@ -107,6 +113,10 @@ def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> n
     return centres
 
 
+def _own(x: np.ndarray, centres: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmin(((centres**2).sum(1) - 2 * x[i : i + 2048] @ centres.T) + weight, 1) for i in range(0, len(x), 2048)])
+
+
 def centroid_graph(points: np.ndarray, degree: int, beam: int, seed: int = 5) -> Centroids:
     """Each centroid's nearest ones, both ways, and some at random so that the graph hangs together."""
     k = len(points)
@@ -116,7 +126,7 @@ def centroid_graph(points: np.ndarray, degree: int, beam: int, seed: int = 5) ->
     for i in range(0, k, 1024):
         d = (points**2).sum(1) - 2 * points[i : i + 1024] @ points.T
         d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        near[i : i + 1024] = np.argsort(d, 1)[:, :degree]
+        near[i : i + 1024] = np.argpartition(d, min(degree, k - 1), 1)[:, :degree]
     back = [[] for _ in range(k)]
     for a, row in enumerate(near):
         for b in row:
@@ -133,17 +143,23 @@ def search(
 
     Score: the inner product in double precision; ties to smaller ids. Vectors null, empty, zero, or with null or non-finite
     components take no part, nor do null ids, nor vectors of another length than most have. Rows repeated with one id and
-    vector are one; an id with several vectors is searched and found by each. A query with fewer others gets them all.
+    vector are one; an id with several vectors is searched and found by each. A query with fewer others gets them all. Vectors of any
+    finite size are compared rightly (a score beyond the doubles is infinite); an empty table gives an empty one; other columns are not read.
     """
     v, i = F.col(vector_col), F.col(id_col).cast("long")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda c: c != 0)
     rows = vectors.where(ok & i.isNotNull()).select(i.alias("id"), v.cast("array<double>").alias("x"), is_query.alias("is_query"))
-    lengths = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    largest = F.array_max(F.transform("x", lambda c: F.abs(c)))
+    lengths = rows.groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("count"), F.max(largest).alias("largest")).orderBy(F.desc("count"), "n").first()
     spark = vectors.sparkSession
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = lengths["n"]
+    # Very large or small components are taken times a power of two, so that their squares are doubles; scores are put right at the end.
+    power = 0 if 1e-100 < lengths["largest"] < 1e100 else -math.frexp(lengths["largest"])[1]
+    if power:
+        rows = rows.withColumn("x", F.transform("x", lambda c: c * F.lit(2.0 ** (power // 2)) * F.lit(2.0 ** (power - power // 2))))
     rows = rows.where(F.size("x") == dim).withColumn("key", F.sha2(F.concat_ws(",", F.transform("x", lambda c: (c + F.lit(0.0)).cast("string"))), 256))
 
     # Classes of equal vectors: the smallest k + 1 ids of each, found in slices first.
@@ -158,10 +174,12 @@ def search(
     classes = materialize(classes.select("cls", "key", "x", F.coalesce("asked", F.lit(False)).alias("asked"), F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)).alias("norm")), "classes")
     count, top, askers = classes.agg(F.count(F.lit(1)), F.max("norm"), F.count_if("asked")).first()
 
-    sample = classes.orderBy(F.xxhash64("key"), "key").limit(plan.sample).select("x").toPandas()
+    wanted = min(plan.max_lists, max(1, math.ceil(count / plan.list_size)))
+    sample = classes.orderBy(F.xxhash64("key"), "key").limit(min(plan.sample, max(20_000, 8 * wanted))).select("x").toPandas()
     base = _lift(np.array(sample["x"].tolist()), top, False)
-    lists = min(plan.max_lists, max(1, math.ceil(count / plan.list_size)), max(1, len(base) // 8))
-    shared = spark.sparkContext.broadcast(centroid_graph(balanced_kmeans(base, lists), plan.degree, plan.beam))
+    points = balanced_kmeans(base, min(wanted, max(1, len(base) // 8)))
+    lists = len(points)
+    shared = spark.sparkContext.broadcast(centroid_graph(points, plan.degree, plan.beam))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,8 +199,11 @@ def search(
     posted = materialize(classes.select("cls", "key", "x").mapInPandas(post, "list long, cls long, key string, x array<double>, home boolean, away double"), "postings")
     sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / plan.block).cast("int").alias("blocks"))  # a row for each centroid
     blocks = posted.drop("home", "away").join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
-    queries = classes.where("asked").select("key", "x").mapInPandas(ask, "list long, asking string, x array<double>")
+    queries = materialize(classes.where("asked").select("key", "x").mapInPandas(ask, "list long, asking string, x array<double>"), "queries")
+    turns = F.broadcast(queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / plan.block).cast("int").alias("turns")))  # a row for each centroid
     queries = queries.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    queries = queries.join(turns, "list").withColumn("turn", F.pmod(F.xxhash64("asking"), F.col("turns")).cast("int")).drop("turns")
+    blocks = blocks.join(turns, "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
 
     def read(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asking):
@@ -197,7 +218,7 @@ def search(
             c = np.tile(np.arange(len(x)), len(s))
             if len(x) > k + 1:
                 edge = -np.partition(-s, k, 1)[:, k]
-                r, c = np.nonzero(s >= edge[:, None] - 1e-9)
+                r, c = np.nonzero(s >= (edge - 1e-9 * top * np.sqrt((q**2).sum(1)))[:, None])
             exact = (q[r] * x[c]).sum(1)  # in one order, whatever the block was
             order = np.lexsort((cls[c], -exact, r))
             r, c, exact = r[order], c[order], exact[order]
@@ -205,7 +226,7 @@ def search(
             out.append(pd.DataFrame({"asking": who[a + r[near]], "cls": cls[c[near]], "key": key[c[near]], "score": exact[near]}))
         return pd.concat(out)
 
-    found = blocks.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInPandas(read, "asking string, cls long, key string, score double")
+    found = blocks.groupBy("list", "block", "turn").cogroup(queries.groupBy("list", "block", "turn")).applyInPandas(read, "asking string, cls long, key string, score double")
     best = Window.partitionBy("asking").orderBy(F.desc("score"), "cls")
     few = lambda df: df.groupBy("asking", "cls", "key").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     first = materialize(few(found), "hits-first")
@@ -249,7 +270,7 @@ def search(
             short = np.isneginf(least)
             if short.any() and len(x) > k + 1:
                 edge[short] = -np.partition(-s[short], k, 1)[:, k]
-            r, c = np.nonzero(s >= (edge - 1e-9 * np.maximum(1, top * np.sqrt((q**2).sum(1))))[:, None])
+            r, c = np.nonzero(s >= (edge - 1e-9 * top * np.sqrt((q**2).sum(1)))[:, None])
             exact = (q[r] * x[c]).sum(1)  # as above
             order = np.lexsort((cls[c], -exact, r))
             r, c, exact = r[order], c[order], exact[order]
@@ -270,7 +291,10 @@ def search(
     each = slim.where("is_query").select(F.col("id").alias("query_id"), F.col("key").alias("asking")).join(hits, "asking").join(members, "key").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id"))
     ranked = each.select("query_id", F.col("id").alias("vec_id"), "score").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    back = F.col("score")
+    for part in (-power // 2, -power // 2, -power - -power // 2, -power - -power // 2) if power else ():  # the square of 2 ** -power, in parts that are doubles
+        back = back * F.lit(2.0**part)
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", back.alias("score"))
 
 
 def _lift(x: np.ndarray, top: float, query: bool) -> np.ndarray:
