@@ -8,7 +8,7 @@ by range over (source, key), so a source of any size is dealt over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.ranges import ranged_sums
@@ -24,11 +24,18 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """source, source_size, target: sizes has a row for each source (null is one). The weights repeat in order of code point."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").cast("binary").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
-    table = materialize(sizes.withColumn("weight", w), "sources")
-    budget = share * (table.agg(F.sum("source_size")).first()[0] or 0)
+    """source, source_size, start, target: sizes has a row for each source (null is one). The weights repeat in order of code point, null last.
+
+    start: the size of all sources before, in the order of a sort by source (null first). The rounds of sharing out are at most as
+    many as there are different ratios of size and weight at which sources fill up; each is one sum over the sources.
+    """
+    nulls, many, whole = sizes.agg(F.sum(F.when(F.col("source").isNull(), F.col("source_size"))), F.count(F.lit(1)), F.sum("source_size")).first()
+    named = sizes.select(F.col("source").isNull().alias("_null"), "source", "source_size")
+    ranked = ranged_sums(named, ["_null", "source"], ["source_size"], many, "sources-sorted")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("row_before") % len(weights) + 1).cast("int"))
+    start = F.when(F.col("_null"), 0).otherwise(F.col("source_size_before") + (nulls or 0))
+    table = materialize(ranked.select("source", "source_size", start.cast("long").alias("start"), w.alias("weight")), "sources")
+    budget = share * (whole or 0)
     level, full = 0.0, -1  # a source gets level x weight, or cap x size if that is less; level only rises
     while True:
         got = F.col("source_size") * cap <= F.lit(level) * F.col("weight")
@@ -36,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
         if now == full or not free:
             break
         level, full = (budget - (taken or 0.0)) / free, now
-    return table.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("source_size") * F.lit(float(cap))).alias("target"))
+    return table.select("source", "source_size", "start", F.least(F.lit(level) * F.col("weight"), F.col("source_size") * F.lit(float(cap))).alias("target"))
 
 
 def mix(
@@ -48,7 +55,7 @@ def mix(
     quality: id and quality_weight (above 0), one row for each id; a document without one weighs 1. Null text has size 0,
     null source is a source of its own, the last; documents of size 0 are taken 0 words but as many times as there are
     complete epochs. Of a source's last epoch the document that crosses the target is taken if that ends nearer to it.
-    Equal rows draw equal keys and stand in any order; reruns agree. Other columns are not read.
+    Equal rows draw equal keys and stand in any order; reruns agree; an empty table gives an empty one. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("same"), word_count(F.col(text_col)).alias("size"))
     if quality is not None:
@@ -61,11 +68,7 @@ def mix(
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "source-sizes")
     order = ["source", "key", "doc", "same"]
     summed = ranged_sums(rows, order, ["size"], rows.count(), "mix-sorted")
-    # Ranges ascend with null first, as the sums of earlier sources do here.
-    earlier = Window.orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("source", F.coalesce(F.sum("source_size").over(earlier), F.lit(0)).alias("start"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, share, cap)
-    per_source = materialize(targets.alias("t").join(starts.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.*", "start"), "targets")
+    per_source = materialize(source_targets(sizes.select("source", "source_size"), weights, share, cap), "targets")
     if per_source.count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
     joined = summed.alias("d").join(per_source.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
