@@ -6,10 +6,14 @@ Equal sets are one class from the start. Then, on distinct sets only:
    window of twice the distance bound would put every document into every region). The first pivots are therefore
    hash ranges of all shingles: sets of like size are cut by them into parts, more parts than linked sets can differ in, so
    that linked sets agree in whole parts. Sets that agree in a part meet; what meets is gathered to families.
-2. Voronoi regions. Within a family that is too large for one task, some documents are pivots; a document goes to the region of
+2. Voronoi regions. Within every family of more than LEAF documents some documents are pivots; a document goes to the region of
    its nearest pivot and, by the triangle inequality, to every region whose pivot is at most twice the bound farther. Regions
-   are split again until they are small; one that pivots can't split is joined block by block.
-3. In a region, distances to a few pivots rule out pairs (the triangle inequality again); what is left is counted exactly. Pairs
+   are split again until they are small. A pivot's distances are exact, so a document within the bound of its nearest pivot is
+   linked with it there and then.
+3. Where windows put nearly a whole region into one, its documents are near each other: those linked with the pivot that has
+   most are one group already, and needn't be compared among themselves. They are dealt in blocks, which the other documents
+   (blocks of them, if they are many) visit; the others alone are the region that goes on.
+4. In a small region, distances to a few pivots rule out pairs (the triangle inequality again); what is left is counted exactly. Pairs
    that are connected already needn't be counted. Of a region only links that connect something leave: fewer than its documents.
 
 No step limits candidates or partners.
@@ -32,8 +36,8 @@ from pyspark.sql.window import Window
 from terrace.operators.graph import components
 from terrace.scratch import materialize
 
-#: Shingles of a region that one task joins; documents chosen as pivots to split a larger one.
-REGION_SHINGLES, PIVOTS = 1_000_000, 16
+#: Shingles of a region that one task joins; documents chosen as pivots to split one; documents of a region that isn't split.
+REGION_SHINGLES, PIVOTS, LEAF = 1_000_000, 16, 8
 #: Shingles of a large region whose distances to its pivots one task takes.
 SLICE_SHINGLES = 100_000
 #: Rows (of some 16 bytes) that are broadcast at most.
@@ -183,8 +187,9 @@ class Sets:
         return 1 - got / (self.size + self.size[x] - got)
 
 
-def region_links(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction, pivots: int = 6) -> list[tuple[int, int]]:
-    """Links that connect all documents of a region that links connect; sets aren't empty."""
+def region_links(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction, pivots: int = 6, together: np.ndarray | None = None, visit: bool = False) -> list[tuple[int, int]]:
+    """Links that connect all documents of a region that links connect; sets aren't empty. together: those that are connected already; visit: only pairs of one of these and another count."""
+    together = np.zeros(len(ids), bool) if together is None else together
     p, q = similarity.numerator, similarity.denominator
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     while len(sets) > 1:  # a linked set has at least the share p / q of its shingles in common with others
@@ -193,7 +198,7 @@ def region_links(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction,
         keep = q * shared >= p * sizes
         if keep.all():
             break
-        ids, sizes, sets = ids[keep], sizes[keep], [x for x, k in zip(sets, keep, strict=True) if k]
+        ids, sizes, together, sets = ids[keep], sizes[keep], together[keep], [x for x, k in zip(sets, keep, strict=True) if k]
     if len(sets) < 2:
         return []
     n, out = len(ids), []
@@ -207,9 +212,13 @@ def region_links(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction,
         x = int(far.argmax())
     d = np.stack(table, 1) if table else np.zeros((n, 0))
     group = np.arange(n)
+    if together.any():
+        group[together] = group[together][0]
     bound = float(1 - similarity) + 1e-9
     for x in range(n - 1):
         rest = np.arange(x + 1, n)
+        if visit:
+            rest = rest[together[rest] != together[x]]
         near = (group[rest] != group[x]) & (p * np.maximum(own.size[rest], own.size[x]) <= q * np.minimum(own.size[rest], own.size[x]))
         for k in range(d.shape[1]):
             near &= np.abs(d[rest, k] - d[x, k]) <= bound
@@ -225,28 +234,38 @@ def region_links(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction,
 
 
 def _assign(regions: DataFrame, similarity: Fraction, weights: DataFrame) -> DataFrame:
-    """region, doc, child: the Voronoi regions of each document of large regions, with windows of twice the bound. Regions are dealt out in slices."""
-    window = 2 * float(1 - similarity) + 1e-9
+    """region, doc, child, pivot, linked: the Voronoi regions of each document of the regions, with windows of twice the bound.
+
+    The first row of a document is its nearest pivot's, with the pivot's document and whether the two are linked; pivot is null in the
+    others. Regions are dealt out in slices.
+    """
+    window, p, q = 2 * float(1 - similarity) + 1e-9, similarity.numerator, similarity.denominator
 
     def deal(docs: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         if not len(docs) or not len(chosen):
-            return pd.DataFrame({"region": pd.Series([], dtype=object), "doc": pd.Series([], dtype="int64"), "child": pd.Series([], dtype=object)})
-        chosen = chosen.sort_values("nr")
+            return pd.DataFrame({"region": pd.Series([], dtype=object), "doc": pd.Series([], dtype="int64"), "child": pd.Series([], dtype=object), "pivot": pd.Series([], dtype="Int64"), "linked": pd.Series([], dtype=bool)})
+        chosen = chosen.sort_values("nr", ignore_index=True)
         sets = Sets([np.asarray(x, np.int64) for x in [*chosen["pivot"], *docs["shingles"]]])
-        many = len(chosen)
-        d = np.stack([sets.distances(k)[many:] for k in range(many)], 1)
+        many, every = len(chosen), np.arange(len(chosen), len(sets.size))
+        common = np.stack([sets.common(k, every) for k in range(many)], 1)
+        union = sets.size[many:, None] + sets.size[:many] - common
+        d = 1 - common / union
+        least = d.argmin(1)
         r, j = np.nonzero(d <= d.min(1, keepdims=True) + window)
-        region = docs["region"].to_numpy()
-        return pd.DataFrame({"region": region[r], "doc": docs["doc"].to_numpy()[r], "child": [f"{region[a]}.{b}" for a, b in zip(r, j, strict=True)]})
+        region, doc, own = docs["region"].to_numpy(), docs["doc"].to_numpy(), chosen["pivot_doc"].to_numpy()
+        linked = (q * common >= p * union)[r, j] & (j == least[r]) & (own[j] != doc[r])
+        pivot = pd.Series(own[j], dtype="Int64").where(pd.Series(j == least[r]))
+        return pd.DataFrame({"region": region[r], "doc": doc[r], "child": [f"{region[a]}.{b}" for a, b in zip(r, j, strict=True)], "pivot": pivot, "linked": linked})
 
     parts = F.ceil(F.col("weight") / SLICE_SHINGLES).cast("int")
     w = regions.join(weights.select("region", parts.alias("many")), "region")
     order = Window.partitionBy("region").orderBy(F.xxhash64("doc"), "doc")
-    chosen = regions.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= PIVOTS).select("region", "nr", F.col("shingles").alias("pivot"))
+    wanted = weights.select("region", F.least(F.lit(PIVOTS), F.ceil(F.col("docs") / LEAF)).alias("wanted"))
+    chosen = regions.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= PIVOTS).join(wanted, "region").where("nr <= wanted").select("region", "nr", F.col("doc").alias("pivot_doc"), F.col("shingles").alias("pivot"))
     chosen = chosen.join(weights.select("region", parts.alias("many")), "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).drop("many")
     w = w.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("many")).cast("int")).drop("many")
-    chosen = chosen.select(F.col("region").alias("at"), F.col("part").alias("piece"), "nr", "pivot")
-    return w.groupBy("region", "part").cogroup(chosen.groupBy("at", "piece")).applyInPandas(deal, "region string, doc long, child string")
+    chosen = chosen.select(F.col("region").alias("at"), F.col("part").alias("piece"), "nr", "pivot_doc", "pivot")
+    return w.groupBy("region", "part").cogroup(chosen.groupBy("at", "piece")).applyInPandas(deal, "region string, doc long, child string, pivot long, linked boolean")
 
 
 def _prune(regions: DataFrame, similarity: Fraction) -> DataFrame:
@@ -263,56 +282,88 @@ def _blocks(regions: DataFrame, weights: DataFrame) -> DataFrame:
     w = regions.join(weights.select("region", many.alias("many")), "region").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("many")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("many") - 1))
     w = w.withColumn("other", other)
-    return w.select(F.concat_ws(":", "region", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("region"), "doc", "shingles")
+    return w.select(F.concat_ws(":", "region", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("region"), "doc", "shingles", F.lit(False).alias("together"), F.lit(False).alias("visit"))
 
 
-def _small_regions(regions: DataFrame, similarity: Fraction, depth: int = 8) -> list[DataFrame]:
-    """Tables of regions that fit a task, which hold between them every two linked documents of each region."""
+def _visits(regions: DataFrame) -> DataFrame:
+    """regions: core (whether a document is one of those that are connected already). Blocks of these, each with a block of the others."""
+    side = regions.groupBy("region", "core").agg(F.sum(F.size("shingles")).alias("weight"))
+    many = F.ceil(2 * F.col("weight") / REGION_SHINGLES).cast("int")
+    both = side.groupBy("region").agg(F.max(F.when(F.col("core"), many)).alias("inner"), F.max(F.when(~F.col("core"), many)).alias("outer")).where("inner IS NOT NULL AND outer IS NOT NULL")
+    w = regions.join(both, "region").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(3)), F.when(F.col("core"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    w = w.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("core"), F.col("outer")).otherwise(F.col("inner")) - 1)))
+    a, b = F.when(F.col("core"), F.col("own")).otherwise(F.col("other")), F.when(F.col("core"), F.col("other")).otherwise(F.col("own"))
+    return w.select(F.concat_ws(":", "region", F.lit("v"), a.cast("string"), b.cast("string")).alias("region"), "doc", "shingles", F.col("core").alias("together"), F.lit(True).alias("visit"))
+
+
+def _small_regions(regions: DataFrame, similarity: Fraction, depth: int = 8) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of regions that fit a task, and tables of links (u, v): all links of all regions are among these, or in one of those, or follow from them.
+
+    together: documents of a region that links connect already. visit: of the region only pairs of one of these and another count.
+    """
     done: list[DataFrame] = []
+    links: list[DataFrame] = []
+    apart = lambda df: df.select("region", "doc", "shingles", F.lit(False).alias("together"), F.lit(False).alias("visit"))
     for level in range(-1, depth):
         weights = materialize(regions.groupBy("region").agg(F.sum(F.size("shingles")).alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
-        large = weights.where((F.col("weight") > REGION_SHINGLES) & (F.col("docs") > 2))
+        # Every family is split once; after that only what is too large for a task.
+        heavy = F.col("weight") > REGION_SHINGLES
+        large = weights.where(((F.col("docs") > LEAF) | heavy if level == 0 else heavy) & (F.col("docs") > 2))
         if large.isEmpty():
-            return [*done, regions]
-        done.append(regions.join(large.select("region"), "region", "left_anti"))
-        big = regions.join(large.select("region"), "region", "left_semi")
+            if level < 0:
+                continue
+            return [*done, apart(regions)], links
+        big, small = regions.join(large.select("region"), "region", "left_semi"), regions.join(large.select("region"), "region", "left_anti")
         if level < 0:
-            regions = materialize(_prune(big, similarity), "pruned")
+            regions = materialize(_prune(big, similarity).unionByName(small), "pruned")
             continue
+        done.append(apart(small))
         assigned = materialize(_assign(big, similarity, large), f"assigned-{level}")
+        near = assigned.where("pivot IS NOT NULL")
+        links.append(near.where("linked").select(F.col("doc").alias("u"), F.col("pivot").alias("v")))
+        # Regions that windows put into one child nearly whole stay as they are; the documents linked with the pivot that has most are their core.
         most = assigned.groupBy("region", "child").count().groupBy("region").agg(F.max("count").alias("most"))
-        # Where the windows put most documents into one region, pivots are no help: blocks of it are joined instead.
-        stuck = large.join(most, "region").where(F.lit(level == depth - 1) | (F.col("most") > 0.8 * F.col("docs"))).select("region", "weight", "docs")
-        stuck = materialize(stuck, "stuck")
-        done.append(_blocks(big.join(stuck.select("region"), "region", "left_semi"), stuck))
-        apart = assigned.join(stuck.select("region"), "region", "left_anti").join(big, ["region", "doc"])
-        regions = materialize(apart.select(F.col("child").alias("region"), "doc", "shingles"), f"regions-{level}")
-    return done
+        held = near.where("linked").groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("core_pivot"), F.max("n").alias("core_docs"))
+        whole = large.join(most, "region").join(held, "region", "left").where((F.col("most") > 0.8 * F.col("docs")) | (F.lit(level == depth - 1) & heavy))
+        peeled = heavy & F.lit(level < depth - 1) & (F.coalesce("core_docs", F.lit(0)) >= 0.1 * F.col("docs"))
+        whole = materialize(whole.select("region", "weight", "core_pivot", F.when(~heavy, "leaf").when(peeled, "peel").otherwise("blocks").alias("way")), "whole")
+        core = F.coalesce((F.col("linked") & (F.col("pivot") == F.col("core_pivot"))) | (F.col("doc") == F.col("core_pivot")), F.lit(False))
+        flags = near.join(whole, "region").select("region", "doc", "way", core.alias("core"))
+        parted = materialize(big.join(flags, ["region", "doc"]), f"whole-{level}")
+        done.append(parted.where("way = 'leaf'").select("region", "doc", "shingles", F.col("core").alias("together"), F.lit(False).alias("visit")))
+        if not whole.where("way <> 'leaf'").isEmpty():
+            done.append(_blocks(parted.where("way = 'blocks'"), whole))
+            done.append(_visits(parted.where("way = 'peel'")))
+        rest = parted.where("way = 'peel' AND NOT core").select(F.concat("region", F.lit("'")).alias("region"), "doc", "shingles")
+        children = assigned.join(whole.select("region"), "region", "left_anti").select("region", "doc", "child").join(big, ["region", "doc"])
+        regions = materialize(children.select(F.col("child").alias("region"), "doc", "shingles").unionByName(rest), f"regions-{level}")
+    return [*done, apart(regions)], links
 
 
 def _join_regions(regions: DataFrame, similarity: Fraction) -> DataFrame:
     """u, v: links of all regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, ids, sets, flags, visits = None, [], [], [], False
 
         def close() -> list[tuple[int, int]]:
-            return region_links(np.array(ids), sets, similarity) if len(ids) > 1 else []
+            return region_links(np.array(ids), sets, similarity, together=np.array(flags), visit=visits) if len(ids) > 1 else []
 
         for b in batches:
             out = []
             offsets, flat = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
-            for k, (region, doc) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for k, (region, doc, together, visit) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)):
                 if region != now:
                     out += close()
-                    now, ids, sets = region, [], []
+                    now, ids, sets, flags, visits = region, [], [], [], visit
                 ids.append(doc)
+                flags.append(together)
                 sets.append(flat[offsets[k] : offsets[k + 1]].copy())
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
         out = close()
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    dealt = regions.select("region", "doc", "shingles").repartition("region").sortWithinPartitions("region", "doc")
+    dealt = regions.select("region", "doc", "shingles", "together", "visit").repartition("region").sortWithinPartitions("region", "doc")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -365,10 +416,13 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, similarity: Fraction = Fr
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(_maybe_broadcast(families), "node")
     regions = texts.select(F.col("root").cast("string").alias("region"), F.col("node").alias("doc"), "text").mapInArrow(sets_of, "region string, doc long, shingles array<long>")
     regions = materialize(regions.where(F.size("shingles") > 0), "regions")
-    small = _small_regions(regions, similarity)
-    links = _join_regions(small[0], similarity)
+    small, by_pivots = _small_regions(regions, similarity)
+    together = small[0]
     for more in small[1:]:
-        links = links.unionByName(_join_regions(more, similarity))
+        together = together.unionByName(more)
+    links = _join_regions(together, similarity)
+    for more in by_pivots:
+        links = links.unionByName(more)
     # Rows with one id are one document, whatever their sets; a row is linked with the first of its set.
     same = member.where("doc <> rep and n > 0").select(F.col("doc").alias("u"), F.col("rep").alias("v"))
     linked = materialize(links, "links")
