@@ -1,10 +1,10 @@
 """License scan by diagonal voting, with DataFrame operations only.
 
-Every pair of neighbouring words of a text is hashed and joined with the pairs of all templates (a fixed table of a few
-hundred rows, so it is broadcast). A hit compares the words themselves and votes for a diagonal: its place in the text less
-its place in the template. Votes on a diagonal are a bit mask over the template. A diagonal with every vote is a place where
-the phrase stands; near diagonals (words put in or left out) are merged, and a merged span counts if it covers enough of
-the template's words and isn't much longer than it.
+Every pair of neighbouring words of a text is hashed, and all rolling hashes are joined with the pairs of all templates (a
+fixed table of a few hundred rows, so it is broadcast). A hit compares the words themselves and votes for a diagonal: its place
+in the text less its place in the template. The votes of a diagonal are the set of its template places, of any length. A
+diagonal with every vote is a place where the phrase stands; near diagonals (words put in or left out) are merged, and a
+merged span counts if it covers enough of the template's words and isn't much longer than it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from terrace.scratch import materialize
 # The phrases and labels of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Further templates by label, in lower case, words only; 63 words at most.
+# Further templates by label, in lower case, words only; of any length.
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
@@ -36,6 +36,17 @@ TEMPLATES = (
     ("subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("dedicated to the public domain", "public-domain"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or "
+        "other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
+        "mit-full",
+    ),
 )
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,63 +59,68 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
-def template_pairs(spark: SparkSession) -> DataFrame:
+def template_pairs(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
     """A row for each two neighbouring words of each template, and one without a template that stands for a document."""
     rows = ["(-1, CAST(NULL AS STRING), false, 0, 0, CAST(NULL AS STRING), CAST(NULL AS STRING))"]
-    for k, (phrase, label, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in TEMPLATES]):
+    for k, (phrase, label, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in templates]):
         words = phrase.split()
-        assert 2 <= len(words) <= 63
+        assert len(words) >= 2 and all(w.isalnum() for w in words)
         rows += [f"({k}, '{label}', {str(base).lower()}, {len(words)}, {i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
     return spark.sql(f"SELECT *, if(template < 0, 0L, xxhash64(w1, w2)) AS gram FROM VALUES {', '.join(rows)} AS t(template, label, base, length, tpos, w1, w2)")
 
 
-def license_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, same (a hash of the text), n_words, template, label, base, length, diagonal, mask, rows: votes by diagonal; diagonal null: the document."""
-    pairs = template_pairs(docs.sparkSession)
-    known = [r.gram for r in pairs.select("gram").distinct().collect()]  # of the fixed templates
+def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """doc, same (a hash of the text), n_words, template, label, base, length, tpos, pos: a row for each pair of words that a template has; template -1: the document."""
+    pairs = template_pairs(docs.sparkSession, templates)
     words = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("same"), words_of(F.col(text_col)).alias("words"))
-    w = F.col("words")
-    # Of all rolling hashes only those that some template has leave the array; -1 stands for the document.
-    places = F.array_compact(F.transform(w, lambda x, i: F.when(F.xxhash64(x, F.get(w, i + 1)).isin(known), i)))
-    each = words.select("doc", "same", "words", F.size(w).alias("n_words"), F.explode(F.concat(F.array(F.lit(-1)), places)).alias("pos"))
-    each = each.withColumn("gram", F.when(F.col("pos") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64(F.get("words", F.col("pos")), F.get("words", F.col("pos") + 1))))
-    hit = ((F.col("pos") < 0) & (F.col("template") == -1)) | ((F.get("words", F.col("pos")) == F.col("w1")) & (F.get("words", F.col("pos") + 1) == F.col("w2")))
-    return (
-        each.join(F.broadcast(pairs), "gram").where(hit)
-        .groupBy("doc", "same", "n_words", "template", "label", "base", "length", F.when(F.col("template") >= 0, F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.count(F.lit(1)).alias("rows"))
-    )
+    w, n = F.col("words"), F.size("words")
+    pair = lambda a, b: F.struct(F.xxhash64(a, b).alias("gram"), a.alias("a"), b.alias("b"))
+    rolling = F.zip_with(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), pair)
+    document = F.array(F.struct(F.lit(0).cast("long").alias("gram"), F.lit("").alias("a"), F.lit("").alias("b")))
+    each = words.select("doc", "same", n.alias("n_words"), F.posexplode(F.concat(document, rolling)).alias("at", "pair")).select("doc", "same", "n_words", "at", "pair.*")
+    hit = ((F.col("at") == 0) & (F.col("template") == -1)) | ((F.col("at") > 0) & (F.col("a") == F.col("w1")) & (F.col("b") == F.col("w2")))
+    found = each.join(F.broadcast(pairs), "gram").where(hit)
+    return found.select("doc", "same", "n_words", "template", "label", "base", "length", "tpos", (F.col("at") - 1).alias("pos"))
+
+
+def license_votes(hits: DataFrame) -> DataFrame:
+    """doc, same, template, label, base, length, diagonal, votes: the set of template places that voted for each diagonal."""
+    own = hits.where("template >= 0").withColumn("diagonal", F.col("pos") - F.col("tpos"))
+    return own.groupBy("doc", "same", "template", "label", "base", "length", "diagonal").agg(F.collect_set("tpos").alias("votes"))
 
 
 def license_spans(votes: DataFrame) -> DataFrame:
     """doc, same, label, base, first, last (words), cover: verified spans. Exact places of base phrases, merged spans of the others."""
-    key = ["doc", "same", "template", "label", "base", "length"]
-    base = votes.where("base and bit_count(mask) = length - 1").select("doc", "same", "label", "base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("length") - 1).alias("last"), F.lit(1.0).alias("cover"))
+    key = ["doc", "same", "template", "label", "length", "run"]
+    base = votes.where("base and size(votes) = length - 1").select("doc", "same", "label", "base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("length") - 1).alias("last"), F.lit(1.0).alias("cover"))
     line = Window.partitionBy("doc", "same", "template").orderBy("diagonal")
-    run = votes.where("not base and diagonal is not null").withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(line) > DRIFT).cast("int"))
+    run = votes.where("not base").withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(line) > DRIFT).cast("int"))
     run = run.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.expr("diagonal + length(bin(mask & -mask)) - 1")
-    merged = run.groupBy(*key, "run").agg(
-        F.bit_or("mask").alias("mask"), F.min(first).cast("int").alias("first"), F.max(F.expr("diagonal + length(bin(mask))")).cast("int").alias("last")
-    )
-    cover = F.expr("bit_count(mask | shiftleft(mask, 1)) / length")
-    spans = merged.withColumn("cover", cover).where((F.col("cover") >= COVER) & (F.expr("last - first + 1") <= F.col("length") * (2 - COVER) + DRIFT))
-    return base.unionByName(spans.select("doc", "same", "label", "base", "first", "last", "cover"))
+    covered = F.explode(F.array_union("votes", F.transform("votes", lambda t: t + 1)))
+    each = run.select(*key, (F.col("diagonal") + F.array_min("votes")).alias("first"), (F.col("diagonal") + F.array_max("votes") + 1).alias("last"), covered.alias("word"))
+    words = each.groupBy(*key, "word").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    merged = words.groupBy(*key).agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.count(F.lit(1)) / F.col("length")).alias("cover"))
+    spans = merged.where((F.col("cover") >= COVER) & (F.expr("last - first + 1") <= F.col("length") * (2 - COVER) + DRIFT))
+    return base.unionByName(spans.select("doc", "same", "label", F.lit(False).alias("base"), "first", "last", "cover"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """A row for each row of docs: its id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Null or empty text has no words, no labels and score 0. Rows repeated with the same id and text each get a row, with
-    the figures of one; rows with one id and other texts are told apart. Null ids are kept. Other columns are not read.
+    templates: words in lower case, and a label; two words at least. Null or empty text has no words, no labels and score 0; texts
+    are read whole. Rows repeated with the same id and text each get a row, with the figures of one; rows with one id and other
+    texts are told apart. Null ids are kept; an empty table gives an empty one. Other columns are not read.
     """
-    votes = materialize(license_votes(docs, id_col, text_col), "votes")
-    spans = license_spans(votes).select("doc", "same", F.lit(0).alias("n_words"), F.lit(0).cast("long").alias("rows"), "label", "base", "first", "cover")
-    anchors = votes.where("template < 0").select("doc", "same", "n_words", "rows", F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"), F.lit(None).cast("int").alias("first"), F.lit(0.0).alias("cover"))
-    joined = lambda only: F.array_join(F.array_sort(F.collect_set(F.when(only, F.col("label")))), ",")
+    hits = materialize(license_hits(docs, id_col, text_col, templates), "hits")
+    spans = license_spans(license_votes(hits)).select("doc", "same", F.lit(0).alias("n_words"), F.lit(0).cast("long").alias("rows"), "label", "base", "first", "cover")
+    anchors = hits.where("template < 0").select("doc", "same", "n_words", F.lit(1).cast("long").alias("rows"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"), F.lit(None).cast("int").alias("first"), F.lit(0.0).alias("cover"))
+    at = F.when(F.col("base"), F.col("first"))
     found = anchors.unionByName(spans).groupBy("doc", "same").agg(
-        F.max("n_words").cast("long").alias("n_words"), F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("first"))).cast("long").alias("first_word"),
-        F.max(F.when(F.col("base"), F.col("first"))).cast("long").alias("last_word"), joined(F.col("base")).alias("base_labels"), joined(F.lit(True)).alias("labels"),
-        F.max("cover").alias("score"), F.max("rows").alias("rows"),
+        F.max("n_words").cast("long").alias("n_words"), F.count_if("base").alias("n_base"), F.min(at).cast("long").alias("first_word"), F.max(at).cast("long").alias("last_word"),
+        _joined(F.col("base")).alias("base_labels"), _joined(F.lit(True)).alias("labels"), F.max("cover").alias("score"), F.sum("rows").alias("rows"),
     )
     return found.select(F.col("doc").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")).drop("copy")
+
+
+def _joined(only: Column) -> Column:
+    return F.array_join(F.array_sort(F.collect_set(F.when(only, F.col("label")))), ",")
