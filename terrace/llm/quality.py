@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.scratch import materialize
+
 PASSAGE_WORDS = 64
 #: The sample that the classifier is fitted on: documents, and passages among them (whole documents only).
 TRAIN_DOCS, TRAIN_PASSAGES = 8000, 120_000
@@ -142,28 +144,44 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = TRAIN_DOCS) -> Model:
     """Fit on at most max_docs labelled documents, the first by a hash of their ids, none of them held out.
 
-    A document with labels 0 and 1 counts as bad. Labels other than 0 and 1, and null ids, are left out.
+    A document with labels 0 and 1 counts as bad. Labels other than 0 and 1, and null ids, are left out. Of rows repeated with one
+    id one text counts; null and empty texts are one empty passage. Of the chosen documents, those that would bring the passages
+    above TRAIN_PASSAGES are passed over; only ids and numbers of passages, and then the passages that are taken, come to
+    the driver. Without labels or documents every score is one half. Other columns are not read.
     """
     good = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(True)))
-    chosen = good.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_id", "_y", F.col(text_col).alias("_text"))
+    chosen = good.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_docs)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    one = texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "y", "t.text")
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["_id"], "y": b["_y"], "x": [encode(t).tobytes() for t in b["_text"]]})
-
-    got = sample.mapInPandas(passages, "id long, y int, x binary").toPandas() if max_docs else pd.DataFrame({"id": [], "y": [], "x": []})
-    got = got.sort_values(["id", "x"]).sample(frac=1, random_state=7)
+            x = [encode(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "n": [len(e) for e in x], "x": [e.tobytes() for e in x]})
+
+    empty = np.zeros((0, FEATURES), np.float32), np.zeros(0, int), np.zeros(0)
+    if not max_docs:
+        return fit(*empty)
+    made = materialize(one.mapInPandas(passages, "id long, y int, n long, x binary"), "passages")
+    sizes = made.select("id", "n").toPandas().sort_values("id").sample(frac=1, random_state=7)  # at most max_docs rows
+    taken, total = [], 0
+    for i, n in zip(sizes["id"], sizes["n"], strict=True):
+        if total + n <= TRAIN_PASSAGES:
+            taken.append(int(i))
+            total += n
+    got = made.where(F.col("id").isin(taken)).toPandas() if len(taken) < len(sizes) else made.toPandas()
+    if not len(got):
+        return fit(*empty)
+    got = got.set_index("id").loc[taken]
     each = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in got["x"]]
-    within = np.cumsum([len(x) for x in each]) <= TRAIN_PASSAGES if each else np.zeros(0, bool)
-    each = [x for x, ok in zip(each, within, strict=True) if ok]
-    if not each:
-        return fit(np.zeros((0, FEATURES), np.float32), np.zeros(0, int), np.zeros(0))
-    return fit(np.concatenate(each), np.cumsum([0, *(len(x) for x in each[:-1])]), got["y"].to_numpy(float)[within])
+    return fit(np.concatenate(each), np.cumsum([0, *(len(x) for x in each[:-1])]), got["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 for each row, of its text alone; null and empty texts get one too. out_col replaces a column of its name."""
+    """docs with a score from 0 to 1 for each row, of its text alone; null and empty texts get one too.
+
+    Equal texts score alike, texts of any length are read whole, an empty table gives an empty one. out_col replaces a column of its name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
