@@ -8,7 +8,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from llm_plain import components, words_ws
+from llm_plain import components, license_spans, url_tree, words_ws
+from llm_plain import licenses as plain_licenses
 from pyspark.sql import functions as F
 
 from terrace.llm import ann, chat, jaccard, licenses, mixing, packing, quality, sharding, urls
@@ -51,6 +52,20 @@ def test_dedup_state_goes_on(spark, tmp_path):
     assert {r.digest: (r.n, r.keep.doc) for r in digest_state(spark, stream(), ck).collect()} == {"a": (2, 9), "b": (1, 2)}
 
 
+def test_names_of_columns_do_not_clash(spark, tmp_path):
+    names = ["digest", "_n", "_keep", "_at", "file", "row", "_id", "_same", "_times", "_copy", "_score", "id", "doc", "y", "size", "key", "same", "n", "template", "label", "hi", "lo", "component_id", "node", "piece", "start", "length", "c0", "c1", "Digest2"]
+    rows = [(1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", None, 1), (None, None, None, None, None), (4, "g h", "fr", "s", 1)]
+    df = spark.createDataFrame([(*r, *("x" for _ in names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    df.write.parquet(str(tmp_path / "clash"))
+    docs = spark.read.parquet(str(tmp_path / "clash"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = exact_dedup(spark, docs)
+    assert kept.columns[: len(docs.columns)] == docs.columns and {r.keep_id for r in kept.where("doc_id < 3").collect()} == {2} and {r.digest for r in kept.collect()} == {"x"}
+    assert quality.score(docs, quality.train(docs, labels)).count() == 4
+    assert mixing.mix(docs).count() == licenses.license_scan(docs).count() == sharding.shard(docs, 2).count() == jaccard.jaccard_groups(docs).count() == 4
+    assert packing.pack(packing.tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))).count() == 4
+
+
 # 2 url filter
 def test_url_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "HTTP://EXAMPLE.org/ES/"), (6, "x://a.example.org?q=/es/"), (7, "http://example.org/es/#a://b"), (7, "http://example.org/es/#a://b"), (None, "http://notorg/fr/")]
@@ -78,6 +93,30 @@ def test_url_rare_bad_section_is_a_branch_of_its_own(spark):
     assert all((r.verdict == "block") == (2600 <= r.page_id < 2645) for r in got)
 
 
+def test_url_tree_equals_plain_code(spark):
+    rng = random.Random(9)
+    words = ["a", "b", "$", "{n}", "{a|b}", "en", "\\x", "junk", "17", "deadbeef00", "x1", "a"]
+    rows = []
+    for _ in range(1500):
+        host = rng.choice(["h.test", "h.test", "h.test", "k.test", ""])
+        path = "".join("/" + rng.choice(words[: rng.choice([3, 6, len(words)])]) for _ in range(rng.choice([0, 1, 2, 3, 9, 12]))) + rng.choice(["", "/"])
+        rows.append((host, path, None if rng.random() < 0.4 else rng.random() < (0.9 if "junk" in path or "/$" in path else 0.1)))
+    df = spark.createDataFrame([(k, *r, "x") for k, r in enumerate(rows)], "k long, host string, path string, bad boolean, template string").drop("template")
+    placed, tree = urls.template_tree(df)
+    got = {r.k: (r.template, r.purity) for r in placed.join(tree.select("node", "template"), "node").collect()}
+    want = url_tree(rows, urls.SHARE, urls.SUPPORT, urls.PRIOR, urls.MERGE_Z, urls.NAMES)
+    assert len(got) == len(rows)
+    for k, (template, purity) in enumerate(want):
+        assert got[k][0] == template and got[k][1] == pytest.approx(purity), (rows[k], got[k], want[k])
+
+
+def test_url_deep_segments_are_told_apart(spark):
+    page = spark.createDataFrame([(k, f"http://h.test/a/b/c/d/e/f/g/{'junk' if k % 2 else 'good'}") for k in range(400)] + [(400 + k, f"http://e.test/x/{'$' if k % 2 else ''}") for k in range(200)], "page_id long, url string")
+    labels = spark.range(600).select(F.col("id").alias("page_id"), (F.col("id") % 2 == 1).alias("bad"))
+    got = urls.filter_urls(page, rules=(), labels=labels).collect()
+    assert len(got) == 600 and all((r.verdict == "block") == bool(r.page_id % 2) for r in got)
+
+
 # 3 nearest neighbours
 def test_search_equals_brute_force_on_odd_vectors(spark):
     rng = np.random.default_rng(2)
@@ -126,6 +165,26 @@ def test_search_fills_up_beyond_a_tight_cluster(spark):
         assert list(own.sort_values("rank")["vec_id"]) == [j for j in np.argsort(-(x @ x[q]), kind="stable") if j != q][:20]
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 3e5])
+def test_search_of_very_large_and_small_vectors(spark, size):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(k, (v * size).tolist(), "x") for k, v in enumerate(x)], "vec_id long, embedding array<double>, key string")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=5, plan=ann.Plan(list_size=20, block=7)).toPandas()
+    for q, own in got.groupby("query_id"):
+        own = own.sort_values("rank")
+        assert list(own["vec_id"]) == [j for j in np.argsort(-(x @ x[q]), kind="stable") if j != q][:5]
+        if size == 3e5:
+            assert np.allclose(own["score"], (x * size)[own["vec_id"]] @ (x[q] * size))
+
+
+def test_centroids_in_two_levels_are_balanced():
+    x = np.random.default_rng(9).normal(size=(9000, 8))
+    points = ann.balanced_kmeans(x, 900)
+    assert 800 <= len(points) <= 1000
+    assert np.bincount(ann._own(x, points, np.zeros(len(points))), minlength=len(points)).max() < 80
+
+
 # 4 packing
 def _best_fit(sizes, limit):
     """Sequences of best fit of single pieces, largest first, as a yardstick."""
@@ -285,7 +344,18 @@ def test_sketch_is_refined(spark, odd, monkeypatch):
 
 
 # 8 Jaccard join
-@pytest.mark.parametrize("region", [2_000_000, 40])
+def test_jaccard_goes_by_pivots_and_regions_whatever_the_size(spark, odd, monkeypatch):
+    calls = []
+    plain = jaccard._assign
+    monkeypatch.setattr(jaccard, "_assign", lambda regions, similarity, weights: calls.append(weights.count()) or plain(regions, similarity, weights))
+    text = " ".join(f"w{k}" for k in range(80))
+    far = lambda k: " ".join(f"w{(j + k) if j % 9 else j * k}" for j in range(80))
+    rows = [(k, f"{text} x{k}" if k < 20 else far(k), "en", "s", 1) for k in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(odd(rows, False)).collect()}
+    assert got == components({r[0]: r[1] for r in rows}, 3, 9, 10) and calls and calls[0] >= 1
+
+
+@pytest.mark.parametrize("region", [2_000_000, 40, 900])
 @pytest.mark.parametrize(("k", "t"), [(3, Fraction(9, 10)), (2, Fraction(1, 2))])
 def test_jaccard_equals_all_pairs(spark, odd, monkeypatch, region, k, t):
     monkeypatch.setattr(jaccard, "REGION_SHINGLES", region)
@@ -336,6 +406,30 @@ def test_license_odd_rows(spark, odd):
     assert licenses.license_scan(odd([], False)).count() == 0
 
 
+def test_licenses_equal_plain_code(spark):
+    rng = random.Random(7)
+    templates = (*licenses.TEMPLATES, ("a b a b c a b", "loop"), (" ".join(f"w{k % 83}" for k in range(200)), "long"))
+    texts = []
+    for _ in range(150):
+        w = []
+        for _ in range(rng.randint(0, 4)):
+            t = rng.choice([*templates, *licenses.BASE])[0].split()
+            for _ in range(rng.randint(0, max(1, len(t) // 8))):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randint(0, 1)] = rng.choice([[], ["x"], ["a"]])
+            w += ["z"] * rng.randint(0, 3) + t
+        texts.append(rng.choice([" ", ", ", "\n"]).join(w))
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate([*texts, None, ""])], "doc_id long, text string, label string, template int")
+    got = {r.doc_id: r for r in licenses.license_scan(df, templates=templates).collect()}
+    for k, t in enumerate([*texts, None, ""]):
+        n, n_base, first, last, base = plain_licenses(t)
+        labels, best = license_spans(t, templates, licenses.COVER, licenses.DRIFT)
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, n_base, first, last, base)
+        assert r.labels == ",".join(sorted(labels | set(base.split(",")) - {""})) and r.score == pytest.approx(max(best, 1.0 if n_base else 0.0))
+    assert any("long" in r.labels for r in got.values()) and any("mit-full" in r.labels for r in got.values())
+
+
 # 10 quality
 def test_gradients_equal_differences():
     rng = np.random.default_rng(6)
@@ -353,11 +447,14 @@ def test_gradients_equal_differences():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
-def test_quality_odd_rows(spark, odd):
+def test_quality_odd_rows(spark, odd, monkeypatch):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 1, 0), (6, 7, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(odd(), labels)
     got = quality.score(odd(), model).collect()
     assert len(got) == 14 and all(0 <= r.score <= 1 for r in got)
+    monkeypatch.setattr(quality, "TRAIN_PASSAGES", 20)  # the long texts are passed over, the others still count
+    docs = odd()
+    assert len({r.score for r in quality.score(docs, quality.train(docs, labels.unionByName(spark.range(1, 12).selectExpr("id as doc_id", "int(id % 2) as quality", "0 as toxic")))).collect()}) > 1
     nothing = quality.train(odd(), labels.limit(0))
     assert {r.score for r in quality.score(odd(), nothing).collect()} == {0.5}
     assert quality.score(odd([], False), nothing).count() == 0
