@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 import public_tokenizers
@@ -14,7 +15,7 @@ from terrace.llm.mixing import mix
 from terrace.llm.packing import crc32, pack, tokenize_pieces
 from terrace.llm.quality import score, train
 from terrace.llm.queries import label_weights
-from terrace.scratch import materialize
+from terrace.scratch import drop_path, materialize, new_path, scope, write_to
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,18 +27,25 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least LEAST_QUALITY; the classifier learns from the labelled ones among docs."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, out_col="_score").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    """Documents that score at least LEAST_QUALITY; the classifier learns from the labelled ones among docs.
+
+    Null, empty and very long texts are scored as any other, repeated rows alike; an empty table gives an empty one; extra columns stay.
+    """
+    model, name = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), f"score_{uuid.uuid4().hex}"
+    return score(docs, model, out_col=name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text: that with the largest id."""
-    return exact_dedup(spark, docs).where("kept").select(*docs.columns)
+    """One row of each text: that with the largest id. Null text counts as empty, null ids rank lowest; an empty table gives an empty one; extra columns stay."""
+    kept = f"kept_{uuid.uuid4().hex}"
+    return exact_dedup(spark, docs, kept_col=kept).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 over five-word shingles the document with the smallest id; rows without an id stay."""
+    """Of each group linked by a similarity of 0.8 over five-word shingles the document with the smallest id.
+
+    Rows without an id and texts without words stay; of repeated rows all or none; an empty table gives an empty one; extra columns stay.
+    """
     groups = jaccard_groups(docs, width=5, similarity=Fraction(4, 5))
     others = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     if others.count() <= BROADCAST_ROWS:
@@ -46,14 +54,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it (never, once or twice); rows alike in id and text alike often."""
-    taken = mix(docs, quality=label_weights(spark, sf_dir)).groupBy(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).agg(F.max("times").alias("_times"))
-    found = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_same"]))
-    return found.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    """The mixed corpus: each document as often as the mix takes it (never, once or twice); rows alike in id and text alike often.
+
+    Null texts and sources, and null ids, are mixed as any other; an empty table gives an empty one; extra columns stay, whatever their names.
+    """
+    taken = mix(docs, quality=label_weights(spark, sf_dir)).groupBy(F.col("doc_id").alias("taken_id"), F.col("same").alias("taken_text")).agg(F.max("times").alias("taken_times")).where("taken_times > 0")
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    at = {c: F.col(f"c{k}") for k, c in enumerate(docs.columns)}
+    found = inner.join(taken, at["doc_id"].eqNullSafe(F.col("taken_id")) & (F.xxhash64(at["text"]) == F.col("taken_text")))
+    copies = found.select(*at.values(), F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_times"))).alias("taken_copy"))
+    return copies.select(*[x.alias(c) for c, x in at.items()])
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed corpus in sequences of 2048 tokens."""
+    """The pieces of the mixed corpus in sequences of 2048 tokens.
+
+    Null and empty texts are a piece of one token, repeated rows have pieces of their own; an empty table gives an empty one.
+    """
     pieces = tokenize_pieces(docs, public_tokenizers.path(TOKENIZER), payload=("ids_crc32", "long", crc32))
     return pack(pieces).withColumnRenamed("doc", "doc_id")
 
@@ -65,7 +82,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What the last stage gives. A stage's intermediate tables, and the table that it read, are deleted when its own is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        path = new_path(spark, f"stage-{k}")
+        with scope(spark):
+            docs = write_to(stage(spark, docs, sf_dir), path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
