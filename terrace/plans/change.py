@@ -179,7 +179,8 @@ def _(px: DataFrame) -> DataFrame:
     return transitions.align(maps).select("row", "col", transitions.trajectory_class(F.col("traj")).alias("trajectory"))
 
 
-_LABELS = "(VALUES (1, 'persistent'), (2, 'forest loss'), (3, 'regrowth'), (4, 'rotational swidden'), (5, 'agroforestry adoption'), (6, 'urban expansion'), (7, 'water dynamics'), (8, 'other'), (9, 'spurious (QA)')) l(trajectory, label)"
+_LABELS = """(VALUES (1, 'Persistent / Stable Matrix'), (2, 'Unidirectional Forest Loss'), (3, 'Forest Regrowth / Succession'), (4, 'Rotational Swidden / Fallow Cycle'),
+(5, 'Agroforestry / Plantation Adoption'), (6, 'Urban / Built-up Expansion'), (7, 'Water / Riverbed Dynamics'), (8, 'Other Multi-Directional Changes'), (9, 'Potential Spurious Noise (QA Flag)')) l(trajectory, label)"""
 
 
 @part.add("trajectory_area", "px_epochs", f"""WITH c AS (SELECT {_traj()} AS trajectory, count(*) AS n FROM px_epochs WHERE e0 > 0 AND e1 > 0 AND e2 > 0 AND e3 > 0 GROUP BY 1),
