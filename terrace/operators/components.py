@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators.focal import spread
 from terrace.operators.graph import components
+from terrace.operators.tiles import Tile, apply_tiles, mode_of_windows, with_lists
 from terrace.scratch import materialize
 
 TILE = 512
@@ -65,9 +66,11 @@ def patches(pixels: DataFrame, cls: str = "cls", *, eight: bool = True, tile: in
     away = spread(edge, 1, ["cls", "label"]).where("dr <> 0 OR dc <> 0" if eight else "abs(dr) + abs(dc) = 1").select("row", "col", "cls", F.col("label").alias("other"))
     links = edge.join(away, ["row", "col", "cls"]).where("label <> other").select(F.col("label").alias("u"), F.col("other").alias("v"))
     roots = components(links)
-    named = done.join(roots, done["label"] == roots["node"], "left").select("row", "col", "cls", F.coalesce("root", "label").alias("patch"))
-    sizes = named.groupBy("patch").agg(F.count(F.lit(1)).alias("size"))
-    return named.join(sizes, "patch").select("row", "col", "cls", "patch", "size")
+    # Sizes go by labels first: a label has no more pixels than a tile, however large its patch is.
+    labels = done.groupBy("label").agg(F.count(F.lit(1)).alias("own"))
+    labels = labels.join(roots, labels["label"] == roots["node"], "left").select("label", "own", F.coalesce("root", "label").alias("patch"))
+    sizes = labels.groupBy("patch").agg(F.sum("own").alias("size"))
+    return done.join(labels.join(sizes, "patch").select("label", "patch", "size"), "label").select("row", "col", "cls", "patch", "size")
 
 
 def small_patches(pixels: DataFrame, table: dict[int, int], cls: str = "cls", tile: int = TILE) -> DataFrame:
@@ -86,17 +89,27 @@ def dissolve_small(pixels: DataFrame, table: dict[int, int], *, iterations: int
     if iterations < 0 or any(v < 0 for v in table.values()):
         raise ValueError("iterations and sizes aren't negative")
     valid = pixels.where((F.col(cls) != nodata) & F.col(cls).isNotNull())
-    marked = materialize(small_patches(valid, table, cls, tile), "small")
-    # A step reaches one pixel far, so what lies farther from every small pixel than there are steps doesn't matter.
-    near = spread(marked.where("is_small"), iterations + 1, []).select("row", "col").distinct() if iterations else marked.limit(0).select("row", "col")
-    now = materialize(marked.join(near, ["row", "col"], "left_semi").withColumn("cur", F.when(~F.col("is_small"), F.col("cls"))), "mmu")
-    for _ in range(iterations):
-        if now.where("is_small AND cur IS NULL").isEmpty():
-            break
-        votes = spread(now.where("cur IS NOT NULL"), 1, ["cur"]).groupBy("row", "col", "cur").agg(F.count(F.lit(1)).alias("n"))
-        mode = votes.groupBy("row", "col").agg(F.max_by("cur", F.struct("n", -F.col("cur"))).alias("mode"))
-        now = materialize(now.join(mode, ["row", "col"], "left").select("row", "col", "cls", "is_small", F.when(F.col("is_small") | F.col("cur").isNotNull(), F.coalesce("mode", "cur")).alias("cur")), "mmu")
-    filled = now.where("is_small AND cur IS NOT NULL").select("row", "col", F.col("cur").alias("_new"))
+    marked = small_patches(valid, table, cls, tile)
+    marked = marked.select("row", "col", F.col("cls").cast("int").alias("cls"), "is_small")
+
+    def run(t: Tile, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["cls"].to_numpy().astype(np.int32)
+        is_small, there = t.grid(pdf["is_small"].to_numpy(), False), t.grid(np.ones(len(pdf), bool), False)
+        small = pdf["is_small"].to_numpy() & t.inner
+        cur = t.grid(np.where(pdf["is_small"], -1, own).astype(np.int32), -1)
+        classes, steps = np.unique(own[~pdf["is_small"].to_numpy()]), []
+        for _ in range(iterations if small.any() else 0):
+            mode = mode_of_windows(cur, classes, -1)
+            cur = np.where(there & (is_small | (cur >= 0)) & (mode >= 0), mode, cur)
+            steps.append(cur[t.r[small], t.c[small]])
+        return with_lists(pdf[small][["row", "col"]], "steps", np.stack(steps, 1) if steps else np.zeros((int(small.sum()), 0), np.int32))
+
+    # What each small pixel is after each step; steps end for all when the last of those that are reached at all is filled.
+    done = materialize(apply_tiles(marked, run, "row long, col long, steps array<int>", halo=iterations + 1, tile=tile), "mmu")
+    last = done.agg(F.max(F.when(F.size("steps") > 0, F.when(F.array_contains("steps", -1) & (F.element_at("steps", -1) == -1), F.size("steps")).otherwise(F.array_size(F.filter("steps", lambda x: x < 0)) + 1)))).first()[0]
+    if not last:
+        return pixels.select("row", "col", F.col(cls).cast("int").alias("cls"))
+    filled = done.select("row", "col", F.element_at("steps", int(last)).alias("_new")).where("_new >= 0")
     return pixels.join(filled, ["row", "col"], "left").select("row", "col", F.coalesce("_new", F.col(cls)).cast("int").alias("cls"))
 
 

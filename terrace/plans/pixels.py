@@ -133,11 +133,11 @@ def _spikes(source: str, line: str, along: str, name: str) -> str:
     up = lambda k, t: f"(p{k} - a{k} > {t} AND p{k} - b{k} > {t})"
     down = lambda k, t: f"(a{k} - p{k} > {t} AND b{k} - p{k} > {t})"
     hit = f"a0 IS NOT NULL AND b0 IS NOT NULL AND ({' OR '.join(up(k, 600) for k in range(N))} OR {' + '.join(f'CAST({up(k, 100)} OR {down(k, 100)} AS INT)' for k in range(N))} >= 3)"
-    out = ", ".join(f"CASE WHEN {hit} THEN CAST(round_even((a{k} + b{k}) / 2.0::DOUBLE, 0) AS BIGINT) ELSE p{k} END AS p{k}" for k in range(N))
+    out = ", ".join(f"CASE WHEN {hit} THEN (a{k} + b{k}) / 2.0::DOUBLE ELSE p{k} END AS p{k}" for k in range(N))
     return f"{name}_n AS (SELECT *, {cells} FROM {source} WINDOW w AS (PARTITION BY {line} ORDER BY {along})), {name} AS (SELECT row, col, {out} FROM {name}_n)"
 
 
-@part.add("heal_probability_spikes", "px_levels", f"WITH {_spikes('px_levels', 'row', 'col', 'h1')}, {_spikes('h1', 'col', 'row', 'h2')} SELECT row, col, {', '.join(f'p{k}' for k in range(N))} FROM h2")
+@part.add("heal_probability_spikes", "px_levels", f"WITH {_spikes('px_levels', 'row', 'col', 'h1')}, {_spikes('h1', 'col', 'row', 'h2')} SELECT row, col, {', '.join(f'CAST(round_even(p{k}, 0) AS BIGINT) AS p{k}' for k in range(N))} FROM h2")
 def _(levels: DataFrame) -> DataFrame:
     done = focal.heal_spikes(_p(levels), bands=N)
     return done.select("row", "col", *[F.col("p")[k].alias(f"p{k}") for k in range(N)])
