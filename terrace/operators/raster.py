@@ -92,7 +92,7 @@ def band_statistics(pixels: DataFrame, bands: list[str], quantiles: tuple[float,
 
 
 def rasterize_touched(polygons: DataFrame, grid: GridSpec, ring: str = "ring") -> DataFrame:
-    """polygons with row, col of every pixel that they touch: pixels inside, and those that a side passes (each side is cut at the grid's lines)."""
+    """polygons, without their rings, with row, col of every pixel that they touch: pixels inside, and those that a side passes (each side is cut at the grid's lines)."""
     from terrace.operators.sampling import polygon_pixels
 
     n = F.size(ring)
@@ -100,12 +100,13 @@ def rasterize_touched(polygons: DataFrame, grid: GridSpec, ring: str = "ring") -
     each = polygons.withColumn("_side", side)
     u = lambda p: (F.col(f"_side.{p}.x") - grid.c) / grid.a
     v = lambda p: (F.col(f"_side.{p}.y") - grid.f) / grid.e
-    each = each.select(*polygons.columns, u("a").alias("_u0"), v("a").alias("_v0"), u("b").alias("_u1"), v("b").alias("_v1"))
+    names = [c for c in polygons.columns if c != ring]
+    each = each.select(*names, u("a").alias("_u0"), v("a").alias("_v0"), u("b").alias("_u1"), v("b").alias("_v1"))
     cut = lambda a, b: F.transform(F.filter(F.sequence(F.ceil(F.least(a, b)), F.greatest(F.floor(F.greatest(a, b)), F.ceil(F.least(a, b)))), lambda k: (k >= F.least(a, b)) & (k <= F.greatest(a, b)) & (a != b)), lambda k: (k - a) / F.when(a != b, b - a).otherwise(1.0))
     stops = F.array_sort(F.array_union(F.array_union(F.array(F.lit(0.0), F.lit(1.0)), cut(F.col("_u0"), F.col("_u1"))), cut(F.col("_v0"), F.col("_v1"))))
     each = each.withColumn("_t", stops).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_t") - 1)))
     mid = (F.element_at("_t", F.col("_k")) + F.element_at("_t", F.col("_k") + 1)) / 2  # between two cuts a side is in one pixel
     row, col = F.floor(F.col("_v0") + mid * (F.col("_v1") - F.col("_v0"))), F.floor(F.col("_u0") + mid * (F.col("_u1") - F.col("_u0")))
-    edge = each.select(*polygons.columns, row.cast("long").alias("row"), col.cast("long").alias("col")).where(grid.inside(F.col("row"), F.col("col")))
-    inside = polygon_pixels(polygons, grid, ring).select(*polygons.columns, "row", "col")
-    return edge.unionByName(inside).dropDuplicates([c for c in polygons.columns if c != ring] + ["row", "col"])
+    edge = each.select(*names, row.cast("long").alias("row"), col.cast("long").alias("col")).where(grid.inside(F.col("row"), F.col("col")))
+    inside = polygon_pixels(polygons, grid, ring).select(*names, "row", "col")
+    return edge.unionByName(inside).dropDuplicates([*names, "row", "col"])

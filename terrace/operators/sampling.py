@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.scalars import all_of, finite
+from terrace.functions.crs import reproject
+from terrace.functions.scalars import all_of, finite, spectral_index
 from terrace.grid import GridSpec
 
 
@@ -24,28 +25,56 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(sides, F.lit(False), lambda a, s: a != F.coalesce(s, F.lit(False)))
 
 
+def _crossings(ring: Column, y: Column) -> Column:
+    """Where the sides of a ring cross the line at y, ascending."""
+    n = F.size(ring)
+    sides = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.when((a["y"] > y) != (b["y"] > y), (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]).otherwise(1.0) + a["x"]))
+    return F.array_sort(F.array_compact(sides))
+
+
+def interior_point(ring: Column) -> tuple[Column, Column]:
+    """A point inside a ring: the middle of the widest stretch inside, on a line half way between the corners next to the middle of its height."""
+    ys = F.transform(ring, lambda p: p["y"])
+    middle = (F.array_max(ys) + F.array_min(ys)) / 2
+    below, above = F.array_max(F.filter(ys, lambda v: v <= middle)), F.array_min(F.filter(ys, lambda v: v > middle))
+    y = (below + F.coalesce(above, below)) / 2
+    cuts = _crossings(ring, y)
+    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size(cuts) / 2).cast("int")), lambda k: F.struct((F.element_at(cuts, 2 * k) - F.element_at(cuts, 2 * k - 1)).alias("wide"), (-k).alias("k"), ((F.element_at(cuts, 2 * k) + F.element_at(cuts, 2 * k - 1)) / 2).alias("x")))
+    return F.when(F.size(cuts) >= 2, F.array_max(pairs)["x"]).otherwise(F.element_at(ring, 1)["x"]), F.when(F.size(cuts) >= 2, y).otherwise(F.element_at(ring, 1)["y"])
+
+
 def polygon_pixels(polygons: DataFrame, grid: GridSpec, ring: str = "ring") -> DataFrame:
-    """polygons with row, col of every pixel whose centre they hold: the pixels of the bounding box, then the even-odd rule. Overlapping polygons each get theirs."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    r0, c0 = grid.pixel_of(F.array_min(xs), F.array_max(ys))
-    r1, c1 = grid.pixel_of(F.array_max(xs), F.array_min(ys))
-    low, high = lambda a: F.greatest(a, F.lit(0)), lambda a, m: F.least(a, F.lit(m))
-    box = polygons.withColumn("_r0", low(F.least(r0, r1))).withColumn("_r1", high(F.greatest(r0, r1), grid.height - 1)).withColumn("_c0", low(F.least(c0, c1))).withColumn("_c1", high(F.greatest(c0, c1), grid.width - 1))
-    box = box.where("_r0 <= _r1 AND _c0 <= _c1").withColumn("row", F.explode(F.sequence("_r0", "_r1"))).withColumn("col", F.explode(F.sequence("_c0", "_c1")))
-    x, y = grid.centre_of(F.col("row"), F.col("col"))
-    return box.where(in_ring(x, y, F.col(ring))).drop("_r0", "_r1", "_c0", "_c1")
+    """polygons with row, col of every pixel whose centre they hold by the even-odd rule. Overlapping polygons each get theirs.
+
+    A polygon is cut into rows of pixels, a row into the stretches between its sides; only then are there pixels, without the ring.
+    """
+    ys = F.transform(ring, lambda p: p["y"])
+    r0, _ = grid.pixel_of(F.lit(grid.c), F.array_max(ys))
+    r1, _ = grid.pixel_of(F.lit(grid.c), F.array_min(ys))
+    key = [c for c in polygons.columns if c not in (ring, "row", "col")]
+    lines = polygons.withColumn("_r0", F.greatest(F.least(r0, r1), F.lit(0))).withColumn("_r1", F.least(F.greatest(r0, r1), F.lit(grid.height - 1)))
+    lines = lines.where("_r0 <= _r1").withColumn("row", F.explode(F.sequence("_r0", "_r1")))
+    cuts = _crossings(F.col(ring), grid.centre_of(F.col("row"), F.lit(0))[1])
+    lines = lines.withColumn("_cuts", cuts).where(F.size("_cuts") >= 2)
+    part = F.explode(F.transform(F.sequence(F.lit(1), F.floor(F.size("_cuts") / 2).cast("int")), lambda k: F.struct(F.element_at("_cuts", 2 * k - 1).alias("low"), F.element_at("_cuts", 2 * k).alias("high"))))
+    parts = lines.select(*key, "row", part.alias("_p"))
+    edge = lambda x: F.floor((x - grid.c) / grid.a)
+    ends = F.least(edge(F.col("_p.low")), edge(F.col("_p.high"))) - 1, F.greatest(edge(F.col("_p.low")), edge(F.col("_p.high"))) + 1
+    parts = parts.withColumn("_c0", F.greatest(ends[0], F.lit(0))).withColumn("_c1", F.least(ends[1], F.lit(grid.width - 1))).where("_c0 <= _c1")
+    each = parts.withColumn("col", F.explode(F.sequence("_c0", "_c1")))
+    x = grid.centre_of(F.col("row"), F.col("col"))[0]
+    return each.where((x >= F.col("_p.low")) & (x < F.col("_p.high"))).select(*key, "row", "col")
 
 
 def polygon_samples(polygons: DataFrame, pixels: DataFrame, grid: GridSpec, *, mode: str = "majority", poly: str = "poly_id", label: str = "class_id", cls: str = "cls") -> DataFrame:
-    """poly, ref_class, map_class: of all pixels of a polygon, of the most frequent class (the lowest of equals), or of the centroid's pixel."""
+    """poly, ref_class, map_class: of all pixels of a polygon, of the most frequent class (the lowest of equals), or of the pixel of a point inside ("centroid")."""
     values = pixels.where(F.col(cls).isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(cls).cast("int").alias("map_class"))
     if mode == "centroid":
-        x = F.aggregate(F.slice("ring", 1, F.size("ring") - 1), F.lit(0.0), lambda a, p: a + p["x"]) / (F.size("ring") - 1)
-        y = F.aggregate(F.slice("ring", 1, F.size("ring") - 1), F.lit(0.0), lambda a, p: a + p["y"]) / (F.size("ring") - 1)
+        x, y = interior_point(F.col("ring"))
         row, col = grid.pixel_of(x, y)
         hit = polygons.select(poly, label, row.alias("row"), col.alias("col"))
     elif mode in ("majority", "all_pixels"):
-        hit = polygon_pixels(polygons, grid).select(poly, label, "row", "col")
+        hit = polygon_pixels(polygons.select(poly, label, "ring"), grid)
     else:
         raise ValueError(f"unknown mode {mode}")
     joined = hit.join(values, ["row", "col"]).select(poly, F.col(label).cast("int").alias("ref_class"), "map_class")
@@ -80,6 +109,58 @@ def bernoulli_split(samples: DataFrame, key: str, fraction: float, seed: int = 4
     return samples.withColumn("is_train", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
+def to_grid(reference: DataFrame, epsg: int, grid: GridSpec) -> DataFrame:
+    """Points (x, y) or polygons (ring) of one coordinate system in the grid's."""
+    if epsg == grid.epsg:
+        return reference
+    if "ring" in reference.columns:
+        def moved(p: Column) -> Column:
+            x, y = reproject(p["x"], p["y"], epsg, grid.epsg)
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        reference = reference.withColumn("ring", F.transform("ring", moved))
+    if {"x", "y"} <= set(reference.columns):
+        x, y = reproject(F.col("x"), F.col("y"), epsg, grid.epsg)
+        reference = reference.withColumns({"x": x, "y": y})
+    return reference
+
+
+def load_and_extract(pixels: DataFrame, reference: DataFrame, grid: GridSpec, *, bands: list[str], label: str = "class_id", epsg: int | None = None, key: str = "point_id") -> DataFrame:
+    """key, label, row, col and bands of the pixels under points, or in polygons (with a ring), of any known coordinate system; only whole rows."""
+    own = to_grid(reference, epsg or grid.epsg, grid)
+    if "ring" not in own.columns:
+        return clean_samples(point_pixels(own, pixels, grid, bands=bands, label=label, keep=(key,)), bands, label)
+    inside = polygon_pixels(own.where(F.col(label).isNotNull() & F.col("ring").isNotNull()).select(key, label, "ring"), grid)
+    values = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *bands)
+    return clean_samples(inside.join(values, ["row", "col"]), bands, label).select(key, label, "row", "col", *bands)
+
+
+def load_and_split(pixels: DataFrame, reference: DataFrame, grid: GridSpec, *, bands: list[str], label: str = "class_id", epsg: int | None = None, key: str = "point_id", fraction: float = 0.3, seed: int = 42) -> DataFrame:
+    """load_and_extract with is_test, by label."""
+    got = load_and_extract(pixels, reference, grid, bands=bands, label=label, epsg=epsg, key=key)
+    return stratified_split(got.withColumn("_at", F.xxhash64(key, "row", "col")), label, "_at", fraction, seed).drop("_at")
+
+
+def raster_features(pixels: DataFrame, points: DataFrame, grid: GridSpec, *, bands: list[str], names: list[str], label: str = "class_id", keep: tuple[str, ...] = ("point_id",)) -> DataFrame:
+    """keep, label, the bands under their names (blue, green, red, nir ...) and NDVI, SAVI and NDWI of points; those with a denominator of 0 are left out."""
+    if len(bands) != len(names):
+        raise ValueError(f"{len(bands)} bands, {len(names)} names")
+    got = point_pixels(points, pixels, grid, bands=bands, label=label, keep=keep).select(*keep, label, *[F.col(b).cast("double").alias(n) for b, n in zip(bands, names, strict=True)])
+    made = got.select("*", *[spectral_index(i, names).alias(i.lower()) for i in ("NDVI", "SAVI", "NDWI")])
+    return made.dropna(subset=["ndvi", "savi", "ndwi"])
+
+
+def merge_samples(first: DataFrame, second: DataFrame, key: str = "point_id", label: str = "class_id") -> DataFrame:
+    """The features of two rasters at the same points, by key and label; names of both get _1 and _2. A point twice in either stops the query."""
+    def once(df: DataFrame, suffix: str) -> DataFrame:
+        other = first if df is second else second
+        names = [c for c in df.columns if c not in (key, label)]
+        done = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c + suffix if c in other.columns else c) for c in names])
+        return done.where(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("point twice: "), F.col(key).cast("string")))).otherwise(F.lit(True)).cast("boolean")).drop("_n")
+
+    return once(first, "_1").join(once(second, "_2"), [key, label])
+
+
 def remove_flagged(points: DataFrame, flags: DataFrame, key: str = "point_id", flag: str = "outlier") -> DataFrame:
     return points.join(flags.where(F.col(flag)).select(key), key, "left_anti")
 

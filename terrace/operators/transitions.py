@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrace.grid import GridSpec
 from terrace.schema import FOREST, SWIDDEN, TRAJECTORIES, TREE_CROP, WATER
+from terrace.scratch import materialize
 
 
 def align(maps: dict[int, DataFrame]) -> DataFrame:
@@ -134,9 +136,35 @@ def change_summary(matrix: DataFrame, years: float) -> DataFrame:
 
 
 def change_overall(summary: DataFrame) -> DataFrame:
-    """interval, quantity, allocation, total (2 places): half the sums over the classes."""
-    s = summary.groupBy("interval").agg(F.bround(F.sum("quantity") / 2, 2).alias("quantity"), F.bround(F.sum("allocation") / 2, 2).alias("allocation"))
-    return s.withColumn("total", F.bround(F.col("quantity") + F.col("allocation"), 2))
+    """interval, landscape, persistence, quantity, allocation, exchange, shift, total (2 places): half the sums over the classes; and three of them in percent of the landscape (3 places)."""
+    half = lambda c: F.bround(F.sum(c) / 2, 2).alias(c)
+    s = summary.groupBy("interval").agg(F.greatest(F.sum("area_t1"), F.lit(1e-6)).alias("_land"), F.bround(F.sum(F.col("area_t1") - F.col("loss")), 2).alias("persistence"), half("quantity"), half("allocation"), half("exchange"), half("shift"))
+    s = s.withColumn("total", F.bround(F.col("quantity") + F.col("allocation"), 2))
+    pct = [F.bround(F.col(c) / F.col("_land") * 100, 3).alias(f"{c}_pct") for c in ("quantity", "allocation", "total")]
+    return s.select("interval", F.bround("_land", 2).alias("landscape"), "persistence", "quantity", "allocation", "exchange", "shift", "total", *pct)
+
+
+@dataclass(frozen=True)
+class ChangeAnalysis:
+    """All tables of change over several epochs: matrices of each interval and of first to last ("net"), measures by class and overall, trajectories."""
+
+    matrices: DataFrame
+    summary: DataFrame
+    overall: DataFrame
+    trajectories: DataFrame
+
+
+def analyse(pixels: DataFrame, epochs: dict[int, str], classes: list[int], grid: GridSpec) -> ChangeAnalysis:
+    """The whole analysis of maps in columns, by year: of pixels that have a class above 0 in every map. All matrices come from one pass."""
+    years = sorted(epochs)
+    if len(years) < 2:
+        raise ValueError("change takes two epochs at least")
+    cols = [epochs[y] for y in years]
+    valid = pixels.where(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in cols]))
+    spans = [(f"{a}-{b}", a, b) for a, b in zip(years, years[1:], strict=False)] + [("net", years[0], years[-1])]
+    matrices = materialize(transition_counts(valid, [(n, epochs[a], epochs[b]) for n, a, b in spans], classes, grid), "matrices")
+    summary = reduce(DataFrame.unionByName, [change_summary(matrices.where(F.col("interval") == n), b - a) for n, a, b in spans])
+    return ChangeAnalysis(matrices, summary, change_overall(summary), trajectory_area(pixels, cols, grid))
 
 
 def sankey_links(matrix: DataFrame, least_ha: float, top: int | None = None) -> DataFrame:

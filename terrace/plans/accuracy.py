@@ -33,9 +33,10 @@ def _(s: DataFrame) -> DataFrame:
     return accuracy.class_accuracy(accuracy.confusion(s))
 
 
-@part.add("overall_accuracy", "ref_samples", f"""WITH {_M}, x AS (SELECT *, CASE WHEN n_ref > 0 THEN hit / n_ref::DOUBLE END AS pa, 2.0::DOUBLE * hit / (n_map + n_ref) AS f1 FROM g),
-a AS (SELECT max(nn) AS n, sum(hit)::DOUBLE AS c, sum(n_map * n_ref)::DOUBLE AS pt, sum(n_map * n_map)::DOUBLE AS pp, sum(n_ref * n_ref)::DOUBLE AS tt, avg(pa) AS bal, avg(f1) AS f1m, sum(f1 * n_ref) AS f1w, min(pa) AS least, avg(CASE WHEN pa > 0 THEN ln(pa) END) AS lnpa FROM x)
-SELECT CAST(n AS BIGINT) AS n, round_even(c / n, 6) AS oa, round_even(sqrt(c / n * (1 - c / n) / (n - 1)), 6) AS oa_se, round_even(sqrt(c / n * (1 - c / n) / (n - 1)) * {_Z}::DOUBLE, 6) AS oa_ci, round_even(bal, 6) AS balanced_accuracy, round_even(f1m, 6) AS f1_macro, round_even(f1w / n, 6) AS f1_weighted,
+@part.add("overall_accuracy", "ref_samples", f"""WITH {_M}, y AS (SELECT *, CASE WHEN n_map > 0 THEN hit / n_map::DOUBLE ELSE 0 END AS ua, CASE WHEN n_ref > 0 THEN hit / n_ref::DOUBLE END AS pa, (nn - n_map - n_ref + hit) / (nn - n_ref) AS spec, 2.0::DOUBLE * hit / (n_map + n_ref) AS f1 FROM g), x AS (SELECT *, sqrt(pa * spec) AS gm, sqrt(ua * pa) AS fm FROM y),
+a AS (SELECT count(*) AS many, max(nn) AS n, sum(hit)::DOUBLE AS c, sum(n_map * n_ref)::DOUBLE AS pt, sum(n_map * n_map)::DOUBLE AS pp, sum(n_ref * n_ref)::DOUBLE AS tt, avg(pa) AS bal, avg(f1) AS f1m, sum(f1 * n_ref) AS f1w, min(pa) AS least, avg(CASE WHEN pa > 0 THEN ln(pa) END) AS lnpa, avg(gm) AS gmm, sum(gm * n_ref) AS gmw, avg(fm) AS fmm, sum(fm * n_ref) AS fmw FROM x)
+SELECT CAST(n AS BIGINT) AS n, many AS num_classes, round_even(c / n, 6) AS oa, round_even(sqrt(c / n * (1 - c / n) / (n - 1)), 6) AS oa_se, round_even(sqrt(c / n * (1 - c / n) / (n - 1)) * {_Z}::DOUBLE, 6) AS oa_ci, round_even(bal, 6) AS balanced_accuracy, round_even(f1m, 6) AS f1_macro, round_even(f1w / n, 6) AS f1_weighted, round_even(c / n, 6) AS f1_micro,
+round_even(gmm, 6) AS g_mean_macro, round_even(gmw / n, 6) AS g_mean_weighted, round_even(fmm, 6) AS fowlkes_macro, round_even(fmw / n, 6) AS fowlkes_weighted,
 round_even((c / n - pt / (n * n)) / (1 - pt / (n * n)), 6) AS kappa, round_even((c * n - pt) / sqrt((n * n - pp) * (n * n - tt)), 6) AS mcc, CASE WHEN least > 0 THEN round_even(exp(lnpa), 6) ELSE 0 END AS g_mean_multiclass FROM a""")
 def _(s: DataFrame) -> DataFrame:
     return accuracy.overall_accuracy(accuracy.confusion(s))
@@ -53,9 +54,18 @@ def _(s: DataFrame, px: DataFrame) -> DataFrame:
     return accuracy.area_weighted_overall(accuracy.confusion(s), _counts(px))
 
 
+def _unit(name: str, unit: str, k: int) -> str:
+    se = f"big * {unit} * sqrt(vj)"
+    return (
+        f"round_even(mapped * {unit}, {k}) AS mapped_{name}, round_even(big * {unit} * pj, {k}) AS area_{name}, round_even({se}, {k}) AS se_{name}, round_even({se} * {_Z}::DOUBLE, {k}) AS ci_{name}, "
+        f"round_even(greatest(0, big * {unit} * pj - {se} * {_Z}::DOUBLE), {k}) AS low_{name}, round_even(big * {unit} * pj + {se} * {_Z}::DOUBLE, {k}) AS high_{name}"
+    )
+
+
 @part.add("adjusted_area", "ref_samples px_epochs", f"""WITH {_W}, per AS (SELECT j, sum(p) AS pj, sum(CASE WHEN i = j THEN p ELSE 0 END) AS pjj, sum(v) AS vj FROM c GROUP BY 1), e AS (SELECT c.j, sum(v * pow(CASE WHEN c.i = c.j THEN 1 ELSE 0 END - pjj / pj, 2)) AS pv FROM c JOIN per USING (j) GROUP BY 1),
-t AS (SELECT per.*, pv, (SELECT sum(n) FROM k) * 100.0::DOUBLE / 1e4 AS ha FROM per JOIN e USING (j))
-SELECT CAST(j AS INT) AS cls, round_even(pjj / pj, 6) AS pa_area, round_even(sqrt(pv) / pj, 6) AS pa_area_se, round_even(ha * pj, 4) AS area_ha, round_even(ha * sqrt(vj), 4) AS se_ha, round_even(ha * sqrt(vj) * {_Z}::DOUBLE, 4) AS ci_ha, round_even(greatest(0, ha * pj - ha * sqrt(vj) * {_Z}::DOUBLE), 4) AS low_ha, round_even(ha * pj + ha * sqrt(vj) * {_Z}::DOUBLE, 4) AS high_ha, round_even(ha * sqrt(vj) / (ha * pj), 6) AS cv FROM t""")
+t AS (SELECT per.*, pv, k.n AS mapped, (SELECT sum(n) FROM k)::DOUBLE AS big FROM per JOIN e USING (j) JOIN k ON k.cls = per.j)
+SELECT CAST(j AS INT) AS cls, mapped AS mapped_pixels, round_even(mapped / big, 6) AS map_weight, round_even(pjj / pj, 6) AS pa_area, round_even(sqrt(pv) / pj, 6) AS pa_area_se, round_even(sqrt(pv) / pj * {_Z}::DOUBLE, 6) AS pa_area_ci, round_even(pj, 6) AS share, round_even(sqrt(vj), 6) AS share_se,
+round_even(big * pj, 4) AS pixels, round_even(big * sqrt(vj), 4) AS pixels_se, round_even(big * sqrt(vj) * {_Z}::DOUBLE, 4) AS pixels_ci, {_unit('ha', '0.01::DOUBLE', 4)}, {_unit('km2', '0.0001::DOUBLE', 6)}, round_even(sqrt(vj) / pj, 6) AS cv FROM t""")
 def _(s: DataFrame, px: DataFrame) -> DataFrame:
     return accuracy.adjusted_area(accuracy.confusion(s), _counts(px), UTM.mean_pixel_area_m2())
 
@@ -74,6 +84,17 @@ def _(points: DataFrame, px: DataFrame) -> DataFrame:
     return accuracy.confusion(got, "class_id", "e3")
 
 
+# The mapping goes step by step over samples (1 to 2, and that to 3), in one step over counts.
+_CHAIN = {1: 2, 2: 3, 17: 1}
+
+
+@part.add("accuracy_with_mapping", "points px_epochs", f"""WITH s AS (SELECT CAST(e3 AS INT) AS m, CAST(class_id AS INT) AS r FROM (SELECT *, {_AT} FROM points) p JOIN px_epochs USING (row, col) WHERE e3 > 0),
+d AS (SELECT CASE WHEN m IN (1, 2) THEN 3 WHEN m = 17 THEN 1 ELSE m END AS m, CASE WHEN r IN (1, 2) THEN 3 WHEN r = 17 THEN 1 ELSE r END AS r FROM s) SELECT m AS map_class, r AS ref_class, count(*) AS n FROM d GROUP BY 1, 2""")
+def _(points: DataFrame, px: DataFrame) -> DataFrame:
+    got = sampling.point_pixels(points, px.where("e3 > 0"), UTM, bands=["e3"])
+    return accuracy.confusion(got.select(areas.remap_chain(F.col("class_id"), _CHAIN).alias("ref_class"), areas.remap_chain(F.col("e3"), _CHAIN).alias("map_class")))
+
+
 def _rings(polygons: DataFrame) -> DataFrame:
     x0, y0 = F.col("c") * 10.0 + 500000.0, F.lit(9000000.0) - F.col("r") * 10.0
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -98,6 +119,15 @@ def _(polygons: DataFrame, px: DataFrame) -> DataFrame:
     return sampling.polygon_samples(_rings(polygons), px, UTM, mode="centroid", cls="e3")
 
 
+@part.add("polygon_sample_concave", "polygons px_epochs", "SELECT poly_id, CAST(class_id AS INT) AS ref_class, CAST(e3 AS INT) AS map_class FROM polygons JOIN px_epochs ON row = r + 2 AND col = c")
+def _(polygons: DataFrame, px: DataFrame) -> DataFrame:
+    # An L of six by six pixels, one wide: the mean of its corners lies outside, the inner point in its upright.
+    x0, y0 = F.col("c") * 10.0 + 500000.0, F.lit(9000000.0) - F.col("r") * 10.0
+    corners = [(0, 0), (10, 0), (10, -50), (60, -50), (60, -60), (0, -60), (0, 0)]
+    ell = polygons.withColumn("ring", F.array(*[F.struct((x0 + a).alias("x"), (y0 + b).alias("y")) for a, b in corners]))
+    return sampling.polygon_samples(ell, px, UTM, mode="centroid", cls="e3")
+
+
 @part.add("drop_invalid_samples", "px_bands px_epochs", "SELECT b.row, b.col, blue, nir, e0 FROM px_bands b JOIN px_epochs USING (row, col) WHERE e0 IS NOT NULL AND blue > 500")
 def _(bands: DataFrame, px: DataFrame) -> DataFrame:
     j = bands.join(px, ["row", "col"]).select("row", "col", F.when(F.col("blue") > 500, F.col("blue")).alias("blue"), "nir", "e0")
@@ -125,6 +155,11 @@ def _(p: DataFrame, px: DataFrame) -> DataFrame:
     return accuracy.log_loss(p.join(px, ["row", "col"]).withColumn("p", F.col("p0") / 10000.0), "p", "e0")
 
 
+@part.add("log_loss_overall", "px_levels px_epochs", "SELECT count(*) AS n, round_even(avg(-ln(greatest(p0 / 10000.0::DOUBLE, 0.001::DOUBLE))), 6) AS log_loss FROM px_levels JOIN px_epochs USING (row, col)")
+def _(p: DataFrame, px: DataFrame) -> DataFrame:
+    return accuracy.overall_log_loss(p.join(px, ["row", "col"]).withColumn("p", F.col("p0") / 10000.0), "p")
+
+
 @part.add("outliers_per_class", "px_bands px_segments")
 def _(bands: DataFrame, segs: DataFrame) -> DataFrame:
     t = bands.withColumn("point_id", F.col("row") * 25 + F.col("col")).withColumn("class_id", F.col("row") % 3)

@@ -95,7 +95,11 @@ def _(px: DataFrame) -> DataFrame:
     return transitions.change_summary(_matrices(px), 10)
 
 
-@part.add("pontius_overall", "px_epochs", f"WITH {_S} SELECT interval, round_even(sum(quantity) / 2, 2) AS quantity, round_even(sum(allocation) / 2, 2) AS allocation, round_even(round_even(sum(quantity) / 2, 2) + round_even(sum(allocation) / 2, 2), 2) AS total FROM s GROUP BY 1")
+_HALF = ", ".join(f"round_even(sum({c}) / 2, 2) AS {c}" for c in ("quantity", "allocation", "exchange", "shift"))
+_OVERALL = f"o AS (SELECT interval, sum(area_t1) AS land, round_even(sum(area_t1 - loss), 2) AS persistence, {_HALF} FROM s GROUP BY 1), w AS (SELECT *, round_even(quantity + allocation, 2) AS total FROM o)"
+
+
+@part.add("pontius_overall", "px_epochs", f"WITH {_S}, {_OVERALL} SELECT interval, round_even(land, 2) AS landscape, persistence, quantity, allocation, exchange, shift, total, " + ", ".join(f"round_even({c} / land * 100, 3) AS {c}_pct" for c in ("quantity", "allocation", "total")) + " FROM w")
 def _(px: DataFrame) -> DataFrame:
     return transitions.change_overall(transitions.change_summary(_matrices(px), 10))
 
