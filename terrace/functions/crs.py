@@ -55,3 +55,17 @@ def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
         return x, y
     lon, lat = (x, y) if source == 4326 else to_lonlat(x, y, source)
     return (lon, lat) if target == 4326 else to_utm(lon, lat, target)
+
+
+def reproject_box(box: tuple[float, float, float, float], source: int, target: int, steps: int = 21) -> tuple[float, float, float, float]:
+    """The box (west, south, east, north) around a box's edges in another system, by points along them."""
+    if source == target:
+        return box
+    from pyspark.sql import SparkSession
+
+    west, south, east, north = box
+    at = [k / (steps - 1) for k in range(steps)]
+    edge = [(west + t * (east - west), y) for t in at for y in (south, north)] + [(x, south + t * (north - south)) for t in at for x in (west, east)]
+    rows = SparkSession.getActiveSession().createDataFrame(edge, "x double, y double")
+    x, y = reproject(F.col("x"), F.col("y"), source, target)
+    return tuple(rows.select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first())

@@ -86,16 +86,23 @@ def check_manifest(manifest: dict, n_features: int, bands: list[str]) -> None:
         raise ValueError(f"{len(names)} features in the manifest, {n_features} in the model, {len(bands)} bands")
 
 
-def classify_pixels(pixels: DataFrame, bands: list[str], model, *, mode: str = "hard", scale: int = 10000, nodata: int = 0) -> DataFrame:
-    """row, col and cls (hard) or p (proba: probabilities times scale, half even). Pixels with a band that isn't finite are nodata (or null p).
+def classify_pixels(pixels: DataFrame, bands: list[str], model, *, mode: str = "hard", scale: int = 10000, nodata: int = 0, selector=None, dtype: str = "int") -> DataFrame:
+    """row, col and cls (hard, of type dtype) or p (proba: probabilities times scale, half even). Pixels with a band that isn't finite are nodata (or null p).
 
-    model: a fitted pyspark.ml model with features, or a callable on a pandas table of bands that returns classes (hard)
+    selector: names of the bands that the model takes, in its order, or an object with get_support or transform (dense or sparse
+    result), for callables. A class that dtype can't hold stops the query. model: a fitted pyspark.ml model with features, or a callable on a pandas table of bands that returns classes (hard)
     or an array of rows of probabilities (proba); a callable runs on batches.
     """
     if mode not in ("hard", "proba"):
         raise ValueError(f"unknown mode {mode}")
     valid = pixels.where(all_of([finite(F.col(b)) for b in bands]))
+    if selector is not None and hasattr(selector, "get_support"):
+        selector = [b for b, keep in zip(bands, selector.get_support(), strict=True) if keep]
+    if isinstance(selector, (list, tuple)):
+        bands, selector = list(selector), None
     if isinstance(model, Model):
+        if selector is not None:
+            raise ValueError("a pyspark.ml model takes a list of bands as its selector")
         done = model.transform(assemble(valid.select("row", "col", *bands), bands))
         made = F.col("prediction").cast("int").alias("cls") if mode == "hard" else F.transform(vector_to_array("probability"), lambda x: F.greatest(F.lit(0), F.least(F.lit(scale), F.bround(x * scale).cast("int")))).alias("p")
         done = done.select("row", "col", made)
@@ -104,7 +111,8 @@ def classify_pixels(pixels: DataFrame, bands: list[str], model, *, mode: str = "
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = model(b[bands])
+                x = b[bands] if selector is None else selector.transform(b[bands])
+                out = model(x.toarray() if hasattr(x, "toarray") else x)
                 if mode == "hard":
                     yield b[["row", "col"]].assign(cls=[int(x) for x in out])
                 else:
@@ -112,7 +120,44 @@ def classify_pixels(pixels: DataFrame, bands: list[str], model, *, mode: str = "
 
         done = valid.select("row", "col", *bands).mapInPandas(run, f"row {dict(pixels.dtypes)['row']}, col {dict(pixels.dtypes)['col']}, {kind}")
     joined = pixels.select("row", "col").join(done, ["row", "col"], "left")
-    return joined.withColumn("cls", F.coalesce("cls", F.lit(nodata))) if mode == "hard" else joined
+    if mode == "proba":
+        return joined
+    cls = F.coalesce("cls", F.lit(nodata))
+    return joined.withColumn("cls", cls if dtype == "int" else cls.cast("int").cast(dtype))
+
+
+def feature_importances(model, features: list[str]) -> dict[str, float]:
+    """A fitted forest's importances by feature, the largest first."""
+    return dict(sorted(zip(features, (float(x) for x in model.featureImportances.toArray()), strict=True), key=lambda kv: (-kv[1], kv[0])))
+
+
+def class_values(samples: DataFrame, label: str = "label") -> list[int]:
+    """The labels that occur, ascending (a class each)."""
+    return [r[0] for r in samples.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
+
+
+def train_probability_model(samples: DataFrame, *, label: str = "label", seed: int = 42, **params) -> Model:
+    """A forest fitted on all rows, for probabilities of all classes."""
+    return build_classifier("rf", label=label, seed=seed, **params).fit(samples)
+
+
+def cohen_kappa(predictions: DataFrame, label: str = "label") -> float:
+    row = overall_accuracy(confusion(predictions, label, "prediction")).first()
+    return float(row["kappa"] or 0.0)
+
+
+def tune_forest(df: DataFrame, trees: list[int], subsets: list[str], *, label: str = "label", key: str = "id", fraction: float = 0.3, seed: int = 42) -> tuple[DataFrame, dict]:
+    """(trees, subset, oa and kappa on held-out rows of each setting, the best first; the best setting). A forest is fitted for each on the same split."""
+    split = df.withColumn("_test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)).cache()
+    rows = []
+    for n, s in itertools.product(trees, subsets):  # a few settings; each fit is a distributed job
+        done = build_classifier("rf", label=label, seed=seed, numTrees=n, featureSubsetStrategy=s).fit(split.where("NOT _test")).transform(split.where("_test"))
+        row = overall_accuracy(confusion(done, label, "prediction")).first()
+        rows.append((n, s, float(row["oa"] or 0.0), float(row["kappa"] or 0.0)))
+    split.unpersist()
+    best = max(rows, key=lambda r: (r[2], r[3], -r[0]))
+    table = df.sparkSession.createDataFrame(rows, "trees int, subset string, oa double, kappa double").orderBy(F.desc("oa"), F.desc("kappa"), "trees")
+    return table, {"numTrees": best[0], "featureSubsetStrategy": best[1]}
 
 
 def forest_pipeline(features: list[str], **params) -> Pipeline:

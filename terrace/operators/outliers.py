@@ -7,6 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.grid import GridSpec
+from terrace.operators.quantiles import exact_quantiles
+from terrace.operators.sampling import join_flags, load_and_extract, remove_flagged
+from terrace.scratch import materialize
+
 #: Points that a tree is grown on at most, by the published method; and trees.
 SUBSAMPLE, TREES = 256, 300
 
@@ -88,5 +93,17 @@ def outliers(points: DataFrame, features: list[str], *, key: str = "point_id", l
 
     done = dealt.groupBy(label, "_slice").cogroup(base.groupBy("_label", "_part")).applyInPandas(score, f"{key} {fields[key]}, {label} {fields[label]}, score double")
     done = done.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
-    edge = done.groupBy(label).agg(F.percentile("score", F.lit(1 - contamination)).alias("_edge"))
-    return done.join(edge, label).select(key, label, F.coalesce(F.col("score") > F.col("_edge"), F.lit(False)).alias("outlier"), "score").orderBy(F.desc("outlier"), F.desc_nulls_last("score"))
+    done = materialize(done, "scores")
+    ends = exact_quantiles(done, F.col(label), F.col("score"), (1 - contamination,))  # a number for each class
+    edge = F.broadcast(points.sparkSession.createDataFrame([(k, v[0]) for k, v in ends.items()], f"{label} {fields[label]}, _edge double"))
+    return done.join(edge, label, "left").select(key, label, F.coalesce(F.col("score") > F.col("_edge"), F.lit(False)).alias("outlier"), "score").orderBy(F.desc("outlier"), F.desc_nulls_last("score"))
+
+
+def detect_point_outliers(pixels: DataFrame, points: DataFrame, grid: GridSpec, bands: list[str], *, label: str = "class_id", key: str = "point_id", epsg: int | None = None, **how) -> DataFrame:
+    """Outliers among points by the bands of the pixels that hold them: load_and_extract, then outliers."""
+    return outliers(load_and_extract(pixels, points, grid, bands=bands, label=label, epsg=epsg, key=key), bands, key=key, label=label, **how)
+
+
+def split_flagged(features: DataFrame, flags: DataFrame, key: str = "point_id") -> tuple[DataFrame, DataFrame]:
+    """(features without those flagged, features with their flags), geometry and all columns kept, for write_features."""
+    return remove_flagged(features, flags, key), join_flags(features, flags, key)

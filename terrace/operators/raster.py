@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.scalars import finite, spectral_index
+from terrace.functions.scalars import finite, spectral_index, stretch
 from terrace.grid import GridSpec
 from terrace.operators.focal import slope_aspect
+from terrace.operators.quantiles import exact_quantiles
 
 
 def composite(scenes: DataFrame, keys: list[str], value: str = "value", order: str = "ord", method: str = "median") -> DataFrame:
@@ -54,6 +59,117 @@ def feature_stack(bands: DataFrame, indices: list[str], dem: DataFrame | None =
     return out.join(slope_aspect(dem, "z", x, y), ["row", "col"], "left")
 
 
+@dataclass(frozen=True)
+class Layer:
+    """One raster of a feature: its name (an asset, or a file's stem), pixels (row, col, value), grid, and what is known of where it comes from."""
+
+    name: str
+    pixels: DataFrame
+    grid: GridSpec
+    source: dict[str, str] = field(default_factory=dict)
+
+
+def normalise_inputs(imagery: Iterable[Layer], layers: Iterable[Layer] = (), aliases: dict[str, str] | None = None) -> tuple[dict[str, list[Layer]], list[dict[str, str]]]:
+    """(layers by feature name, in order; their sources): repeated names are one feature."""
+    grouped: dict[str, list[Layer]] = {}
+    for one in [*imagery, *layers]:
+        grouped.setdefault((aliases or {}).get(one.name, one.name), []).append(one)
+    if not grouped:
+        raise ValueError("there are no layers")
+    return grouped, [{"asset": one.name, **one.source} for group in grouped.values() for one in group]
+
+
+def target_grid(first: GridSpec, epsg: int | None = None, resolution: float | None = None) -> GridSpec:
+    """The grid of a stack: that of the first layer, or its extent in another coordinate system or at another resolution (in units of the system), rounded up."""
+    from terrace.functions.crs import reproject_box
+
+    target = epsg or first.epsg
+    if resolution is not None and target == 4326:
+        raise ValueError("a resolution in metres takes a projected coordinate system")
+    if target == first.epsg and resolution is None:
+        return first
+    west, north, east, south = first.c, first.f, first.c + first.width * first.a, first.f + first.height * first.e
+    west, south, east, north = reproject_box((min(west, east), min(north, south), max(west, east), max(north, south)), first.epsg, target)
+    size = resolution or max(abs(first.a), abs(first.e))
+    width, height = max(1, math.ceil((east - west) / size)), max(1, math.ceil((north - south) / size))
+    return GridSpec(height, width, (east - west) / width, 0.0, west, 0.0, (south - north) / height, north, target)
+
+
+def create_feature_stack(
+    imagery: Iterable[Layer], *, method: str = "median", indices: Iterable[str] = (), layers: Iterable[Layer] = (), aliases: dict[str, str] | None = None, terrain_from: Iterable[str] = (), epsg: int | None = None, resolution: float | None = None,
+) -> tuple[DataFrame, list[str], str]:
+    """(row, col and the features on one grid; their names in order; the manifest as JSON).
+
+    Layers of one feature are brought to the grid by bilinear resampling where theirs differs, and composited (median or first
+    valid); indices are of the features, slope and aspect of those in terrain_from. Every pixel of the grid that any feature has is there.
+    """
+    if method.lower() not in ("median", "first_valid"):
+        raise ValueError(f"unknown method {method}")
+    grouped, sources = normalise_inputs(imagery, layers, aliases)
+    grid = target_grid(next(iter(grouped.values()))[0].grid, epsg, resolution)
+    indices, terrain_from = [i.upper() for i in indices], list(terrain_from)
+    lacking = [n for n in terrain_from if n not in grouped]
+    if lacking:
+        raise ValueError(f"terrain sources that are no features: {lacking}")
+    names = [*grouped, *indices, *[f"{n}_{x}" for n in terrain_from for x in ("slope", "aspect")]]
+    if len(set(names)) != len(names):
+        raise ValueError("features have different names")
+    made = {}
+    for name, group in grouped.items():
+        aligned = [(one.pixels if one.grid == grid else warp_bilinear(one.pixels, one.grid, grid, "value")).select("row", "col", F.col("value").cast("double").alias("value"), F.lit(k).alias("ord")) for k, one in enumerate(group)]
+        made[name] = composite(reduce(DataFrame.unionByName, aligned), ["row", "col"], method="first" if method.lower() == "first_valid" else "median")
+    rows = reduce(DataFrame.unionByName, [t.select("row", "col", F.lit(n).alias("layer"), F.col("value").alias("v")) for n, t in made.items()])
+    wide = rows.groupBy("row", "col").agg(*[F.max(F.when(F.col("layer") == n, F.col("v"))).alias(n) for n in made])
+    wide = wide.select("*", *[spectral_index(i, list(made)).alias(i) for i in indices])
+    for n in terrain_from:
+        slopes = slope_aspect(made[n].withColumnRenamed("value", "z"), "z", abs(grid.a), abs(grid.e))
+        wide = wide.join(slopes.select("row", "col", F.col("slope").alias(f"{n}_slope"), F.col("aspect").alias(f"{n}_aspect")), ["row", "col"], "left")
+    about = {"feature_names": names, "composite": method.lower(), "epsg": grid.epsg, "resolution": resolution, "sources": sources}
+    return wide.select("row", "col", *names), names, json.dumps(about, indent=2)
+
+
+def warp_bilinear(source: DataFrame, source_grid: GridSpec, target: GridSpec, value: str) -> DataFrame:
+    """row, col, value on the target grid, of any known coordinate system: all its pixels whose centre lies in the source."""
+    from terrace.functions.crs import reproject
+
+    spark = source.sparkSession
+    cells = spark.range(target.height * target.width).select(F.floor(F.col("id") / target.width).alias("row"), (F.col("id") % target.width).alias("col"))
+    x, y = reproject(*target.centre_of(F.col("row"), F.col("col")), target.epsg, source_grid.epsg)
+    cells = cells.withColumns({"_x": x, "_y": y})
+    r, c = source_grid.pixel_of(F.col("_x"), F.col("_y"))
+    return _bilinear(source, source_grid, cells.where(source_grid.inside(r, c)), value)
+
+
+def valid_mask(pixels: DataFrame, value: str = "cls", nodata: float = 0) -> DataFrame:
+    """row, col, mask: 255 where a pixel has data, else 0."""
+    good = F.coalesce((F.col(value) != nodata) & finite(F.col(value).cast("double")), F.lit(False))
+    return pixels.select("row", "col", F.when(good, 255).otherwise(0).alias("mask"))
+
+
+def distance_features(sources: dict[str, DataFrame], grid: GridSpec) -> DataFrame:
+    """row, col and a distance for each name: to the nearest pixel that its features touch (polygons with a ring) or hold (points x, y); nothing means an error."""
+    from terrace.operators.focal import distance_to
+
+    if grid.geographic:
+        raise ValueError("distances take a projected grid")
+    if not sources:
+        raise ValueError("there are no features")
+    spark = next(iter(sources.values())).sparkSession
+    cells = spark.range(grid.height * grid.width).select(F.floor(F.col("id") / grid.width).alias("row"), (F.col("id") % grid.width).alias("col"))
+    out = None
+    for name, rows in sources.items():
+        if "ring" in rows.columns:
+            hit = rasterize_touched(rows.select("ring"), grid).select("row", "col").distinct()
+        else:
+            r, c = grid.pixel_of(F.col("x"), F.col("y"))
+            hit = rows.select(r.alias("row"), c.alias("col")).where(grid.inside(F.col("row"), F.col("col"))).distinct()
+        if hit.isEmpty():
+            raise ValueError(f"no features of {name} on the grid")
+        own = distance_to(cells.join(hit.withColumn("_hit", F.lit(True)), ["row", "col"], "left"), F.coalesce("_hit", F.lit(False)), abs(grid.a), abs(grid.e)).withColumnRenamed("distance", name)
+        out = own if out is None else out.join(own, ["row", "col"])
+    return out
+
+
 def resample_nearest(source: DataFrame, source_grid: GridSpec, target: DataFrame, target_grid: GridSpec, cols: list[str]) -> DataFrame:
     """row, col of target and cols of the source pixel that holds each target pixel's centre; one coordinate system."""
     x, y = target_grid.centre_of(F.col("row"), F.col("col"))
@@ -66,7 +182,12 @@ def resample_nearest(source: DataFrame, source_grid: GridSpec, target: DataFrame
 def resample_bilinear(source: DataFrame, source_grid: GridSpec, target: DataFrame, target_grid: GridSpec, value: str) -> DataFrame:
     """row, col, value: the mean of the four source pixels around each target centre, by nearness; missing ones are left out."""
     x, y = target_grid.centre_of(F.col("row"), F.col("col"))
-    fy, fx = (y - source_grid.f) / source_grid.e - 0.5, (x - source_grid.c) / source_grid.a - 0.5
+    return _bilinear(source, source_grid, target.select("row", "col", x.alias("_x"), y.alias("_y")), value)
+
+
+def _bilinear(source: DataFrame, source_grid: GridSpec, target: DataFrame, value: str) -> DataFrame:
+    """target: row, col and the place _x, _y in the source's coordinates."""
+    fy, fx = (F.col("_y") - source_grid.f) / source_grid.e - 0.5, (F.col("_x") - source_grid.c) / source_grid.a - 0.5
     t = target.select("row", "col", fy.alias("_y"), fx.alias("_x"))
     part = lambda at, near: 1 - F.abs(at - near)
     corners = F.array(*[F.struct((F.floor("_y") + i).alias("r"), (F.floor("_x") + j).alias("c")) for i in (0, 1) for j in (0, 1)])
@@ -76,19 +197,25 @@ def resample_bilinear(source: DataFrame, source_grid: GridSpec, target: DataFram
     return target.select("row", "col").join(done, ["row", "col"], "left")
 
 
+def _bands_long(pixels: DataFrame, bands: list[str], keep) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.when(keep(F.col(b)), F.col(b).cast("double")).alias("v")) for b in bands]))
+    return pixels.select(each.alias("x")).select("x.*")
+
+
 def percent_stretch(pixels: DataFrame, bands: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """pixels with bands stretched from 0 to 1 between two exact percentiles of their values above 0."""
-    good = lambda b: F.when(finite(F.col(b)) & (F.col(b) > 0), F.col(b))
-    ends = pixels.agg(*[F.percentile(good(b), F.array(F.lit(low), F.lit(high))).alias(f"_{b}") for b in bands])
-    joined = pixels.crossJoin(F.broadcast(ends))  # by one row
-    unit: list[Column] = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(b) - F.col(f"_{b}")[0]) / (F.col(f"_{b}")[1] - F.col(f"_{b}")[0] + 1e-9))).alias(b) for b in bands]
-    return joined.select(*[c for c in pixels.columns if c not in bands], *unit)
+    """pixels with bands stretched from 0 to 1 between two exact percentiles of their values above 0; null where a band has none."""
+    ends = exact_quantiles(_bands_long(pixels, bands, lambda x: finite(x.cast("double")) & (x > 0)), F.col("band"), F.col("v"), (low, high))
+    unit = [stretch(F.col(b), F.lit(ends[b][0]), F.lit(ends[b][1])).alias(b) if b in ends else F.lit(None).cast("double").alias(b) for b in bands]
+    return pixels.select(*[c for c in pixels.columns if c not in bands], *unit)
 
 
 def band_statistics(pixels: DataFrame, bands: list[str], quantiles: tuple[float, ...] = (0.5, 0.99)) -> DataFrame:
-    """band, max, mean and exact quantiles (q50, q99 ...) of each band, in one pass."""
-    made = [F.struct(F.lit(b).alias("band"), F.max(F.col(b).cast("double")).alias("max"), F.avg(F.col(b).cast("double")).alias("mean"), *[F.percentile(F.col(b).cast("double"), F.lit(q)).alias(f"q{round(q * 100)}") for q in quantiles]) for b in bands]
-    return pixels.agg(F.array(*made).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    """band, max, mean and exact quantiles (q50, q99 ...) of each band."""
+    rows = _bands_long(pixels, bands, lambda x: x.isNotNull())
+    at = exact_quantiles(rows, F.col("band"), F.col("v"), quantiles)
+    names = [f"q{round(q * 100)}" for q in quantiles]
+    table = pixels.sparkSession.createDataFrame([(b, *at.get(b, [None] * len(names))) for b in bands], "band string, " + ", ".join(f"{n} double" for n in names))
+    return rows.groupBy("band").agg(F.max("v").alias("max"), F.avg("v").alias("mean")).join(F.broadcast(table), "band").select("band", "max", "mean", *names)
 
 
 def rasterize_touched(polygons: DataFrame, grid: GridSpec, ring: str = "ring") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrace.grid import GridSpec
 from terrace.operators import accuracy, areas, sampling
 from terrace.schema import CLASSES_18
+from terrace.scratch import materialize
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -25,30 +26,85 @@ class AccuracyResult:
     overall: DataFrame
     classes: DataFrame
     matrix: DataFrame
-    weighted: DataFrame
-    adjusted: DataFrame
+    weighted: DataFrame | None
+    adjusted: DataFrame | None
     samples: DataFrame
 
     def save(self, folder: str, prefix: str = "accuracy") -> list[str]:
         """overall as JSON, the others as CSV, each in a folder of its own; returns the folders."""
         at = lambda name: f"{folder.rstrip('/')}/{prefix}_{name}"
         self.overall.coalesce(1).write.mode("overwrite").json(at("overall"))
-        for name in ("classes", "matrix", "weighted", "adjusted", "samples"):
+        tables = [n for n in ("classes", "matrix", "weighted", "adjusted", "samples") if getattr(self, n) is not None]
+        for name in tables:
             write_csv(getattr(self, name), at(name))
-        return [at(n) for n in ("overall", "classes", "matrix", "weighted", "adjusted", "samples")]
+        return [at(n) for n in ("overall", *tables)]
 
 
-def assess_map(pixels: DataFrame, points: DataFrame, grid: GridSpec, *, cls: str = "cls", label: str = "class_id", key: str = "point_id", mapping: dict[int, int] | None = None, confidence: float = 0.95) -> AccuracyResult:
-    """Accuracy of a map at reference points, with its pixel counts as strata; mapping is one step on map and reference."""
-    got = sampling.point_pixels(points, pixels.where(F.col(cls) > 0), grid, bands=[cls], label=label, keep=(key,))
+def class_names_of(reference: DataFrame, label: str, name: str) -> dict[int, str]:
+    """The first name of each class in the reference (a class each)."""
+    if name not in reference.columns:
+        raise ValueError(f"no column {name} among {reference.columns}")
+    own = reference.select(F.col(label).try_cast("int").alias("c"), F.trim(F.col(name).cast("string")).alias("n")).where("c IS NOT NULL AND n <> ''")
+    return {r["c"]: r["n"] for r in own.groupBy("c").agg(F.min("n").alias("n")).collect()}
+
+
+def assess_samples(samples: DataFrame, *, counts: DataFrame | None = None, pixel_m2: float = 1.0, names: dict[int, str] | None = None, labels: list[int] | None = None, mapping: dict[int, int] | None = None, confidence: float = 0.95) -> AccuracyResult:
+    """Accuracy of samples (ref_class, map_class). mapping goes entry by entry over samples, in one step over counts and labels; classes of 0 or less count for nothing in counts.
+
+    Classes: labels, or all that samples, counts and names have above 0. No samples mean an error.
+    """
     m = mapping or {}
-    samples = got.select(key, areas.remap(F.col(label).cast("int"), m).alias("ref_class"), areas.remap(F.col(cls).cast("int"), m).alias("map_class"))
-    samples = samples.withColumn("is_correct", (F.col("ref_class") == F.col("map_class")).cast("int"))
-    matrix, counts = accuracy.confusion(samples), areas.pixel_counts(pixels, m, cls)
-    return AccuracyResult(
-        accuracy.overall_accuracy(matrix, confidence), accuracy.class_accuracy(matrix), matrix, accuracy.area_weighted_overall(matrix, counts),
-        accuracy.adjusted_area(matrix, counts, grid.mean_pixel_area_m2(), confidence), samples,
-    )
+    own = samples.withColumns({"ref_class": areas.remap_chain(F.col("ref_class"), m), "map_class": areas.remap_chain(F.col("map_class"), m)})
+    own = own.withColumn("is_correct", (F.col("ref_class") == F.col("map_class")).cast("int"))
+    matrix = materialize(accuracy.confusion(own), "confusion")
+    if matrix.isEmpty():
+        raise ValueError("there are no samples")
+    if counts is not None:
+        counts = counts.groupBy(areas.remap(F.col("cls"), m).cast("int").alias("cls")).agg(F.sum("n_pixels").alias("n_pixels")).where("cls > 0")
+    if labels is not None:
+        classes = sorted({m.get(c, c) for c in labels})
+    else:
+        seen = {r[0] for r in matrix.select(F.explode(F.array("map_class", "ref_class"))).distinct().collect()} | ({r[0] for r in counts.select("cls").distinct().collect()} if counts is not None else set())
+        classes = sorted(c for c in seen | set(names or {}) if c > 0)
+    every = matrix.sparkSession.createDataFrame([(c, (names or {}).get(c, f"Class_{c}")) for c in classes], "cls int, class_name string")
+    inside = matrix.where(F.col("map_class").isin(classes) & F.col("ref_class").isin(classes))
+    per = every.join(accuracy.class_accuracy(inside), "cls", "left").fillna(0, ["n_map", "n_ref"]).orderBy("cls")
+    weighted = accuracy.area_weighted_overall(inside, counts) if counts is not None else None
+    adjusted = every.join(accuracy.adjusted_area(inside, counts, pixel_m2, confidence), "cls").orderBy("cls") if counts is not None else None
+    return AccuracyResult(accuracy.overall_accuracy(matrix, confidence), per, accuracy.confusion_table(inside, classes), weighted, adjusted, own)
+
+
+def assess_map(
+    pixels: DataFrame, reference: DataFrame, grid: GridSpec, *, cls: str = "cls", label: str = "class_id", key: str = "point_id", name_col: str | None = None, names: dict[int, str] | None = None, labels: list[int] | None = None,
+    filter_col: str | None = None, filter_value: object = 1, mapping: dict[int, int] | None = None, area: bool = True, mode: str = "majority", confidence: float = 0.95, nodata: tuple[int, ...] = (0, -1, 255), epsg: int | None = None, folder: str | None = None,
+) -> AccuracyResult:
+    """Accuracy of a map at reference points (x, y) or polygons (ring; mode: majority, all_pixels or centroid), with its pixel counts as strata.
+
+    Reference rows without a class or place, and those whose filter_col isn't filter_value, are left out; none left means an error. mapping
+    goes in one step over what was sampled and over counts, then as in assess_samples.
+    """
+    for c in (label, filter_col):
+        if c is not None and c not in reference.columns:
+            raise ValueError(f"no column {c} among {reference.columns}")
+    found = {} if name_col is None else class_names_of(reference, label, name_col)
+    polygons = "ring" in reference.columns
+    own = reference if filter_col is None else reference.where(F.col(filter_col) == F.lit(filter_value))
+    own = own.where(F.col(label).isNotNull() & (F.col("ring").isNotNull() if polygons else F.col("x").isNotNull() & F.col("y").isNotNull()))
+    if own.isEmpty():
+        raise ValueError("no reference features are left")
+    own = sampling.to_grid(own, epsg or grid.epsg, grid)
+    good = pixels.where(F.col(cls).isNotNull() & ~F.col(cls).isin(*nodata))
+    if polygons:
+        got = sampling.polygon_samples(own, good, grid, mode=mode, poly=key, label=label, cls=cls)
+    else:
+        got = sampling.point_pixels(own, good, grid, bands=[cls], label=label, keep=(key,)).select(key, F.col(label).cast("int").alias("ref_class"), F.col(cls).cast("int").alias("map_class"))
+    m = mapping or {}
+    got = got.withColumns({c: areas.remap(F.col(c), m).cast("int") for c in ("ref_class", "map_class")})
+    counts = areas.pixel_counts(pixels, m, cls, nodata) if area else None
+    done = assess_samples(got, counts=counts, pixel_m2=grid.mean_pixel_area_m2(), names={**found, **(names or {})}, labels=labels, mapping=m, confidence=confidence)
+    if folder is not None:
+        done.save(folder)
+    return done
 
 
 def batch_summary(maps: dict[str, DataFrame], points: DataFrame, grid: GridSpec, **how) -> DataFrame:
@@ -80,3 +136,14 @@ def bar_chart(area: DataFrame, title: str = "Area by class") -> dict:
     """A chart description (Vega-Lite) of a class-area table."""
     rows = [r.asDict() for r in area.select("class_name", "area_ha").collect()]
     return {"title": title, "data": {"values": rows}, "mark": "bar", "encoding": {"x": {"field": "class_name", "type": "nominal"}, "y": {"field": "area_ha", "type": "quantitative"}}}
+
+
+def class_area_report(pixels: DataFrame, grid: GridSpec, *, names: dict[int, str] | None = None, cls: str = "cls", csv: str | None = None, chart: str | None = None) -> DataFrame:
+    """areas.class_area, also written as CSV to a folder and as a chart description to another, where they are named."""
+    table = areas.class_area(pixels, grid, names, cls)
+    if csv:
+        write_csv(table, csv)
+    if chart:
+        text = json.dumps(bar_chart(table))
+        table.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(chart)
+    return table

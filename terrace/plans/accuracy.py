@@ -140,9 +140,9 @@ def _(points: DataFrame) -> DataFrame:
     return done.groupBy("class_id").agg(F.count_if("is_test").alias("n_test"), F.count(F.lit(1)).alias("n"))
 
 
-@part.add("flag_left_join", "points flags", "SELECT point_id, class_id, coalesce(outlier, false) AS outlier, score FROM points LEFT JOIN (SELECT * FROM flags WHERE point_id % 3 = 0) f USING (point_id)")
+@part.add("flag_left_join", "points flags", "SELECT point_id, class_id, coalesce(outlier, false) AS outlier, score FROM points LEFT JOIN flags USING (point_id)")
 def _(points: DataFrame, flags: DataFrame) -> DataFrame:
-    return sampling.join_flags(points.select("point_id", "class_id"), flags.where("point_id % 3 = 0"))
+    return sampling.join_flags(points.select("point_id", "class_id"), flags)
 
 
 @part.add("remove_anti_join", "points flags", "SELECT point_id, class_id FROM points WHERE point_id NOT IN (SELECT point_id FROM flags WHERE outlier)")
@@ -166,10 +166,30 @@ def _(bands: DataFrame, segs: DataFrame) -> DataFrame:
     return outliers.outliers(t, ["blue", "green", "red"])
 
 
-@part.add("outliers_elliptic", "px_bands")
+_F3 = ("blue", "green", "red")
+_D = [f"({f} - m_{f})" for f in _F3]
+
+
+def _c(i: int, j: int) -> str:
+    return f"c{min(i, j)}{max(i, j)}"
+
+
+def _cofactor(i: int, j: int) -> str:
+    r, k = [x for x in range(3) if x != i], [x for x in range(3) if x != j]
+    sign = "" if (i + j) % 2 == 0 else "-"
+    return f"{sign}({_c(r[0], k[0])} * {_c(r[1], k[1])} - {_c(r[0], k[1])} * {_c(r[1], k[0])})"
+
+
+_COV = ", ".join(f"avg({a}::DOUBLE * {b}) - avg({a}) * avg({b}) AS c{i}{j}" for i, a in enumerate(_F3) for j, b in enumerate(_F3) if i <= j)
+_QUAD = " + ".join(f"{_D[i]} * {_D[j]} * ({_cofactor(i, j)})" for i in range(3) for j in range(3))
+
+
+@part.add("outliers_elliptic", "px_bands", f"""WITH t AS (SELECT row * 25 + col AS point_id, row % 3 AS class_id, blue, green, red FROM px_bands), s AS (SELECT class_id, {', '.join(f'avg({f}) AS m_{f}' for f in _F3)}, {_COV} FROM t GROUP BY 1),
+d AS (SELECT point_id, class_id, ({_QUAD}) / ({' + '.join(f'{_c(0, j)} * ({_cofactor(0, j)})' for j in range(3))}) AS d FROM t JOIN s USING (class_id)), e AS (SELECT class_id, quantile_cont(d, 0.95) AS e FROM d GROUP BY 1)
+SELECT point_id, class_id, d > e AS outlier, round_even(d, 5) AS score FROM d JOIN e USING (class_id)""")
 def _(bands: DataFrame) -> DataFrame:
     t = bands.withColumn("point_id", F.col("row") * 25 + F.col("col")).withColumn("class_id", F.col("row") % 3)
-    return outliers.outliers(t, ["blue", "green", "red"], method="elliptic")
+    return outliers.outliers(t, ["blue", "green", "red"], method="elliptic").withColumn("score", F.bround("score", 5))
 
 
 QUERIES, ORACLES = part.queries, part.oracles

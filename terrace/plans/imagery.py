@@ -58,10 +58,10 @@ def _(scenes: DataFrame) -> DataFrame:
 
 
 def _tiles(px: DataFrame) -> list[DataFrame]:
-    return [px.where(w).select("row", "col", F.col(e).alias("cls")) for w, e in (("col < 60", "e0"), ("col >= 40", "e1"), ("row % 3 = 0", "e2"))]
+    return [px.where(w).select("row", "col", F.col(e).alias("cls")) for w, e in (("col < 60", "e0"), ("col >= 40", "e1"), ("row BETWEEN 10 AND 39 AND col BETWEEN 20 AND 79", "e2"))]
 
 
-_TILES = "tl AS (SELECT row, col, e0 AS cls, 0 AS ord FROM px_epochs WHERE col < 60 UNION ALL SELECT row, col, e1, 1 FROM px_epochs WHERE col >= 40 UNION ALL SELECT row, col, e2, 2 FROM px_epochs WHERE row % 3 = 0)"
+_TILES = "tl AS (SELECT row, col, e0 AS cls, 0 AS ord FROM px_epochs WHERE col < 60 UNION ALL SELECT row, col, e1, 1 FROM px_epochs WHERE col >= 40 UNION ALL SELECT row, col, e2, 2 FROM px_epochs WHERE row BETWEEN 10 AND 39 AND col BETWEEN 20 AND 79)"
 
 
 @part.add("mosaic_max", "px_epochs", f"WITH {_TILES} SELECT row, col, max(cls) AS cls FROM tl GROUP BY 1, 2")

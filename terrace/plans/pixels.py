@@ -65,11 +65,18 @@ def _(levels: DataFrame, segs: DataFrame, masks: DataFrame) -> DataFrame:
     return fusion.fuse(own, bands=N, rules=_RULES).select("row", "col", "lulc", "is_stable", F.bround(F.col("ci") * 0.9973, 6).alias("ci_scaled"))
 
 
-@part.add("false_hydrology_refine", "px_epochs px_dem", "SELECT row, col, CASE WHEN c = 18 THEN 17 ELSE c END AS cls FROM (SELECT row, col, CASE WHEN e0 IN (17, 18) AND e1 IN (15, 16) AND z / 997.0::DOUBLE > 0.65 THEN e1 ELSE e0 END AS c FROM px_epochs JOIN px_dem USING (row, col))")
+# Each pixel's first and second class by probability, out of 18: e0 with 5000, e1 (if another) with 5 times z.
+_TWO = """WITH q AS (SELECT row, col, e0 AS a, e1 AS b, e0 = e1 AS alone, z * 5 AS v FROM px_epochs JOIN px_dem USING (row, col) WHERE e0 > 0 AND e1 > 0),
+t AS (SELECT row, col, CASE WHEN alone THEN a WHEN v > 5000 OR v = 5000 AND b < a THEN b ELSE a END AS w, CASE WHEN alone OR v = 0 THEN 0 WHEN v > 5000 OR v = 5000 AND b < a THEN a ELSE b END AS s, CASE WHEN alone THEN 0 ELSE least(v, 5000) / greatest(v, 5000)::DOUBLE END AS ci FROM q)
+SELECT row, col, CASE WHEN c = 18 THEN 17 ELSE c END AS cls FROM (SELECT row, col, CASE WHEN w IN (17, 18) AND s IN (15, 16) AND ci > 0.65 THEN s ELSE w END AS c FROM t)"""
+
+
+@part.add("false_hydrology_refine", "px_epochs px_dem", _TWO)
 def _(px: DataFrame, dem: DataFrame) -> DataFrame:
-    j = px.join(dem, ["row", "col"]).withColumn("ci", F.col("z") / 997.0)
-    cls = F.when(F.col("e0").isin(17, 18) & F.col("e1").isin(15, 16) & (F.col("ci") > 0.65), F.col("e1")).otherwise(F.col("e0"))
-    return j.select("row", "col", F.when(cls == 18, 17).otherwise(cls).alias("cls"))
+    j = px.join(dem, ["row", "col"]).where("e0 > 0 AND e1 > 0")
+    p = F.transform(F.sequence(F.lit(1), F.lit(18)), lambda k: F.when(k == F.col("e0"), F.lit(5000)).when(k == F.col("e1"), (F.col("z") * 5).cast("int")).otherwise(0))
+    done = fusion.fuse(j.select("row", "col", p.alias("p"), F.lit(0).cast("long").alias("seg")), bands=18)
+    return done.select("row", "col", F.col("lulc").alias("cls"))
 
 
 _TOWN = "r1 AS (SELECT *, CASE WHEN e3 = 16 AND corridor = 1 AND settlement <> 1 THEN 17 ELSE e3 END AS c1 FROM px_epochs JOIN px_masks USING (row, col)), r2 AS (SELECT *, CASE WHEN c1 IN (17, 18) AND settlement = 1 AND corridor <> 1 THEN 16 ELSE c1 END AS c2 FROM r1)"
@@ -143,19 +150,13 @@ def _(levels: DataFrame) -> DataFrame:
     return done.select("row", "col", *[F.col("p")[k].alias(f"p{k}") for k in range(N)])
 
 
-# Patches by the least label that neighbours pass on, on a raster small enough for a recursion.
-_CUT = "WHERE row < 24 AND col < 24"
-_PATCH = f"""px AS (SELECT row, col, e0 AS cls, row * 100 + col AS id FROM px_epochs {_CUT} AND e0 > 0),
-nb AS (SELECT a.id AS a, b.id AS b FROM px a JOIN px b ON a.cls = b.cls AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
-reach AS (SELECT a, b FROM nb UNION SELECT r.a, nb.b FROM reach r JOIN nb ON nb.a = r.b),
-sz AS (SELECT a AS id, count(*) AS size FROM reach GROUP BY 1)"""
 _TABLE = {1: 6, 2: 8, 3: 6, 4: 30, 5: 6, 6: 8, 7: 6, 8: 6, 9: 6, 10: 6}
-_LEAST = "CASE cls " + " ".join(f"WHEN {k} THEN {v}" for k, v in _TABLE.items()) + " ELSE 0 END"
 
 
-@part.add("mmu_small_patches", "px_epochs", f"WITH RECURSIVE {_PATCH} SELECT row, col, cls, size < {_LEAST} AS is_small FROM px JOIN sz USING (id)")
+@part.add("mmu_small_patches", "px_epochs")
 def _(px: DataFrame) -> DataFrame:
-    return components.small_patches(px.where("row < 24 AND col < 24 AND e0 > 0").withColumn("cls", F.col("e0")), _TABLE, tile=7)
+    # The whole raster: recursive SQL is too slow for that, so tests hold the patches against a plain search.
+    return components.small_patches(px.where("e0 > 0").withColumn("cls", F.col("e0")), _TABLE)
 
 
 @part.add("mmu_fill", "px_epochs")
@@ -163,7 +164,18 @@ def _(px: DataFrame) -> DataFrame:
     return components.dissolve_small(px.select("row", "col", F.col("e0").alias("cls")), MMU)
 
 
-@part.add("clamped_segments", "px_epochs")
+# Patches of four neighbours: runs along rows, linked between rows, and the least label by recursion over the runs.
+_CLAMP = """cl AS (SELECT row, col, CASE WHEN e0 % 3 = 0 THEN 2147483647 ELSE e1 END AS seg FROM px_epochs),
+k AS (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS g FROM cl WHERE seg = 2147483647),
+run AS (SELECT row, min(col) AS c0, max(col) AS c1, row * 2147483648 + min(col) AS id FROM k GROUP BY row, g),
+nb AS (SELECT a.id AS a, b.id AS b FROM run a JOIN run b ON b.row IN (a.row - 1, a.row + 1) AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+reach AS (SELECT id AS a, id AS b FROM run UNION SELECT r.a, nb.b FROM reach r JOIN nb ON nb.a = r.b),
+patch AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY 1),
+px AS (SELECT k.row, k.col, root FROM k JOIN run ON run.row = k.row AND k.col BETWEEN c0 AND c1 JOIN patch USING (id)),
+sz AS (SELECT root, count(*) AS n FROM px GROUP BY 1)"""
+
+
+@part.add("clamped_segments", "px_epochs", f"WITH RECURSIVE {_CLAMP} SELECT cl.row, cl.col, CASE WHEN root IS NULL THEN seg WHEN n > 40 THEN 0 ELSE -root - 2 END AS seg FROM cl LEFT JOIN px USING (row, col) LEFT JOIN sz USING (root)")
 def _(px: DataFrame) -> DataFrame:
     return components.localise_clamped(px.select("row", "col", F.when(F.col("e0") % 3 == 0, 2147483647).otherwise(F.col("e1")).alias("seg")), most=40)
 

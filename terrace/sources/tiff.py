@@ -1,10 +1,14 @@
-"""Rasters in TIFF files as pixel tables, read and written without any library: baseline layouts, deflate or none, strips or tiles."""
+"""Rasters in TIFF files as pixel tables, and tiles of pixel tables as files: classic and large files; strips or tiles, plain, deflated or LZW.
+
+A scan's partitions are blocks of a file, not files: headers are read first, then each task reads the bytes of its own blocks.
+"""
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,12 +17,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.grid import GridSpec
+from terrace.scratch import materialize
 
 # Tags of the format and of its geographic extension.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, BANDS, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT, SCALE, TIEPOINT, GEO_KEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42113
 _SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 _KINDS = {1: "u", 2: "i", 3: "f"}
+#: Bytes of blocks that one task reads.
+TASK_BYTES = 64 << 20
+
+Reader = Callable[[int, int], bytes]  # offset, size
+
+
+def opened(path: str) -> Reader:
+    """Reads ranges of a file: local, or of a store that Arrow knows by its address."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    file = store.open_input_file(inner)
+    return lambda at, size: file.read_at(size, at)
+
+
+def unlzw(data: bytes) -> bytes:
+    """The format's LZW: codes from the high bit on, of 9 to 12 bits, one early; 256 clears the table, 257 ends."""
+    table: list[bytes] = []
+    out, width, bits, held, last = [], 9, 0, 0, b""
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out.append(word)
+        if last:
+            table.append(last + word[:1])
+        last = word
+        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+    return b"".join(out)
 
 
 @dataclass
@@ -29,18 +72,26 @@ class Image:
     order: str
 
     @classmethod
-    def of(cls, raw: bytes) -> Image:
-        order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-        if not order or struct.unpack(order + "H", raw[2:4])[0] != 42:
-            raise ValueError("not a classic TIFF file")
-        at, tags = struct.unpack(order + "I", raw[4:8])[0], {}
-        for k in range(struct.unpack(order + "H", raw[at : at + 2])[0]):
-            tag, kind, count, value = struct.unpack(order + "HHI4s", raw[at + 2 + 12 * k : at + 14 + 12 * k])
+    def of(cls, raw: bytes | Reader) -> Image:
+        read = raw if callable(raw) else lambda at, size: raw[at : at + size]
+        head = read(0, 16)
+        order = {b"II": "<", b"MM": ">"}.get(head[:2])
+        version = struct.unpack(order + "H", head[2:4])[0] if order else 0
+        if version not in (42, 43):
+            raise ValueError("not a TIFF file")
+        large = version == 43
+        at = struct.unpack(order + "Q", head[8:16])[0] if large else struct.unpack(order + "I", head[4:8])[0]
+        count_code, entry, inline = ("Q", "HHQ8s", 8) if large else ("H", "HHI4s", 4)
+        first, size = struct.calcsize(order + count_code), struct.calcsize(order + entry)
+        many = struct.unpack(order + count_code, read(at, first))[0]
+        entries, tags = read(at + first, size * many), {}
+        for k in range(many):
+            tag, kind, count, value = struct.unpack(order + entry, entries[size * k : size * (k + 1)])
             if kind not in _SIZES:
                 continue
-            code, size = _SIZES[kind]
-            data = value if size * count <= 4 else raw[(p := struct.unpack(order + "I", value)[0]) : p + size * count]
-            tags[tag] = (data[:count].rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(f"{order}{count}{code}", data[: size * count])
+            code, width = _SIZES[kind]
+            data = value if width * count <= inline else read(struct.unpack(order + ("Q" if large else "I"), value)[0], width * count)
+            tags[tag] = (data[:count].rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(f"{order}{count}{code}", data[: width * count])
         return cls(tags, order)
 
     def one(self, tag: int, default: int | None = None) -> int:
@@ -62,52 +113,95 @@ class Image:
     def nodata(self) -> float | None:
         return float(self.tags[NODATA][0]) if NODATA in self.tags else None
 
-    def blocks(self, raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(row, col, values by row, column and band) of each strip or tile."""
+    def layout(self) -> list[tuple[int, int, int, tuple[int, ...], tuple[int, ...]]]:
+        """(row, col, rows, offsets, sizes) of each strip or tile; several offsets where bands are stored apart."""
         h, w, n, planar = self.one(HEIGHT), self.one(WIDTH), self.one(BANDS, 1), self.one(PLANAR, 1)
         tiled = TILE_OFFSETS in self.tags
         bh, bw = (self.one(TILE_HEIGHT), self.one(TILE_WIDTH)) if tiled else (min(self.one(ROWS_PER_STRIP, h), h), w)
         offsets, sizes = self.tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], self.tags[TILE_BYTES if tiled else STRIP_BYTES]
         across, down = -(-w // bw), -(-h // bh)
-        if self.one(COMPRESSION, 1) not in (1, 8, 32946):
-            raise ValueError(f"compression {self.one(COMPRESSION)} is not supported")
+        out = []
+        for k in range(across * down):
+            r, c = k // across * bh, k % across * bw
+            own = [k] if planar == 1 else [k + b * across * down for b in range(n)]
+            out.append((r, c, bh if tiled else min(bh, h - r), tuple(offsets[j] for j in own), tuple(sizes[j] for j in own)))
+        return out
+
+    def decode(self, parts: list[bytes], r: int, c: int, rows: int) -> np.ndarray:
+        """Values by row, column and band of one block."""
+        kind, width = self.one(COMPRESSION, 1), self.one(TILE_WIDTH) if TILE_OFFSETS in self.tags else self.one(WIDTH)
+        unpack = {1: lambda d: d, 5: unlzw, 8: zlib.decompress, 32946: zlib.decompress}
+        if kind not in unpack:
+            raise ValueError(f"compression {kind} is not supported")
+        bands = self.one(BANDS, 1) if self.one(PLANAR, 1) == 1 else 1
 
-        def cells(k: int, bands: int, rows: int) -> np.ndarray:
-            data = raw[offsets[k] : offsets[k] + sizes[k]]
-            data = data if self.one(COMPRESSION, 1) == 1 else zlib.decompress(data)
-            a = np.frombuffer(data, self.dtype, rows * bw * bands).reshape(rows, bw, bands)
+        def cells(data: bytes) -> np.ndarray:
+            a = np.frombuffer(unpack[kind](data), self.dtype, rows * width * bands).reshape(rows, width, bands)
             return np.cumsum(a, 1, dtype=a.dtype) if self.one(PREDICTOR, 1) == 2 else a
 
-        for k in range(across * down):
-            r, c = k // across * bh, k % across * bw
-            rows = bh if tiled else min(bh, h - r)
-            a = cells(k, n, rows) if planar == 1 else np.concatenate([cells(k + b * across * down, 1, rows) for b in range(n)], 2)
-            yield r, c, a[: h - r, : w - c]
+        whole = np.concatenate([cells(p) for p in parts], 2)
+        return whole[: self.one(HEIGHT) - r, : self.one(WIDTH) - c]
 
+    def blocks(self, raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(row, col, values) of each block of a whole file."""
+        for r, c, rows, offsets, sizes in self.layout():
+            yield r, c, self.decode([raw[o : o + s] for o, s in zip(offsets, sizes, strict=True)], r, c, rows)
 
-def read_raster(spark: SparkSession, path: str, bands: list[str]) -> DataFrame:
-    """path, row, col, bands (double) of TIFF files: each file is a task, its blocks leave one by one; pixels with nodata in all bands are left out, nodata in one is null."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """path, row, col, bands (double) of TIFF files; pixels with nodata in all bands are left out, nodata in one is null. window: first row, first column, rows, columns.
+
+    Each task reads and unpacks some blocks, a block at a time, so files may be of any size; blocks outside the window aren't read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")  # the content isn't read
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                image = Image.of(raw)
+            for name in batch.column(0).to_pylist():
+                image = Image.of(opened(name))
                 if image.one(BANDS, 1) != len(bands):
                     raise ValueError(f"{name} has {image.one(BANDS, 1)} bands, not {len(bands)}")
-                for r, c, a in image.blocks(raw):
-                    values = a.astype(float).reshape(-1, len(bands))
-                    values[np.isclose(values, image.nodata) if image.nodata is not None else ~np.isfinite(values)] = np.nan
-                    row, col = (x.ravel() for x in np.mgrid[r : r + a.shape[0], c : c + a.shape[1]])
-                    keep = ~np.isnan(values).all(1)
-                    cols = [pa.array(values[keep, k], from_pandas=True) for k in range(len(bands))]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * int(keep.sum())), pa.array(row[keep]), pa.array(col[keep]), *cols], names=["path", "row", "col", *bands])
+                across = image.one(TILE_WIDTH) if TILE_OFFSETS in image.tags else image.one(WIDTH)
+                lines = [(r, c, n, o, s) for r, c, n, o, s in image.layout() if window is None or (r < window[0] + window[2] and r + n > window[0] and c < window[1] + window[3] and c + across > window[1])]
+                group, held = [], 0
+                for line in lines:  # so many blocks together as a task reads
+                    group.append(held // TASK_BYTES)
+                    held += sum(line[4])
+                cols = [pa.array([x[k] for x in lines], pa.int64()) for k in range(3)] + [pa.array([list(x[k]) for x in lines], pa.list_(pa.int64())) for k in (3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(group, pa.int64()), *cols], names=["path", "part", "r", "c", "rows", "offsets", "sizes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = image = read = None
+        for batch in batches:
+            for p, _, r, c, rows, offsets, sizes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if p != name:
+                    name, read = p, opened(p)
+                    image = Image.of(read)
+                a = image.decode([read(o, s) for o, s in zip(offsets, sizes, strict=True)], r, c, rows)
+                values = a.astype(float).reshape(-1, len(bands))
+                values[np.isclose(values, image.nodata) if image.nodata is not None else ~np.isfinite(values)] = np.nan
+                row, col = (x.ravel() for x in np.mgrid[r : r + a.shape[0], c : c + a.shape[1]])
+                keep = ~np.isnan(values).all(1)
+                if window is not None:
+                    keep &= (row >= window[0]) & (row < window[0] + window[2]) & (col >= window[1]) & (col < window[1] + window[3])
+                cols = [pa.array(values[keep, k], from_pandas=True) for k in range(len(bands))]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * int(keep.sum())), pa.array(row[keep]), pa.array(col[keep]), *cols], names=["path", "row", "col", *bands])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, row long, col long, " + ", ".join(f"{b} double" for b in bands))
+    blocks = materialize(files.mapInArrow(plan, "path string, part long, r long, c long, rows long, offsets array<long>, sizes array<long>"), "blocks")
+    parts = blocks.select("path", "part").distinct().count()
+    dealt = blocks.repartition(max(1, parts), "path", "part").sortWithinPartitions("path", "part")
+    return dealt.mapInArrow(run, "path string, row long, col long, " + ", ".join(f"{b} double" for b in bands))
 
 
 def read_grid(spark: SparkSession, path: str) -> GridSpec:
     """The grid of one file, from its header."""
-    return Image.of(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])).grid
+    return Image.of(opened(spark.read.format("binaryFile").load(path).select("path").first()[0])).grid
+
+
+def band_names(spark: SparkSession, path: str) -> list[str]:
+    """band_1, band_2 ... of one file."""
+    image = Image.of(opened(spark.read.format("binaryFile").load(path).select("path").first()[0]))
+    return [f"band_{k + 1}" for k in range(image.one(BANDS, 1))]
 
 
 def encode(values: np.ndarray, grid: GridSpec, nodata: float | None = None, rows: int = 256) -> bytes:
@@ -152,3 +246,25 @@ def raster_tiles(pixels: DataFrame, grid: GridSpec, bands: list[str], *, dtype:
 
     own = pixels.select("row", "col", *bands).withColumn("tile_row", F.floor(F.col("row") / tile)).withColumn("tile_col", F.floor(F.col("col") / tile))
     return own.groupBy("tile_row", "tile_col").applyInPandas(make, "tile_row long, tile_col long, content binary")
+
+
+def write_tiles(pixels: DataFrame, grid: GridSpec, bands: list[str], folder: str, **how) -> DataFrame:
+    """raster_tiles written as folder/tile_<row>_<col>.tif, each by the task that made it; returns tile_row, tile_col, path, bytes. A file is put in place whole, so a task that runs again does no harm."""
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for b in batches:
+            store.create_dir(inner, recursive=True)
+            paths, sizes = [], []
+            for r, c, content in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                at = f"{inner.rstrip('/')}/tile_{r}_{c}.tif"
+                made = f"{at}.{uuid.uuid4().hex}"
+                with store.open_output_stream(made) as out:
+                    out.write(content)
+                store.move(made, at)
+                paths.append(at)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(paths), pa.array(sizes, pa.int64())], names=["tile_row", "tile_col", "path", "bytes"])
+
+    return raster_tiles(pixels, grid, bands, **how).mapInArrow(put, "tile_row long, tile_col long, path string, bytes long")

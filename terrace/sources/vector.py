@@ -18,15 +18,85 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     )
 
 
+def resolve_paths(spark: SparkSession, rasters: str | list[str]) -> list[tuple[int, str]]:
+    """(place, path) of rasters: a pattern's files sorted, a list's in its own order; each must exist, and there must be one."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def matches(pattern: str) -> list[str]:
+        at = jvm.org.apache.hadoop.fs.Path(pattern)
+        return sorted(str(x.getPath().toString()) for x in (at.getFileSystem(conf).globStatus(at) or []))
+
+    if isinstance(rasters, str):
+        found = matches(rasters)
+    else:
+        found = []
+        for path in rasters:
+            own = matches(path)
+            if not own:
+                raise FileNotFoundError(path)
+            found += own[:1]
+    if not found:
+        raise FileNotFoundError(f"no rasters: {rasters}")
+    return list(enumerate(found))
+
+
+def area_of_interest(spark: SparkSession, aoi) -> tuple[float, float, float, float]:
+    """The box around an area: four numbers, a GeoJSON mapping (geometry, feature or collection), or a GeoJSON file."""
+    if isinstance(aoi, str):
+        rows = read_geojson(spark, aoi, "id STRING")
+        corners = rows.select(F.explode(F.coalesce("ring", F.array(F.struct("x", "y")))).alias("p"))
+        low = corners.agg(F.min("p.x"), F.min("p.y"), F.max("p.x"), F.max("p.y")).first()
+        if low[0] is None:
+            raise ValueError(f"no points or polygons in {aoi}")
+        return tuple(low)
+    if isinstance(aoi, dict):
+        def numbers(x):
+            if isinstance(x, dict):
+                for k in ("features", "geometries", "geometry", "coordinates"):
+                    if x.get(k) is not None:
+                        yield from numbers(x[k])
+            elif x and isinstance(x[0], (int, float)):
+                yield x[0], x[1]
+            else:
+                for y in x or ():
+                    yield from numbers(y)
+
+        points = list(numbers(aoi))
+        if not points:
+            raise ValueError("the mapping has no coordinates")
+        xs, ys = zip(*points, strict=True)
+        return min(xs), min(ys), max(xs), max(ys)
+    box = tuple(float(x) for x in aoi)
+    if len(box) != 4 or box[0] > box[2] or box[1] > box[3]:
+        raise ValueError("a box has four numbers: west, south, east, north")
+    return box
+
+
+def preview_urls(scenes: DataFrame, endpoint: str, asset: str = "visual", assets: str = "assets") -> DataFrame:
+    """scenes with preview_url: endpoint?collection=..&item=..&assets=..; a scene whose assets (array) lack it stops the query."""
+    code = lambda c: F.url_encode(c.cast("string"))
+    url = F.concat(F.lit(endpoint + "?collection="), code(F.col("collection")), F.lit("&item="), code(F.col("item_id")), F.lit("&assets="), code(F.lit(asset)))
+    lacks = F.raise_error(F.concat(F.lit(f"no asset {asset} in scene "), F.col("item_id").cast("string")))
+    return scenes.withColumn("preview_url", F.when(F.array_contains(assets, asset), url).otherwise(lacks.cast("string")) if assets in scenes.columns else url)
+
+
+def write_features(rows: DataFrame, path: str) -> None:
+    """Points (x, y) or polygons (ring) with their properties as GeoJSON features, a line each, for cleaned or flagged samples."""
+    ring = "ring" in rows.columns
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"]))).alias("coordinates")) if ring else F.struct(F.lit("Point").alias("type"), F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("coordinates"))
+    properties = F.struct(*[c for c in rows.columns if c not in ("x", "y", "ring")])
+    rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), shape.alias("geometry"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_points(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header, of a known schema."""
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def search_scenes(catalog: DataFrame, aoi: tuple[float, float, float, float], start: str, end: str, *, max_cloud: float | None = None, max_items: int = 20) -> DataFrame:
-    """Scenes (with xmin, ymin, xmax, ymax, ts, cloud_cover, item_id) that meet a box and a span of time, the earliest first; the filters reach the scan."""
-    if len(aoi) != 4:
-        raise ValueError("a box has four numbers")
+def search_scenes(catalog: DataFrame, aoi, start: str, end: str, *, max_cloud: float | None = None, max_items: int = 20) -> DataFrame:
+    """Scenes (with xmin, ymin, xmax, ymax, ts, cloud_cover, item_id) that meet the box of an area (see area_of_interest) and a span of time, the earliest first; the filters reach the scan."""
+    aoi = area_of_interest(catalog.sparkSession, aoi)
     hit = (F.col("xmin") <= aoi[2]) & (F.col("xmax") >= aoi[0]) & (F.col("ymin") <= aoi[3]) & (F.col("ymax") >= aoi[1]) & F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     if max_cloud is not None:
         hit = hit & (F.col("cloud_cover") <= max_cloud)

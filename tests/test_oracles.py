@@ -6,7 +6,6 @@ from oracle import same
 from terrace.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-NEED_FULL_GRID = {"mmu_small_patches"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
