@@ -35,6 +35,16 @@ def river_and_town_rules(corridor: str, settlement: str, built: int = 16, water:
     return [MaskRule((built,), water, corridor, 1, settlement, 1), MaskRule((water, riverbed), built, settlement, 1, corridor, 1)]
 
 
+def resolve_rules(rules: list[MaskRule] = (), corridor: str | None = None, settlement: str | None = None, *, built: int = 16, water: int = 17, riverbed: int = 18) -> list[MaskRule]:
+    """The user's rules first, then those of rivers and towns, as far as there are masks for them."""
+    out = list(rules)
+    if corridor:
+        out.append(MaskRule((built,), water, corridor, 1, settlement, 1))
+    if settlement:
+        out.append(MaskRule((water, riverbed), built, settlement, 1, corridor, 1))
+    return out
+
+
 def apply_rules(cls: Column, rules: list[MaskRule]) -> Column:
     """Each rule sees what the one before it made."""
     for r in rules:
@@ -111,6 +121,12 @@ def unique_segments(seg: Column, tile: Column, stride: int = 300_000_000) -> Col
     return seg.cast("long") + tile.cast("long") * stride
 
 
+def segment_statistics(pixels: DataFrame, values: list[str], seg: str = "seg", most: int = 1024) -> DataFrame:
+    """seg, n, <value>_mean and <value>_sd of each segment above 0 with at most `most` pixels; larger ones have null figures."""
+    own = pixels.where(F.col(seg) > 0).groupBy(seg).agg(F.count(F.lit(1)).alias("n"), *[f(F.col(v).cast("double")).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    return own.select(seg, "n", *[F.when(F.col("n") <= most, F.col(f"{v}_{n}")).alias(f"{v}_{n}") for v in values for n in ("mean", "sd")])
+
+
 def fuse_by_object(pixels: DataFrame, *, bands: int, scale: float = 10000.0, tau: float = TAU, sensitivity: float = SENSITIVITY, smoothness: list[float] = SMOOTHNESS, guard_sd: float | None = None, merge_riverbed: bool = True) -> DataFrame:
     """row, col, lulc, conf, ci, runner_up, is_stable (conf and ci in hundredths), the variant in which the segment's own confusion damps its weight.
 

@@ -209,6 +209,14 @@ def percent_stretch(pixels: DataFrame, bands: list[str], low: float = 0.02, high
     return pixels.select(*[c for c in pixels.columns if c not in bands], *unit)
 
 
+def make_features(pixels: DataFrame, bands: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """row, col, the bands and ndvi, each stretched between two percentiles, of pixels whose bands are all finite and above 0."""
+    good = pixels.where(reduce(lambda a, b: a & b, [finite(F.col(b).cast("double")) & (F.col(b) > 0) for b in bands]))
+    made = good.select("row", "col", *[F.col(b).cast("double").alias(b) for b in bands], spectral_index("NDVI", bands).alias("ndvi"))
+    ends = exact_quantiles(_bands_long(made, [*bands, "ndvi"], lambda x: finite(x)), F.col("band"), F.col("v"), (low, high))
+    return made.select("row", "col", *[stretch(F.col(b), F.lit(ends[b][0]), F.lit(ends[b][1])).alias(b) if b in ends else F.lit(None).cast("double").alias(b) for b in [*bands, "ndvi"]])
+
+
 def band_statistics(pixels: DataFrame, bands: list[str], quantiles: tuple[float, ...] = (0.5, 0.99)) -> DataFrame:
     """band, max, mean and exact quantiles (q50, q99 ...) of each band."""
     rows = _bands_long(pixels, bands, lambda x: x.isNotNull())

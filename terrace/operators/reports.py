@@ -111,7 +111,7 @@ def batch_summary(maps: dict[str, DataFrame], points: DataFrame, grid: GridSpec,
     """name, year and overall measures of several maps."""
     rows = None
     for name, pixels in sorted(maps.items()):
-        one = assess_map(pixels, points, grid, **how).overall.select(F.lit(name).alias("name"), F.regexp_extract(F.lit(name), r"(20\d\d)", 1).alias("year"), "*")
+        one = assess_map(pixels, points, grid, **{"area": False, **how}).overall.select(F.lit(name).alias("name"), F.regexp_extract(F.lit(name), r"(20\d\d)", 1).alias("year"), "*")
         rows = one if rows is None else rows.unionByName(one)
     return rows
 

@@ -161,6 +161,22 @@ def merge_samples(first: DataFrame, second: DataFrame, key: str = "point_id", la
     return once(first, "_1").join(once(second, "_2"), [key, label])
 
 
+def stratified_bernoulli(samples: DataFrame, key: str, label: str, fraction: float | dict[int, float] = 0.7, seed: int = 42) -> DataFrame:
+    """samples with is_train: each row of a label with the label's chance, by a hash of key, label and seed. Labels without a chance are never in it."""
+    h = F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(1_000_000))
+    if not isinstance(fraction, dict):
+        return samples.withColumn("is_train", h < int(fraction * 1_000_000))
+    table = F.create_map(*[F.lit(x) for k, v in fraction.items() for x in (k, int(v * 1_000_000))]) if fraction else F.create_map(F.lit(0), F.lit(0))
+    return samples.withColumn("is_train", F.coalesce(h < F.try_element_at(table, F.col(label).cast("int")), F.lit(False)))
+
+
+def sample_regions(pixels: DataFrame, points: DataFrame, grid: GridSpec, bands: list[str], *, label: str = "class_id", key: str = "point_id", fraction: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training rows, testing rows) with the bands of the pixels that hold the points of each half."""
+    split = stratified_bernoulli(points, key, label, fraction, seed)
+    half = lambda w: point_pixels(split.where(w), pixels, grid, bands=bands, label=label, keep=(key,))
+    return half("is_train"), half("NOT is_train")
+
+
 def remove_flagged(points: DataFrame, flags: DataFrame, key: str = "point_id", flag: str = "outlier") -> DataFrame:
     return points.join(flags.where(F.col(flag)).select(key), key, "left_anti")
 

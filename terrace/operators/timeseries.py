@@ -17,6 +17,27 @@ def season(ts: Column) -> Column:
     return F.when(F.month(ts).isin(12, 1, 2, 3, 4), "wet").otherwise("dry")
 
 
+def seasonal_radar(scenes: DataFrame, keys: list[str], *, mode: str = "IW", polarisation: str = "VV", ts: str = "ts", value: str = "value") -> DataFrame:
+    """seasonal_median of the scenes of one instrument mode whose polarisations (an array) have the wanted one."""
+    return seasonal_median(scenes.where((F.col("mode") == mode) & F.array_contains("polarisations", polarisation)), keys, ts, value)
+
+
+def synthetic_stack(pixels: DataFrame, bands: list[str], t: float, *, scale: float = 1.0, tolerance: float = 1.0, indices: tuple[str, ...] = ()) -> DataFrame:
+    """row, col, bands and indices (NDVI, NDWI, NDBI by lower-case name) at time t of pixels with tStart, tEnd and c_<band> (8 coefficients).
+
+    A value too far from its segment or not plausible is null, and isolated nulls take the median of their neighbours.
+    """
+    from terrace.functions.scalars import harmonic, spectral_index, synthetic
+    from terrace.operators.focal import fill_isolated
+
+    gap = F.greatest(F.col("tStart") - t, F.lit(t) - F.col("tEnd"), F.lit(0.0))
+    out = pixels.select("row", "col", *[synthetic(harmonic(F.col(f"c_{b}"), F.lit(t), F.col("tStart"), F.col("tEnd"), scale), gap, tolerance).alias(b) for b in bands])
+    whole = out.select("row", "col")
+    for b in bands:
+        whole = whole.join(fill_isolated(out.select("row", "col", b), b), ["row", "col"])
+    return whole.select("*", *[spectral_index(i, bands).alias(i.lower()) for i in indices])
+
+
 def seasonal_median(scenes: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """keys, wet, dry: the median of each season."""
     return scenes.groupBy(*keys).pivot("_season", ["wet", "dry"]).agg(F.median(value)) if "_season" in scenes.columns else scenes.withColumn("_season", season(F.col(ts))).groupBy(*keys).pivot("_season", ["wet", "dry"]).agg(F.median(value))

@@ -57,6 +57,13 @@ def consistent(t1: Column, t2: Column, rules: list[tuple[int, int]], *, target:
     return F.when(hit, value).otherwise(own).cast("int"), hit
 
 
+def enforce(t1: Column, t2: Column, everywhere: list[tuple[int, int]], if_stable: list[tuple[int, int]], stable: Column) -> tuple[Column, Column]:
+    """(t1 corrected to t2's class, whether it was): pairs of the first set wherever they occur, pairs of the second only on stable pixels."""
+    first, hit = consistent(t1, t2, everywhere, target="t1")
+    second, more = consistent(t1, t2, if_stable, target="t1", stable=stable)
+    return F.when(hit, first).otherwise(second), hit | more
+
+
 def consistent_series(cols: list[str], rules: list[tuple[int, int]], *, anchor: str = "last", replacement: dict | None = None) -> list[Column]:
     """Corrected maps from the anchor on: each is held against its neighbour as corrected already."""
     done: dict[str, Column] = {}
