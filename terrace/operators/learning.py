@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml import Model, Pipeline
@@ -39,35 +39,57 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed:
     return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)), F.lit(folds)))
 
 
+#: Names of scores and the measures of overall_accuracy that they stand for.
+SCORES = {"balanced_accuracy": "balanced_accuracy", "accuracy": "oa", "f1_macro": "f1_macro", "f1_weighted": "f1_weighted", "f1_micro": "f1_micro", "kappa": "kappa", "matthews_corrcoef": "mcc"}
+
+
+def score_of(predictions: DataFrame, label: str = "label", scoring: str | Callable[[DataFrame], float] = "balanced_accuracy") -> float:
+    """A score by name, or what a function makes of the predictions."""
+    if callable(scoring):
+        return float(scoring(predictions))
+    if scoring not in SCORES:
+        raise ValueError(f"unknown score {scoring}")
+    return float(overall_accuracy(confusion(predictions, label, "prediction")).first()[SCORES[scoring]] or 0.0)
+
+
 def balanced_accuracy(predictions: DataFrame, label: str = "label") -> float:
-    row = overall_accuracy(confusion(predictions, label, "prediction")).first()
-    return float(row["balanced_accuracy"] or 0.0)
+    return score_of(predictions, label)
+
 
+def tune(
+    df: DataFrame, name: str | Callable[..., object], grid: dict[str, list], *, label: str = "label", key: str = "id", folds: int = 5, fold_col: str | None = None, scoring: str | Callable[[DataFrame], float] = "balanced_accuracy", n_iter: int | None = None, seed: int = 42,
+) -> tuple[DataFrame, Model]:
+    """(params with their mean score, named by scoring, the best first; the model fitted on all rows with the best). df has features. n_iter: a random sample of the grid.
 
-def tune(df: DataFrame, name: str, grid: dict[str, list], *, label: str = "label", key: str = "id", folds: int = 5, n_iter: int | None = None, seed: int = 42) -> tuple[DataFrame, Model]:
-    """(params with their mean balanced accuracy, the best first; the model fitted on all rows with the best). df has features. n_iter: a random sample of the grid."""
+    name: of a classifier, or a function that makes an estimator of the params; fold_col: a column that deals the rows out, instead of stratified folds.
+    """
     if n_iter is not None and n_iter < 1:
         raise ValueError("n_iter is at least 1")
+    make = name if callable(name) else lambda **params: build_classifier(name, label=label, seed=seed, **params)
     every = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
     if n_iter is not None and n_iter < len(every):
         every = random.Random(seed).sample(every, n_iter)
-    dealt = stratified_folds(df, label, key, folds, seed).cache()
+    dealt = (df.withColumn("fold", F.col(fold_col)) if fold_col else stratified_folds(df, label, key, folds, seed)).cache()
+    parts = sorted(r[0] for r in dealt.select("fold").distinct().collect())
     rows = []
     for params in every:  # the grid is a few settings; each fit is a distributed job
-        scores = [balanced_accuracy(build_classifier(name, label=label, seed=seed, **params).fit(dealt.where(F.col("fold") != k)).transform(dealt.where(F.col("fold") == k)), label) for k in range(folds)]
-        rows.append((str(sorted(params.items())), sum(scores) / folds))
+        scores = [score_of(make(**params).fit(dealt.where(F.col("fold") != k)).transform(dealt.where(F.col("fold") == k)), label, scoring) for k in parts]
+        rows.append((str(sorted(params.items())), sum(scores) / len(parts)))
     dealt.unpersist()
     best = max(range(len(rows)), key=lambda k: rows[k][1])
-    table = df.sparkSession.createDataFrame(rows, "params string, balanced_accuracy double").orderBy(F.desc("balanced_accuracy"), "params")
-    return table, build_classifier(name, label=label, seed=seed, **every[best]).fit(df)
+    title = scoring if isinstance(scoring, str) else "score"
+    table = df.sparkSession.createDataFrame(rows, f"params string, {title} double").orderBy(F.desc(title), "params")
+    return table, make(**every[best]).fit(df)
 
 
-def select_features(df: DataFrame, features: list[str], *, label: str = "label", key: str = "id", folds: int = 3, step: int = 1, least: int = 1, seed: int = 42, **params) -> tuple[list[str], DataFrame]:
+def select_features(
+    df: DataFrame, features: list[str], *, label: str = "label", key: str = "id", folds: int = 3, step: int = 1, least: int = 1, scoring: str | Callable[[DataFrame], float] = "balanced_accuracy", seed: int = 42, **params,
+) -> tuple[list[str], DataFrame]:
     """(the features kept, a table of n_features and score): drops the least important ones step by step and keeps the number that scores best."""
     left, tried = list(features), []
     while True:
         own = stratified_folds(assemble(df.drop("features"), left), label, key, folds, seed).cache()
-        score = sum(balanced_accuracy(build_classifier("rf", label=label, seed=seed, **params).fit(own.where(F.col("fold") != k)).transform(own.where(F.col("fold") == k)), label) for k in range(folds)) / folds
+        score = sum(score_of(build_classifier("rf", label=label, seed=seed, **params).fit(own.where(F.col("fold") != k)).transform(own.where(F.col("fold") == k)), label, scoring) for k in range(folds)) / folds
         tried.append((list(left), score))
         if len(left) <= least:
             break

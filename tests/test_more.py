@@ -262,6 +262,18 @@ def test_models_and_masks(spark):
     assert learning.cohen_kappa(model.transform(made)) > 0.9
     table, best = learning.tune_forest(made, [3, 5], ["all"])
     assert table.first().oa == max(r.oa for r in table.collect()) and set(best) == {"numTrees", "featureSubsetStrategy"}
+    from pyspark.ml.classification import RandomForestClassifier
+
+    dealt = made.withColumn("half", F.floor(F.col("id") / 2) % 2)
+    table, model = learning.tune(dealt, lambda trees: RandomForestClassifier(numTrees=trees, seed=1), {"trees": [2, 4]}, fold_col="half", scoring="f1_macro")
+    assert table.columns == ["params", "f1_macro"] and model.getNumTrees in (2, 4) and table.first().f1_macro > 0.9
+    with pytest.raises(ValueError, match="unknown score"):
+        learning.tune(made, "rf", {"numTrees": [2]}, scoring="luck", folds=2)
+    train, test = sampling.sample_regions(spark.createDataFrame([(r, c, 1.0) for r in range(12) for c in range(14)], "row long, col long, v double"), spark.createDataFrame([(k, k % 3, 500005.0 + 10 * (k % 14), 8999995.0 - 10 * (k // 14)) for k in range(168)], "point_id long, class_id int, x double, y double"), G, ["v"])
+    assert train.count() + test.count() == 168 and 90 < train.count() < 145
+    split = sampling.stratified_bernoulli(spark.range(3000).select("id", (F.col("id") % 3).cast("int").alias("c")), "id", "c", {0: 1.0, 1: 0.5})
+    n = {r.c: r.n for r in split.where("is_train").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    assert n[0] == 1000 and 420 < n[1] < 580 and 2 not in n
     px = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0), (0, 1, 1.0, None, 3.0)], "row long, col long, x double, y double, z double")
 
     class Picks:
