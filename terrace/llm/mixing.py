@@ -46,6 +46,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     return table.select("source", "source_size", "start", F.least(F.lit(level) * F.col("weight"), F.col("source_size") * F.lit(float(cap))).alias("target"))
 
 
+def sampling_key(doc: Column, same: Column, quality_weight: Column, seed: int) -> Column:
+    """An exponential variable, divided by the weight (1 if there is none): the smallest keys of a source are a sample by weight."""
+    unit = (F.shiftrightunsigned(F.xxhash64(doc, same, F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    return -F.log(unit) / F.greatest(F.coalesce(quality_weight, F.lit(1.0)), F.lit(1e-6))
+
+
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None,
     weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42,
@@ -62,9 +68,7 @@ def mix(
         rows = rows.join(quality.select(F.col(id_col).alias("doc"), "quality_weight"), "doc", "left")
     else:
         rows = rows.withColumn("quality_weight", F.lit(1.0))
-    unit = (F.shiftrightunsigned(F.xxhash64("doc", "same", F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    key = -F.log(unit) / F.greatest(F.coalesce("quality_weight", F.lit(1.0)), F.lit(1e-6))
-    rows = materialize(rows.select("doc", "source", "same", "size", key.alias("key")), "sizes")
+    rows = materialize(rows.select("doc", "source", "same", "size", sampling_key(F.col("doc"), F.col("same"), F.col("quality_weight"), seed).alias("key")), "sizes")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "source-sizes")
     order = ["source", "key", "doc", "same"]
     summed = ranged_sums(rows, order, ["size"], rows.count(), "mix-sorted")

@@ -102,6 +102,25 @@ def test_op5_targets(spark):
         assert abs(own["taken"].sum() - target[s]) <= own["size"].max() / 2 + 1
 
 
+def test_op5_takes_the_smallest_keys(spark):
+    from pyspark.sql import functions as F
+
+    from terrace.llm.mixing import sampling_key
+
+    got = {r.doc_id: r for r in queries.op5_mix_sources(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(queries.label_weights(spark, SF), "doc_id", "left")
+    rows = docs.select("doc_id", "source", sampling_key(F.col("doc_id"), F.xxhash64("text"), F.col("quality_weight"), 42).alias("key")).collect()
+    for source in {r.source for r in rows}:
+        own = sorted((r.key, r.doc_id) for r in rows if r.source == source)
+        size, target = got[own[0][1]].source_size, got[own[0][1]].target
+        epochs, before = int(target // size), 0
+        for _, doc in own:  # whole epochs, then documents in order of their keys as long as they end nearer to the target
+            n = got[doc].size
+            more = n > 0 and before + n / 2 <= target - epochs * size
+            assert got[doc].taken == n * (epochs + more)
+            before += n
+
+
 def test_op7_shards(spark):
     got = queries.op7_minimax_shards(spark, SF).toPandas()
     docs = table("documents").set_index("doc_id")["text"].fillna("")
