@@ -32,15 +32,18 @@ def _crossings(ring: Column, y: Column) -> Column:
     return F.array_sort(F.array_compact(sides))
 
 
-def interior_point(ring: Column) -> tuple[Column, Column]:
-    """A point inside a ring: the middle of the widest stretch inside, on a line half way between the corners next to the middle of its height."""
-    ys = F.transform(ring, lambda p: p["y"])
-    middle = (F.array_max(ys) + F.array_min(ys)) / 2
-    below, above = F.array_max(F.filter(ys, lambda v: v <= middle)), F.array_min(F.filter(ys, lambda v: v > middle))
-    y = (below + F.coalesce(above, below)) / 2
-    cuts = _crossings(ring, y)
-    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size(cuts) / 2).cast("int")), lambda k: F.struct((F.element_at(cuts, 2 * k) - F.element_at(cuts, 2 * k - 1)).alias("wide"), (-k).alias("k"), ((F.element_at(cuts, 2 * k) + F.element_at(cuts, 2 * k - 1)) / 2).alias("x")))
-    return F.when(F.size(cuts) >= 2, F.array_max(pairs)["x"]).otherwise(F.element_at(ring, 1)["x"]), F.when(F.size(cuts) >= 2, y).otherwise(F.element_at(ring, 1)["y"])
+def with_interior_point(polygons: DataFrame, ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
+    """polygons with a point inside: the middle of the widest stretch inside, on a line half way between the corners next to the middle of its height."""
+    keep = [c for c in polygons.columns if c not in (x, y)]
+    one = polygons.select(*keep, F.transform(ring, lambda p: p["y"]).alias("_ys"))
+    one = one.select(*keep, "_ys", ((F.array_max("_ys") + F.array_min("_ys")) / 2).alias("_middle"))
+    one = one.select(*keep, F.array_max(F.filter("_ys", lambda v: v <= F.col("_middle"))).alias("_below"), F.array_min(F.filter("_ys", lambda v: v > F.col("_middle"))).alias("_above"))
+    one = one.select(*keep, ((F.col("_below") + F.coalesce("_above", "_below")) / 2).alias("_line"))
+    one = one.select(*keep, "_line", _crossings(F.col(ring), F.col("_line")).alias("_cuts"))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size("_cuts") / 2), F.lit(1)).cast("int")), lambda k: F.struct((F.try_element_at("_cuts", 2 * k) - F.try_element_at("_cuts", 2 * k - 1)).alias("wide"), (-k).alias("k"), ((F.try_element_at("_cuts", 2 * k) + F.try_element_at("_cuts", 2 * k - 1)) / 2).alias("x")))
+    one = one.select(*keep, "_line", F.size("_cuts").alias("_many"), F.array_max(parts).alias("_part"))
+    first = F.element_at(ring, 1)
+    return one.select(*keep, F.when(F.col("_many") >= 2, F.col("_part.x")).otherwise(first["x"]).alias(x), F.when(F.col("_many") >= 2, F.col("_line")).otherwise(first["y"]).alias(y))
 
 
 def polygon_pixels(polygons: DataFrame, grid: GridSpec, ring: str = "ring") -> DataFrame:
@@ -70,9 +73,9 @@ def polygon_samples(polygons: DataFrame, pixels: DataFrame, grid: GridSpec, *, m
     """poly, ref_class, map_class: of all pixels of a polygon, of the most frequent class (the lowest of equals), or of the pixel of a point inside ("centroid")."""
     values = pixels.where(F.col(cls).isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(cls).cast("int").alias("map_class"))
     if mode == "centroid":
-        x, y = interior_point(F.col("ring"))
-        row, col = grid.pixel_of(x, y)
-        hit = polygons.select(poly, label, row.alias("row"), col.alias("col"))
+        inside = with_interior_point(polygons.select(poly, label, "ring"), x="_x", y="_y")
+        row, col = grid.pixel_of(F.col("_x"), F.col("_y"))
+        hit = inside.select(poly, label, row.alias("row"), col.alias("col"))
     elif mode in ("majority", "all_pixels"):
         hit = polygon_pixels(polygons.select(poly, label, "ring"), grid)
     else:

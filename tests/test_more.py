@@ -81,8 +81,7 @@ def test_exact_quantiles(spark, monkeypatch):
 def test_interior_points_and_scan_lines(spark):
     rings = {1: [(0, 0), (10, 0), (10, -50), (60, -50), (60, -60), (0, -60)], 2: [(0, 0), (100, 0), (50, -90)], 3: [(5, -5), (65, -5), (65, -65), (45, -65), (45, -25), (25, -25), (25, -65), (5, -65)]}
     df = spark.createDataFrame([(k, [(500000.0 + x, 9000000.0 + y) for x, y in [*r, r[0]]]) for k, r in rings.items()], "k int, ring array<struct<x:double,y:double>>")
-    x, y = sampling.interior_point(F.col("ring"))
-    for r in df.select("k", "ring", x.alias("x"), y.alias("y")).select("k", sampling.in_ring(F.col("x"), F.col("y"), F.col("ring")).alias("ok")).collect():
+    for r in sampling.with_interior_point(df).select("k", sampling.in_ring(F.col("x"), F.col("y"), F.col("ring")).alias("ok")).collect():
         assert r.ok
     cells = spark.range(12 * 14).select(F.floor(F.col("id") / 14).alias("row"), (F.col("id") % 14).alias("col"))
     px, py = G.centre_of(F.col("row"), F.col("col"))
