@@ -11,20 +11,22 @@ from terrace.scratch import drop_path, materialize, new_path, write_to
 HUB_EDGES, HUBS = 4096, 250_000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """edges with the m of their u. Rows of a hub stay where they are: hubs are broadcast, at most twice HUBS of them."""
+def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
+    """edges with the m of their u. Rows of a hub, if there are any, stay where they are: hubs are broadcast, at most twice HUBS of them."""
+    if hub is None:
+        return edges.join(least.select("u", "m"), "u")
     hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
     rest = edges.join(hubs.select("u"), "u", "left_anti")
     return edges.join(hubs, "u").unionByName(rest.join(least.where(F.col("n") <= hub).select("u", "m"), "u"))
 
 
-def _large_star(edges: DataFrame, hub: int) -> DataFrame:
+def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
     return _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, hub: int) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int | None) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     moved = _with_least(down, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -44,12 +46,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
         nodes = ends.groupBy("x").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
-        many, odd = nodes.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()
+        many, odd, most = nodes.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))), F.max(F.col("down") + F.col("up"))).first()
         if not odd:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         hub = max(HUB_EDGES, many // HUBS)
         path = new_path(spark, "stars")
-        now = write_to(_small_star(_large_star(now, hub), hub), path)
+        # The first star can give a node more edges than it has now, seldom more than a few times as many.
+        now = write_to(_small_star(_large_star(now, hub if most > hub else None), hub if 4 * most > hub else None), path)
         if before:
             drop_path(spark, before)
         before = path
