@@ -9,8 +9,8 @@ from terrace.functions import scalars
 from terrace.grid import UTM, GridSpec
 from terrace.operators import areas, components, focal, fusion, raster, reports, sampling, timeseries, transitions
 from terrace.plans.accuracy import _AT, _rings
-from terrace.plans.pixels import _LOGIT, _LONG, _SM, N, _mv, _p
-from terrace.plans.registry import Part
+from terrace.plans.pixels import _LOGIT, _LONG, _SM, _TABLE, N, _mv, _p
+from terrace.plans.registry import Part, with_fixtures
 from terrace.schema import IMPOSSIBLE, MMU, SMOOTHNESS
 from terrace.sources.vector import preview_urls
 
@@ -235,3 +235,6 @@ def _(px: DataFrame) -> DataFrame:
 
 
 QUERIES, ORACLES = part.queries, part.oracles
+# The same for queries of another module.
+ORACLES["mmu_fill"] = ORACLES["mmu_dissolve"]
+ORACLES["mmu_small_patches"] = with_fixtures(["px_epochs"], f"WITH RECURSIVE {_PATCH8} SELECT row, col, cls, n < {_least(_TABLE)} AS is_small FROM px JOIN sz USING (root)")

@@ -155,7 +155,6 @@ _TABLE = {1: 6, 2: 8, 3: 6, 4: 30, 5: 6, 6: 8, 7: 6, 8: 6, 9: 6, 10: 6}
 
 @part.add("mmu_small_patches", "px_epochs")
 def _(px: DataFrame) -> DataFrame:
-    # The whole raster: recursive SQL is too slow for that, so tests hold the patches against a plain search.
     return components.small_patches(px.where("e0 > 0").withColumn("cls", F.col("e0")), _TABLE)
 
 
