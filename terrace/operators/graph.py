@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     below another.
     """
     spark = edges.sparkSession
-    now = materialize(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")

@@ -285,6 +285,13 @@ def test_models_and_masks(spark):
     assert [r.mask for r in raster.valid_mask(px, "y").orderBy("col").collect()] == [255, 0]
 
 
+def test_components_of_single_edges_have_the_smallest_root(spark):
+    from terrace.operators.graph import components
+
+    got = components(spark.createDataFrame([(1, 2), (5, 3), (7, 8), (7, 9)], "u long, v long")).collect()
+    assert sorted((r.node, r.root) for r in got) == [(2, 1), (5, 3), (8, 7), (9, 7)]
+
+
 def test_rules_on_all_classes(spark):
     # p by class: water or riverbed first, cleared or built second, and near it; then merged or not.
     def p(first, second, ratio):
