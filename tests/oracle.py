@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,7 +22,7 @@ def same(spark_df, sql, sf_dir):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert len(got) == len(want)
-    rows = lambda df: sorted([tuple(None if x is None or x != x else x for x in r) for r in df[cols].itertuples(index=False)], key=repr)
+    rows = lambda df: sorted([tuple(None if x is None or x is pd.NA or x != x else x for x in r) for r in df[cols].itertuples(index=False)], key=repr)
     a, b = rows(got), rows(want)
     for x, y in zip(sorted(a, key=str), sorted(b, key=str)):
         assert x == y
