@@ -8,9 +8,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions import geometry
 from terrace.functions.scalars import finite, spectral_index, stretch
 from terrace.grid import GridSpec
 from terrace.operators.focal import slope_aspect
@@ -147,7 +148,7 @@ def valid_mask(pixels: DataFrame, value: str = "cls", nodata: float = 0) -> Data
 
 
 def distance_features(sources: dict[str, DataFrame], grid: GridSpec) -> DataFrame:
-    """row, col and a distance for each name: to the nearest pixel that its features touch (polygons with a ring) or hold (points x, y); nothing means an error."""
+    """row, col and a distance for each name: to the nearest pixel that its features touch (polygons with a ring, geometries of any kind, such as lines) or hold (points x, y); nothing on the grid means an error."""
     from terrace.operators.focal import distance_to
 
     if grid.geographic:
@@ -158,8 +159,8 @@ def distance_features(sources: dict[str, DataFrame], grid: GridSpec) -> DataFram
     cells = spark.range(grid.height * grid.width).select(F.floor(F.col("id") / grid.width).alias("row"), (F.col("id") % grid.width).alias("col"))
     out = None
     for name, rows in sources.items():
-        if "ring" in rows.columns:
-            hit = rasterize_touched(rows.select("ring"), grid).select("row", "col").distinct()
+        if geometry.has_shapes(rows):
+            hit = rasterize_touched(rows.select(geometry.column_of(rows)), grid)
         else:
             r, c = grid.pixel_of(F.col("x"), F.col("y"))
             hit = rows.select(r.alias("row"), c.alias("col")).where(grid.inside(F.col("row"), F.col("col"))).distinct()
@@ -226,22 +227,32 @@ def band_statistics(pixels: DataFrame, bands: list[str], quantiles: tuple[float,
     return rows.groupBy("band").agg(F.max("v").alias("max"), F.avg("v").alias("mean")).join(F.broadcast(table), "band").select("band", "max", "mean", *names)
 
 
-def rasterize_touched(polygons: DataFrame, grid: GridSpec, ring: str = "ring") -> DataFrame:
-    """polygons, without their rings, with row, col of every pixel that they touch: pixels inside, and those that a side passes (each side is cut at the grid's lines)."""
-    from terrace.operators.sampling import polygon_pixels
+def rasterize_touched(features: DataFrame, grid: GridSpec, ring: str = "ring") -> DataFrame:
+    """features, without their shapes, with row, col of every pixel that they touch: pixels inside polygons, those that a side of a polygon or line passes, and those that hold points.
 
-    n = F.size(ring)
-    side = F.explode(F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    each = polygons.withColumn("_side", side)
+    Shapes are a `geometry`, else rings. Sides are rows of their own, cut at the grid's lines: between two cuts a side is in one pixel.
+    Parts of sides off the grid are left out before they are cut.
+    """
+    from terrace.operators.sampling import point_parts, polygon_pixels
+
+    shape = geometry.column_of(features, ring)
+    names = [c for c in features.columns if c not in (shape, ring)]
+    own = features.select(*names, geometry.geometry_of(features, shape).alias("geometry"))
+    each = own.select(*names, F.explode(geometry.sides(F.col("geometry"))).alias("_side"))
     u = lambda p: (F.col(f"_side.{p}.x") - grid.c) / grid.a
     v = lambda p: (F.col(f"_side.{p}.y") - grid.f) / grid.e
-    names = [c for c in polygons.columns if c != ring]
     each = each.select(*names, u("a").alias("_u0"), v("a").alias("_v0"), u("b").alias("_u1"), v("b").alias("_v1"))
-    cut = lambda a, b: F.transform(F.filter(F.sequence(F.ceil(F.least(a, b)), F.greatest(F.floor(F.greatest(a, b)), F.ceil(F.least(a, b)))), lambda k: (k >= F.least(a, b)) & (k <= F.greatest(a, b)) & (a != b)), lambda k: (k - a) / F.when(a != b, b - a).otherwise(1.0))
-    stops = F.array_sort(F.array_union(F.array_union(F.array(F.lit(0.0), F.lit(1.0)), cut(F.col("_u0"), F.col("_u1"))), cut(F.col("_v0"), F.col("_v1"))))
+    near = lambda a, b, most: (F.greatest(a, b) >= 0) & (F.least(a, b) <= most)
+    each = each.where(near(F.col("_u0"), F.col("_u1"), grid.width) & near(F.col("_v0"), F.col("_v1"), grid.height))
+
+    def cut(a: Column, b: Column, most: int) -> Column:
+        low, high = F.greatest(F.ceil(F.least(a, b)), F.lit(0)), F.least(F.floor(F.greatest(a, b)), F.lit(most))
+        return F.when((low <= high) & (a != b), F.transform(F.sequence(low, high), lambda k: (k - a) / (b - a))).otherwise(F.array().cast("array<double>"))
+
+    stops = F.array_sort(F.array_union(F.array_union(F.array(F.lit(0.0), F.lit(1.0)), cut(F.col("_u0"), F.col("_u1"), grid.width)), cut(F.col("_v0"), F.col("_v1"), grid.height)))
     each = each.withColumn("_t", stops).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_t") - 1)))
-    mid = (F.element_at("_t", F.col("_k")) + F.element_at("_t", F.col("_k") + 1)) / 2  # between two cuts a side is in one pixel
+    mid = (F.element_at("_t", F.col("_k")) + F.element_at("_t", F.col("_k") + 1)) / 2
     row, col = F.floor(F.col("_v0") + mid * (F.col("_v1") - F.col("_v0"))), F.floor(F.col("_u0") + mid * (F.col("_u1") - F.col("_u0")))
     edge = each.select(*names, row.cast("long").alias("row"), col.cast("long").alias("col")).where(grid.inside(F.col("row"), F.col("col")))
-    inside = polygon_pixels(polygons, grid, ring).select(*names, "row", "col")
-    return edge.unionByName(inside).dropDuplicates([*names, "row", "col"])
+    inside = polygon_pixels(own, grid).select(*names, "row", "col")
+    return edge.unionByName(inside).unionByName(point_parts(own, grid).select(*names, "row", "col")).dropDuplicates([*names, "row", "col"])

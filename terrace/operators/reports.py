@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions import geometry
 from terrace.grid import GridSpec
 from terrace.operators import accuracy, areas, sampling
 from terrace.schema import CLASSES_18
@@ -41,11 +42,11 @@ class AccuracyResult:
 
 
 def class_names_of(reference: DataFrame, label: str, name: str) -> dict[int, str]:
-    """The first name of each class in the reference (a class each)."""
+    """The first name of each class, as the reference is read (a class each)."""
     if name not in reference.columns:
         raise ValueError(f"no column {name} among {reference.columns}")
-    own = reference.select(F.col(label).try_cast("int").alias("c"), F.trim(F.col(name).cast("string")).alias("n")).where("c IS NOT NULL AND n <> ''")
-    return {r["c"]: r["n"] for r in own.groupBy("c").agg(F.min("n").alias("n")).collect()}
+    own = reference.select(F.col(label).try_cast("int").alias("c"), F.trim(F.col(name).cast("string")).alias("n"), F.monotonically_increasing_id().alias("at")).where("c IS NOT NULL AND n <> ''")
+    return {r["c"]: r["n"] for r in own.groupBy("c").agg(F.min_by("n", "at").alias("n")).collect()}
 
 
 def assess_samples(samples: DataFrame, *, counts: DataFrame | None = None, pixel_m2: float = 1.0, names: dict[int, str] | None = None, labels: list[int] | None = None, mapping: dict[int, int] | None = None, confidence: float = 0.95) -> AccuracyResult:
@@ -78,7 +79,7 @@ def assess_map(
     pixels: DataFrame, reference: DataFrame, grid: GridSpec, *, cls: str = "cls", label: str = "class_id", key: str = "point_id", name_col: str | None = None, names: dict[int, str] | None = None, labels: list[int] | None = None,
     filter_col: str | None = None, filter_value: object = 1, mapping: dict[int, int] | None = None, area: bool = True, mode: str = "majority", confidence: float = 0.95, nodata: tuple[int, ...] = (0, -1, 255), epsg: int | None = None, folder: str | None = None,
 ) -> AccuracyResult:
-    """Accuracy of a map at reference points (x, y) or polygons (ring; mode: majority, all_pixels or centroid), with its pixel counts as strata.
+    """Accuracy of a map at reference points (x, y) or polygons (ring or geometry; mode: majority, all_pixels or centroid), with its pixel counts as strata.
 
     Reference rows without a class or place, and those whose filter_col isn't filter_value, are left out; none left means an error. mapping
     goes in one step over what was sampled and over counts, then as in assess_samples.
@@ -87,9 +88,9 @@ def assess_map(
         if c is not None and c not in reference.columns:
             raise ValueError(f"no column {c} among {reference.columns}")
     found = {} if name_col is None else class_names_of(reference, label, name_col)
-    polygons = "ring" in reference.columns
+    polygons = geometry.has_shapes(reference)
     own = reference if filter_col is None else reference.where(F.col(filter_col) == F.lit(filter_value))
-    own = own.where(F.col(label).isNotNull() & (F.col("ring").isNotNull() if polygons else F.col("x").isNotNull() & F.col("y").isNotNull()))
+    own = own.where(F.col(label).isNotNull() & (F.col(geometry.column_of(reference)).isNotNull() if polygons else F.col("x").isNotNull() & F.col("y").isNotNull()))
     if own.isEmpty():
         raise ValueError("no reference features are left")
     own = sampling.to_grid(own, epsg or grid.epsg, grid)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions import geometry
 from terrace.functions.crs import reproject
 from terrace.functions.scalars import all_of, finite, spectral_index
 from terrace.grid import GridSpec
@@ -25,59 +26,90 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(sides, F.lit(False), lambda a, s: a != F.coalesce(s, F.lit(False)))
 
 
-def _crossings(ring: Column, y: Column) -> Column:
-    """Where the sides of a ring cross the line at y, ascending."""
-    n = F.size(ring)
-    sides = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.when((a["y"] > y) != (b["y"] > y), (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]).otherwise(1.0) + a["x"]))
-    return F.array_sort(F.array_compact(sides))
-
-
 def with_interior_point(polygons: DataFrame, ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
-    """polygons with a point inside: the middle of the widest stretch inside, on a line half way between the corners next to the middle of its height."""
+    """polygons with a point inside: the middle of the widest stretch inside, on lines half way between the corners next to the middle of a ring's height.
+
+    Shapes are a `geometry`, else rings; stretches inside leave out holes. Points and lines get their first point.
+    """
+    shape = geometry.column_of(polygons, ring)
     keep = [c for c in polygons.columns if c not in (x, y)]
-    one = polygons.select(*keep, F.transform(ring, lambda p: p["y"]).alias("_ys"))
-    one = one.select(*keep, "_ys", ((F.array_max("_ys") + F.array_min("_ys")) / 2).alias("_middle"))
-    one = one.select(*keep, F.array_max(F.filter("_ys", lambda v: v <= F.col("_middle"))).alias("_below"), F.array_min(F.filter("_ys", lambda v: v > F.col("_middle"))).alias("_above"))
-    one = one.select(*keep, ((F.col("_below") + F.coalesce("_above", "_below")) / 2).alias("_line"))
-    one = one.select(*keep, "_line", _crossings(F.col(ring), F.col("_line")).alias("_cuts"))
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size("_cuts") / 2), F.lit(1)).cast("int")), lambda k: F.struct((F.try_element_at("_cuts", 2 * k) - F.try_element_at("_cuts", 2 * k - 1)).alias("wide"), (-k).alias("k"), ((F.try_element_at("_cuts", 2 * k) + F.try_element_at("_cuts", 2 * k - 1)) / 2).alias("x")))
-    one = one.select(*keep, "_line", F.size("_cuts").alias("_many"), F.array_max(parts).alias("_part"))
-    first = F.element_at(ring, 1)
-    return one.select(*keep, F.when(F.col("_many") >= 2, F.col("_part.x")).otherwise(first["x"]).alias(x), F.when(F.col("_many") >= 2, F.col("_line")).otherwise(first["y"]).alias(y))
+
+    def along(g: Column, at: Column, order: Column) -> Column:
+        """wide, order, k, x, y of the stretches inside on the line at a height."""
+        def of_cuts(cuts: Column) -> Column:
+            low, high = lambda k: F.element_at(cuts, 2 * k - 1), lambda k: F.element_at(cuts, 2 * k)
+            pair = lambda k: F.struct((high(k) - low(k)).alias("wide"), (-order).alias("order"), (-k).alias("k"), ((high(k) + low(k)) / 2).alias("x"), at.alias("y"))
+            many = F.floor(F.size(cuts) / 2).cast("int")
+            return F.when(many > 0, F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), pair))
+
+        return geometry.once(geometry.crossings_at(g, at), of_cuts)
+
+    def height(ring: Column, ys: Column) -> Column:
+        own = F.transform(ring, lambda p: p["y"])
+        middle = (F.array_max(own) + F.array_min(own)) / 2
+        below, above = F.array_max(F.filter(ys, lambda v: v <= middle)), F.array_min(F.filter(ys, lambda v: v > middle))
+        return (below + F.coalesce(above, below)) / 2
+
+    def inside(g: Column) -> Column:
+        lines = geometry.once(F.transform(geometry.corners(g), lambda p: p["y"]), lambda ys: F.array_distinct(F.transform(geometry.rings(g), lambda r: height(r, ys))))
+        found = geometry.once(lines, lambda at: F.array_max(F.flatten(F.array_compact(F.transform(at, lambda y, k: along(g, y, k))))))
+        first = F.try_element_at(geometry.corners(g), F.lit(1))
+        return geometry.once(F.when(g["kind"] == "polygon", found), lambda best: F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y"))).otherwise(first))
+
+    # Exploded, so that what is asked of the point isn't asked of the whole expression again.
+    at = F.explode(F.array(geometry.once(geometry.geometry_of(polygons, shape), inside))).alias("_inside")
+    return polygons.select(*keep, at).select(*keep, F.col("_inside.x").alias(x), F.col("_inside.y").alias(y))
 
 
 def polygon_pixels(polygons: DataFrame, grid: GridSpec, ring: str = "ring") -> DataFrame:
-    """polygons with row, col of every pixel whose centre they hold by the even-odd rule. Overlapping polygons each get theirs.
+    """polygons with row, col of every pixel whose centre they hold by the even-odd rule over all rings. Overlapping polygons each get theirs; points and lines hold none.
 
-    A polygon is cut into rows of pixels, a row into the stretches between its sides; only then are there pixels, without the ring.
+    Shapes are a `geometry`, else rings. A polygon is cut into the stretches of rows inside it; only then are there pixels, without the shape.
     """
-    ys = F.transform(ring, lambda p: p["y"])
-    r0, _ = grid.pixel_of(F.lit(grid.c), F.array_max(ys))
-    r1, _ = grid.pixel_of(F.lit(grid.c), F.array_min(ys))
-    key = [c for c in polygons.columns if c not in (ring, "row", "col")]
-    lines = polygons.withColumn("_r0", F.greatest(F.least(r0, r1), F.lit(0))).withColumn("_r1", F.least(F.greatest(r0, r1), F.lit(grid.height - 1)))
-    lines = lines.where("_r0 <= _r1").withColumn("row", F.explode(F.sequence("_r0", "_r1")))
-    cuts = _crossings(F.col(ring), grid.centre_of(F.col("row"), F.lit(0))[1])
-    lines = lines.withColumn("_cuts", cuts).where(F.size("_cuts") >= 2)
-    part = F.explode(F.transform(F.sequence(F.lit(1), F.floor(F.size("_cuts") / 2).cast("int")), lambda k: F.struct(F.element_at("_cuts", 2 * k - 1).alias("low"), F.element_at("_cuts", 2 * k).alias("high"))))
-    parts = lines.select(*key, "row", part.alias("_p"))
+    shape = geometry.column_of(polygons, ring)
+    key = [c for c in polygons.columns if c not in (shape, ring, "row", "col")]
+    own = polygons.select(*key, geometry.geometry_of(polygons, shape).alias("_g")).where("_g.kind = 'polygon'")
+    parts = own.select(*key, F.explode(geometry.stretches(F.col("_g"), grid)).alias("_p")).select(*key, F.col("_p.row").alias("row"), "_p.low", "_p.high")
     edge = lambda x: F.floor((x - grid.c) / grid.a)
-    ends = F.least(edge(F.col("_p.low")), edge(F.col("_p.high"))) - 1, F.greatest(edge(F.col("_p.low")), edge(F.col("_p.high"))) + 1
+    ends = F.least(edge(F.col("low")), edge(F.col("high"))) - 1, F.greatest(edge(F.col("low")), edge(F.col("high"))) + 1
     parts = parts.withColumn("_c0", F.greatest(ends[0], F.lit(0))).withColumn("_c1", F.least(ends[1], F.lit(grid.width - 1))).where("_c0 <= _c1")
     each = parts.withColumn("col", F.explode(F.sequence("_c0", "_c1")))
     x = grid.centre_of(F.col("row"), F.col("col"))[0]
-    return each.where((x >= F.col("_p.low")) & (x < F.col("_p.high"))).select(*key, "row", "col")
+    return each.where((x >= F.col("low")) & (x < F.col("high"))).select(*key, "row", "col")
+
+
+def point_parts(features: DataFrame, grid: GridSpec) -> DataFrame:
+    """features of kind point (those that have a geometry) with row, col of the pixels of the grid that hold their points, without the geometry."""
+    key = [c for c in features.columns if c not in ("geometry", "row", "col")]
+    each = features.where("geometry.kind = 'point'").select(*key, F.explode(geometry.corners(F.col("geometry"))).alias("_p"))
+    row, col = grid.pixel_of(F.col("_p.x"), F.col("_p.y"))
+    return each.select(*key, row.alias("row"), col.alias("col")).where(grid.inside(F.col("row"), F.col("col")))
+
+
+def no_lines(features: DataFrame) -> DataFrame:
+    """features; one that is a line stops the query, since it holds no pixels."""
+    if "geometry" not in features.columns:
+        return features
+    ok = F.when(F.col("geometry.kind") == "line", F.raise_error(F.lit("lines hold no pixels to sample"))).otherwise(F.lit(True))
+    return features.where(ok.cast("boolean"))
 
 
 def polygon_samples(polygons: DataFrame, pixels: DataFrame, grid: GridSpec, *, mode: str = "majority", poly: str = "poly_id", label: str = "class_id", cls: str = "cls") -> DataFrame:
-    """poly, ref_class, map_class: of all pixels of a polygon, of the most frequent class (the lowest of equals), or of the pixel of a point inside ("centroid")."""
+    """poly, ref_class, map_class: of all pixels of a polygon, of the most frequent class (the lowest of equals), or of the pixel of a point inside ("centroid").
+
+    Polygons have a `ring`, or a `geometry` with holes and parts; points among geometries have the pixels that hold them, lines stop the query.
+    """
+    shape = geometry.column_of(polygons)
+    own = no_lines(polygons.select(poly, label, shape))
     values = pixels.where(F.col(cls).isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(cls).cast("int").alias("map_class"))
     if mode == "centroid":
-        inside = with_interior_point(polygons.select(poly, label, "ring"), x="_x", y="_y")
+        inside = with_interior_point(own, x="_x", y="_y")
         row, col = grid.pixel_of(F.col("_x"), F.col("_y"))
         hit = inside.select(poly, label, row.alias("row"), col.alias("col"))
     elif mode in ("majority", "all_pixels"):
-        hit = polygon_pixels(polygons.select(poly, label, "ring"), grid)
+        hit = polygon_pixels(own, grid)
+        if shape == "geometry":
+            hit = hit.unionByName(point_parts(own, grid))
     else:
         raise ValueError(f"unknown mode {mode}")
     joined = hit.join(values, ["row", "col"]).select(poly, F.col(label).cast("int").alias("ref_class"), "map_class")
@@ -113,15 +145,18 @@ def bernoulli_split(samples: DataFrame, key: str, fraction: float, seed: int = 4
 
 
 def to_grid(reference: DataFrame, epsg: int, grid: GridSpec) -> DataFrame:
-    """Points (x, y) or polygons (ring) of one coordinate system in the grid's."""
+    """Points (x, y), polygons (ring) or geometries of one coordinate system in the grid's."""
     if epsg == grid.epsg:
         return reference
-    if "ring" in reference.columns:
-        def moved(p: Column) -> Column:
-            x, y = reproject(p["x"], p["y"], epsg, grid.epsg)
-            return F.struct(x.alias("x"), y.alias("y"))
 
+    def moved(p: Column) -> Column:
+        x, y = reproject(p["x"], p["y"], epsg, grid.epsg)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    if "ring" in reference.columns:
         reference = reference.withColumn("ring", F.transform("ring", moved))
+    if "geometry" in reference.columns:
+        reference = reference.withColumn("geometry", geometry.moved(F.col("geometry"), moved))
     if {"x", "y"} <= set(reference.columns):
         x, y = reproject(F.col("x"), F.col("y"), epsg, grid.epsg)
         reference = reference.withColumns({"x": x, "y": y})
@@ -129,11 +164,15 @@ def to_grid(reference: DataFrame, epsg: int, grid: GridSpec) -> DataFrame:
 
 
 def load_and_extract(pixels: DataFrame, reference: DataFrame, grid: GridSpec, *, bands: list[str], label: str = "class_id", epsg: int | None = None, key: str = "point_id") -> DataFrame:
-    """key, label, row, col and bands of the pixels under points, or in polygons (with a ring), of any known coordinate system; only whole rows."""
+    """key, label, row, col and bands of the pixels under points, or in polygons (with a ring or geometry), of any known coordinate system; only whole rows."""
     own = to_grid(reference, epsg or grid.epsg, grid)
-    if "ring" not in own.columns:
+    if not geometry.has_shapes(own):
         return clean_samples(point_pixels(own, pixels, grid, bands=bands, label=label, keep=(key,)), bands, label)
-    inside = polygon_pixels(own.where(F.col(label).isNotNull() & F.col("ring").isNotNull()).select(key, label, "ring"), grid)
+    shape = geometry.column_of(own)
+    own = no_lines(own.where(F.col(label).isNotNull() & F.col(shape).isNotNull()).select(key, label, shape))
+    inside = polygon_pixels(own, grid)
+    if shape == "geometry":
+        inside = inside.unionByName(point_parts(own, grid))
     values = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *bands)
     return clean_samples(inside.join(values, ["row", "col"]), bands, label).select(key, label, "row", "col", *bands)
 

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.functions import geometry
+
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """properties, x, y (points) and ring (the outer ring of polygons) of the features of GeoJSON files. properties: their DDL, such as "id LONG, class_id INT"."""
+    """properties, x, y (points), ring (polygons of one ring) and geometry (all) of the features of GeoJSON files. properties: their DDL, such as "id LONG, class_id INT".
+
+    Features without a geometry stay, with nulls; a kind of geometry that isn't known stops the query.
+    """
     schema = f"features ARRAY<STRUCT<properties: STRUCT<{', '.join(':'.join(p.split()) for p in properties.split(','))}>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
-    each = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).where("f.geometry.type IN ('Point', 'Polygon')")
-    xy, rings = F.from_json("f.geometry.coordinates", "array<double>"), F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
-    point = F.col("f.geometry.type") == "Point"
-    return each.select(
-        "f.properties.*", F.when(point, xy[0]).alias("x"), F.when(point, xy[1]).alias("y"),
-        F.when(~point, F.transform(rings[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("ring"),
-    )
+    each = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    return with_places(each.select("f.properties.*", geometry.from_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry")))
+
+
+def with_places(features: DataFrame) -> DataFrame:
+    """features with x, y of single points and the ring of polygons of one ring, before their geometry."""
+    g = F.col("geometry")
+    single = F.size(geometry.rings(g)) == 1
+    point, ring = (g["kind"] == "point") & single, (g["kind"] == "polygon") & single
+    only = geometry.rings(g)[0]
+    return features.select(*[c for c in features.columns if c != "geometry"], F.when(point, only[0]["x"]).alias("x"), F.when(point, only[0]["y"]).alias("y"), F.when(ring, only).alias("ring"), "geometry")
 
 
 def resolve_paths(spark: SparkSession, rasters: str | list[str]) -> list[tuple[int, str]]:
@@ -45,10 +54,10 @@ def area_of_interest(spark: SparkSession, aoi) -> tuple[float, float, float, flo
     """The box around an area: four numbers, a GeoJSON mapping (geometry, feature or collection), or a GeoJSON file."""
     if isinstance(aoi, str):
         rows = read_geojson(spark, aoi, "id STRING")
-        corners = rows.select(F.explode(F.coalesce("ring", F.array(F.struct("x", "y")))).alias("p"))
+        corners = rows.select(F.explode(geometry.corners(F.col("geometry"))).alias("p"))
         low = corners.agg(F.min("p.x"), F.min("p.y"), F.max("p.x"), F.max("p.y")).first()
         if low[0] is None:
-            raise ValueError(f"no points or polygons in {aoi}")
+            raise ValueError(f"no geometries in {aoi}")
         return tuple(low)
     if isinstance(aoi, dict):
         def numbers(x):
@@ -82,11 +91,15 @@ def preview_urls(scenes: DataFrame, endpoint: str, asset: str = "visual", assets
 
 
 def write_features(rows: DataFrame, path: str) -> None:
-    """Points (x, y) or polygons (ring) with their properties as GeoJSON features, a line each, for cleaned or flagged samples."""
-    ring = "ring" in rows.columns
-    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"]))).alias("coordinates")) if ring else F.struct(F.lit("Point").alias("type"), F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("coordinates"))
-    properties = F.struct(*[c for c in rows.columns if c not in ("x", "y", "ring")])
-    rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), shape.alias("geometry"))).alias("value")).write.mode("overwrite").text(path)
+    """Points (x, y), polygons (ring) or any geometry with their properties as GeoJSON features, a line each, for cleaned or flagged samples."""
+    if geometry.has_shapes(rows):
+        name = geometry.column_of(rows)
+        shape = geometry.to_geojson(geometry.geometry_of(rows, name))
+    else:
+        shape = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("coordinates")))
+    properties = F.struct(*[c for c in rows.columns if c not in ("x", "y", "ring", "geometry")])
+    text = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(properties), F.lit(',"geometry":'), F.coalesce(shape, F.lit("null")), F.lit("}"))
+    rows.select(text.alias("value")).write.mode("overwrite").text(path)
 
 
 def read_points(spark: SparkSession, path: str, schema: str) -> DataFrame:
