@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import scalars
 from terrace.grid import UTM, GridSpec
-from terrace.operators import focal, fusion, raster, timeseries
+from terrace.operators import focal, fusion, raster, segmentation, timeseries
 from terrace.plans.registry import Part
 from terrace.sources import vector
 
@@ -232,4 +232,26 @@ def _(polygons: DataFrame) -> DataFrame:
     return raster.rasterize_touched(polygons.select("poly_id", ring.alias("ring")), UTM).select("poly_id", "row", "col")
 
 
+# Straight lines and no change.
+@part.add("trend_segments", "px_scenes", """
+WITH o AS (SELECT pixel, year(ts) + (dayofyear(ts) - 1) / 365.25::DOUBLE AS t, value AS y FROM px_scenes WHERE value IS NOT NULL),
+s AS (SELECT pixel, min(t) AS a, max(t) AS b, count(*) AS n, regr_slope(y, t - 2024) AS m, regr_intercept(y, t - 2024) AS k, regr_syy(y, t - 2024) AS yy, regr_sxy(y, t - 2024) AS xy FROM o GROUP BY 1)
+SELECT pixel, round_even(a, 6) AS tStart, round_even(b, 6) AS tEnd, n, round_even(m, 4) AS slope, round_even(k, 4) AS level, round_even(sqrt((yy - m * xy) / (n - 2)), 4) AS rmse
+FROM s WHERE n >= 6 AND b - a >= 0.02
+""")
+def _(scenes: DataFrame) -> DataFrame:
+    t = F.year("ts") + (F.dayofyear("ts") - 1) / F.lit(365.25)
+    how = segmentation.Detection(harmonics=0, least_years=0.02, probability=1.0)
+    done = segmentation.detect_changes(scenes.select("pixel", t.alias("t"), "value"), ["value"], how)
+    slope, level = F.col("coefs_value")[1], F.col("coefs_value")[0] + F.col("coefs_value")[1] * 2024
+    return done.select("pixel", F.bround("tStart", 6).alias("tStart"), F.bround("tEnd", 6).alias("tEnd"), "n", F.bround(slope, 4).alias("slope"), F.bround(level, 4).alias("level"), F.bround("rmse_value", 4).alias("rmse"))
+
+
+@part.add("change_segments", "px_scenes")
+def _(scenes: DataFrame) -> DataFrame:
+    t = F.year("ts") + (F.dayofyear("ts") - 1) / F.lit(365.25) + F.hour("ts") / F.lit(8766.0)
+    how = segmentation.Detection(harmonics=1, consecutive=3, least_years=0.01, probability=0.9)
+    return segmentation.detect_changes(scenes.select("pixel", t.alias("t"), "value"), ["value"], how)
+
+
 QUERIES, ORACLES = part.queries, part.oracles
