@@ -1,7 +1,7 @@
 """URL filter: rules first, then a tree of path templates with smoothed labelled purity.
 
 A url is a host and path segments. Level by level, for each node of a host's tree, a segment stays a branch of its own if it
-is frequent there or has enough labelled pages; digits, hex and other variable segments fall into a wildcard of their kind.
+is frequent there or has enough labelled pages, whatever its form; all others fall into a wildcard of their form (digits, hex, mixed, words).
 A path that ends is a branch of its own. Branches of a node whose shares of bad labels don't differ significantly are merged: in
 order of their rates a branch joins the run before it, unless it differs from all that the run holds so far. Nodes carry
 counts of labelled pages, good and bad; a node's purity is its share of bad pages, smoothed towards that of its parent (host,
@@ -107,7 +107,7 @@ def template_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         here = now.withColumn("_s", F.coalesce(text, F.lit("$")))
         by = here.groupBy("node", "_s").agg(*_sums(), F.first("_all").alias("_all"), F.first("above").alias("above"))
         enough = (F.col("pages") >= F.greatest(F.lit(SUPPORT), F.col("_all") * SHARE)) | (F.col("labelled") >= SUPPORT)
-        own = (F.col("_s") == "$") | (enough & ~F.col("_s").rlike("^[0-9]"))
+        own = (F.col("_s") == "$") | enough
         by = materialize(by.withColumn("branch", F.when(own, F.col("_s")).otherwise(_kind(F.col("_s")))), f"segments-{k}")
         if by.isEmpty():
             break

@@ -88,7 +88,7 @@ def url_tree(rows, share, support, prior, z, names):
         branches = {}
         for s, own_ks in by.items():
             m, lb, _ = count(own_ks)
-            keep = s == "$" or ((m >= max(support, n * share) or lb >= support) and not re.match("^[0-9]", s))
+            keep = s == "$" or m >= max(support, n * share) or lb >= support
             branches.setdefault(s if keep else kind(s), []).extend(own_ks)
         rate = lambda b, lb: (b + prior * own) / (lb + prior)
         spread = lambda b, lb: max(rate(b, lb) * (1 - rate(b, lb)), 0.01) / (lb + prior)

@@ -110,6 +110,14 @@ def test_url_tree_equals_plain_code(spark):
         assert got[k][0] == template and got[k][1] == pytest.approx(purity), (rows[k], got[k], want[k])
 
 
+@pytest.mark.parametrize("good, bad", [("archive", "spam"), ("2023-archive", "2024-spam"), ("1", "2")])
+def test_sections_separate_whatever_their_form(spark, good, bad):
+    rows = [(k, f"http://h.test/{good if k % 2 else bad}/{k}") for k in range(800)]
+    labels = spark.createDataFrame([(k, k % 2 == 0) for k in range(600)], "page_id long, bad boolean")
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=(), labels=labels).collect()
+    assert {(r.page_id % 2, r.verdict) for r in got} == {(0, "block"), (1, "allow")}
+
+
 def test_url_deep_segments_are_told_apart(spark):
     page = spark.createDataFrame([(k, f"http://h.test/a/b/c/d/e/f/g/{'junk' if k % 2 else 'good'}") for k in range(400)] + [(400 + k, f"http://e.test/x/{'$' if k % 2 else ''}") for k in range(200)], "page_id long, url string")
     labels = spark.range(600).select(F.col("id").alias("page_id"), (F.col("id") % 2 == 1).alias("bad"))
