@@ -1,4 +1,4 @@
-"""Outliers within each class: isolation forest or Mahalanobis distance."""
+"""Outliers within each class: isolation forest, or Mahalanobis distance from plain or robust moments."""
 
 from __future__ import annotations
 
@@ -52,11 +52,16 @@ def outliers(points: DataFrame, features: list[str], *, key: str = "point_id", l
     """key, label, outlier, score: within each class the share `contamination` that scores worst. A class of one is no outlier and has no score.
 
     Features are scaled by each class's mean and deviation, found by aggregation. Trees grow on a bounded sample of the class; all points
-    are then scored in slices, so a class of any size is dealt over many tasks. elliptic: Mahalanobis distance, for
-    classes of at least `least`; smaller ones use trees. A feature that isn't finite stops the query.
+    are then scored in slices, so a class of any size is dealt over many tasks. elliptic_envelope: Mahalanobis distance from the moments of
+    the class's tightest half, which outliers can't pull (see `robust`); elliptic: from those of all its points. Both for classes of at
+    least `least`; smaller ones use trees. A feature that isn't finite stops the query.
     """
-    if method not in ("isolation_forest", "elliptic"):
+    if method not in ("isolation_forest", "elliptic", "elliptic_envelope"):
         raise ValueError(f"unknown method {method}")
+    if not features:
+        raise ValueError("there are no features")
+    if not 0 < contamination <= 0.5:
+        raise ValueError("contamination is above 0 and at most 0.5")
     bad = F.lit(False)
     for f in features:
         bad = bad | F.col(f).isNull() | F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f)) == float("inf"))
@@ -68,6 +73,8 @@ def outliers(points: DataFrame, features: list[str], *, key: str = "point_id", l
 
     pick = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
     sample = own.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= 16 * SUBSAMPLE).groupBy(label).agg(F.collect_list("x").alias("sample"))
+    if method == "elliptic_envelope":
+        stats = stats.join(_robust(own, stats, sample, label, d, least), label, "left")
     known = stats.join(sample, label).select(label, F.struct(*[c for c in stats.columns if c != label], "sample").alias("k"))
     slices = F.greatest(F.lit(1), F.ceil(F.col("k.n") / 20000)).cast("int")
     dealt = own.join(known.select(label, slices.alias("_many")), label).withColumn("_slice", F.pmod(F.xxhash64(key), F.col("_many")).cast("int"))
@@ -85,6 +92,11 @@ def outliers(points: DataFrame, features: list[str], *, key: str = "point_id", l
         elif method == "elliptic" and n >= least:
             cov = np.array([[k[f"c{min(a, b)}_{max(a, b)}"] - mean[a] * mean[b] for b in range(d)] for a in range(d)])
             got = np.einsum("nd,de,ne->n", x - mean, np.linalg.pinv(cov), x - mean)
+        elif method == "elliptic_envelope" and n >= least:
+            dev = np.sqrt(np.maximum([k[f"c{a}_{a}"] - mean[a] ** 2 for a in range(d)], 0))
+            dev[dev == 0] = 1
+            z = (x - mean) / dev - np.array(k["robust_mean"])
+            got = np.einsum("nd,de,ne->n", z, np.linalg.pinv(np.array([list(r) for r in k["robust_cov"]])), z)
         else:
             dev = np.sqrt(np.maximum([k[f"c{a}_{a}"] - mean[a] ** 2 for a in range(d)], 0))
             dev[dev == 0] = 1
@@ -99,6 +111,20 @@ def outliers(points: DataFrame, features: list[str], *, key: str = "point_id", l
     return done.join(edge, label, "left").select(key, label, F.coalesce(F.col("score") > F.col("_edge"), F.lit(False)).alias("outlier"), "score").orderBy(F.desc("outlier"), F.desc_nulls_last("score"))
 
 
+def _robust(own: DataFrame, stats: DataFrame, sample: DataFrame, label: str, d: int, least: int) -> DataFrame:
+    """label, robust_mean, robust_cov of each class of at least `least` points, whose features are scaled by mean and deviation."""
+    from terrace.operators.robust import robust_moments
+
+    dev = lambda a: F.sqrt(F.greatest(F.col(f"c{a}_{a}") - F.col(f"m{a}") * F.col(f"m{a}"), F.lit(0.0)))
+    scale = stats.where(F.col("n") >= least).select(label, F.array(*[F.col(f"m{a}") for a in range(d)]).alias("_m"), F.array(*[F.when(dev(a) > 0, dev(a)).otherwise(1.0) for a in range(d)]).alias("_d"))
+    scaled = lambda x: F.zip_with(F.zip_with(x, F.col("_m"), lambda a, b: a - b), F.col("_d"), lambda a, b: a / b)
+    points = materialize(own.join(scale, label).select(label, scaled(F.col("x")).alias("x")), "scaled")
+    samples = sample.join(scale, label).select(label, F.transform("sample", scaled).alias("sample"))
+    found = robust_moments(points, samples, label, d)
+    kind = own.schema[label].dataType.simpleString()
+    return own.sparkSession.createDataFrame([(k, m.tolist(), c.tolist()) for k, (m, c) in found.items()], f"{label} {kind}, robust_mean array<double>, robust_cov array<array<double>>")
+
+
 def detect_point_outliers(pixels: DataFrame, points: DataFrame, grid: GridSpec, bands: list[str], *, label: str = "class_id", key: str = "point_id", epsg: int | None = None, **how) -> DataFrame:
     """Outliers among points by the bands of the pixels that hold them: load_and_extract, then outliers."""
     return outliers(load_and_extract(pixels, points, grid, bands=bands, label=label, epsg=epsg, key=key), bands, key=key, label=label, **how)

@@ -184,6 +184,12 @@ _COV = ", ".join(f"avg({a}::DOUBLE * {b}) - avg({a}) * avg({b}) AS c{i}{j}" for
 _QUAD = " + ".join(f"{_D[i]} * {_D[j]} * ({_cofactor(i, j)})" for i in range(3) for j in range(3))
 
 
+@part.add("outliers_robust", "px_bands")
+def _(px: DataFrame) -> DataFrame:
+    t = px.select((F.col("row") * 25 + F.col("col")).alias("point_id"), (F.col("row") % 3).alias("class_id"), "blue", "green", "red")
+    return outliers.outliers(t, ["blue", "green", "red"], method="elliptic_envelope")
+
+
 @part.add("outliers_elliptic", "px_bands", f"""WITH t AS (SELECT row * 25 + col AS point_id, row % 3 AS class_id, blue, green, red FROM px_bands), s AS (SELECT class_id, {', '.join(f'avg({f}) AS m_{f}' for f in _F3)}, {_COV} FROM t GROUP BY 1),
 d AS (SELECT point_id, class_id, ({_QUAD}) / ({' + '.join(f'{_c(0, j)} * ({_cofactor(0, j)})' for j in range(3))}) AS d FROM t JOIN s USING (class_id)), e AS (SELECT class_id, quantile_cont(d, 0.95) AS e FROM d GROUP BY 1)
 SELECT point_id, class_id, d > e AS outlier, round_even(d, 5) AS score FROM d JOIN e USING (class_id)""")
