@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 
 from terrace.functions.scalars import all_of, finite
 from terrace.operators.accuracy import confusion, overall_accuracy
+from terrace.operators.trees import ExtraTrees, SoftmaxBoosting
 
 
 def build_classifier(name: str, *, label: str = "label", features: str = "features", seed: int = 42, **params):
-    """random_forest; extra_trees (a forest with random feature subsets); boosted kinds (xgboost, lightgbm, gbt) as one-vs-rest boosted trees."""
+    """random_forest; extra_trees (see ExtraTrees); xgboost, lightgbm (see SoftmaxBoosting); gbt (one-vs-rest boosted trees). params are the kind's own."""
     kind = "".join(c for c in name.lower() if c.isalnum())
     if kind in ("randomforest", "rf"):
         return RandomForestClassifier(labelCol=label, featuresCol=features, seed=seed, **params)
     if kind in ("extratrees", "et"):
-        return RandomForestClassifier(labelCol=label, featuresCol=features, seed=seed, **({"featureSubsetStrategy": "onethird", "bootstrap": False} | params))
-    if kind in ("xgboost", "lightgbm", "gbt", "xgb", "lgbm"):
+        return ExtraTrees(label=label, features=features, seed=seed, **params)
+    if kind in ("xgboost", "lightgbm", "xgb", "lgbm", "softmaxboosting"):
+        return SoftmaxBoosting(label=label, features=features, **params)
+    if kind == "gbt":
         return OneVsRest(classifier=GBTClassifier(labelCol=label, featuresCol=features, seed=seed, **params), labelCol=label, featuresCol=features)
     raise ValueError(f"unknown classifier {name}")
 

@@ -52,5 +52,17 @@ def rf_one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.one_vs_rest_scores(made, made, numTrees=5)
 
 
-QUERIES = {"rf_evaluate": rf_evaluate, "rf_one_vs_rest": rf_one_vs_rest, "rf_classify": rf_classify, "rf_proba": rf_proba, "rf_grid_tune": rf_grid_tune, "rfecv_select": rfecv_select}
+def extra_trees_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, names = _features(spark, sf_dir)
+    model = learning.build_classifier("extra_trees", trees=10, max_depth=6).fit(learning.assemble(df, names))
+    return learning.classify_pixels(df, names, model, mode="proba")
+
+
+def softmax_boosting_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, names = _features(spark, sf_dir)
+    model = learning.build_classifier("xgboost", rounds=3, max_depth=2, bins=16).fit(learning.assemble(df, names))
+    return learning.classify_pixels(df, names, model, mode="proba")
+
+
+QUERIES = {"extra_trees_proba": extra_trees_proba, "softmax_boosting_proba": softmax_boosting_proba, "rf_evaluate": rf_evaluate, "rf_one_vs_rest": rf_one_vs_rest, "rf_classify": rf_classify, "rf_proba": rf_proba, "rf_grid_tune": rf_grid_tune, "rfecv_select": rfecv_select}
 ORACLES: dict[str, str] = {}
