@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import scalars
 from terrace.grid import UTM, GridSpec
-from terrace.operators import focal, fusion, raster, segmentation, timeseries
+from terrace.operators import focal, fusion, raster, segmentation, superpixels, timeseries
 from terrace.plans.registry import Part
 from terrace.sources import vector
 
@@ -232,6 +232,18 @@ def _(polygons: DataFrame) -> DataFrame:
     return raster.rasterize_touched(polygons.select("poly_id", ring.alias("ring")), UTM).select("poly_id", "row", "col")
 
 
+# Where place alone counts, seeds stay in the middle of their cells.
+@part.add("superpixels_by_place", "px_bands", "SELECT row, col, CAST((row // 5 * 5) * 2147483648 + col // 5 * 5 AS BIGINT) AS seg FROM px_bands")
+def _(px: DataFrame) -> DataFrame:
+    return superpixels.superpixels(px.select("row", "col", (F.col("red") / 10000).alias("red")), ["red"], spacing=5, compactness=1e6, rounds=3)
+
+
+@part.add("superpixels", "px_bands")
+def _(px: DataFrame) -> DataFrame:
+    made = raster.make_features(px, ["blue", "green", "red", "nir"])
+    return superpixels.superpixels(made, ["red", "nir", "ndvi"], spacing=5, compactness=0.1)
+
+
 # Straight lines and no change.
 @part.add("trend_segments", "px_scenes", """
 WITH o AS (SELECT pixel, year(ts) + (dayofyear(ts) - 1) / 365.25::DOUBLE AS t, value AS y FROM px_scenes WHERE value IS NOT NULL),
