@@ -241,7 +241,7 @@ def _(px: DataFrame) -> DataFrame:
 @part.add("superpixels", "px_bands")
 def _(px: DataFrame) -> DataFrame:
     made = raster.make_features(px, ["blue", "green", "red", "nir"])
-    return superpixels.superpixels(made, ["red", "nir", "ndvi"], spacing=5, compactness=0.1)
+    return superpixels.superpixels(made, ["red", "nir", "ndvi"], spacing=5, compactness=0.1, rounds=4)
 
 
 # Straight lines and no change.

@@ -10,6 +10,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from terrace.scratch import materialize
 
 # Tags of the format and of its geographic extension.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, BANDS, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT, SCALE, TIEPOINT, GEO_KEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42113
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT, SCALE, TIEPOINT, GEO_KEYS, METADATA, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42112, 42113
 _SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 _KINDS = {1: "u", 2: "i", 3: "f"}
 #: Bytes of blocks that one task reads.
@@ -30,37 +31,81 @@ TASK_BYTES = 64 << 20
 Reader = Callable[[int, int], bytes]  # offset, size
 
 
-def opened(path: str) -> Reader:
-    """Reads ranges of a file: local, or of a store that Arrow knows by its address."""
+# Schemes of Hadoop's that Arrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def store_of(path: str) -> tuple[object, str]:
+    """The file system of a path and the path in it: local, or of a store that Arrow knows by its address."""
     from pyarrow import fs
 
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    scheme, mark, rest = path.partition("://")
+    if not mark:
+        return fs.FileSystem.from_uri(path) if path.startswith("file:") else (fs.LocalFileSystem(), path)
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"files of {scheme}:// can't be read in parts: {e}") from e
+
+
+def opened(path: str) -> Reader:
+    """Reads ranges of a file."""
+    store, inner = store_of(path)
     file = store.open_input_file(inner)
     return lambda at, size: file.read_at(size, at)
 
 
+def _codes(bits: np.ndarray, at: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """many codes after a clear at bit `at`, and where each ends: their widths grow with the table, one early."""
+    entries = 257 + np.arange(many)
+    width = 9 + (entries >= 511).astype(np.int64) + (entries >= 1023) + (entries >= 2047)
+    ends = at + np.cumsum(width)
+    begin = ends - width
+    byte = np.minimum(begin >> 3, len(bits) - 3)
+    held = bits[byte] << 16 | bits[byte + 1] << 8 | bits[byte + 2]
+    return held >> (24 - width - (begin & 7)) & ((1 << width) - 1), ends
+
+
+def _words(codes: np.ndarray) -> bytes:
+    """What the codes between two clears stand for. A code above 257 repeats what an earlier code stood for and one byte more, which follows it."""
+    n = len(codes)
+    plain = codes < 256
+    before = np.where(plain, np.arange(n), codes - 258)
+    if (before > np.arange(n)).any() or (before < 0).any():
+        raise ValueError("a code that isn't known yet")
+    size, up = (~plain).astype(np.int64), before.copy()
+    while True:  # each round doubles how far back a code looks
+        more = size + size[up]
+        if (more == size).all():
+            break
+        size, up = more, up[up]
+    size += 1
+    start = np.cumsum(size) - size
+    code = np.repeat(np.arange(n), size)
+    at = np.arange(len(code))
+    source = np.where(plain[code], at, start[before[code]] + at - start[code])
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return codes[code[source]].astype(np.uint8).tobytes()
+        source = further
+
+
 def unlzw(data: bytes) -> bytes:
     """The format's LZW: codes from the high bit on, of 9 to 12 bits, one early; 256 clears the table, 257 ends."""
-    table: list[bytes] = []
-    out, width, bits, held, last = [], 9, 0, 0, b""
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
+    bits = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    at, end, out, many = 0, 8 * len(data), [], 4096
+    while at + 9 <= end:
+        codes, ends = _codes(bits, at, many)
+        stop = np.flatnonzero((codes == 256) | (codes == 257) | (ends > end))
+        if not len(stop):
+            many *= 2  # a writer that doesn't clear its full table
             continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
+        k = int(stop[0])
+        out.append(_words(codes[:k]))
+        if ends[k] > end or codes[k] == 257:
             break
-        if code == 256:
-            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
-            continue
-        word = table[code] if code < len(table) else last + last[:1]
-        out.append(word)
-        if last:
-            table.append(last + word[:1])
-        last = word
-        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+        at, many = int(ends[k]), 4096
     return b"".join(out)
 
 
@@ -113,6 +158,19 @@ class Image:
     def nodata(self) -> float | None:
         return float(self.tags[NODATA][0]) if NODATA in self.tags else None
 
+    @property
+    def names(self) -> list[str]:
+        """The bands' descriptions, band_1, band_2 ... where there are none; the same twice is an error."""
+        told = {}
+        if METADATA in self.tags:
+            for item in ElementTree.fromstring(self.tags[METADATA][0]).iter("Item"):
+                if (item.get("role") or "").lower() == "description" and item.get("sample") is not None and (item.text or "").strip():
+                    told[int(item.get("sample"))] = item.text.strip()
+        found = [told.get(k, f"band_{k + 1}") for k in range(self.one(BANDS, 1))]
+        if len(set(found)) < len(found):
+            raise ValueError(f"bands of one name: {found}")
+        return found
+
     def layout(self) -> list[tuple[int, int, int, tuple[int, ...], tuple[int, ...]]]:
         """(row, col, rows, offsets, sizes) of each strip or tile; several offsets where bands are stored apart."""
         h, w, n, planar = self.one(HEIGHT), self.one(WIDTH), self.one(BANDS, 1), self.one(PLANAR, 1)
@@ -136,8 +194,16 @@ class Image:
         bands = self.one(BANDS, 1) if self.one(PLANAR, 1) == 1 else 1
 
         def cells(data: bytes) -> np.ndarray:
-            a = np.frombuffer(unpack[kind](data), self.dtype, rows * width * bands).reshape(rows, width, bands)
-            return np.cumsum(a, 1, dtype=a.dtype) if self.one(PREDICTOR, 1) == 2 else a
+            raw, predictor = unpack[kind](data), self.one(PREDICTOR, 1)
+            if predictor == 3:  # a row's bytes by their place in the value, the highest first, as differences
+                size = self.dtype.itemsize
+                planes = np.frombuffer(raw, np.uint8, rows * width * bands * size).reshape(rows, size * width, bands)
+                planes = np.cumsum(planes, 1, dtype=np.uint8).reshape(rows, size, width * bands)
+                return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(self.dtype.newbyteorder(">")).reshape(rows, width, bands)
+            if predictor not in (1, 2):
+                raise ValueError(f"predictor {predictor} is not supported")
+            a = np.frombuffer(raw, self.dtype, rows * width * bands).reshape(rows, width, bands)
+            return np.cumsum(a, 1, dtype=a.dtype) if predictor == 2 else a
 
         whole = np.concatenate([cells(p) for p in parts], 2)
         return whole[: self.one(HEIGHT) - r, : self.one(WIDTH) - c]
@@ -148,6 +214,19 @@ class Image:
             yield r, c, self.decode([raw[o : o + s] for o, s in zip(offsets, sizes, strict=True)], r, c, rows)
 
 
+def pixels_of(image: Image, read: Reader, block: tuple, bands: int, window: tuple[int, int, int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, col and values (NaN: no data) of the pixels of one block that have data in any band and lie in the window."""
+    r, c, rows, offsets, sizes = block
+    a = image.decode([read(o, s) for o, s in zip(offsets, sizes, strict=True)], r, c, rows)
+    values = a.astype(float).reshape(-1, bands)
+    values[np.isclose(values, image.nodata) if image.nodata is not None else ~np.isfinite(values)] = np.nan
+    row, col = (x.ravel() for x in np.mgrid[r : r + a.shape[0], c : c + a.shape[1]])
+    keep = ~np.isnan(values).all(1)
+    if window is not None:
+        keep &= (row >= window[0]) & (row < window[0] + window[2]) & (col >= window[1]) & (col < window[1] + window[3])
+    return row[keep], col[keep], values[keep]
+
+
 def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """path, row, col, bands (double) of TIFF files; pixels with nodata in all bands are left out, nodata in one is null. window: first row, first column, rows, columns.
 
@@ -177,15 +256,9 @@ def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[
                 if p != name:
                     name, read = p, opened(p)
                     image = Image.of(read)
-                a = image.decode([read(o, s) for o, s in zip(offsets, sizes, strict=True)], r, c, rows)
-                values = a.astype(float).reshape(-1, len(bands))
-                values[np.isclose(values, image.nodata) if image.nodata is not None else ~np.isfinite(values)] = np.nan
-                row, col = (x.ravel() for x in np.mgrid[r : r + a.shape[0], c : c + a.shape[1]])
-                keep = ~np.isnan(values).all(1)
-                if window is not None:
-                    keep &= (row >= window[0]) & (row < window[0] + window[2]) & (col >= window[1]) & (col < window[1] + window[3])
-                cols = [pa.array(values[keep, k], from_pandas=True) for k in range(len(bands))]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * int(keep.sum())), pa.array(row[keep]), pa.array(col[keep]), *cols], names=["path", "row", "col", *bands])
+                row, col, values = pixels_of(image, read, (r, c, rows, offsets, sizes), len(bands), window)
+                cols = [pa.array(values[:, k], from_pandas=True) for k in range(len(bands))]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(row)), pa.array(row), pa.array(col), *cols], names=["path", "row", "col", *bands])
 
     blocks = materialize(files.mapInArrow(plan, "path string, part long, r long, c long, rows long, offsets array<long>, sizes array<long>"), "blocks")
     parts = blocks.select("path", "part").distinct().count()
@@ -199,13 +272,12 @@ def read_grid(spark: SparkSession, path: str) -> GridSpec:
 
 
 def band_names(spark: SparkSession, path: str) -> list[str]:
-    """band_1, band_2 ... of one file."""
-    image = Image.of(opened(spark.read.format("binaryFile").load(path).select("path").first()[0]))
-    return [f"band_{k + 1}" for k in range(image.one(BANDS, 1))]
+    """The names of one file's bands: their descriptions, or band_1, band_2 ..."""
+    return Image.of(opened(spark.read.format("binaryFile").load(path).select("path").first()[0])).names
 
 
-def encode(values: np.ndarray, grid: GridSpec, nodata: float | None = None, rows: int = 256) -> bytes:
-    """A TIFF file of values (row, col, band): deflated strips, little-endian."""
+def encode(values: np.ndarray, grid: GridSpec, nodata: float | None = None, rows: int = 256, names: list[str] | None = None) -> bytes:
+    """A TIFF file of values (row, col, band): deflated strips, little-endian. names: descriptions of the bands."""
     a = np.ascontiguousarray(values if values.ndim == 3 else values[:, :, None])
     a = a.astype(a.dtype.newbyteorder("<"))
     strips = [zlib.compress(a[r : r + rows].tobytes()) for r in range(0, len(a), rows)]
@@ -218,6 +290,11 @@ def encode(values: np.ndarray, grid: GridSpec, nodata: float | None = None, rows
     ]
     if nodata is not None:
         entries.append((NODATA, 2, (f"{nodata:g}\0".encode(),)))
+    if names is not None:
+        told = ElementTree.Element("GDALMetadata")
+        for k, name in enumerate(names):
+            ElementTree.SubElement(told, "Item", name="DESCRIPTION", sample=str(k), role="description").text = name
+        entries.append((METADATA, 2, (ElementTree.tostring(told) + b"\0",)))
     pack = lambda kind, v: v[0] if kind == 2 else struct.pack(f"<{len(v)}{_SIZES[kind][0]}", *v)
     head, extra, at = b"", b"", 8 + 2 + 12 * len(entries) + 4
     start = at + sum(len(p) + len(p) % 2 for _, k, v in entries if len(p := pack(k, v)) > 4)
@@ -242,7 +319,7 @@ def raster_tiles(pixels: DataFrame, grid: GridSpec, bands: list[str], *, dtype:
         a = np.full((min(tile, grid.height - tr * tile), min(tile, grid.width - tc * tile), len(bands)), nodata, dtype)
         a[pdf["row"] - tr * tile, pdf["col"] - tc * tile] = pdf[bands].fillna(nodata).to_numpy()
         own = GridSpec(a.shape[0], a.shape[1], grid.a, 0.0, grid.c + tc * tile * grid.a, 0.0, grid.e, grid.f + tr * tile * grid.e, grid.epsg)
-        return pd.DataFrame({"tile_row": [tr], "tile_col": [tc], "content": [encode(a, own, nodata)]})
+        return pd.DataFrame({"tile_row": [tr], "tile_col": [tc], "content": [encode(a, own, nodata, names=bands)]})
 
     own = pixels.select("row", "col", *bands).withColumn("tile_row", F.floor(F.col("row") / tile)).withColumn("tile_col", F.floor(F.col("col") / tile))
     return own.groupBy("tile_row", "tile_col").applyInPandas(make, "tile_row long, tile_col long, content binary")
@@ -251,9 +328,7 @@ def raster_tiles(pixels: DataFrame, grid: GridSpec, bands: list[str], *, dtype:
 def write_tiles(pixels: DataFrame, grid: GridSpec, bands: list[str], folder: str, **how) -> DataFrame:
     """raster_tiles written as folder/tile_<row>_<col>.tif, each by the task that made it; returns tile_row, tile_col, path, bytes. A file is put in place whole, so a task that runs again does no harm."""
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, inner = store_of(folder)
         for b in batches:
             store.create_dir(inner, recursive=True)
             paths, sizes = [], []
