@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.ml import Model, Pipeline
@@ -42,6 +43,12 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed:
     return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)), F.lit(folds)))
 
 
+def at_once(run: Callable, calls: list[tuple], many: int) -> list:
+    """What run gives for each call's arguments, in order; each is a distributed job, and so many go on together."""
+    with ThreadPoolExecutor(max(1, many)) as pool:
+        return list(pool.map(lambda args: run(*args), calls))
+
+
 #: Names of scores and the measures of overall_accuracy that they stand for.
 SCORES = {"balanced_accuracy": "balanced_accuracy", "accuracy": "oa", "f1_macro": "f1_macro", "f1_weighted": "f1_weighted", "f1_micro": "f1_micro", "kappa": "kappa", "matthews_corrcoef": "mcc"}
 
@@ -60,11 +67,12 @@ def balanced_accuracy(predictions: DataFrame, label: str = "label") -> float:
 
 
 def tune(
-    df: DataFrame, name: str | Callable[..., object], grid: dict[str, list], *, label: str = "label", key: str = "id", folds: int = 5, fold_col: str | None = None, scoring: str | Callable[[DataFrame], float] = "balanced_accuracy", n_iter: int | None = None, seed: int = 42,
+    df: DataFrame, name: str | Callable[..., object], grid: dict[str, list], *, label: str = "label", key: str = "id", folds: int = 5, fold_col: str | None = None, scoring: str | Callable[[DataFrame], float] = "balanced_accuracy", n_iter: int | None = None, seed: int = 42, parallelism: int = 4,
 ) -> tuple[DataFrame, Model]:
     """(params with their mean score, named by scoring, the best first; the model fitted on all rows with the best). df has features. n_iter: a random sample of the grid.
 
     name: of a classifier, or a function that makes an estimator of the params; fold_col: a column that deals the rows out, instead of stratified folds.
+    parallelism: fits that run at once.
     """
     if n_iter is not None and n_iter < 1:
         raise ValueError("n_iter is at least 1")
@@ -74,10 +82,12 @@ def tune(
         every = random.Random(seed).sample(every, n_iter)
     dealt = (df.withColumn("fold", F.col(fold_col)) if fold_col else stratified_folds(df, label, key, folds, seed)).cache()
     parts = sorted(r[0] for r in dealt.select("fold").distinct().collect())
-    rows = []
-    for params in every:  # the grid is a few settings; each fit is a distributed job
-        scores = [score_of(make(**params).fit(dealt.where(F.col("fold") != k)).transform(dealt.where(F.col("fold") == k)), label, scoring) for k in parts]
-        rows.append((str(sorted(params.items())), sum(scores) / len(parts)))
+
+    def one(params: dict, k: int) -> float:
+        return score_of(make(**params).fit(dealt.where(F.col("fold") != k)).transform(dealt.where(F.col("fold") == k)), label, scoring)
+
+    scores = at_once(one, [(params, k) for params in every for k in parts], parallelism)
+    rows = [(str(sorted(params.items())), sum(scores[i * len(parts) : (i + 1) * len(parts)]) / len(parts)) for i, params in enumerate(every)]
     dealt.unpersist()
     best = max(range(len(rows)), key=lambda k: rows[k][1])
     title = scoring if isinstance(scoring, str) else "score"
@@ -86,13 +96,17 @@ def tune(
 
 
 def select_features(
-    df: DataFrame, features: list[str], *, label: str = "label", key: str = "id", folds: int = 3, step: int = 1, least: int = 1, scoring: str | Callable[[DataFrame], float] = "balanced_accuracy", seed: int = 42, **params,
+    df: DataFrame, features: list[str], *, label: str = "label", key: str = "id", folds: int = 3, step: int = 1, least: int = 1, scoring: str | Callable[[DataFrame], float] = "balanced_accuracy", seed: int = 42, parallelism: int = 4, **params,
 ) -> tuple[list[str], DataFrame]:
     """(the features kept, a table of n_features and score): drops the least important ones step by step and keeps the number that scores best."""
     left, tried = list(features), []
     while True:
         own = stratified_folds(assemble(df.drop("features"), left), label, key, folds, seed).cache()
-        score = sum(score_of(build_classifier("rf", label=label, seed=seed, **params).fit(own.where(F.col("fold") != k)).transform(own.where(F.col("fold") == k)), label, scoring) for k in range(folds)) / folds
+
+        def one(k: int, own: DataFrame = own) -> float:
+            return score_of(build_classifier("rf", label=label, seed=seed, **params).fit(own.where(F.col("fold") != k)).transform(own.where(F.col("fold") == k)), label, scoring)
+
+        score = sum(at_once(one, [(k,) for k in range(folds)], parallelism)) / folds
         tried.append((list(left), score))
         if len(left) <= least:
             break
@@ -171,14 +185,16 @@ def cohen_kappa(predictions: DataFrame, label: str = "label") -> float:
     return float(row["kappa"] or 0.0)
 
 
-def tune_forest(df: DataFrame, trees: list[int], subsets: list[str], *, label: str = "label", key: str = "id", fraction: float = 0.3, seed: int = 42) -> tuple[DataFrame, dict]:
+def tune_forest(df: DataFrame, trees: list[int], subsets: list[str], *, label: str = "label", key: str = "id", fraction: float = 0.3, seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, dict]:
     """(trees, subset, oa and kappa on held-out rows of each setting, the best first; the best setting). A forest is fitted for each on the same split."""
     split = df.withColumn("_test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)).cache()
-    rows = []
-    for n, s in itertools.product(trees, subsets):  # a few settings; each fit is a distributed job
+
+    def one(n: int, s: str) -> tuple[int, str, float, float]:
         done = build_classifier("rf", label=label, seed=seed, numTrees=n, featureSubsetStrategy=s).fit(split.where("NOT _test")).transform(split.where("_test"))
         row = overall_accuracy(confusion(done, label, "prediction")).first()
-        rows.append((n, s, float(row["oa"] or 0.0), float(row["kappa"] or 0.0)))
+        return n, s, float(row["oa"] or 0.0), float(row["kappa"] or 0.0)
+
+    rows = at_once(one, list(itertools.product(trees, subsets)), parallelism)
     split.unpersist()
     best = max(rows, key=lambda r: (r[2], r[3], -r[0]))
     table = df.sparkSession.createDataFrame(rows, "trees int, subset string, oa double, kappa double").orderBy(F.desc("oa"), F.desc("kappa"), "trees")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions import geometry
+from terrace.functions.crs import reproject
 from terrace.functions.scalars import finite, spectral_index, stretch
 from terrace.grid import GridSpec
 from terrace.operators.focal import slope_aspect
@@ -97,12 +98,12 @@ def target_grid(first: GridSpec, epsg: int | None = None, resolution: float | No
 
 
 def create_feature_stack(
-    imagery: Iterable[Layer], *, method: str = "median", indices: Iterable[str] = (), layers: Iterable[Layer] = (), aliases: dict[str, str] | None = None, terrain_from: Iterable[str] = (), epsg: int | None = None, resolution: float | None = None,
+    imagery: Iterable[Layer], *, method: str = "median", indices: Iterable[str] = (), layers: Iterable[Layer] = (), aliases: dict[str, str] | None = None, terrain_from: Iterable[str] = (), epsg: int | None = None, resolution: float | None = None, nearest: Iterable[str] = (),
 ) -> tuple[DataFrame, list[str], str]:
     """(row, col and the features on one grid; their names in order; the manifest as JSON).
 
-    Layers of one feature are brought to the grid by bilinear resampling where theirs differs, and composited (median or first
-    valid); indices are of the features, slope and aspect of those in terrain_from. Every pixel of the grid that any feature has is there.
+    Layers of one feature are brought to the grid by bilinear resampling where theirs differs (features named in nearest, such as
+    classes: by their nearest pixels), and composited (median or first valid; classes the first valid); indices are of the features, slope and aspect of those in terrain_from. Every pixel of the grid that any feature has is there.
     """
     if method.lower() not in ("median", "first_valid"):
         raise ValueError(f"unknown method {method}")
@@ -115,10 +116,13 @@ def create_feature_stack(
     names = [*grouped, *indices, *[f"{n}_{x}" for n in terrain_from for x in ("slope", "aspect")]]
     if len(set(names)) != len(names):
         raise ValueError("features have different names")
+    nearest = set(nearest)
+    if unknown := nearest - set(grouped):
+        raise ValueError(f"no features {sorted(unknown)}")
     made = {}
     for name, group in grouped.items():
-        aligned = [(one.pixels if one.grid == grid else warp_bilinear(one.pixels, one.grid, grid, "value")).select("row", "col", F.col("value").cast("double").alias("value"), F.lit(k).alias("ord")) for k, one in enumerate(group)]
-        made[name] = composite(reduce(DataFrame.unionByName, aligned), ["row", "col"], method="first" if method.lower() == "first_valid" else "median")
+        ready = [aligned(one, grid, name in nearest).select("row", "col", F.col("value").cast("double").alias("value"), F.lit(k).alias("ord")) for k, one in enumerate(group)]
+        made[name] = composite(reduce(DataFrame.unionByName, ready), ["row", "col"], method="first" if method.lower() == "first_valid" or name in nearest else "median")
     rows = reduce(DataFrame.unionByName, [t.select("row", "col", F.lit(n).alias("layer"), F.col("value").alias("v")) for n, t in made.items()])
     wide = rows.groupBy("row", "col").agg(*[F.max(F.when(F.col("layer") == n, F.col("v"))).alias(n) for n in made])
     wide = wide.select("*", *[spectral_index(i, list(made)).alias(i) for i in indices])
@@ -129,10 +133,39 @@ def create_feature_stack(
     return wide.select("row", "col", *names), names, json.dumps(about, indent=2)
 
 
+def warp_nearest(source: DataFrame, source_grid: GridSpec, target: GridSpec, cols: list[str]) -> DataFrame:
+    """row, col, cols on the target grid, of any known coordinate system: its pixels whose centre lies in a source pixel that there is, for classes and masks."""
+    spark = source.sparkSession
+    cells = spark.range(target.height * target.width).select(F.floor(F.col("id") / target.width).alias("row"), (F.col("id") % target.width).alias("col"))
+    x, y = reproject(*target.centre_of(F.col("row"), F.col("col")), target.epsg, source_grid.epsg)
+    row, col = source_grid.pixel_of(x, y)
+    t = cells.select("row", "col", row.alias("_r"), col.alias("_c"))
+    return t.join(source.select(F.col("row").alias("_r"), F.col("col").alias("_c"), *cols), ["_r", "_c"]).select("row", "col", *cols)
+
+
+def stack_layers(layers: list[Layer], grid: GridSpec | None = None, nearest: Iterable[str] = ()) -> DataFrame:
+    """stack of layers of any grids and coordinate systems, brought to one grid (the first one's, if not given).
+
+    Layers named in nearest (classes, masks) take the pixel that holds a centre, the others the mean of the four around it. There are the
+    pixels of the first layer, once it is on the grid.
+    """
+    if not layers or len({one.name for one in layers}) != len(layers):
+        raise ValueError("layers have different names")
+    nearest, grid = set(nearest), grid or layers[0].grid
+    if unknown := nearest - {one.name for one in layers}:
+        raise ValueError(f"no layers {sorted(unknown)}")
+    return stack({one.name: aligned(one, grid, one.name in nearest) for one in layers})
+
+
+def aligned(one: Layer, grid: GridSpec, nearest: bool) -> DataFrame:
+    """row, col, value of a layer on a grid."""
+    if one.grid == grid:
+        return one.pixels.select("row", "col", "value")
+    return warp_nearest(one.pixels, one.grid, grid, ["value"]) if nearest else warp_bilinear(one.pixels, one.grid, grid, "value")
+
+
 def warp_bilinear(source: DataFrame, source_grid: GridSpec, target: GridSpec, value: str) -> DataFrame:
     """row, col, value on the target grid, of any known coordinate system: all its pixels whose centre lies in the source."""
-    from terrace.functions.crs import reproject
-
     spark = source.sparkSession
     cells = spark.range(target.height * target.width).select(F.floor(F.col("id") / target.width).alias("row"), (F.col("id") % target.width).alias("col"))
     x, y = reproject(*target.centre_of(F.col("row"), F.col("col")), target.epsg, source_grid.epsg)
@@ -172,8 +205,8 @@ def distance_features(sources: dict[str, DataFrame], grid: GridSpec) -> DataFram
 
 
 def resample_nearest(source: DataFrame, source_grid: GridSpec, target: DataFrame, target_grid: GridSpec, cols: list[str]) -> DataFrame:
-    """row, col of target and cols of the source pixel that holds each target pixel's centre; one coordinate system."""
-    x, y = target_grid.centre_of(F.col("row"), F.col("col"))
+    """row, col of target and cols of the source pixel that holds each target pixel's centre, of any known coordinate systems; null beyond the source."""
+    x, y = reproject(*target_grid.centre_of(F.col("row"), F.col("col")), target_grid.epsg, source_grid.epsg)
     row, col = source_grid.pixel_of(x, y)
     t = target.select("row", "col", row.alias("_r"), col.alias("_c"))
     s = source.select(F.col("row").alias("_r"), F.col("col").alias("_c"), *cols)
@@ -182,7 +215,7 @@ def resample_nearest(source: DataFrame, source_grid: GridSpec, target: DataFrame
 
 def resample_bilinear(source: DataFrame, source_grid: GridSpec, target: DataFrame, target_grid: GridSpec, value: str) -> DataFrame:
     """row, col, value: the mean of the four source pixels around each target centre, by nearness; missing ones are left out."""
-    x, y = target_grid.centre_of(F.col("row"), F.col("col"))
+    x, y = reproject(*target_grid.centre_of(F.col("row"), F.col("col")), target_grid.epsg, source_grid.epsg)
     return _bilinear(source, source_grid, target.select("row", "col", x.alias("_x"), y.alias("_y")), value)
 
 

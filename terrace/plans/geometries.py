@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions import geometry
-from terrace.grid import UTM, GridSpec
+from terrace.grid import LONLAT, UTM, GridSpec
 from terrace.operators import raster, sampling
 from terrace.plans.registry import Part
 
@@ -110,4 +110,26 @@ def _(polygons: DataFrame) -> DataFrame:
     return done.select("row", "col", F.bround("distance", 6).alias("distance"))
 
 
+# The raster of geographic pixels on an equal-area grid of 15 m: from x and y to longitude and latitude, then the pixel that holds them.
+_EQUAL_AREA = GridSpec(1300, 75, 15.0, 0.0, 12060700.0, 0.0, -15.0, -1080400.0, 6933)
+
+
+@part.add("warp_nearest_equal_area", "px_epochs", """
+WITH e AS (SELECT 1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE) AS e2, 6378137.0::DOUBLE AS a),
+k AS (SELECT e2, a, cos(radians(30)) / sqrt(1 - e2 * 0.25::DOUBLE) AS k0, (1 - e2) * (1 / (1 - e2) - ln((1 - sqrt(e2)) / (1 + sqrt(e2))) / (2 * sqrt(e2))) AS qp FROM e),
+t AS (
+  SELECT range // 75 AS row, range % 75 AS col, degrees((12060700 + (range % 75 + 0.5::DOUBLE) * 15) / (a * k0)) AS lon,
+         asin(2 * (-1080400 - (range // 75 + 0.5::DOUBLE) * 15) * k0 / a / qp) AS b, e2
+  FROM range(97500), k
+), p AS (
+  SELECT row, col, CAST(floor((lon - 125) / 0.0001::DOUBLE) AS BIGINT) AS c,
+         CAST(floor((degrees(b + (e2 / 3 + 31 * e2 * e2 / 180 + 517 * e2 * e2 * e2 / 5040) * sin(2 * b) + (23 * e2 * e2 / 360 + 251 * e2 * e2 * e2 / 3780) * sin(4 * b) + 761 * e2 * e2 * e2 / 45360 * sin(6 * b)) + 8.5::DOUBLE) / -0.0001::DOUBLE) AS BIGINT) AS r
+  FROM t
+)
+SELECT p.row, p.col, e3 FROM p JOIN px_epochs x ON x.row = p.r AND x.col = p.c
+""")
+def _(px: DataFrame) -> DataFrame:
+    return raster.warp_nearest(px, LONLAT, _EQUAL_AREA, ["e3"])
+
+
 QUERIES, ORACLES = part.queries, part.oracles

@@ -103,8 +103,17 @@ def write_features(rows: DataFrame, path: str) -> None:
 
 
 def read_points(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file with a header, of a known schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Samples of a known schema: a CSV file with a header, or the attributes of a vector file (GeoJSON or shapefile), without its geometry."""
+    kind = path.lower().rpartition(".")[2]
+    if kind not in ("geojson", "json", "shp"):
+        return spark.read.schema(schema).option("header", True).csv(path)
+    if kind == "shp":
+        from terrace.sources.shapefile import read_shapefile
+
+        found = read_shapefile(spark, path, schema)
+    else:
+        found = read_geojson(spark, path, schema)
+    return found.drop("x", "y", "ring", "geometry")
 
 
 def search_scenes(catalog: DataFrame, aoi, start: str, end: str, *, max_cloud: float | None = None, max_items: int = 20) -> DataFrame:
