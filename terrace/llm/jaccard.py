@@ -6,10 +6,10 @@ Equal sets are one class from the start. Then, on distinct sets only:
    window of twice the distance bound would put every document into every region). The first pivots are therefore
    hash ranges of all shingles: sets of like size are cut by them into parts, more parts than linked sets can differ in, so
    that linked sets agree in whole parts. Sets that agree in a part meet; what meets is gathered to families.
-2. Voronoi regions. Within every family of more than LEAF documents some documents are pivots; a document goes to the region of
-   its nearest pivot and, by the triangle inequality, to every region whose pivot is at most twice the bound farther. Regions
-   are split again until they are small. A pivot's distances are exact, so a document within the bound of its nearest pivot is
-   linked with it there and then.
+2. Voronoi regions. Within every family some documents are pivots (one for each LEAF documents, PIVOTS at most); a document goes to the
+   region of its nearest pivot and, by the triangle inequality, to every region whose pivot is at most twice the bound farther. Regions
+   are split again until they are small, by what their documents hold and by how many they are. A pivot's distances are exact, so a
+   document within the bound of its nearest pivot is linked with it there and then.
 3. Where windows put nearly a whole region into one, its documents are near each other: those linked with the pivot that has
    most are one group already, and needn't be compared among themselves. They are dealt in blocks, which the other documents
    (blocks of them, if they are many) visit; the others alone are the region that goes on.
@@ -29,15 +29,16 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrace.operators.graph import components
 from terrace.scratch import materialize
 
-#: Shingles of a region that one task joins; documents chosen as pivots to split one; documents of a region that isn't split.
-REGION_SHINGLES, PIVOTS, LEAF = 1_000_000, 16, 8
+#: Shingles of a region that one task joins (a document counts as so many at least, since pairs of documents are work too); documents
+#: chosen as pivots to split one, at most, and documents for each of them.
+REGION_SHINGLES, LEAST_SHINGLES, PIVOTS, LEAF = 1_000_000, 100, 16, 8
 #: Shingles of a large region whose distances to its pivots one task takes.
 SLICE_SHINGLES = 100_000
 #: Rows (of some 16 bytes) that are broadcast at most.
@@ -268,6 +269,11 @@ def _assign(regions: DataFrame, similarity: Fraction, weights: DataFrame) -> Dat
     return w.groupBy("region", "part").cogroup(chosen.groupBy("at", "piece")).applyInPandas(deal, "region string, doc long, child string, pivot long, linked boolean")
 
 
+def _weight() -> Column:
+    """What joining documents costs, in shingles."""
+    return F.sum(F.greatest(F.size("shingles"), F.lit(LEAST_SHINGLES)))
+
+
 def _prune(regions: DataFrame, similarity: Fraction) -> DataFrame:
     """Documents with so many shingles in common with others of their region as a link takes."""
     each = regions.select("region", "doc", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
@@ -287,7 +293,7 @@ def _blocks(regions: DataFrame, weights: DataFrame) -> DataFrame:
 
 def _visits(regions: DataFrame) -> DataFrame:
     """regions: core (whether a document is one of those that are connected already). Blocks of these, each with a block of the others."""
-    side = regions.groupBy("region", "core").agg(F.sum(F.size("shingles")).alias("weight"))
+    side = regions.groupBy("region", "core").agg(_weight().alias("weight"))
     many = F.ceil(2 * F.col("weight") / REGION_SHINGLES).cast("int")
     both = side.groupBy("region").agg(F.max(F.when(F.col("core"), many)).alias("inner"), F.max(F.when(~F.col("core"), many)).alias("outer")).where("inner IS NOT NULL AND outer IS NOT NULL")
     w = regions.join(both, "region").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(3)), F.when(F.col("core"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
@@ -305,10 +311,10 @@ def _small_regions(regions: DataFrame, similarity: Fraction, depth: int = 8) ->
     links: list[DataFrame] = []
     apart = lambda df: df.select("region", "doc", "shingles", F.lit(False).alias("together"), F.lit(False).alias("visit"))
     for level in range(-1, depth):
-        weights = materialize(regions.groupBy("region").agg(F.sum(F.size("shingles")).alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
-        # Every family is split once; after that only what is too large for a task.
+        weights = materialize(regions.groupBy("region").agg(_weight().alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
+        # Every family goes by pivots once; after that only what is too large for a task.
         heavy = F.col("weight") > REGION_SHINGLES
-        large = weights.where(((F.col("docs") > LEAF) | heavy if level == 0 else heavy) & (F.col("docs") > 2))
+        large = weights.where(F.col("docs") > 1) if level == 0 else weights.where(heavy & (F.col("docs") > 2))
         if large.isEmpty():
             if level < 0:
                 continue

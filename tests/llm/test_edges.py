@@ -471,3 +471,29 @@ def test_quality_odd_rows(spark, odd, monkeypatch):
 def test_word_count_is_of_ascii_blanks(spark):
     t = "a\u00a0b c\td\x1ce \n"
     assert spark.createDataFrame([(t,)], "t string").select(mixing.word_count(F.col("t"))).first()[0] == len(words_ws(t))
+
+
+def test_all_links_pass_voronoi_regions(spark, monkeypatch):
+    from terrace.llm import queries
+
+    seen, plain = [], jaccard._assign
+
+    def assign(regions, similarity, weights):
+        seen.append(plain(regions, similarity, weights))
+        return seen[-1]
+
+    monkeypatch.setattr(jaccard, "_assign", assign)
+    sf = "/root/testdata/sf0.01"
+    got = queries.op8_jaccard_regions(spark, sf).collect()
+    passed = {r.doc for df in seen for r in df.select("doc").distinct().collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    # Of equal sets one goes on: all texts of a component that differ by more than their sets' copies must have met a pivot.
+    groups = {}
+    for r in got:
+        words = "".join(c.lower() if c.isascii() else c for c in texts[r.doc_id] or "").split()
+        groups.setdefault(r.component_id, {}).setdefault(frozenset(zip(words, words[1:], words[2:])), []).append(r.doc_id)
+    linked = [g for g in groups.values() if len(g) > 1]
+    assert linked
+    for g in linked:
+        for ids in g.values():
+            assert passed & set(ids)
