@@ -1,7 +1,7 @@
 """License scan by diagonal voting, with DataFrame operations only.
 
-Every pair of neighbouring words of a text is hashed, and all rolling hashes are joined with the pairs of all templates (a
-fixed table of a few hundred rows, so it is broadcast). A hit compares the words themselves and votes for a diagonal: its place
+Every pair of neighbouring words of a text is hashed, and all rolling hashes are joined with the pairs of all templates (broadcast
+up to a number of rows, shuffled beyond it). A hit compares the words themselves and votes for a diagonal: its place
 in the text less its place in the template. The votes of a diagonal are the set of its template places, of any length. A
 diagonal with every vote is a place where the phrase stands; near diagonals (words put in or left out) are merged, and a
 merged span counts if it covers enough of the template's words and isn't much longer than it.
@@ -53,25 +53,28 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a template's words that a span must cover; words that may be put in or left out between neighbouring diagonals.
 COVER, DRIFT = 0.9, 2
+#: Pairs of templates (of some 100 bytes) that are broadcast at most.
+BROADCAST_PAIRS = 200_000
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
-def template_pairs(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
-    """A row for each two neighbouring words of each template, and one without a template that stands for a document."""
-    rows = ["(-1, CAST(NULL AS STRING), false, 0, 0, CAST(NULL AS STRING), CAST(NULL AS STRING))"]
+def template_pairs(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> tuple[DataFrame, int]:
+    """A row for each two neighbouring words of each template, and one without a template that stands for a document; how many rows there are."""
+    rows: list[tuple] = [(-1, None, False, 0, 0, None, None)]
     for k, (phrase, label, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in templates]):
         words = phrase.split()
         assert len(words) >= 2 and all(w.isalnum() for w in words)
-        rows += [f"({k}, '{label}', {str(base).lower()}, {len(words)}, {i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    return spark.sql(f"SELECT *, if(template < 0, 0L, xxhash64(w1, w2)) AS gram FROM VALUES {', '.join(rows)} AS t(template, label, base, length, tpos, w1, w2)")
+        rows += [(k, label, base, len(words), i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    pairs = spark.createDataFrame(rows, "template int, label string, base boolean, length int, tpos int, w1 string, w2 string")
+    return pairs.withColumn("gram", F.when(F.col("template") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("w1", "w2"))), len(rows)
 
 
 def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """doc, same (a hash of the text), n_words, template, label, base, length, tpos, pos: a row for each pair of words that a template has; template -1: the document."""
-    pairs = template_pairs(docs.sparkSession, templates)
+    pairs, many = template_pairs(docs.sparkSession, templates)
     words = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("same"), words_of(F.col(text_col)).alias("words"))
     w, n = F.col("words"), F.size("words")
     pair = lambda a, b: F.struct(F.xxhash64(a, b).alias("gram"), a.alias("a"), b.alias("b"))
@@ -79,7 +82,11 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document = F.array(F.struct(F.lit(0).cast("long").alias("gram"), F.lit("").alias("a"), F.lit("").alias("b")))
     each = words.select("doc", "same", n.alias("n_words"), F.posexplode(F.concat(document, rolling)).alias("at", "pair")).select("doc", "same", "n_words", "at", "pair.*")
     hit = ((F.col("at") == 0) & (F.col("template") == -1)) | ((F.col("at") > 0) & (F.col("a") == F.col("w1")) & (F.col("b") == F.col("w2")))
-    found = each.join(F.broadcast(pairs), "gram").where(hit)
+    if many <= BROADCAST_PAIRS:
+        found = each.join(F.broadcast(pairs), "gram").where(hit)
+    else:  # documents, which all have one hash, meet their row by themselves
+        documents = each.where(F.col("at") == 0).drop("gram").join(F.broadcast(pairs.where("template < 0").drop("gram")))
+        found = each.where(F.col("at") > 0).join(pairs.where("template >= 0"), "gram").where(hit).drop("gram").unionByName(documents)
     return found.select("doc", "same", "n_words", "template", "label", "base", "length", "tpos", (F.col("at") - 1).alias("pos"))
 
 

@@ -497,3 +497,11 @@ def test_all_links_pass_voronoi_regions(spark, monkeypatch):
     for g in linked:
         for ids in g.values():
             assert passed & set(ids)
+
+
+@pytest.mark.parametrize("most", [200_000, 5])
+def test_licenses_by_any_join_and_label(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(licenses, "BROADCAST_PAIRS", most)
+    rows = [(1, "this is released under my own terms, all rights reserved", "en", "s", 1), (2, None, "en", "s", 1), (3, "released under my own", "en", "s", 1)]
+    got = {r.doc_id: (r.n_words, r.n_base, r.labels) for r in licenses.license_scan(odd(rows, False), templates=(("released under my own terms", "author's \\ own"),)).collect()}
+    assert got == {1: (10, 1, "author's \\ own,reserved"), 2: (0, 0, ""), 3: (4, 0, "")}
