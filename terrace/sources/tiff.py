@@ -247,7 +247,7 @@ def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[
                     group.append(held // TASK_BYTES)
                     held += sum(line[4])
                 cols = [pa.array([x[k] for x in lines], pa.int64()) for k in range(3)] + [pa.array([list(x[k]) for x in lines], pa.list_(pa.int64())) for k in (3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(group, pa.int64()), *cols], names=["path", "part", "r", "c", "rows", "offsets", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(group, pa.int64()), *cols], names=["path", "part", "r", "c", "rows", "offsets", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = image = read = None
@@ -258,7 +258,7 @@ def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[
                     image = Image.of(read)
                 row, col, values = pixels_of(image, read, (r, c, rows, offsets, sizes), len(bands), window)
                 cols = [pa.array(values[:, k], from_pandas=True) for k in range(len(bands))]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(row)), pa.array(row), pa.array(col), *cols], names=["path", "row", "col", *bands])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(row), pa.array(col), *cols], names=["path", "row", "col", *bands])
 
     blocks = materialize(files.mapInArrow(plan, "path string, part long, r long, c long, rows long, offsets array<long>, sizes array<long>"), "blocks")
     parts = blocks.select("path", "part").distinct().count()

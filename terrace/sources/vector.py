@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from terrace.functions import geometry
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
     """properties, x, y (points), ring (polygons of one ring) and geometry (all) of the features of GeoJSON files. properties: their DDL, such as "id LONG, class_id INT".
 
-    Features without a geometry stay, with nulls; a kind of geometry that isn't known stops the query.
+    lines: each line is a feature, as write_features has them, so that a file is read in parts; else a file is a collection. Features without a geometry stay, with nulls; a kind of geometry that isn't known stops the query.
     """
-    schema = f"features ARRAY<STRUCT<properties: STRUCT<{', '.join(':'.join(p.split()) for p in properties.split(','))}>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
-    each = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    feature = f"STRUCT<properties: STRUCT<{', '.join(':'.join(p.split()) for p in properties.split(','))}>, geometry: STRUCT<type: STRING, coordinates: STRING>>"
+    if lines:
+        each = spark.read.text(path).select(F.from_json("value", feature).alias("f")).where("f IS NOT NULL")
+    else:
+        each = spark.read.schema(f"features ARRAY<{feature}>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     return with_places(each.select("f.properties.*", geometry.from_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry")))
 
 

@@ -1,4 +1,4 @@
-"""Scene observations as a stream: medians of tumbling windows, late rows up to a watermark."""
+"""Scene observations as a stream: means of tumbling windows, late rows up to a watermark."""
 
 from __future__ import annotations
 
