@@ -7,7 +7,8 @@ boundary, further ones; lists that are too large are dealt out in blocks. A quer
 centroids and takes the lists whose distance is within a ratio of the nearest. Lists are read against their queries in
 blocks, in double precision, and so are a list's queries; of each block only the nearest leave. Then each query reads every further list that can hold
 a vector as near as the last one it found (a list's vectors are at most its radius from its centroid), so results are those of
-a full search: lists far away cost nothing if vectors are in clusters, and all lists are read if they are not.
+a full search: lists far away cost nothing if vectors are in clusters, and all lists are read if they are not. With a recall
+below 1 asked for, a query instead reads so many of its nearest lists that a sample of queries, searched in full, would find that share.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ class Plan:
     beam: int = 96  # centroids that a walk over the graph keeps
     block: int = 4_000  # vectors of a list that one task reads at once, and queries of a list
     unit: int = 32_000  # vectors of several lists that one task reads at once, and queries, when further lists are read
+    sample_bytes: int = 256 << 20  # of the vectors that the centroids are fitted on, at most
+    recall: float | None = None  # None: exact; else the share of the nearest that the lists read are to hold, by a sample of queries
+    calibration: int = 256  # queries of that sample
 
 
 @dataclass
@@ -175,7 +179,7 @@ def search(
     count, top, askers = classes.agg(F.count(F.lit(1)), F.max("norm"), F.count_if("asked")).first()
 
     wanted = min(plan.max_lists, max(1, math.ceil(count / plan.list_size)))
-    sample = classes.orderBy(F.xxhash64("key"), "key").limit(min(plan.sample, max(20_000, 8 * wanted))).select("x").toPandas()
+    sample = classes.orderBy(F.xxhash64("key"), "key").limit(max(1, min(plan.sample, max(20_000, 8 * wanted), plan.sample_bytes // (8 * dim)))).select("x").toPandas()
     base = _lift(np.array(sample["x"].tolist()), top, False)
     points = balanced_kmeans(base, min(wanted, max(1, len(base) // 8)))
     lists = len(points)
@@ -238,6 +242,8 @@ def search(
     reach = spark.sparkContext.broadcast(radius)
     units, parts = min(lists, max(16, math.ceil(count / plan.unit))), max(1, math.ceil(askers / plan.unit))
 
+    many = lists if plan.recall is None else lists_needed(classes, posted, points, top, k, plan)
+
     def ask_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points = shared.value.points
         for whole in batches:
@@ -246,8 +252,11 @@ def search(
                 q = _lift(np.array(b["x"].tolist()), top, True)
                 own = (q**2).sum(1)
                 d = np.sqrt(np.maximum((points**2).sum(1) - 2 * q @ points.T + own[:, None], 0))
-                last = np.sqrt(np.maximum(top**2 + own - 2 * b["least"].to_numpy(), 0))
-                want = d - reach.value <= (last + 1e-6 * (top + np.sqrt(own)))[:, None]
+                if plan.recall is None:
+                    last = np.sqrt(np.maximum(top**2 + own - 2 * b["least"].to_numpy(), 0))
+                    want = d - reach.value <= (last + 1e-6 * (top + np.sqrt(own)))[:, None]
+                else:  # queries that have too few hits read all
+                    want = (d <= np.partition(d, many - 1, axis=1)[:, many - 1 : many]) | np.isneginf(b["least"].to_numpy())[:, None]
                 out = [(u, np.nonzero(w)[0] * units + u, k) for u in range(units) for k, w in enumerate(want[:, u::units]) if w.any()]
                 at = [k for _, _, k in out]
                 yield pd.DataFrame({"unit": [u for u, _, _ in out], "lists": [w for _, w, _ in out], "asking": b["asking"].to_numpy()[at], "x": b["x"].to_numpy()[at], "least": b["least"].to_numpy()[at]})
@@ -297,6 +306,38 @@ def search(
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", back.alias("score"))
 
 
+def lists_needed(classes: DataFrame, posted: DataFrame, points: np.ndarray, top: float, k: int, plan: Plan) -> int:
+    """How many of a query's nearest lists hold the share plan.recall of its k nearest vectors, by a sample of queries that is held against all vectors."""
+    some = classes.where("asked").orderBy(F.xxhash64("key"), "key").limit(plan.calibration).select("key", "x").toPandas()
+    if not len(some):
+        return 1
+    q, names = np.array(some["x"].tolist()), some["key"].to_numpy()
+    shared = classes.sparkSession.sparkContext.broadcast((q, names))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, names = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            x, key = np.array(b["x"].tolist()), b["key"].to_numpy()
+            s = q @ x.T
+            own = np.argpartition(-s, min(k, len(x) - 1), axis=1)[:, : k + 1]  # itself is among them
+            r = np.repeat(np.arange(len(q)), own.shape[1])
+            yield pd.DataFrame({"asking": names[r], "key": key[own.ravel()], "score": s[r, own.ravel()]})
+
+    found = classes.select("key", "x").mapInPandas(nearest, "asking string, key string, score double").where("asking <> key")
+    best = Window.partitionBy("asking").orderBy(F.desc("score"), "key")
+    true = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("asking", "key")
+    home = true.join(posted.where("home").select("key", "list"), "key").select("asking", "list").toPandas()  # k rows a query of the sample at most
+    lifted = _lift(q, top, True)
+    d = (points**2).sum(1) - 2 * lifted @ points.T
+    place = np.empty(d.shape, np.int64)
+    np.put_along_axis(place, np.argsort(d, axis=1, kind="stable"), np.broadcast_to(np.arange(len(points)), d.shape), axis=1)
+    row = {name: i for i, name in enumerate(names)}
+    ranks = np.sort(place[[row[a] for a in home["asking"]], home["list"].to_numpy()])
+    return int(ranks[max(0, math.ceil(plan.recall * len(ranks)) - 1)]) + 1 if len(ranks) else 1
+
+
 def _lift(x: np.ndarray, top: float, query: bool) -> np.ndarray:
     """x with the component that makes inner products distances: what is lacking to the longest norm; none for queries."""
     more = np.zeros(len(x)) if query else np.sqrt(np.maximum(top**2 - (x**2).sum(1), 0))

@@ -505,3 +505,24 @@ def test_licenses_by_any_join_and_label(spark, odd, monkeypatch, most):
     rows = [(1, "this is released under my own terms, all rights reserved", "en", "s", 1), (2, None, "en", "s", 1), (3, "released under my own", "en", "s", 1)]
     got = {r.doc_id: (r.n_words, r.n_base, r.labels) for r in licenses.license_scan(odd(rows, False), templates=(("released under my own terms", "author's \\ own"),)).collect()}
     assert got == {1: (10, 1, "author's \\ own,reserved"), 2: (0, 0, ""), 3: (4, 0, "")}
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_lists_are_read_by_a_sampled_recall(spark, monkeypatch, clusters):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16)) if not clusters else rng.normal(size=(clusters, 16))[rng.integers(0, clusters, 3000)] * 4 + rng.normal(size=(3000, 16)) * 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    told, plain = [], ann.lists_needed
+    monkeypatch.setattr(ann, "lists_needed", lambda classes, posted, points, *rest: told.append((plain(classes, posted, points, *rest), len(points))) or told[-1][0])
+    got = ann.search(df, F.col("vec_id") % 20 == 0, plan=ann.Plan(list_size=60, probe=2, recall=0.95)).toPandas()
+    hits = []
+    for q, own in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(own["vec_id"]) & set(np.argsort(-s, kind="stable")[:20])) / 20)
+        assert list(own.sort_values("rank")["rank"]) == list(range(1, 21))
+    assert len(hits) == 150 and np.mean(hits) >= 0.9
+    needed, lists = told[0]
+    assert needed < lists and (not clusters or needed <= 0.3 * lists)
+    assert ann.search(df.limit(1), F.lit(True), plan=ann.Plan(recall=0.9)).count() == 0
