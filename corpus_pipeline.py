@@ -15,7 +15,7 @@ from terrace.llm.mixing import mix
 from terrace.llm.packing import crc32, pack, tokenize_pieces
 from terrace.llm.quality import score, train
 from terrace.llm.queries import label_weights
-from terrace.scratch import drop_path, materialize, new_path, scope, write_to
+from terrace.scratch import drop_path, new_path, scope, write_to
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,8 +46,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id and texts without words stay; of repeated rows all or none; an empty table gives an empty one; extra columns stay.
     """
-    groups = jaccard_groups(docs, width=5, similarity=Fraction(4, 5))
-    others = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    path = new_path(spark, "near-copies")
+    with scope(spark):
+        groups = jaccard_groups(docs, width=5, similarity=Fraction(4, 5))
+        others = write_to(groups.where("doc_id <> component_id").select("doc_id").distinct(), path)
     if others.count() <= BROADCAST_ROWS:
         others = F.broadcast(others)
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)

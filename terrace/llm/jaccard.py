@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrace.operators.graph import components
-from terrace.scratch import materialize
+from terrace.scratch import drop_path, materialize, new_path, write_to
 
 #: Shingles of a region that one task joins (a document counts as so many at least, since pairs of documents are work too); documents
 #: chosen as pivots to split one, at most, and documents for each of them.
@@ -381,8 +381,13 @@ def _meetings(parts: DataFrame, rounds: int = 2) -> DataFrame:
     """
     at = Window.partitionBy("part")
     met = parts.withColumn("least", F.min("doc").over(at)).withColumn("most", F.max("doc").over(at)).where("least <> most").drop("least", "most")
+    spark, before = parts.sparkSession, None
     for _ in range(rounds):
-        met = materialize(met, "met")
+        path = new_path(spark, "met")
+        met = write_to(met, path)
+        if before:
+            drop_path(spark, before)
+        before = path
         enough = met.groupBy("doc", "group").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least_n")).where("n >= least_n").select("doc", "group")
         met = met.join(enough, ["doc", "group"], "left_semi").withColumn("least", F.min("doc").over(at)).withColumn("most", F.max("doc").over(at)).where("least <> most").drop("most")
         kept, met = met, met.drop("least")
@@ -401,13 +406,18 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, similarity: Fraction = Fr
     document; rows with a null id link with nothing and have no component. An empty table gives an empty one; other columns
     are not read.
     """
-    rows = materialize(sketch(docs, width, similarity, id_col, text_col), "sketch")
+    spark = docs.sparkSession
+    path = new_path(spark, "sketch")
+    signed = write_to(sketch(docs, width, similarity, id_col, text_col), path)
+    rows = materialize(signed.drop("groups"), "sets")
     sets = ["n", "hi", "lo"]
     classes = rows.where("n > 0 and doc is not null").groupBy(*sets).agg(F.min("doc").alias("rep"), F.max("doc").alias("last"))
     repeated = materialize(classes.where("rep < last").drop("last"), "repeated")
     repeated = _maybe_broadcast(repeated)
-    member = rows.join(repeated, sets, "left").withColumn("rep", F.coalesce("rep", "doc"))
-    meet = _meetings(member.where("n > 0 and doc = rep").select("doc", F.explode("groups").alias("g")).select("doc", "g.group", "g.need", F.explode("g.parts").alias("part")))
+    with_first = lambda df: df.join(repeated, sets, "left").withColumn("rep", F.coalesce("rep", "doc"))
+    member = with_first(rows)
+    meet = _meetings(with_first(signed).where("n > 0 and doc = rep").select("doc", F.explode("groups").alias("g")).select("doc", "g.group", "g.need", F.explode("g.parts").alias("part")))
+    drop_path(spark, path)  # the signatures, as large as the texts: whatever meets is written by now
     families = components(meet.select(F.col("doc").alias("u"), F.col("least").alias("v")))
     families = materialize(families.unionByName(families.select(F.col("root").alias("node"), "root").distinct()), "families")
 

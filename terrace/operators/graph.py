@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terrace.scratch import drop_path, materialize, new_path, write_to
 
@@ -11,23 +12,33 @@ from terrace.scratch import drop_path, materialize, new_path, write_to
 HUB_EDGES, HUBS = 4096, 250_000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
-    """edges with the m of their u. Rows of a hub, if there are any, stay where they are: hubs are broadcast, at most twice HUBS of them."""
-    if hub is None:
-        return edges.join(least.select("u", "m"), "u")
+def _least_neighbour() -> Column:
+    """Of each row's u the smallest v. Without hubs the edges of a node fit a task: a star needs no join and no broadcast then."""
+    return F.min("v").over(Window.partitionBy("u"))
+
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """edges with the m of their u. Rows of a hub stay where they are: hubs are broadcast, at most twice HUBS of them."""
     hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
     rest = edges.join(hubs.select("u"), "u", "left_anti")
     return edges.join(hubs, "u").unionByName(rest.join(least.where(F.col("n") <= hub).select("u", "m"), "u"))
 
 
 def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(ends).alias("e")).select("e.u", "e.v")
+    if hub is None:
+        seen = both.withColumn("m", F.least(_least_neighbour(), F.col("u"))).where("v > u")
+        return seen.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").repartition("u").distinct()
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
     return _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, hub: int | None) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+def _small_star(down: DataFrame, hub: int | None) -> DataFrame:
+    """down: edges with u > v, as the large star gives them."""
+    if hub is None:
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        return down.withColumn("m", _least_neighbour()).select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     moved = _with_least(down, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -51,8 +62,9 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         hub = max(HUB_EDGES, many // HUBS)
         path = new_path(spark, "stars")
-        # The first star can give a node more edges than it has now, seldom more than a few times as many.
-        now = write_to(_small_star(_large_star(now, hub if most > hub else None), hub if 4 * most > hub else None), path)
+        hub = hub if most > hub else None
+        # The second star looks at edges down alone, of which the first gives a node no more than it has edges now.
+        now = write_to(_small_star(_large_star(now, hub), hub), path)
         if before:
             drop_path(spark, before)
         before = path

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _OPEN: list[list[str]] = []  # for each open scope the folders made in it
+#: With it Spark deletes a query's shuffle files as the query ends; else they stay until the driver happens to collect its garbage.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,7 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_to(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    """df, written and read again; what it shuffled is deleted when it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_SHUFFLE_CLEANUP, None)
+    conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_SHUFFLE_CLEANUP) if before is None else conf.set(_SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
