@@ -22,15 +22,25 @@ TOKENIZER = "word_bpe_49k.json"
 #: Documents with a lower score are rejected.
 LEAST_QUALITY = 0.7
 
+#: Bytes of a batch of rows that a task hands to Python (one row at least). Spark's own limit, 64 MB, is held several times over by either
+#: side of each task: growing buffers, their copies, and what the workers make of it and keep until they end.
+BATCH_BYTES = 2 << 20
+
 #: No SQL says what a trained classifier and a sampler keep; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's batches. This stays set: a stage's last job only runs when its result is written."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least LEAST_QUALITY; the classifier learns from the labelled ones among docs.
 
     Null, empty and very long texts are scored as any other, repeated rows alike; an empty table gives an empty one; extra columns stay.
     """
+    bound_batches(spark)
     model, name = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), f"score_{uuid.uuid4().hex}"
     return score(docs, model, out_col=name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
@@ -46,6 +56,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id and texts without words stay; of repeated rows all or none; an empty table gives an empty one; extra columns stay.
     """
+    bound_batches(spark)
     path = new_path(spark, "near-copies")
     with scope(spark):
         groups = jaccard_groups(docs, width=5, similarity=Fraction(4, 5))
@@ -73,6 +84,7 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are a piece of one token, repeated rows have pieces of their own; an empty table gives an empty one.
     """
+    bound_batches(spark)
     pieces = tokenize_pieces(docs, public_tokenizers.path(TOKENIZER), payload=("ids_crc32", "long", crc32))
     return pack(pieces).withColumnRenamed("doc", "doc_id")
 

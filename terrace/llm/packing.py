@@ -141,7 +141,9 @@ def sweep(items: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None, int
     if not segments:
         return swept, None, many, tokens
     spark = items.sparkSession
-    table = F.broadcast(spark.createDataFrame(segments, "part int, first long, last long, source int, top long"))
+    kinds = {"part": pa.int32(), "first": pa.int64(), "last": pa.int64(), "source": pa.int32(), "top": pa.int64()}
+    # As an Arrow table: rows of a list would be read by Python workers of their own, which stay in memory.
+    table = F.broadcast(spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*segments, strict=True), kinds.values(), strict=True)], names=list(kinds))))
     looks = swept.where(F.col("kind") == LOOKS).select("part", "id", "size", "low", "high").join(table, "part").where("low >= first AND high <= last")
     looks = looks.select("id", "size", "source", (F.col("top") - F.col("high") + F.col("first")).alias("low"), (F.col("top") - F.col("low") + F.col("first")).alias("high"), F.lit(None).cast("long").alias("gap"))
     left = swept.where(F.col("kind") == LEFT).select(F.lit(None).cast("long").alias("id"), "size", F.col("part").alias("source"), "low", "high", F.col("seq").alias("gap"))
