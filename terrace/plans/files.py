@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.grid import UTM
+from terrace.grid import UTM, GridSpec
 from terrace.operators import learning, reports, sampling, timeseries
 from terrace.plans.geometries import _holed
 from terrace.plans.registry import Part
@@ -18,10 +20,16 @@ part = Part()
 _TILE = 64
 
 
+def _grid(px: DataFrame) -> GridSpec:
+    """The grid of all pixels there are."""
+    row, col = px.agg(F.max("row"), F.max("col")).first()
+    return replace(UTM, height=(row or 0) + 1, width=(col or 0) + 1)
+
+
 @part.add("raster_there_and_back", "px_epochs", "SELECT row, col, CAST(e0 AS DOUBLE) AS e0, CAST(e3 AS DOUBLE) AS e3 FROM (SELECT row, col, nullif(e0, 0) AS e0, nullif(e3, 0) AS e3 FROM px_epochs) WHERE coalesce(e0, e3) IS NOT NULL")
 def _(px: DataFrame) -> DataFrame:
     folder = new_path(px.sparkSession, "tiles")
-    raster_format.write_raster(px, UTM, ["e0", "e3"], folder, tile=_TILE)
+    raster_format.write_raster(px, _grid(px), ["e0", "e3"], folder, tile=_TILE)
     files = px.sparkSession.read.format("raster").load(folder)
     at = lambda k: F.regexp_extract("path", r"tile_(\d+)_(\d+)\.tif$", k).cast("long") * _TILE
     return files.select((F.col("row") + at(1)).alias("row"), (F.col("col") + at(2)).alias("col"), "e0", "e3")

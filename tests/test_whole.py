@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from oracle import same
 
 from terrace.plans import catalog
 
@@ -36,3 +37,11 @@ def test_one_vs_rest_whole(spark):
     got = catalog.QUERIES["rf_one_vs_rest"](spark, SF.replace("sf0.1", "sf0.001")).toPandas()
     assert len(got) == 500 and {len(s) for s in got["scores"]} == {10} and set(got["cls"]) > {0, 1, 2}
     assert all(s[c] == max(s) == f for s, c, f in zip(got["scores"], got["cls"], got["confidence"]))
+
+
+@pytest.mark.parametrize("name", ["raster_there_and_back"])
+def test_rasters_of_more_rows_than_the_smallest(spark, tmp_path, name):
+    d = str(tmp_path)
+    # Rows up to 4515: beyond 1500, and in three tiles of 2048.
+    duckdb.sql(f"COPY (SELECT * REPLACE (o_orderkey + 150000 * k AS o_orderkey) FROM '{SF.replace('sf0.1', 'sf0.001')}/orders.parquet', (SELECT unnest([0, 1, 3]) AS k)) TO '{d}/orders.parquet'")
+    same(catalog.QUERIES[name](spark, d), catalog.ORACLES[name], d)
