@@ -38,8 +38,9 @@ def _(px: DataFrame) -> DataFrame:
 @part.add("raster_window", "px_epochs", "SELECT row, col, CAST(e3 AS DOUBLE) AS e3 FROM px_epochs WHERE e3 > 0 AND row >= 5 AND col >= 10")
 def _(px: DataFrame) -> DataFrame:
     folder = new_path(px.sparkSession, "whole")
-    raster_format.write_raster(px, UTM, ["e3"], folder, tile=2048)
-    return tiff.read_raster(px.sparkSession, f"{folder}/*.tif", ["e3"], (5, 10, UTM.height, UTM.width)).select("row", "col", "e3")
+    grid = _grid(px)
+    raster_format.write_raster(px, grid, ["e3"], folder, tile=2048)
+    return tiff.read_raster(px.sparkSession, f"{folder}/*.tif", ["e3"], (5, 10, grid.height, grid.width), grid).select("row", "col", "e3")
 
 
 @part.add("features_there_and_back", "polygons", """

@@ -227,13 +227,21 @@ def pixels_of(image: Image, read: Reader, block: tuple, bands: int, window: tupl
     return row[keep], col[keep], values[keep]
 
 
-def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[int, int, int, int] | None = None) -> DataFrame:
+def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[int, int, int, int] | None = None, grid: GridSpec | None = None) -> DataFrame:
     """path, row, col, bands (double) of TIFF files; pixels with nodata in all bands are left out, nodata in one is null. window: first row, first column, rows, columns.
 
+    grid: that of which the files are parts (as tiles are); rows, columns and the window are its own then, else those of each file.
     Each task reads and unpacks some blocks, a block at a time, so files may be of any size; blocks outside the window aren't read.
     """
     files = spark.read.format("binaryFile").load(path).select("path")  # the content isn't read
 
+    def place(image: Image) -> tuple[int, int]:
+        own = image.grid
+        return (round((own.f - grid.f) / grid.e), round((own.c - grid.c) / grid.a)) if grid is not None else (0, 0)
+
+    def within(at: tuple[int, int]) -> tuple[int, int, int, int] | None:
+        return None if window is None else (window[0] - at[0], window[1] - at[1], *window[2:])
+
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
@@ -241,7 +249,8 @@ def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[
                 if image.one(BANDS, 1) != len(bands):
                     raise ValueError(f"{name} has {image.one(BANDS, 1)} bands, not {len(bands)}")
                 across = image.one(TILE_WIDTH) if TILE_OFFSETS in image.tags else image.one(WIDTH)
-                lines = [(r, c, n, o, s) for r, c, n, o, s in image.layout() if window is None or (r < window[0] + window[2] and r + n > window[0] and c < window[1] + window[3] and c + across > window[1])]
+                own = within(place(image))
+                lines = [(r, c, n, o, s) for r, c, n, o, s in image.layout() if own is None or (r < own[0] + own[2] and r + n > own[0] and c < own[1] + own[3] and c + across > own[1])]
                 group, held = [], 0
                 for line in lines:  # so many blocks together as a task reads
                     group.append(held // TASK_BYTES)
@@ -250,15 +259,16 @@ def read_raster(spark: SparkSession, path: str, bands: list[str], window: tuple[
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(group, pa.int64()), *cols], names=["path", "part", "r", "c", "rows", "offsets", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = image = read = None
+        name = image = read = at = None
         for batch in batches:
             for p, _, r, c, rows, offsets, sizes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if p != name:
                     name, read = p, opened(p)
                     image = Image.of(read)
-                row, col, values = pixels_of(image, read, (r, c, rows, offsets, sizes), len(bands), window)
+                    at = place(image)
+                row, col, values = pixels_of(image, read, (r, c, rows, offsets, sizes), len(bands), within(at))
                 cols = [pa.array(values[:, k], from_pandas=True) for k in range(len(bands))]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(row), pa.array(col), *cols], names=["path", "row", "col", *bands])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(row + at[0]), pa.array(col + at[1]), *cols], names=["path", "row", "col", *bands])
 
     blocks = materialize(files.mapInArrow(plan, "path string, part long, r long, c long, rows long, offsets array<long>, sizes array<long>"), "blocks")
     parts = blocks.select("path", "part").distinct().count()

@@ -39,7 +39,7 @@ def test_one_vs_rest_whole(spark):
     assert all(s[c] == max(s) == f for s, c, f in zip(got["scores"], got["cls"], got["confidence"]))
 
 
-@pytest.mark.parametrize("name", ["raster_there_and_back"])
+@pytest.mark.parametrize("name", ["raster_there_and_back", "raster_window"])
 def test_rasters_of_more_rows_than_the_smallest(spark, tmp_path, name):
     d = str(tmp_path)
     # Rows up to 4515: beyond 1500, and in three tiles of 2048.
