@@ -215,8 +215,8 @@ def distance_to(pixels: DataFrame, feature: Column, xres: float = 10.0, yres: fl
     Both steps are linear in the pixels. Rows without a pixel whose column has a feature have no distances and are left out.
     """
     t = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.when(feature, F.col("row")).alias("f"))
-    w = Window.partitionBy("col").orderBy("row")
-    above, below = F.last("f", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("f", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Both look back, one from below: a frame that ends with the partition would be read anew for every row.
+    above, below = (F.last("f", True).over(Window.partitionBy("col").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("row"), F.desc("row")))
     t = t.select("row", "col", (F.least(F.col("row") - above, below - F.col("row")) * yres).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

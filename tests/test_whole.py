@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from oracle import same
 
+from terrace.operators import focal
 from terrace.plans import catalog
 
 SF = "/root/testdata/sf0.1"
@@ -45,3 +46,10 @@ def test_rasters_of_more_rows_than_the_smallest(spark, tmp_path, name):
     # Rows up to 4515: beyond 1500, and in three tiles of 2048.
     duckdb.sql(f"COPY (SELECT * REPLACE (o_orderkey + 150000 * k AS o_orderkey) FROM '{SF.replace('sf0.1', 'sf0.001')}/orders.parquet', (SELECT unnest([0, 1, 3]) AS k)) TO '{d}/orders.parquet'")
     same(catalog.QUERIES[name](spark, d), catalog.ORACLES[name], d)
+
+
+def test_distances_read_a_column_once(spark):
+    px = spark.range(3000).selectExpr("id % 1500 AS row", "id div 1500 AS col")
+    done = focal.distance_to(px, px["row"] % 700 == 5)
+    assert "unboundedfollowing" not in done._jdf.queryExecution().executedPlan().toString().lower()
+    assert {(r.row, r.col): r.distance for r in done.collect()} == {(i, j): 10.0 * min(abs(i - f) for f in (5, 705, 1405)) for i in range(1500) for j in range(2)}
