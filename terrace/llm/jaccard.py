@@ -5,7 +5,8 @@ Equal sets are one class from the start. Then, on distinct sets only:
 1. First regions. Most documents are at distance 1 from almost all others, so no document serves as a pivot for all of them (the
    window of twice the distance bound would put every document into every region). The first pivots are therefore
    hash ranges of all shingles: sets of like size are cut by them into parts, more parts than linked sets can differ in, so
-   that linked sets agree in whole parts. Sets that agree in a part meet; what meets is gathered to families.
+   that linked sets agree in whole parts. Sets that agree in a part meet, but for the most frequent ones of each, of which a link
+   has others too; what meets is gathered to families. Families that are too large lose what can't link there and are gathered again.
 2. Voronoi regions. Within every family some documents are pivots (one for each LEAF documents, PIVOTS at most); a document goes to the
    region of its nearest pivot and, by the triangle inequality, to every region whose pivot is at most twice the bound farther. Regions
    are split again until they are small, by what their documents hold and by how many they are. A pivot's distances are exact, so a
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,8 @@ REGION_SHINGLES, LEAST_SHINGLES, PIVOTS, LEAF = 1_000_000, 100, 16, 8
 SLICE_SHINGLES = 100_000
 #: Rows (of some 16 bytes) that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Shares of all parts that are shuffled one after the other.
+SHARES = 4
 #: Sizes of sets that share a division into parts differ by this ratio at most.
 RATIO = 1.25
 
@@ -373,25 +377,67 @@ def _join_regions(regions: DataFrame, similarity: Fraction) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _meetings(parts: DataFrame, rounds: int = 2) -> DataFrame:
-    """doc, least (the smallest doc that shares a part): of documents that share as many parts with others as a link takes.
+def _met(signed: DataFrame, paths: list[str]) -> DataFrame:
+    """doc, group, need, part and n (rows that hold the part) of the parts that several documents hold, written to paths.
 
-    A linked set shares at least `need` parts of a group with its partner. So a document with fewer parts that anyone shares has no partner
-    in that group, and what only met such documents meets nobody: that is looked for `rounds` times.
+    Each path takes an equal share of all parts, one after the other: no more than that is shuffled at once.
     """
+    parts = signed.select("doc", F.explode("groups").alias("g")).select("doc", "g.group", "g.need", F.explode("g.parts").alias("part"))
     at = Window.partitionBy("part")
-    met = parts.withColumn("least", F.min("doc").over(at)).withColumn("most", F.max("doc").over(at)).where("least <> most").drop("least", "most")
-    spark, before = parts.sparkSession, None
-    for _ in range(rounds):
-        path = new_path(spark, "met")
-        met = write_to(met, path)
-        if before:
-            drop_path(spark, before)
+    shared = lambda df: df.withColumns({"n": F.count(F.lit(1)).over(at), "least": F.min("doc").over(at), "most": F.max("doc").over(at)}).where("least <> most").drop("least", "most")
+    tables = [write_to(shared(parts.where(F.pmod("part", F.lit(len(paths))) == k)), path) for k, path in enumerate(paths)]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _rare(met: DataFrame) -> DataFrame:
+    """met without the most frequent parts of each document and group, of which a link has others too.
+
+    A linked set shares at least `need` parts of a group with its partner. Of these the rarest (of equals the largest) has `need` - 1 parts
+    or more before it among all that either holds, the most frequent first: those that stand before aren't looked at. So what very many
+    hold, a common line's parts, seldom joins documents that share nothing else; and a document with fewer parts than that meets nobody.
+    """
+    return met.withColumn("nr", F.row_number().over(Window.partitionBy("doc", "group").orderBy(F.desc("n"), "part"))).where("nr >= need")
+
+
+def _families(rare: DataFrame) -> DataFrame:
+    """node, root of all documents that meet in a part, directly or by others."""
+    pairs = rare.withColumn("least", F.min("doc").over(Window.partitionBy("part"))).where("doc <> least")
+    roots = components(pairs.select(F.col("doc").alias("u"), F.col("least").alias("v")))
+    return materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "families")
+
+
+def _gatherings(rare: DataFrame) -> DataFrame:
+    """at, doc: for each part the documents that hold it, at least two; of parts that the same ones hold only one."""
+    held = materialize(rare.select("part", "doc").distinct(), "held")
+    digest = [F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")]
+    one = held.groupBy("part").agg(*digest).where("n > 1").groupBy("n", "a", "b", "x", "y").agg(F.min("part").alias("part"))
+    return held.join(one.select("part"), "part").select(F.concat(F.lit("p"), F.col("part").cast("string")).alias("at"), "doc")
+
+
+def _narrowed(regions: DataFrame, met: DataFrame, similarity: Fraction) -> DataFrame:
+    """regions (families, each document in one), of which those too large for a task are gathered again.
+
+    A chance meeting or a common line joins many small families to a large one; most of its documents share too few shingles with others.
+    Those go, and families are made of who meets among the rest. One that is still too large falls apart into those that hold one part.
+    """
+    spark, before = regions.sparkSession, None
+    for last in (False, True):
+        weights = materialize(regions.groupBy("region").agg(_weight().alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
+        large = weights.where((F.col("weight") > REGION_SHINGLES) & (F.col("docs") > 2)).select("region")
+        if large.isEmpty():
+            break
+        pruned, path = new_path(spark, "pruned"), new_path(spark, "narrowed")
+        big = write_to(_prune(regions.join(large, "region", "left_semi"), similarity), pruned)
+        inside = met.join(_maybe_broadcast(big.select("doc").distinct()), "doc", "left_semi")
+        rare = _rare(inside.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("n > 1"))
+        found = _gatherings(rare) if last else _families(rare).select(F.col("root").cast("string").alias("at"), F.col("node").alias("doc"))
+        again = big.join(_maybe_broadcast(found), "doc").select(F.col("at").alias("region"), "doc", "shingles")
+        regions = write_to(again.unionByName(regions.join(large, "region", "left_anti")), path)
+        for old in (pruned, before):
+            if old:
+                drop_path(spark, old)
         before = path
-        enough = met.groupBy("doc", "group").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least_n")).where("n >= least_n").select("doc", "group")
-        met = met.join(enough, ["doc", "group"], "left_semi").withColumn("least", F.min("doc").over(at)).withColumn("most", F.max("doc").over(at)).where("least <> most").drop("most")
-        kept, met = met, met.drop("least")
-    return kept.where("doc <> least").select("doc", "least")
+    return regions
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -416,10 +462,10 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, similarity: Fraction = Fr
     repeated = _maybe_broadcast(repeated)
     with_first = lambda df: df.join(repeated, sets, "left").withColumn("rep", F.coalesce("rep", "doc"))
     member = with_first(rows)
-    meet = _meetings(with_first(signed).where("n > 0 and doc = rep").select("doc", F.explode("groups").alias("g")).select("doc", "g.group", "g.need", F.explode("g.parts").alias("part")))
+    paths = [new_path(spark, "met") for _ in range(SHARES)]
+    met = _met(with_first(signed).where("n > 0 and doc = rep"), paths)
     drop_path(spark, path)  # the signatures, as large as the texts: whatever meets is written by now
-    families = components(meet.select(F.col("doc").alias("u"), F.col("least").alias("v")))
-    families = materialize(families.unionByName(families.select(F.col("root").alias("node"), "root").distinct()), "families")
+    families = _families(_rare(met))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -431,7 +477,11 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, similarity: Fraction = Fr
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(_maybe_broadcast(families), "node")
     regions = texts.select(F.col("root").cast("string").alias("region"), F.col("node").alias("doc"), "text").mapInArrow(sets_of, "region string, doc long, shingles array<long>")
-    regions = materialize(regions.where(F.size("shingles") > 0), "regions")
+    path = new_path(spark, "regions")
+    whole = write_to(regions.where(F.size("shingles") > 0), path)
+    regions = _narrowed(whole, met, similarity)
+    for old in [*paths, path] if regions is not whole else paths:
+        drop_path(spark, old)
     small, by_pivots = _small_regions(regions, similarity)
     together = small[0]
     for more in small[1:]:

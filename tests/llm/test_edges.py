@@ -381,6 +381,26 @@ def test_jaccard_equals_all_pairs(spark, odd, monkeypatch, region, k, t):
     assert got == components({r[0]: r[1] for r in rows}, k, t.numerator, t.denominator)
 
 
+def test_jaccard_families_joined_by_common_lines_fall_apart(spark, odd, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION_SHINGLES", 4000)
+    replicated, plain = [], jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda regions, weights: replicated.append(regions.count()) or plain(regions, weights))
+    line, rows = " ".join(f"line{j}" for j in range(40)), []
+    for i in range(60):  # pairs of near copies, and a common line in each
+        words = [f"own{i}x{j}" for j in range(60)]
+        rows += [(2 * i + k, " ".join(words[: 60 - k]) + f" {line}", "en", "s", 1) for k in range(2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(odd(rows, False), width=5, similarity=Fraction(4, 5)).collect()}
+    assert got == components({r[0]: r[1] for r in rows}, 5, 4, 5) and not sum(replicated)
+
+
+def test_jaccard_shuffles_parts_by_shares(spark, odd, monkeypatch):
+    shares, plain = [], jaccard.write_to
+    monkeypatch.setattr(jaccard, "write_to", lambda df, path: (shares.append(path) if path.endswith("/met") else None, plain(df, path))[1])
+    rows = [(k, " ".join(f"w{j * (1 + (k // 2) % 5)}" for j in range(60)) + f" x{k}", "en", "s", 1) for k in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(odd(rows, False)).collect()}
+    assert got == components({r[0]: r[1] for r in rows}, 3, 9, 10) and len(shares) == jaccard.SHARES > 1
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = jaccard.jaccard_groups(odd()).collect()
     assert len(got) == 14
