@@ -140,7 +140,7 @@ def fuse_by_object(pixels: DataFrame, *, bands: int, scale: float = 10000.0, tau
     if guard_sd is not None:
         damp = damp * (F.coalesce("_sd", F.lit(0.0)) <= guard_sd).cast("double")
     weights = F.array(*[F.lit(max(0.2, min(0.9, s / 5))) for s in smoothness[:bands]])
-    mixed = F.transform(F.arrays_zip(F.col("_obj").alias("o"), F.col("_raw").alias("r"), weights.alias("w")), lambda x: x["o"] * x["w"] * F.col("_damp") + x["r"] * (1 - x["w"] * F.col("_damp")))
+    mixed = F.transform(F.arrays_zip(F.col("_obj").alias("o"), F.col("_raw").alias("r"), weights.alias("w")), lambda x: x["o"] * (x["w"] * F.col("_damp")) + x["r"] * (1 - x["w"] * F.col("_damp")))
     t = t.withColumn("_damp", damp).withColumn("_mix", mixed)
     total = F.aggregate("_mix", F.lit(0.0), lambda a, x: a + x)
     t = t.withColumn("_b", top_two(F.transform("_mix", lambda x: x / F.when(total == 0, 1.0).otherwise(total))))

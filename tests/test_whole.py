@@ -53,3 +53,10 @@ def test_distances_read_a_column_once(spark):
     done = focal.distance_to(px, px["row"] % 700 == 5)
     assert "unboundedfollowing" not in done._jdf.queryExecution().executedPlan().toString().lower()
     assert {(r.row, r.col): r.distance for r in done.collect()} == {(i, j): 10.0 * min(abs(i - f) for f in (5, 705, 1405)) for i in range(1500) for j in range(2)}
+
+
+def test_classes_alike_outside_segments_stay_in_order(spark, tmp_path):
+    levels = [[(0.0137 + 0.00731 * ((7 * i + k) % 13)) if k not in (0, 9) else 0.11145 + 0.0001 * (i % 97) for k in range(16)] for i in range(500)]
+    spark.createDataFrame(list(enumerate(levels)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "e"))
+    duckdb.sql(f"COPY (SELECT * FROM '{tmp_path}/e/*.parquet') TO '{tmp_path}/embeddings.parquet'")
+    same(catalog.QUERIES["object_confusion_blend"](spark, str(tmp_path)), catalog.ORACLES["object_confusion_blend"], str(tmp_path))
